@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from maskloom.llm import secrets, url_filters
 from maskloom.llm.common import table
 from maskloom.llm.sharding import sharded
 from maskloom.llm.simhash import simhash_components
@@ -22,5 +23,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_tiling": op4_tiling, "op7_sharding": op7_sharding}
-ORACLES: dict[str, str] = {}
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.temporal_list_join(url_filters.dated_pages(pages), url_filters.dated_entries(pages))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op4_tiling": op4_tiling, "op7_sharding": op7_sharding, "op8_url_filters": op8_url_filters, "op10_secrets": op10_secrets}
+ORACLES: dict[str, str] = {"op8_url_filters": url_filters.ORACLE, "op10_secrets": secrets.ORACLE}
