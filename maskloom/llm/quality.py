@@ -37,7 +37,7 @@ from maskloom.llm.common import checkpointed
 _WORD = re.compile(r"[^\W\d_]+")
 _UPPER = bytes(range(65, 91))
 _OTHER = bytes(x for x in range(33, 127) if not chr(x).isalnum() and chr(x) not in ".,;:'\"-()?|!")
-N_FORM = 9
+N_FORM = 8
 
 
 def features(text: str | None) -> tuple[set[str], list[float]]:
@@ -50,7 +50,7 @@ def features(text: str | None) -> tuple[set[str], list[float]]:
     n = len(words)
     return {w.lower() for w in counts}, [
         share(_UPPER), min(1.0, 5 * share(b"|")), min(1.0, 5 * share(_OTHER)), min(1.0, 5 * share(b"!")), min(1.0, 5 * share(b"0123456789")),
-        max(counts.values(), default=0) / max(1, n), min(1.0, len(counts) / max(1.0, n) ** 0.8), min(1.0, np.log1p(n) / 10), float(n < 3),
+        (max(counts.values(), default=1) - 1) / max(1, n), (n - len(counts)) / max(1, n), min(1.0, np.log1p(n) / 10),
     ]
 
 
@@ -135,7 +135,7 @@ def telling_words(rows: list[tuple], label: int, least: int, chi2: float, most:
     return {w: k for k, (_, w) in enumerate(sorted(found)[:most])}
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = 6000, least: int = 5, chi2: float = 40.0, most: int = 1024, penalty: float = 1.0, steps: int = 200) -> tuple[Logistic, Logistic]:
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = 12000, least: int = 5, chi2: float = 40.0, most: int = 1024, penalty: float = 1.0, steps: int = 200) -> tuple[Logistic, Logistic]:
     """Classifiers of quality and of toxicity."""
     rows = labelled_sample(docs, labels, sample)
     return tuple(Logistic([(r[0], r[1], int(r[c] > 0)) for r in rows], telling_words(rows, c, least, chi2, most), penalty, steps) for c in (2, 3))
@@ -212,7 +212,7 @@ def _scored(rows: DataFrame, evidence: DataFrame) -> DataFrame:
     return rows
 
 
-def quality_posteriors(docs: DataFrame, labels: DataFrame, keep: float = 0.5, sample: int = 6000) -> DataFrame:
+def quality_posteriors(docs: DataFrame, labels: DataFrame, keep: float = 0.5, sample: int = 12000) -> DataFrame:
     """doc_id, host, path, text_quality, text_clean (by the text alone), p_quality, p_clean, keep."""
     models = fitted(docs, labels, sample)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_names(), F.col("text").cast("string").alias("text"))
@@ -223,7 +223,7 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, keep: float = 0.5, sa
     )
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, keep: float = 0.5, sample: int = 6000) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, keep: float = 0.5, sample: int = 12000) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns. Texts are scored twice rather than shuffled."""
     models = fitted(docs, labels, sample)
     columns = [F.col(c).alias(f"in_{k}") for k, c in enumerate(docs.columns)]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from maskloom.llm import secrets, url_filters
 from maskloom.llm.common import table
+from maskloom.llm.quality import quality_posteriors
+from maskloom.llm.segmentation import segmented
 from maskloom.llm.sharding import sharded
 from maskloom.llm.simhash import simhash_components
 from maskloom.llm.tiling import contaminated
@@ -19,6 +21,10 @@ def op4_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
 
@@ -28,9 +34,21 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.temporal_list_join(url_filters.dated_pages(pages), url_filters.dated_entries(pages))
 
 
+def op9_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmented(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_tiling": op4_tiling, "op7_sharding": op7_sharding, "op8_url_filters": op8_url_filters, "op10_secrets": op10_secrets}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op4_tiling": op4_tiling,
+    "op5_quality": op5_quality,
+    "op7_sharding": op7_sharding,
+    "op8_url_filters": op8_url_filters,
+    "op9_segmentation": op9_segmentation,
+    "op10_secrets": op10_secrets,
+}
 ORACLES: dict[str, str] = {"op8_url_filters": url_filters.ORACLE, "op10_secrets": secrets.ORACLE}
