@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from maskloom.llm import secrets, url_filters
 from maskloom.llm.common import table
+from maskloom.llm.neighbours import nearest
 from maskloom.llm.quality import quality_posteriors
 from maskloom.llm.segmentation import segmented
 from maskloom.llm.sharding import sharded
 from maskloom.llm.simhash import simhash_components
 from maskloom.llm.tiling import contaminated
+from maskloom.llm.warc import page_derivatives
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op4_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -25,6 +32,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_derivatives(table(spark, sf_dir, "pages"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
 
@@ -44,8 +55,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_neighbours": op3_neighbours,
     "op4_tiling": op4_tiling,
     "op5_quality": op5_quality,
+    "op6_warc": op6_warc,
     "op7_sharding": op7_sharding,
     "op8_url_filters": op8_url_filters,
     "op9_segmentation": op9_segmentation,
