@@ -11,6 +11,7 @@ from maskloom.llm.quality import quality_posteriors
 from maskloom.llm.segmentation import segmented
 from maskloom.llm.sharding import sharded
 from maskloom.llm.simhash import simhash_components
+from maskloom.llm.suffix import repeats_removed
 from maskloom.llm.tiling import contaminated
 from maskloom.llm.warc import page_derivatives
 
@@ -19,6 +20,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_removed(table(spark, sf_dir, "documents"))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))
@@ -55,6 +60,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_suffixes": op2_suffixes,
     "op3_neighbours": op3_neighbours,
     "op4_tiling": op4_tiling,
     "op5_quality": op5_quality,
