@@ -81,49 +81,93 @@ def _of(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def secret_scan(docs: DataFrame, copied: int = 3) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
+def _candidates(docs: DataFrame) -> tuple[Column, Column, Column]:
+    """Owner, language and hashed candidates of a row; the secrets themselves are not written anywhere."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("owner"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-        spans_of(text).alias("found"),
-    )
-    hashed = _with_value(F.col("found"), lambda v: F.sha2(v, 256))
-    found = checkpointed(found.select("doc_id", "owner", "lang", hashed.alias("found")))  # secrets themselves are not written
-    base = F.filter("found", lambda s: s["kind"] < 3)
-    # tokens that touch a base span of the document are part of it
-    bare = F.filter("found", lambda s: (s["kind"] == 3) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return name("source"), name("lang"), _with_value(spans_of(text), lambda v: F.sha2(v, 256))
+
+
+def _base_and_bare(found: Column) -> tuple[Column, Column]:
+    """Base spans, and tokens that touch none of them: those that do are part of them."""
+    base = F.filter(found, lambda s: s["kind"] < 3)
+    return base, F.filter(found, lambda s: (s["kind"] == 3) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """doc_id, owner, lang, base, bare and a key, null where nothing was found; rows that repeat have one key."""
+    owner, lang, spans = _candidates(docs)
+    found = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), lang.alias("lang"), spans.alias("found")))
+    base, bare = _base_and_bare(F.col("found"))
     rows = found.select("doc_id", "owner", "lang", base.alias("base"), bare.alias("bare"))
-    key = F.xxhash64("doc_id", "owner", "lang", F.to_json("base"), F.to_json("bare"))
-    rows = rows.withColumn("key", F.when((F.size("base") > 0) | (F.size("bare") > 0), key))
+    return rows.withColumn("key", _key())
+
+
+def _key() -> Column:
+    return F.when((F.size("base") > 0) | (F.size("bare") > 0), F.xxhash64("doc_id", "owner", "lang", F.to_json("base"), F.to_json("bare")))
+
+
+def _classified(rows: DataFrame, copied: int) -> DataFrame:
+    """key, s (span), owners and example for every candidate in the corpus."""
     each = rows.where("key is not null").select("key", "owner", "lang", F.explode(F.concat("base", "bare")).alias("s"))
     held = each.select(F.col("s.value").alias("value"), "owner", F.struct("owner", "lang").alias("repository")).distinct()
     # two steps: by value and owner, then by value, so that counts are summed before each shuffle
     owners = held.groupBy("value", "owner").agg(F.count("*").alias("repositories")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    classed = each.select("key", "s").withColumn("value", F.col("s.value")).join(owners, "value")
     example = (F.col("owners") >= copied) | (F.col("repositories") >= 2 * copied)
-    by_row = classed.groupBy("key").agg(
+    return each.select("key", "s", F.col("s.value").alias("value")).join(owners, "value").select("key", "s", "value", "owners", example.alias("example"))
+
+
+def secret_scan(docs: DataFrame, copied: int = 3) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
+    rows = _found(docs)
+    by_row = _classified(rows, copied).groupBy("key").agg(
         F.collect_set(F.when((F.col("s.kind") == 3) & (F.col("owners") == 1), F.col("s"))).alias("added"),
-        F.collect_set(F.when(example, F.col("value"))).alias("examples"),
-        F.collect_set(F.when(~example, F.col("value"))).alias("live"),
+        F.collect_set(F.when(F.col("example"), F.col("value"))).alias("examples"),
+        F.collect_set(F.when(~F.col("example"), F.col("value"))).alias("live"),
     )
-    joined = rows.join(by_row, "key", "left")
-    added = F.coalesce(F.col("added"), F.array().cast(_SPAN))
-    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return joined.select(
+    count = lambda c: F.coalesce(F.when(F.col("added").isNotNull(), F.size(c)), F.lit(0)).cast("long")
+    return rows.join(by_row, "key", "left").select(
         "doc_id",
         _of(F.col("base"), 0).alias("n_assign"),
         _of(F.col("base"), 1).alias("n_access"),
         _of(F.col("base"), 2).alias("n_hex"),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        _joined(F.concat(F.col("base"), added)).alias("spans"),
-        F.when(F.col("added").isNull(), F.lit(0)).otherwise(count("live")).cast("long").alias("n_live"),
-        F.when(F.col("added").isNull(), F.lit(0)).otherwise(count("examples")).cast("long").alias("n_example"),
+        _joined(F.concat(F.col("base"), F.coalesce(F.col("added"), F.array().cast(_SPAN)))).alias("spans"),
+        count("live").alias("n_live"),
+        count("examples").alias("n_example"),
     )
 
 
+def _without(text: Column, spans: Column, mask: str) -> Column:
+    """The text with the united spans (sorted by start) replaced by ``mask``."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        before = F.substring(text, (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], F.concat(state["out"], before, F.lit(mask))).otherwise(state["out"]).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+
+
+def secrets_masked(docs: DataFrame, copied: int = 3, mask: str = "[SECRET]") -> DataFrame:
+    """The rows of ``docs`` with live secrets masked in ``text`` (and ``n_chars`` counted anew); columns as in ``docs``.
+
+    Live are base spans that are no widely copied examples, and the tokens that one owner alone holds.
+    Rows without candidates pass without a shuffle; the others are scanned again rather than kept.
+    """
+    rows = _found(docs)
+    hide = _classified(rows, copied).where("not example and (s.kind < 3 or owners = 1)").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("s.start", "s.end"))).alias("hide"))
+    owner, lang, spans = _candidates(docs)
+    base, bare = _base_and_bare(F.col("_found"))
+    named = docs.withColumns({"_owner": owner, "_lang": lang}).withColumn("_found", spans).withColumns({"_base": base, "_bare": bare})
+    any_ = (F.size("_base") > 0) | (F.size("_bare") > 0)
+    key = F.xxhash64(F.col("doc_id").cast("long"), "_owner", "_lang", F.to_json("_base"), F.to_json("_bare"))
+    new = _without(F.col("text"), F.col("hide"), mask)
+    changed = named.where(any_).withColumn("key", key).join(hide, "key", "left")
+    out = [F.when(F.col("hide").isNull(), F.col(c)).otherwise({"text": new, "n_chars": F.length(new).cast("long")}[c]).alias(c) if c in ("text", "n_chars") else F.col(c) for c in docs.columns]
+    return named.where(~any_).select(*docs.columns).unionByName(changed.select(*out))
+
+
 #: The same in DuckDB: a match starts behind all gaps and matches before it.
 def _duck(kind: int, pattern: str, value: str, where: str) -> str:
     return f"""
