@@ -1,6 +1,8 @@
-"""The registered queries of the masking engine and their SQL; filled by the modules of ``plans``."""
+"""The registered queries of the masking engine and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from maskloom.plans import masking
+
+QUERIES: dict = {**masking.QUERIES}
+ORACLES: dict[str, str] = {**masking.ORACLES}
