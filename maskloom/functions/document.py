@@ -1,0 +1,202 @@
+"""Masking of one document in Python: rules, recognised entities, terms that spread, union, numbering.
+
+Used by ``operators.masking`` inside Arrow batches. Everything is linear in the document.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, field
+
+from maskloom.functions import categories as C
+from maskloom.functions import rules as R
+from maskloom.functions import words as W
+
+
+@dataclass(frozen=True)
+class Options:
+    """``hide_names``, ``hide_locations`` and ``hide_orgs`` gate recognised entities only: rules always apply.
+
+    ``hide_dates`` gates the date rule. ``smart_contract``: lines between the subject of a contract and its
+    details stay as they are. ``spread``: terms found by the recogniser are masked wherever they occur.
+    """
+
+    hide_names: bool = True
+    hide_locations: bool = True
+    hide_orgs: bool = True
+    hide_dates: bool = False
+    smart_contract: bool = False
+    spread: bool = True
+
+    def as_map(self) -> dict[str, bool]:
+        return dict(self.__dict__)
+
+
+Entity = tuple[int, int, str]  # start, stop, PER / LOC / ORG
+
+
+class EntitiesMissing(RuntimeError):
+    """A segment has no entities from the recogniser: masking must not go on without them."""
+
+
+def entity_spans(text: str, entities: Iterable[Entity], options: Options) -> list[tuple[int, int, str]]:
+    out = []
+    for start, stop, kind in entities:
+        own = text[start:stop]
+        if not W.keeps_entity(own):
+            continue
+        if kind == "PER" and options.hide_names:
+            out.append((start, stop, C.PERSON))
+        elif kind == "LOC" and options.hide_locations and not W.is_country(own):
+            out.append((start, stop, C.ADDRESS))
+        elif kind == "ORG" and options.hide_orgs:
+            out.append((start, stop, C.ORG))
+    return out
+
+
+def united(raw: Sequence[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Overlapping spans as one; ``raw`` is in the order that decides ties."""
+    out: list[tuple[int, int, str]] = []
+    for start, stop, category in sorted(raw, key=lambda s: (s[0], -s[1])):
+        if out and start < out[-1][1]:
+            a, z, had = out[-1]
+            out[-1] = (a, max(z, stop), category if C.PRIORITY[category] > C.PRIORITY[had] else had)
+        else:
+            out.append((start, stop, category))
+    return out
+
+
+@dataclass
+class Terms:
+    """What the recogniser found, to be masked wherever it stands: surfaces of several words, and single words."""
+
+    surfaces: dict[str, str] = field(default_factory=dict)
+    words: dict[str, str] = field(default_factory=dict)
+
+    def add(self, text: str, found: Iterable[tuple[int, int, str]]) -> None:
+        for start, stop, category in found:
+            if category not in (C.PERSON, C.ORG):
+                continue
+            own = text[start:stop].strip()
+            if len(own) >= 5 and " " in own:
+                self.surfaces.setdefault(own, category)
+            for m in W.WORD.finditer(own):
+                if len(m.group()) >= 4 and not W.is_role(m.group()) and (m.group() not in self.words or category == C.PERSON):
+                    self.words[m.group()] = category
+
+    def patterns(self, text: str) -> list[tuple[re.Pattern, str]]:
+        """Surfaces literally, words by their root with the ending of the same script; common nouns left out."""
+        out = [(re.compile(re.escape(s), re.I), c) for s, c in self.surfaces.items()]
+        for w, c in self.words.items():
+            if W.stands_in_lower_case(w, text):
+                continue
+            root = w[: max(5, len(w) - 2)] if len(w) > 5 else w
+            tail = "[а-яё]{0,4}" if re.search("[А-Яа-яЁё]$", root) else "[a-z]{0,2}"
+            out.append((re.compile(rf"\b{re.escape(root)}{tail}\b", re.I), c))
+        return out
+
+
+def segment_spans(text: str, entities: Iterable[Entity], options: Options, terms: Sequence[tuple[re.Pattern, str]] = ()) -> list[tuple[int, int, str]]:
+    """Merged spans of a segment; a blank one has none."""
+    if not text.strip():
+        return []
+    raw = entity_spans(text, entities, options) + R.rule_spans(text, options.hide_dates)
+    raw += [(m.start(), m.end(), c) for p, c in terms for m in p.finditer(text) if m.group().strip()]
+    return united(raw)
+
+
+def switches(segments: Sequence[str]) -> list[bool]:
+    """Whether each segment is masked when sections of a contract switch masking off and on."""
+    out, on = [], True
+    for text in segments:
+        low = text.lower()
+        on = on and not any(m in low for m in C.SECTION_OFF)
+        on = on or any(m in low for m in C.SECTION_ON)
+        out.append(on)
+    return out
+
+
+class Numbers:
+    """Labels of a document: one number for each value of a category, from 1, by first appearance."""
+
+    def __init__(self):
+        self.label: dict[tuple[str, str], str] = {}
+        self.count: dict[str, int] = {}
+
+    def __call__(self, category: str, value: str) -> str:
+        if (key := (category, value)) not in self.label:
+            self.count[category] = n = self.count.get(category, 0) + 1
+            self.label[key] = f"[{category}_{n}]"
+        return self.label[key]
+
+    def rows(self) -> list[dict]:
+        return [{"category": c, "n": int(x.rpartition("_")[2][:-1]), "label": x, "value": v} for (c, v), x in self.label.items()]
+
+
+def splice(text: str, spans: Sequence[tuple[int, int, str]], numbers: Numbers) -> str:
+    at, out = 0, []
+    for start, stop, category in spans:
+        out += [text[at:start], numbers(category, text[start:stop])]
+        at = stop
+    return "".join(out) + text[at:]
+
+
+@dataclass
+class Masked:
+    segments: list[str]
+    labels: list[dict]
+    spans: list[list[tuple[int, int, str]]]
+
+
+def mask(segments: Sequence[str], entities: Sequence[Iterable[Entity] | None], options: Options) -> Masked:
+    """All segments of a document, in their order. A segment without entities from the recogniser refuses (None)."""
+    if len(entities) != len(segments) or any(e is None for e in entities):
+        raise EntitiesMissing("a segment has no entities: masking stops rather than let names through")
+    terms = Terms()
+    for text, found in zip(segments, entities, strict=True):
+        terms.add(text, entity_spans(text, found, options))
+    patterns = terms.patterns("\n".join(segments)) if options.spread else []
+    on = switches(segments) if options.smart_contract else [True] * len(segments)
+    numbers, out, spans = Numbers(), [], []
+    for text, found, active in zip(segments, entities, on, strict=True):
+        own = segment_spans(text, found, options, patterns) if active else []
+        spans.append(own)
+        out.append(splice(text, own, numbers))
+    return Masked(out, numbers.rows(), spans)
+
+
+_LABEL_PARTS = re.compile(r"[ _-]?")
+
+
+def tolerant(categories: Iterable[str]) -> re.Pattern:
+    """Labels of these categories, in any case, with a space, hyphen, underscore or nothing between words; longest categories first."""
+    names = sorted(set(categories), key=lambda c: (-len(c), c))
+    return re.compile(r"\[\s*(" + "|".join("[ _-]?".join(map(re.escape, c.split("_"))) for c in names) + r")[ _-]?(\d+)\s*\]", re.I) if names else re.compile(r"(?!)")
+
+
+def canonical(m: re.Match, categories: Iterable[str]) -> str:
+    flat = re.sub("[ _-]", "", m.group(1)).upper()
+    return next(f"[{c}_{m.group(2)}]" for c in categories if c.replace("_", "").upper() == flat)
+
+
+def restore(text: str, values: dict[str, str], passes: int = 10) -> tuple[str, int, list[str]]:
+    """The text with known labels replaced, to a fixpoint of at most ``passes``; how many, and the unknown ones (counted once)."""
+    categories = sorted({k[1:-1].rpartition("_")[0] for k in values})
+    pattern, count = tolerant(categories), 0
+    unknown = [m.group() for m in pattern.finditer(text) if canonical(m, categories) not in values]
+    for _ in range(passes):
+        hits = 0
+
+        def put(m: re.Match) -> str:
+            nonlocal hits
+            value = values.get(canonical(m, categories))
+            hits += value is not None
+            return m.group() if value is None else value
+
+        new = pattern.sub(put, text) if "[" in text else text
+        count += hits
+        if new == text:
+            break
+        text = new
+    return text, count, unknown
