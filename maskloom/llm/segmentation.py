@@ -7,9 +7,10 @@ the forward score of what remains, so complete segmentations leave it from the b
 
 No piece of the vocabulary spans the place between a letter and a space after it (checked when it is
 loaded), so a text's lattice is a chain of small ones, one for each run of spaces with the word behind it.
-Each distinct unit is solved once per task and kept in a bounded cache. The n best of the text are sums
-of the units' alternatives: only the n - 1 units whose second best costs least can change in them, and
-A* lists the alternatives of those alone. Whole texts are segmented, whatever their length.
+A letter before punctuation parts units too where no piece spans that. Each distinct unit is solved once
+per worker process and kept in a bounded cache. The n best of the text are sums of the units'
+alternatives: only the n - 1 units whose second best costs least can change in them, and A* lists the
+alternatives of those alone. Whole texts are segmented, whatever their length.
 
 Characters that no piece covers fall back to their UTF-8 bytes, at a score 10 below the lowest, so that
 decoding gives back every text exactly. As in SentencePiece a space is put before the text (and is
@@ -25,6 +26,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,9 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Units that a task remembers.
+#: Units that a worker process remembers.
 _CACHE = 300_000
 _LOW = float("-inf")
+_MARKS = r"[!-/:-@\[-^`{-~]"
 SCHEMA = "doc_id long, n_pieces int, ids array<int>, score double, nbest_scores array<double>, nbest array<struct<at:int,remove:int,ids:array<int>,rank:int>>"
 
 
@@ -59,8 +62,10 @@ class Vocabulary:
             self.unit = r"(?s).+"  # some piece spans words: the text is one unit
         elif any("\n" in p and len(p) > 1 for p in self.piece):
             self.unit = r" *[^ ]+| +"
-        else:
+        elif any(re.search(rf"[^\W\d_]{_MARKS}", p) for p in self.piece):
             self.unit = r" *[^ \n]+|\n| +"
+        else:  # nor does any go from a letter on to punctuation
+            self.unit = rf" *(?:[^ \n]*?[^\W\d_](?={_MARKS})|[^ \n]+)|\n| +"
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -177,7 +182,10 @@ def pack_ids(ids: list[int]) -> bytes:
 
 class Segmenter:
     def __init__(self, v: Vocabulary, n: int):
-        self.v, self.n, self.units, self.cache = v, n, re.compile(v.unit).findall, {}
+        self.v, self.n, self.units = v, n, re.compile(v.unit).findall
+        # what is solved does not depend on the task, so the tasks of one worker process share it
+        shared = vars(sys).setdefault("_maskloom_units", {})
+        self.cache = shared.setdefault((len(v.piece), v.unknown), {})
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, float, list[float], list[tuple[int, int, list[int], int]]]:
         """Best ids, score, the n best scores, and how the others differ: (at, remove, ids, rank), ranks from 1."""
@@ -185,16 +193,11 @@ class Segmenter:
             return np.zeros(0, np.int32), 0.0, [0.0], []
         cache, v, n = self.cache, self.v, self.n
         units = self.units(" " + text)
-        try:
-            got = [cache[u] for u in units]
-        except KeyError:
-            if len(cache) > _CACHE:
-                cache.clear()
-            got = []
-            for u in units:
-                if (x := cache.get(u)) is None:
-                    x = cache[u] = solved(v, u)
-                got.append(x)
+        if len(cache) > _CACHE:
+            cache.clear()
+        for u in set(units).difference(cache):
+            cache[u] = solved(v, u)
+        got = [cache[u] for u in units]
         ids = np.frombuffer(b"".join([x[0] for x in got]), "<i4")
         score = float(sum([x[1] for x in got]))
         if n < 2:
