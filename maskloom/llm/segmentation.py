@@ -39,7 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units that a worker process remembers.
 _CACHE = 300_000
 _LOW = float("-inf")
-_MARKS = r"[!-/:-@\[-^`{-~]"
+_LETTER, _MARKS = r"[^\W\d_]", r"[!-/:-@\[-^`{-~]"
 SCHEMA = "doc_id long, n_pieces int, ids array<int>, score double, nbest_scores array<double>, nbest array<struct<at:int,remove:int,ids:array<int>,rank:int>>"
 
 
@@ -62,10 +62,10 @@ class Vocabulary:
             self.unit = r"(?s).+"  # some piece spans words: the text is one unit
         elif any("\n" in p and len(p) > 1 for p in self.piece):
             self.unit = r" *[^ ]+| +"
-        elif any(re.search(rf"[^\W\d_]{_MARKS}", p) for p in self.piece):
-            self.unit = r" *[^ \n]+|\n| +"
-        else:  # nor does any go from a letter on to punctuation
-            self.unit = rf" *(?:[^ \n]*?[^\W\d_](?={_MARKS})|[^ \n]+)|\n| +"
+        else:  # nor does any go from most letters on to punctuation
+            spanned = {a for p in self.piece for a, b in zip(p, p[1:], strict=False) if re.fullmatch(_LETTER, a) and re.fullmatch(_MARKS, b)}
+            letter = rf"(?![{''.join(sorted(spanned))}]){_LETTER}" if spanned else _LETTER
+            self.unit = rf" *(?:[^ \n]*?{letter}(?={_MARKS})|[^ \n]+)|\n| +"
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
