@@ -22,12 +22,11 @@ def merge_answers(bases: DataFrame, answers: DataFrame, confirmed: DataFrame | N
 
     A document too large to align keeps its base and says why.
     """
-    agreed = (
-        bases.select("doc_id").join(confirmed.groupBy("doc_id").agg(F.collect_set(F.col("block").cast("int")).alias("agreed")), "doc_id", "left")
-        if confirmed is not None
-        else bases.select("doc_id", F.lit(None).cast("array<int>").alias("agreed"))
-    )
-    left = bases.select("doc_id", "text").join(agreed, "doc_id")
+    if confirmed is None:
+        left = bases.select("doc_id", "text", F.lit(None).cast("array<int>").alias("agreed"))
+    else:
+        agreed = confirmed.groupBy("doc_id").agg(F.collect_set(F.col("block").cast("int")).alias("agreed"))
+        left = bases.select("doc_id", "text").join(agreed, "doc_id", "left")
 
     def merge(key: tuple, b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         base = _one(b)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maskloom.plans import masking
+from maskloom.plans import masking, structure
 
-QUERIES: dict = {**masking.QUERIES}
-ORACLES: dict[str, str] = {**masking.ORACLES}
+QUERIES: dict = {**masking.QUERIES, **structure.QUERIES}
+ORACLES: dict[str, str] = {**masking.ORACLES, **structure.ORACLES}
