@@ -88,6 +88,7 @@ _TITLE = f"{_UP}{_LOW}+"
 _CASES = "(?:а|у|ым|ом|е|ой|ою|ого|ому|их|ыми?|им)?"
 _SURNAME = f"{_UP}{_LOW}*(?:[оеё]в|[иы]н|ск|цк)(?:{_CASES}|ий|ая|ую)(?:-{_TITLE})?|{_UP}{_LOW}+(?:енко|швили|дзе|ян|ук|юк)"
 _SURNAME = f"(?:{_SURNAME})"
+SURNAME = re.compile(_SURNAME)
 _PATRONYMIC = f"{_UP}{_LOW}+(?:[ое]вич(?:а|у|ем|е)?|ич(?:а|у|ем|е)?|(?:[ое]в|ич|инич)н(?:а|ы|е|у|ой))"
 _INITIALS = rf"{_UP}\.\s?{_UP}\."
 _DATE = r"[0-3]?\d\.[01]?\d\.(?:19|20)\d\d"

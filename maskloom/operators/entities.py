@@ -25,10 +25,14 @@ _PLACE = re.compile(rf"(?:\bг\.\s?|\bгород(?:а|е|у)?\s+|\bсел[оае
 def recognised(text: str) -> list[tuple[int, int, str]]:
     """A small deterministic recogniser by endings and triggers."""
     people = []
-    for m in _PERSON.finditer(text):
-        own = [w for w in W.WORD.finditer(text, *m.span()) if not W.is_role(w.group())]  # roles stay readable
-        if own:
-            people.append((own[0].start(), m.end(), "PER"))
+    at = 0
+    while m := _PERSON.search(text, at):
+        first = W.WORD.match(text, m.start())
+        if first and W.is_role(first.group()) and not R.SURNAME.fullmatch(first.group()):
+            at = first.end()  # a role before a name stays readable
+            continue
+        people.append((*m.span(), "PER"))
+        at = m.end()
     return people + [(*m.span(1), "LOC") for m in _PLACE.finditer(text)]
 
 
