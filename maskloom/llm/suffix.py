@@ -350,7 +350,8 @@ def _united(df: DataFrame, docs: DataFrame, n: int, variants: bool) -> DataFrame
 
 
 def dealt(df: DataFrame, n: int) -> DataFrame:
-    return df.repartition(n, "part")
+    """Blobs to the task that their part names: a hash of it would leave a third of the tasks empty."""
+    return df.repartitionById(n, F.col("part"))
 
 
 def _opened(blob: bytes) -> tuple[int, int, bool, bytes]:
@@ -511,8 +512,8 @@ def repeats_removed(docs: DataFrame, width: int = 100) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # only where doc_ids repeat do documents need the hash of their text to be told apart
     variants = not texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    hashed = dealt(texts.mapInArrow(_hashed(width, 4 * n, variants), BLOBS), n).sortWithinPartitions("part")
-    summed = checkpointed(hashed.mapInArrow(_summed(width, 4 * n), BLOBS))
-    needed = _united(summed.where("kind = 1"), texts, 4 * n, variants).mapInArrow(_texts(width, 4 * n), BLOBS)
-    marked = dealt(needed, n).sortWithinPartitions("part").mapInArrow(_sorted(width, 4 * n), BLOBS)
-    return _united(summed.where("kind = 0").unionByName(marked), texts, 4 * n, variants).mapInArrow(_removed, _RESULT)
+    hashed = dealt(texts.mapInArrow(_hashed(width, n, variants), BLOBS), n).sortWithinPartitions("part")
+    summed = checkpointed(hashed.mapInArrow(_summed(width, n), BLOBS))
+    needed = _united(summed.where("kind = 1"), texts, n, variants).mapInArrow(_texts(width, n), BLOBS)
+    marked = dealt(needed, n).sortWithinPartitions("part").mapInArrow(_sorted(width, n), BLOBS)
+    return _united(summed.where("kind = 0").unionByName(marked), texts, n, variants).mapInArrow(_removed, _RESULT)
