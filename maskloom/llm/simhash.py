@@ -183,10 +183,194 @@ def simhash_components(docs: DataFrame, width: int = 4, bits: int = 4, n_pivots:
     )
 
 
-def near_duplicates_removed(docs: DataFrame, width: int = 5, bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; rows without doc_id stay.
+# --- near duplicates by similarity -------------------------------------------------------------
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of a text's shingles, lower-cased as for fingerprints."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
+    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    n = max(1, len(words) - width + 1)
+    last = min(width, len(words))
+    return np.unique(np.frombuffer(b"".join([digest(joined[starts[k] : starts[k + last] - 1], SEED) for k in range(n)]), ">u8").astype(np.uint64))
+
+
+def wide_fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of a set of shingles in ``words`` words of 64 bits, each from hashes mixed in a way of its own."""
+    ones, salts = np.zeros(64 * words, np.int64), references(words)
+    for at in range(0, len(shingles), 4096):
+        h = shingles[at : at + 4096, None] ^ salts
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(shingles)).view(np.uint64)
+
+
+def _tables(nodes: int, similarity: float, miss: float, words: int) -> np.ndarray:
+    """Bits of each table: enough bits for small buckets, enough tables to miss a pair at ``similarity`` with probability ``miss``."""
+    agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = int(np.clip(np.ceil(np.log2(max(nodes, 1) / 64)), 12, 26))
+    count = int(np.ceil(np.log(miss) / np.log(1 - agree**bits)))
+    rng, drawn = np.random.default_rng(11), []
+    while sum(map(len, drawn)) < count * bits:
+        drawn.append(rng.permutation(64 * words))
+    return np.concatenate(drawn)[: count * bits].reshape(count, bits)
+
+
+def _loose(bits: int, n_pivots: int, limit: int):
+    """Links between sets whose first two words differ in ``bits`` or fewer bits, bucket by bucket, as spanning forests.
+
+    In a bucket of more than ``limit`` all are linked: what they have in common is checked exactly later.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, heads = references(2 * n_pivots).reshape(2, -1), {}
+        for t, starts, whole in sorted_groups(batches, ["bucket"], limit):
+            a, b, rep = (t.column(c).to_numpy() for c in ("f0", "f1", "rep"))
+            if not whole:
+                head = heads.setdefault(int(t.column("bucket")[0].as_py()), int(rep[0]))
+                yield pa.RecordBatch.from_pydict({"u": rep[rep != head], "v": np.full((rep != head).sum(), head)})
+                continue
+            a, b, found = a.view(np.uint64), b.view(np.uint64), []
+            distances = [(np.bitwise_count(a ^ p) + np.bitwise_count(b ^ q)).astype(np.int16) for p, q in pivots.T]
+            for i, j in bucket_pairs(starts, 1 << 20):
+                for d in distances:
+                    near = np.abs(d[i] - d[j]) <= bits
+                    if not near.all():
+                        i, j = i[near], j[near]
+                near = np.bitwise_count(a[i] ^ a[j]) + np.bitwise_count(b[i] ^ b[j]) <= bits
+                found.append((i[near], j[near]))
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
+            used = np.unique(np.concatenate([i, j]))
+            label = smallest_labels(len(used), np.searchsorted(used, i), np.searchsorted(used, j))
+            moved = label != np.arange(len(used))
+            yield pa.RecordBatch.from_pydict({"u": rep[used][moved], "v": rep[used[label]][moved]})
+
+    return run
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float, left: int | None = None, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets with a Jaccard similarity of ``similarity`` or more; with ``left``, of the first ``left`` sets and the others only."""
+    size = np.array([len(s) for s in sets], float)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size.astype(int))
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    keep = count[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, z = np.searchsorted(column, [first, first + columns])
+        held = np.zeros((len(sets), columns), np.float32)
+        held[row[a:z], column[a:z] - first] = 1
+        common += held @ held.T
+    i, j = np.nonzero(np.triu((1 + similarity) * common >= similarity * (size[:, None] + size[None, :]) - 1e-6, 1))
+    if left is not None:
+        cross = (i < left) & (j >= left)
+        i, j = i[cross], j[cross]
+    return i, j
+
+
+def _exact(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups() -> Iterator[list[tuple]]:
+            held: list[tuple] = []
+            for b in batches:
+                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if held and held[-1][:3] != row[:3]:
+                        yield held
+                        held = []
+                    held.append(row)
+            if held:
+                yield held
+
+        for rows in groups():
+            (_, x, y), rows = rows[0][:3], sorted({(r[3] != r[1], r[4], r[5]) for r in rows})
+            sets, rep = [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows])
+            i, j = similar_pairs(sets, similarity, None if x == y else sum(not r[0] for r in rows))
+            label = smallest_labels(len(rows), i, j)
+            moved = label != np.arange(len(rows))
+            yield pa.RecordBatch.from_pydict({"u": rep[moved], "v": rep[label[moved]]})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 1e-3, words: int = 16, n_pivots: int = 8, limit: int = 4096, block: int = 2048) -> DataFrame:
+    """doc_id, component_id: documents whose sets of shingles have a Jaccard similarity of ``similarity`` or more are linked.
+
+    Equal sets are one. Candidates share all bits of one of several tables, drawn from a wide fingerprint;
+    pivot tables and the distance of 128 bits thin them out (at this radius most of the work is the
+    distance's), and what is left falls into loose families. Only texts in families are looked at again:
+    within one, in blocks of ``block`` against each other, similarities are computed exactly. A pair at
+    ``similarity`` precisely is missed with probability ``miss``, a closer one far less often; no pair
+    below it is ever linked.
+    """
+    spark = docs.sparkSession
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, width) for t in text_bytes(b.column(1))]
+            fps = [wide_fingerprint(s, words).tobytes() for s in sets]
+            key = np.array([xxhash.xxh64_intdigest(s.tobytes(), 3) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), pa.array(fps, pa.binary())], ["doc_id", "key", "fp"])
+
+    sketches = checkpointed(texts.mapInArrow(sketch, "doc_id long, key long, fp binary"))
+    nodes = checkpointed(sketches.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")))
+    tables = _tables(nodes.count(), similarity, miss, words)
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.left_shift(np.int64(1), np.arange(tables.shape[1], dtype=np.int64))
+        for big in batches:
+            for at in range(0, big.num_rows, 2048):
+                b = big.slice(at, 2048)
+                raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                bits = np.unpackbits(raw, axis=1)
+                head = raw[:, :16].copy().view(np.int64)
+                for k, own in enumerate(tables):
+                    bucket = (bits[:, own].astype(np.int64) @ weight) + (np.int64(k) << np.int64(32))
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), b.column(0), pa.array(head[:, 0].copy()), pa.array(head[:, 1].copy())], ["bucket", "rep", "f0", "f1"])
+
+    n = partitions(spark)
+    agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    radius = int(np.ceil(128 * (1 - agree) + 5 * np.sqrt(128 * agree * (1 - agree))))
+    # equal sets of different documents have one rep, but documents that repeat a doc_id can be several nodes: links go between keys
+    dealt = nodes.select(F.col("key").alias("rep"), "fp").select("rep", "fp").mapInArrow(buckets, "bucket long, rep long, f0 long, f1 long")
+    loose = checkpointed(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_loose(radius, n_pivots, limit), "u long, v long"))
+    moved = components(loose).toDF("key", "family")
+    families = moved.unionByName(moved.select(F.col("family").alias("key"), "family").distinct())
+    sized = families.groupBy("family").agg(F.count("*").alias("n"))
+    members = checkpointed(nodes.select("key", "rep").join(families, "key").join(sized, "family"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [shingle_set(t, width) for t in text_bytes(b.column(0))]
+            key = np.array([xxhash.xxh64_intdigest(s.tobytes(), 3) for s in made], np.uint64).view(np.int64)
+            own = pa.array(key == b.column(1).to_numpy())
+            out = pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array([s.tobytes() for s in made], pa.binary())], ["key", "family", "n", "shingles"])
+            yield out.filter(own)  # a doc_id may have other texts
+
+    held = texts.join(members, texts["doc_id"] == members["rep"]).select("text", "key", "family", "n").mapInArrow(sets, "key long, family long, n long, shingles binary")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    spread = held.withColumn("b", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    pairs = spread.select("family", F.least("b", "other").alias("x"), F.greatest("b", "other").alias("y"), "b", "key", "shingles")
+    exact = pairs.repartition(n, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_exact(similarity), "u long, v long")
+    joined = components(exact).toDF("key", "into")
+    groups = nodes.select("key", "rep").join(joined, "key", "left").select("key", "rep", F.coalesce("into", "key").alias("into"))
+    first = groups.groupBy("into").agg(F.min("rep").alias("component_id"))
+    by_key = groups.join(first, "into").select("key", "component_id")
+    return sketches.select("doc_id", "key").join(by_key, "key").select("doc_id", "component_id")
+
+
+def near_duplicates_removed(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group of near duplicates; rows without doc_id stay.
 
     Of rows that repeat one doc_id all stay: they are one document. Columns as in ``docs``.
     """
-    keep = simhash_components(docs, width, bits).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    keep = near_duplicates(docs, width, similarity).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
