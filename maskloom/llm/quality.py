@@ -15,8 +15,7 @@ A document is kept if both its quality and its absence of toxicity are at least
 Cases: a null text is an empty one and is scored by its form; a null source or language is the empty
 name; labelled rows without a document, and null labels, aren't used, and of several labels of one
 document the smallest quality and largest toxicity count; without labels of both classes a classifier
-gives the share it saw (0.5 for none), so that nothing is rejected for want of labels. Rows that repeat
-are each scored and counted. Other columns are ignored, and kept by ``good_documents``.
+gives no evidence (0.5), and nothing is rejected for it. Rows that repeat are each scored and counted. Other columns are ignored, and kept by ``good_documents``.
 """
 
 from __future__ import annotations
@@ -54,32 +53,81 @@ def features(text: str | None) -> tuple[set[str], list[float]]:
     ]
 
 
+class Sample:
+    """Labelled texts: words by number, figures of form, and whether quality and toxic are set. Compact, as the driver holds it."""
+
+    def __init__(self, table: pa.Table):
+        lists = table.column("words").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        self.names, word = coded.dictionary, coded.indices.to_numpy()
+        cuts = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
+        hashes = np.array([xxhash.xxh64_intdigest(w, 1) for w in self.names.to_pylist()], np.uint64)
+        kept = one_of_each_family([word[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], hashes)
+        length = np.diff(cuts)[kept] if len(kept) else np.zeros(0, int)
+        self.n = len(kept)
+        self.row = np.repeat(np.arange(self.n), length)
+        self.word = np.concatenate([word[cuts[k] : cuts[k + 1]] for k in kept]) if kept else np.zeros(0, np.int32)
+        self.form = np.array(table.column("form").to_pylist(), float).reshape(-1, N_FORM)[kept]
+        self.label = {c: table.column(c).to_numpy()[kept] > 0 for c in ("quality", "toxic")}
+
+    def telling(self, label: str, least: int, chi2: float, most: int) -> np.ndarray:
+        """Words of ``least`` texts or more whose presence and the label depend on each other (chi-square of
+        the two by two table); the threshold is far beyond what the number of words tried can give by chance."""
+        y, size = self.label[label], len(self.names)
+        df = np.bincount(self.word, minlength=size).astype(float)
+        hit = np.bincount(self.word[y[self.row]], minlength=size).astype(float)
+        n, pos = self.n, int(y.sum())
+        fine = np.flatnonzero((df >= least) & (df < n)) if 0 < pos < n else np.zeros(0, int)
+        score = n * (hit[fine] * n - df[fine] * pos) ** 2 / (df[fine] * (n - df[fine]) * pos * (n - pos))
+        found = sorted((-x, self.names[int(k)].as_py(), int(k)) for k, x in zip(fine, score, strict=True) if x >= chi2)
+        return np.array([k for _, _, k in found[:most]], int)
+
+
+def one_of_each_family(texts: list[np.ndarray], hashes: np.ndarray, bands: int = 12, rows: int = 8, alike: float = 0.7) -> list[int]:
+    """The first of each family of copies, whose words would else pass for independent evidence: texts
+    with a Jaccard similarity of words of ``alike`` or more, found by bands of minimum hashes."""
+    mix = np.random.default_rng(7).integers(1, 1 << 63, (bands * rows, 2), dtype=np.uint64) | np.uint64(1)
+    seen: dict[tuple, list[int]] = {}
+    first = []
+    for k, own in enumerate(texts):
+        h = hashes[own] if len(own) else np.zeros(1, np.uint64)
+        low = ((h[:, None] * mix[:, 0] + mix[:, 1]) >> np.uint64(17)).min(axis=0).reshape(bands, rows)
+        keys = [(b, x.tobytes()) for b, x in enumerate(low)]
+        near = dict.fromkeys(j for x in keys for j in seen.get(x, ()))
+        common = ((j, len(np.intersect1d(own, texts[j], assume_unique=True))) for j in near)
+        if not any(c >= alike * (len(own) + len(texts[j]) - c) for j, c in common):
+            first.append(k)
+            for x in keys:
+                seen.setdefault(x, []).append(k)
+    return first
+
+
 class Logistic:
-    """L2-regularised logistic regression over word presence and figures of form, fitted by Newton steps with a diagonal bound."""
+    """L2-regularised logistic regression over word presence and figures of form, fitted by Adagrad over the whole sample."""
 
-    def __init__(self, rows: list[tuple[list[str], list[float], int]], words: dict[str, int], penalty: float, steps: int):
-        y = np.array([r[2] for r in rows], float)
+    def __init__(self, sample: Sample, label: str, chosen: np.ndarray, penalty: float, steps: int):
+        y = sample.label[label].astype(float)
         self.weights: dict[str, float] = {}
-        share = float(y.mean()) if len(y) else 0.5
-        self.form, self.bias = np.zeros(N_FORM), float(np.log(share / (1 - share))) if 0 < share < 1 else (12.0 if share else -12.0) if len(y) else 0.0
+        share = float(y.mean()) if len(y) else 0.0
+        self.form, self.bias = np.zeros(N_FORM), 0.0
         if not 0 < share < 1:
-            return
-        held = [[words[w] for w in r[0] if w in words] for r in rows]
-        row = np.repeat(np.arange(len(rows)), [len(h) for h in held])
-        col = np.array([c for h in held for c in h], int)
-        form, k = np.array([r[1] for r in rows]), len(words)
+            return  # no evidence
+        self.bias = float(np.log(share / (1 - share)))
+        place = np.full(len(sample.names), -1)
+        place[chosen] = np.arange(len(chosen))
+        used = place[sample.word] >= 0
+        row, col, form, k = sample.row[used], place[sample.word[used]], sample.form, len(chosen)
         w, v, b = np.zeros(k), np.zeros(N_FORM), self.bias
-        df = np.bincount(col, minlength=k)
-        scale_w, scale_v = np.zeros(k), np.zeros(N_FORM)  # Adagrad: rare words move as fast as common ones
+        scale_w, scale_v = np.zeros(k), np.zeros(N_FORM)  # rare words move as fast as common ones
         for _ in range(steps):
-            z = b + form @ v + np.bincount(row, w[col], len(rows))
+            z = b + form @ v + np.bincount(row, w[col], len(y))
             g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
             gw, gv = np.bincount(col, g[row], k) + penalty * w, form.T @ g + penalty * 0.1 * v
             scale_w, scale_v = scale_w + gw * gw, scale_v + gv * gv
-            w = w - 0.5 * gw / np.sqrt(scale_w + 1e-9) * (df > 0)
+            w = w - 0.5 * gw / np.sqrt(scale_w + 1e-9)
             v = v - 1.0 * gv / np.sqrt(scale_v + 1e-9)
             b -= 0.05 * float(g.mean())
-        self.weights = {x: float(w[c]) for x, c in words.items() if abs(w[c]) > 1e-3}
+        self.weights = {sample.names[int(x)].as_py(): float(y) for x, y in zip(chosen, w, strict=True)}
         self.form, self.bias = v, b
 
     def odds(self, words: set[str], form: list[float]) -> float:
@@ -87,8 +135,8 @@ class Logistic:
         return float(np.clip(self.bias + self.form @ form + sum(get(w, 0.0) for w in words), -12, 12))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple]:
-    """(words, form, quality, toxic) of at most ``sample`` labelled documents, one of each family of copies."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> Sample:
+    """At most ``sample`` labelled documents, one of each family of copies."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by ``sample``
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -99,46 +147,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> list[tup
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(w) for w, _ in found], pa.list_(pa.string())), pa.array([f for _, f in found], pa.list_(pa.float64())), b.column(2), b.column(3)], ["doc_id", "words", "form", "quality", "toxic"])
 
     rows = rows.select("doc_id", "text", F.col("quality").cast("int"), F.col("toxic").cast("int"))
-    got = rows.mapInArrow(run, "doc_id long, words array<string>, form array<double>, quality int, toxic int").toArrow().to_pylist()
-    got.sort(key=lambda r: r["doc_id"])
-    return [(r["words"], r["form"], r["quality"], r["toxic"]) for r in (got[k] for k in one_of_each_family([set(r["words"]) for r in got]))]
-
-
-def one_of_each_family(words: list[set], bands: int = 12, rows: int = 8, alike: float = 0.7) -> list[int]:
-    """The first of each family of copies, whose words would else pass for independent evidence: texts
-    with a Jaccard similarity of words of ``alike`` or more, found by bands of minimum hashes."""
-    mix = np.random.default_rng(7).integers(1, 1 << 63, (bands * rows, 2), dtype=np.uint64) | np.uint64(1)
-    seen: dict[tuple, list[int]] = {}
-    first = []
-    for k, own in enumerate(words):
-        h = np.array([xxhash.xxh64_intdigest(w, 1) for w in own] or [0], np.uint64)
-        low = ((h[:, None] * mix[:, 0] + mix[:, 1]) >> np.uint64(17)).min(axis=0).reshape(bands, rows)
-        keys = [(b, x.tobytes()) for b, x in enumerate(low)]
-        if not any(len(own & words[j]) >= alike * len(own | words[j]) for j in dict.fromkeys(j for x in keys for j in seen.get(x, ()))):
-            first.append(k)
-            for x in keys:
-                seen.setdefault(x, []).append(k)
-    return first
-
-
-def telling_words(rows: list[tuple], label: int, least: int, chi2: float, most: int) -> dict[str, int]:
-    """Words of ``least`` texts or more whose presence and the label depend on each other (chi-square of
-    the two by two table); the threshold is far beyond what the number of words tried can give by chance."""
-    df, hit = Counter(w for r in rows for w in r[0]), Counter(w for r in rows if r[label] > 0 for w in r[0])
-    n, pos = len(rows), sum(r[label] > 0 for r in rows)
-    found = []
-    for w, d in df.items():
-        if d >= least and 0 < pos < n and d < n:
-            score = n * (hit[w] * n - d * pos) ** 2 / (d * (n - d) * pos * (n - pos))
-            if score >= chi2:
-                found.append((-score, w))
-    return {w: k for k, (_, w) in enumerate(sorted(found)[:most])}
+    return Sample(rows.mapInArrow(run, "doc_id long, words array<string>, form array<double>, quality int, toxic int").orderBy("doc_id", F.xxhash64("words")).toArrow())
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = 12000, least: int = 5, chi2: float = 40.0, most: int = 1024, penalty: float = 1.0, steps: int = 200) -> tuple[Logistic, Logistic]:
     """Classifiers of quality and of toxicity."""
     rows = labelled_sample(docs, labels, sample)
-    return tuple(Logistic([(r[0], r[1], int(r[c] > 0)) for r in rows], telling_words(rows, c, least, chi2, most), penalty, steps) for c in (2, 3))
+    return tuple(Logistic(rows, c, rows.telling(c, least, chi2, most), penalty, steps) for c in ("quality", "toxic"))
 
 
 def with_evidence(docs: DataFrame, models: tuple[Logistic, Logistic]) -> DataFrame:
@@ -212,6 +227,10 @@ def _scored(rows: DataFrame, evidence: DataFrame) -> DataFrame:
     return rows
 
 
+def _kept(keep: float) -> Column:
+    return (F.col("p_quality") >= keep - 1e-9) & (F.col("p_clean") >= keep - 1e-9)
+
+
 def quality_posteriors(docs: DataFrame, labels: DataFrame, keep: float = 0.5, sample: int = 12000) -> DataFrame:
     """doc_id, host, path, text_quality, text_clean (by the text alone), p_quality, p_clean, keep."""
     models = fitted(docs, labels, sample)
@@ -219,7 +238,7 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, keep: float = 0.5, sa
     evidence = checkpointed(with_evidence(named, models).drop("text"))
     return _scored(evidence, evidence).select(
         "doc_id", "host", "path", _p(F.col("e_quality")).alias("text_quality"), _p(F.col("e_clean")).alias("text_clean"), "p_quality", "p_clean",
-        ((F.col("p_quality") >= keep) & (F.col("p_clean") >= keep)).alias("keep"),
+        _kept(keep).alias("keep"),
     )
 
 
@@ -230,4 +249,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, keep: float = 0.5, sample
     rows = docs.select(*columns, *_names(), F.col("text").cast("string").alias("text"))
     evidence = with_evidence(rows.select("host", "path", "text"), models).drop("text")
     scored = _scored(with_evidence(rows, models), checkpointed(evidence))
-    return scored.where((F.col("p_quality") >= keep) & (F.col("p_clean") >= keep)).select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(docs.columns)))
+    return scored.where(_kept(keep)).select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(docs.columns)))
