@@ -52,20 +52,27 @@ class Vocabulary:
     text: list[bytes]
     unknown: float
     longest: int = field(init=False)
-    prefix: dict = field(init=False)  # pieces, and False for what some piece begins with
+    part: str | None = field(init=False)
+    trie: tuple = field(init=False)  # (next nodes by character, the piece that ends here)
     unit: str = field(init=False)
 
     def __post_init__(self):
         self.longest = max(map(len, self.piece), default=1)
-        self.prefix = {p[:k]: False for p in self.piece for k in range(1, len(p))} | self.piece
+        self.trie = ({}, None)
+        for p, own in self.piece.items():
+            node = self.trie
+            for ch in p[:-1]:
+                node = node[0].setdefault(ch, ({}, None))
+            node[0][p[-1]] = (node[0].get(p[-1], ({}, None))[0], own)
+        self.part = None
         if any(p[: len(p.rstrip(" "))].lstrip(" ").count(" ") or p != p.rstrip(" ") and p.strip(" ") for p in self.piece):
             self.unit = r"(?s).+"  # some piece spans words: the text is one unit
-        elif any("\n" in p and len(p) > 1 for p in self.piece):
-            self.unit = r" *[^ ]+| +"
-        else:  # nor does any go from most letters on to punctuation
-            spanned = {a for p in self.piece for a, b in zip(p, p[1:], strict=False) if re.fullmatch(_LETTER, a) and re.fullmatch(_MARKS, b)}
-            letter = rf"(?![{''.join(sorted(spanned))}]){_LETTER}" if spanned else _LETTER
-            self.unit = rf" *(?:[^ \n]*?{letter}(?={_MARKS})|[^ \n]+)|\n| +"
+            return
+        self.unit = r" *[^ ]+| +" if any("\n" in p and len(p) > 1 for p in self.piece) else r" *[^ \n]+|\n| +"
+        # nor does any piece go from most letters on to punctuation
+        spanned = {a for p in self.piece for a, b in zip(p, p[1:], strict=False) if re.fullmatch(_LETTER, a) and re.fullmatch(_MARKS, b)}
+        letter = rf"(?![{''.join(sorted(map(re.escape, spanned)))}]){_LETTER}" if spanned else _LETTER
+        self.part = rf"(?s).*?{letter}(?={_MARKS})|.+"
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -108,7 +115,10 @@ def lattice(v: Vocabulary, unit: str) -> tuple[list[list[tuple[int, float, int]]
 
 
 def n_best(ends: list[list[tuple[int, float, int]]], best: list[float], n: int) -> list[tuple[float, list[tuple[int, int]]]]:
-    """The n best paths as (score, [(start, id)...]), best first: A* from the end, the forward scores its heuristic."""
+    """The n best paths as (score, [(start, id)...]), best first: A* from the end, the forward scores its heuristic.
+
+    Among equals the newest goes on, so that ties are followed to the start one by one and not all at once.
+    """
     made, out = 0, []
     agenda: list[tuple] = [(-best[-1], 0, len(best) - 1, 0.0, None)]
     while agenda and len(out) < n:
@@ -122,7 +132,7 @@ def n_best(ends: list[list[tuple[int, float, int]]], best: list[float], n: int)
             continue
         for start, score, piece in ends[at]:
             made += 1
-            heapq.heappush(agenda, (-(laid + score + best[start]), made, start, laid + score, ((start, piece), behind)))
+            heapq.heappush(agenda, (-(laid + score + best[start]), -made, start, laid + score, ((start, piece), behind)))
     return out
 
 
@@ -139,23 +149,24 @@ def solved(v: Vocabulary, unit: str) -> tuple[bytes, float, float]:
     A second path leaves the best one; the best path over any edge off the best path has that edge's
     score with the forward score before it and the backward score behind it.
     """
-    n, get = len(unit), v.prefix.get
+    n, root = len(unit), v.trie[0]
     best, back = [_LOW] * (n + 1), [(0, 0)] * (n + 1)
     best[0] = 0.0
     edges = []
     for i in range(n):
-        at, single = best[i], False
-        for j in range(i + 1, n + 1):
-            p = get(unit[i:j])
-            if p is None:
+        at, single, nodes = best[i], False, root
+        for j in range(i, n):
+            node = nodes.get(unit[j])
+            if node is None:
                 break  # no piece begins like this
+            nodes, p = node
             if p:
-                if j == i + 1:
+                if j == i:
                     single = True
                 score = p[0]
-                edges.append((i, j, score))
-                if at + score > best[j]:
-                    best[j], back[j] = at + score, (i, p[1])
+                edges.append((i, j + 1, score))
+                if at + score > best[j + 1]:
+                    best[j + 1], back[j + 1] = at + score, (i, p[1])
         if not single:
             edges.append((i, i + 1, v.unknown))
             if at + v.unknown > best[i + 1]:
@@ -183,6 +194,7 @@ def pack_ids(ids: list[int]) -> bytes:
 class Segmenter:
     def __init__(self, v: Vocabulary, n: int):
         self.v, self.n, self.units = v, n, re.compile(v.unit).findall
+        self.parts = re.compile(v.part).findall if v.part else lambda unit: [unit]
         # what is solved does not depend on the task, so the tasks of one worker process share it
         shared = vars(sys).setdefault("_maskloom_units", {})
         self.cache = shared.setdefault((len(v.piece), v.unknown), {})
@@ -196,7 +208,7 @@ class Segmenter:
         if len(cache) > _CACHE:
             cache.clear()
         for u in set(units).difference(cache):
-            cache[u] = solved(v, u)
+            cache[u] = self._solved(u)
         got = [cache[u] for u in units]
         ids = np.frombuffer(b"".join([x[0] for x in got]), "<i4")
         score = float(sum([x[1] for x in got]))
@@ -221,6 +233,18 @@ class Segmenter:
                     edits.append((int(before[k]), int(before[k + 1] - before[k]), _ids(v, units[k], found[r][1]), rank))
         return ids, score, [score - c for c, _ in combos], edits
 
+    def _solved(self, unit: str) -> tuple[bytes, float, float]:
+        """What ``solved`` gives, put together where the unit falls into parts."""
+        parts = self.parts(unit)
+        if len(parts) == 1:
+            return solved(self.v, unit)
+        got = []
+        for p in parts:
+            if (x := self.cache.get(p)) is None:
+                x = self.cache[p] = solved(self.v, p)
+            got.append(x)
+        return b"".join([x[0] for x in got]), sum([x[1] for x in got]), min([x[2] for x in got])
+
     def _least(self, costs: np.ndarray) -> np.ndarray:
         """The first n - 1 of the stable order, without sorting all."""
         limit = np.partition(costs, self.n - 2)[self.n - 2]

@@ -19,6 +19,7 @@ one length the first in the item goes first, then the first in the document; nul
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -88,27 +89,23 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int, first: int = 20) -> list
         if longest > 2 * length:
             length = longest
             continue
-        again = False
-        for n, p, d in sorted(found):
-            if not (in_item[p : p - n].any() or in_doc[d : d - n].any()):
+        heapq.heapify(found)  # longest first
+        while found:
+            n, p, d = heapq.heappop(found)
+            free = ~(in_item[p : p - n] | in_doc[d : d - n])
+            if free.all():
                 in_item[p : p - n] = in_doc[d : d - n] = True
                 tiles.append((p, d, -n))
-            else:
-                again = True  # what is left of it may still be long enough
-        if again and longest:
-            length = max(least, min(length, longest))
-            if any(not (in_item[p : p + length].all() or in_doc[d : d + length].all()) for _, p, d in found) and _left(item, doc, in_item, in_doc, length):
                 continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
+            for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if z - a >= length:  # what longer tiles leave of it
+                    heapq.heappush(found, (a - z, p + a, d + a))
         if length == least:
             return tiles
         length = max(least, length // 2)
 
 
-def _left(item: np.ndarray, doc: np.ndarray, in_item: np.ndarray, in_doc: np.ndarray, length: int) -> bool:
-    a, b = window_hashes(item, length)[_unmarked(in_item, length)], window_hashes(doc, length)[_unmarked(in_doc, length)]
-    return bool(np.isin(b, a).any())
-
-
 class Items:
     """Test items, their vocabulary and their seeds."""
 
