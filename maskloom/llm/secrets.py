@@ -158,14 +158,15 @@ def secrets_masked(docs: DataFrame, copied: int = 3, mask: str = "[SECRET]") ->
     rows = _found(docs)
     hide = _classified(rows, copied).where("not example and (s.kind < 3 or owners = 1)").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("s.start", "s.end"))).alias("hide"))
     owner, lang, spans = _candidates(docs)
-    base, bare = _base_and_bare(F.col("_found"))
-    named = docs.withColumns({"_owner": owner, "_lang": lang}).withColumn("_found", spans).withColumns({"_base": base, "_bare": bare})
-    any_ = (F.size("_base") > 0) | (F.size("_bare") > 0)
-    key = F.xxhash64(F.col("doc_id").cast("long"), "_owner", "_lang", F.to_json("_base"), F.to_json("_bare"))
-    new = _without(F.col("text"), F.col("hide"), mask)
-    changed = named.where(any_).withColumn("key", key).join(hide, "key", "left")
-    out = [F.when(F.col("hide").isNull(), F.col(c)).otherwise({"text": new, "n_chars": F.length(new).cast("long")}[c]).alias(c) if c in ("text", "n_chars") else F.col(c) for c in docs.columns]
-    return named.where(~any_).select(*docs.columns).unionByName(changed.select(*out))
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), lang.alias("lang"), spans.alias("found"))
+    base, bare = _base_and_bare(F.col("found"))
+    named = named.select("row", "doc_id", "owner", "lang", base.alias("base"), bare.alias("bare"))
+    any_ = (F.size("base") > 0) | (F.size("bare") > 0)
+    new = _without(F.col("row.text"), F.col("hide"), mask)
+    changed = named.where(any_).withColumn("key", _key()).join(hide, "key", "left")
+    put = {"text": new, "n_chars": F.length(new).cast("long")}
+    out = [F.when(F.col("hide").isNull(), F.col("row")[c]).otherwise(put[c]).alias(c) if c in put else F.col("row")[c].alias(c) for c in docs.columns]
+    return named.where(~any_).select("row.*").unionByName(changed.select(*out))
 
 
 #: The same in DuckDB: a match starts behind all gaps and matches before it.

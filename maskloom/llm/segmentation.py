@@ -198,6 +198,7 @@ class Segmenter:
         # what is solved does not depend on the task, so the tasks of one worker process share it
         shared = vars(sys).setdefault("_maskloom_units", {})
         self.cache = shared.setdefault((len(v.piece), v.unknown), {})
+        self.others = shared.setdefault((len(v.piece), v.unknown, n), {})
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, float, list[float], list[tuple[int, int, list[int], int]]]:
         """Best ids, score, the n best scores, and how the others differ: (at, remove, ids, rank), ranks from 1."""
@@ -220,9 +221,7 @@ class Segmenter:
         combos: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         paths = []
         for k in chosen:
-            found = n_best(*lattice(v, units[k]), n)
-            same = [r for r, (_, p) in enumerate(found) if pack_ids(_ids(v, units[k], p)) == got[k][0]]
-            found.insert(0, found.pop(same[0] if same else -1))  # among equals the one that Viterbi took
+            found = self._alternatives(units[k], got[k][0])
             paths.append(found)
             combos = heapq.nsmallest(n, ((c + (found[0][0] - s), key + (r,)) for c, key in combos for r, (s, _) in enumerate(found)))
         edits = []
@@ -230,9 +229,20 @@ class Segmenter:
         for rank, (_, key) in enumerate(combos):
             for k, found, r in zip(chosen, paths, key, strict=True):
                 if r:
-                    edits.append((int(before[k]), int(before[k + 1] - before[k]), _ids(v, units[k], found[r][1]), rank))
+                    edits.append((int(before[k]), int(before[k + 1] - before[k]), found[r][1], rank))
         return ids, score, [score - c for c, _ in combos], edits
 
+    def _alternatives(self, unit: str, first: bytes) -> list[tuple[float, list[int]]]:
+        """The n best (score, ids) of a unit, beginning with the one that Viterbi took."""
+        if (found := self.others.get(unit)) is None:
+            if len(self.others) > _CACHE // 8:
+                self.others.clear()
+            found = [(s, _ids(self.v, unit, p)) for s, p in n_best(*lattice(self.v, unit), self.n)]
+            same = [r for r, (_, ids) in enumerate(found) if pack_ids(ids) == first]
+            found.insert(0, found.pop(same[0] if same else -1))
+            self.others[unit] = found
+        return found
+
     def _solved(self, unit: str) -> tuple[bytes, float, float]:
         """What ``solved`` gives, put together where the unit falls into parts."""
         parts = self.parts(unit)
