@@ -24,9 +24,16 @@ def label_table(numbered_spans: DataFrame) -> DataFrame:
 
 
 def anonymized(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Masked segments and their label table, for documents of many segments."""
-    spans = numbered(S.with_values(S.united(S.detected(segments)), segments))
-    return S.spliced(segments, spans.withColumn("put", F.col("label"))), label_table(spans)
+    """Masked segments and their label table, for documents of many segments.
+
+    Spans are found and united within each row; numbering shuffles the spans, and only segments that hold
+    spans are joined with their labels. All others pass as they are.
+    """
+    found = S.with_spans(segments.select("doc_id", "seg_no", F.coalesce("text", F.lit("")).alias("text")))
+    spans = numbered(S.exploded(found))
+    touched, plain = found.where(F.size("spans") > 0), found.where(F.size("spans") == 0)
+    masked = S.spliced(touched.select("doc_id", "seg_no", "text"), spans.withColumn("put", F.col("label")))
+    return plain.select("doc_id", "seg_no", "text").unionByName(masked), label_table(spans)
 
 
 def anonymized_rows(docs: DataFrame) -> DataFrame:

@@ -42,6 +42,18 @@ def united(spans: DataFrame) -> DataFrame:
     return islands.groupBy("doc_id", "seg_no", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), best.alias("category")).drop("island")
 
 
+def with_spans(segments: DataFrame) -> DataFrame:
+    """doc_id, seg_no, text and ``spans``: merged spans with values, made within the row. No shuffle."""
+    text = F.col("text")
+    rows = segments.where("text is not null").select("doc_id", "seg_no", "text")
+    return rows.select("doc_id", "seg_no", "text", F.explode(F.array(N.merged(N.neutral_spans(text), text))).alias("spans"))  # Generate: the matches are made once
+
+
+def exploded(found: DataFrame) -> DataFrame:
+    """A row for each of the spans: doc_id, seg_no, start, stop, category, value. Texts stay behind."""
+    return found.where(F.size("spans") > 0).select("doc_id", "seg_no", F.explode("spans").alias("s")).select("doc_id", "seg_no", "s.start", "s.stop", "s.category", "s.value")
+
+
 def with_values(spans: DataFrame, segments: DataFrame) -> DataFrame:
     return spans.join(segments, ["doc_id", "seg_no"]).withColumn("value", F.substring(F.col("text"), F.col("start") + 1, F.col("stop") - F.col("start"))).drop("text")
 

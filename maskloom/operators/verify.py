@@ -38,7 +38,7 @@ def residual_labels(texts: DataFrame) -> DataFrame:
 def invented_values(changed: DataFrame, labels: DataFrame) -> DataFrame:
     """Sensitive-looking values in changed texts that are neither inside labels nor related to a known value."""
     segments = S.as_segments(changed)
-    found = S.with_values(S.united(S.detected(segments)), segments)
+    found = S.exploded(S.with_spans(segments))
     inside = segments.select("doc_id", F.explode(N.match_spans(F.col("text"), r"\[[^\[\]]*\]")).alias("b")).select("doc_id", F.col("b.start").alias("from"), F.col("b.stop").alias("to"))
     outside = found.join(inside, (found["doc_id"] == inside["doc_id"]) & (inside["from"] <= found["start"]) & (found["stop"] <= inside["to"]), "left_anti")
     known = labels.select(F.col("doc_id").alias("of"), F.col("value").alias("known"))
@@ -56,7 +56,7 @@ def residual_values(outputs: DataFrame, labels: DataFrame, least: int = 3) -> Da
 def detector_residuals(outputs: DataFrame, least: int = 3) -> DataFrame:
     """What detection still finds in an output, labels left aside: detection is not idempotent over labels."""
     segments = S.as_segments(outputs).withColumn("text", F.regexp_replace("text", ANY_LABEL, "\u0001"))
-    return S.with_values(S.united(S.detected(segments)), segments).where(F.length("value") >= least).select("doc_id", "category", "value")
+    return S.exploded(S.with_spans(segments)).where(F.length("value") >= least).select("doc_id", "category", "value")
 
 
 def refuse_leaks(leaks: DataFrame) -> None:

@@ -58,13 +58,26 @@ a as (select d.doc_id, coalesce(t.masked, d.text, '') as masked, coalesce(t.n_sp
 
 def span_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = S.as_segments(read(spark, sf_dir, "documents"))
-    spans = S.with_values(S.united(S.detected(segments)), segments)
+    spans = S.exploded(S.with_spans(segments))
     return spans.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "category", "value")
 
 
+def span_union_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by windows, for spans that come from several sources as rows."""
+    spans = S.united(S.detected(S.as_segments(read(spark, sf_dir, "documents"))))
+    return spans.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "category")
+
+
+def anonymize_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked turns of conversations, numbered through each conversation; every tenth turn gets an address to mask."""
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seg_no"), F.concat(F.coalesce("text", F.lit("")), F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit(" user"), (F.col("turn") % 3).cast("string"), F.lit("@example.com"))).otherwise("")).alias("text"))
+    masked, _ = L.anonymized(turns)
+    return masked.select(F.col("doc_id").alias("conv_id"), F.col("seg_no").alias("turn"), F.col("text").alias("masked"))
+
+
 def label_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = S.as_segments(read(spark, sf_dir, "documents"))
-    spans = L.numbered(S.with_values(S.united(S.detected(segments)), segments))
+    spans = L.numbered(S.exploded(S.with_spans(segments)))
     return L.label_table(spans).select("doc_id", "category", F.col("n").cast("long").alias("n"), "label", "value")
 
 
@@ -140,6 +153,8 @@ QUERIES = {
     "detect_digit_ids_pages": _spans("pages", "page_id", "html", N.DIGITS, lambda s: N.stands_alone(s) & F.length(s["value"]).isin(*N.DIGIT_IDS)),
     "detect_decimal_money": _spans("documents", "doc_id", "text", N.DECIMAL, lambda s: ~s["before"].rlike("[0-9.,]") & ~s["after"].rlike("[0-9.,]") & s["value"].rlike("[1-9]")),
     "span_union": span_union,
+    "span_union_windows": span_union_windows,
+    "anonymize_turns": anonymize_turns,
     "label_numbering": label_numbering,
     "label_numbering_conversation": conversation_words,
     "anonymize_documents": anonymize_documents,
@@ -165,6 +180,11 @@ ORACLES = {
     "detect_digit_ids_pages": _plain("pages", "page_id", "html", N.DIGITS, f"{_ALONE} and {_LENGTHS}"),
     "detect_decimal_money": _plain("documents", "doc_id", "text", N.DECIMAL, "not regexp_matches(before, '[0-9.,]') and not regexp_matches(after, '[0-9.,]') and regexp_matches(value, '[1-9]')"),
     "span_union": f'with {_UNITED} select doc_id, "start", "stop", category, value from v',
+    "span_union_windows": f'with {_UNITED} select doc_id, "start", "stop", category from u',
+    "anonymize_turns": """with t as (select conv_id, turn, coalesce(text, '') as text, conv_id % 3 = 0 as has, 'user' || (turn % 3) || '@example.com' as mail from conversations),
+f as (select conv_id, mail, min(turn) as first_turn from t where has group by all),
+n as (select conv_id, mail, row_number() over (partition by conv_id order by first_turn) as n from f)
+select t.conv_id, t.turn, case when has then text || ' [EMAIL_' || n || ']' else text end as masked from t left join n on t.conv_id = n.conv_id and t.mail = n.mail""",
     "label_numbering": f"with {_UNITED} select distinct doc_id, category, n, '[' || category || '_' || n || ']' as label, value from n",
     "label_numbering_conversation": f"""with s as ({matches_sql('conversations', 'conv_id', 'text', '[A-Z][a-z]{3,}', ', turn')}),
 f as (select conv_id, value, min(struct_pack(turn := turn, at := "start")) as first_at from s group by all),

@@ -210,7 +210,7 @@ def hallucination_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of the next document's text that a document's own label table does not know."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     segments = S.as_segments(docs)
-    known = S.with_values(S.united(S.detected(segments)), segments).select("doc_id", "value")
+    known = S.exploded(S.with_spans(segments)).select("doc_id", "value")
     return verify.invented_values(docs.where("doc_id % 5 = 1").select((F.col("doc_id") - 1).alias("doc_id"), "text"), known).distinct()
 
 
