@@ -166,7 +166,6 @@ def mask(segments: Sequence[str], entities: Sequence[Iterable[Entity] | None], o
     return Masked(out, numbers.rows(), spans)
 
 
-_LABEL_PARTS = re.compile(r"[ _-]?")
 
 
 def tolerant(categories: Iterable[str]) -> re.Pattern:

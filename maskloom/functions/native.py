@@ -20,7 +20,6 @@ PHONE = r"\([0-9]{3,5}\)[ -]?[0-9]{1,3}[ -]?[0-9]{2}[ -]?[0-9]{2}"
 DIGITS = r"[0-9]+"
 DECIMAL = r"[0-9]+[.,][0-9]{2}"
 LATIN = r"[A-Z][A-Za-z0-9&-]*( [A-Z][A-Za-z0-9&-]*)*"
-LABEL = r"\[[A-Z]+_[0-9]+\]"
 
 #: Runs of digits that stand alone, by length.
 DIGIT_IDS = {6: C.INDEX, 10: C.INN_COMPANY, 11: C.DOC_NO, 12: C.INN_PERSON, 13: C.OGRN, 14: C.DOC_NO, 15: C.OGRN, 20: C.ACCOUNT}
