@@ -245,7 +245,6 @@ BLOBS = "kind int, part int, blob binary"
 _STRETCH = "u8 u8 i8 u4 i8 i4 u1"  # smallest hash, text hash, doc, variant, start, strings, inner
 _MARK = "i8 u4 i8 i8"  # doc, variant, from, to
 _NEED = "i8 u4 i8 i4 u8 u1"  # doc, variant, start, strings, smallest hash, hot
-_DOC = "i8 u4"
 
 
 def _home(doc: np.ndarray, n: int) -> np.ndarray:
