@@ -233,7 +233,8 @@ def _loose(bits: int, n_pivots: int, limit: int):
             a, b, rep = (t.column(c).to_numpy() for c in ("f0", "f1", "rep"))
             if not whole:
                 head = heads.setdefault(int(t.column("bucket")[0].as_py()), int(rep[0]))
-                yield pa.RecordBatch.from_pydict({"u": rep[rep != head], "v": np.full((rep != head).sum(), head)})
+                own = rep != head
+                yield pa.RecordBatch.from_pydict({"u": rep[own], "v": np.full(own.sum(), head), "table": t.column("bucket").to_numpy()[own] >> 32})
                 continue
             a, b, found = a.view(np.uint64), b.view(np.uint64), []
             distances = [(np.bitwise_count(a ^ p) + np.bitwise_count(b ^ q)).astype(np.int16) for p, q in pivots.T]
@@ -248,11 +249,21 @@ def _loose(bits: int, n_pivots: int, limit: int):
             used = np.unique(np.concatenate([i, j]))
             label = smallest_labels(len(used), np.searchsorted(used, i), np.searchsorted(used, j))
             moved = label != np.arange(len(used))
-            yield pa.RecordBatch.from_pydict({"u": rep[used][moved], "v": rep[used[label]][moved]})
+            yield pa.RecordBatch.from_pydict({"u": rep[used][moved], "v": rep[used[label]][moved], "table": t.column("bucket").to_numpy()[used][moved] >> 32})
 
     return run
 
 
+def _families(loose: DataFrame, first: int = 6) -> DataFrame:
+    """Components of the links of all tables. Those of the first few tables are found first: links of the
+    other tables mostly fall inside them, so that a large family does not bring its links once for each table."""
+    early = checkpointed(components(loose.where(F.col("table") < first).select("u", "v")))
+    late = loose.where(F.col("table") >= first).select("u", "v").distinct()
+    late = late.join(early.toDF("u", "to_u"), "u", "left").select(F.coalesce("to_u", "u").alias("u"), "v")
+    late = late.join(early.toDF("v", "to_v"), "v", "left").select("u", F.coalesce("to_v", "v").alias("v"))
+    return components(late.where("u <> v").distinct().unionByName(early))
+
+
 def similar_pairs(sets: list[np.ndarray], similarity: float, left: int | None = None, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of sets with a Jaccard similarity of ``similarity`` or more; with ``left``, of the first ``left`` sets and the others only."""
     size = np.array([len(s) for s in sets], float)
@@ -341,8 +352,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, mi
     radius = int(np.ceil(128 * (1 - agree) + 5 * np.sqrt(128 * agree * (1 - agree))))
     # equal sets of different documents have one rep, but documents that repeat a doc_id can be several nodes: links go between keys
     dealt = nodes.select(F.col("key").alias("rep"), "fp").select("rep", "fp").mapInArrow(buckets, "bucket long, rep long, f0 long, f1 long")
-    loose = checkpointed(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_loose(radius, n_pivots, limit), "u long, v long"))
-    moved = components(loose).toDF("key", "family")
+    # in the order of rep, so that buckets of one family mostly link to the same few
+    loose = checkpointed(dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_loose(radius, n_pivots, limit), "u long, v long, table long"))
+    moved = _families(loose).toDF("key", "family")
     families = moved.unionByName(moved.select(F.col("family").alias("key"), "family").distinct())
     sized = families.groupBy("family").agg(F.count("*").alias("n"))
     members = checkpointed(nodes.select("key", "rep").join(families, "key").join(sized, "family"))
