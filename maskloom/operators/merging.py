@@ -43,10 +43,16 @@ def merge_answers(bases: DataFrame, answers: DataFrame, confirmed: DataFrame | N
 
 
 def alignment_ops(bases: DataFrame, answers: DataFrame) -> DataFrame:
-    """The operations that lead from each base to its answer."""
+    """The operations that lead from each base to its answer.
+
+    A document too large to align has one row, its operation ``refused``.
+    """
 
     def ops(key: tuple, b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        found = A.aligned(B.parsed(_one(b)), B.parsed(B.precleaned(_one(a))))
+        try:
+            found = A.aligned(B.parsed(_one(b)), B.parsed(B.precleaned(_one(a))))
+        except A.TooLarge:
+            found = [A.Op("refused", [], [])]
         return pd.DataFrame([{"doc_id": key[0], "op": o.kind, "base": o.base, "answer": o.answer, "after": o.after} for o in found], columns=["doc_id", "op", "base", "answer", "after"])
 
     return bases.select("doc_id", "text").groupBy("doc_id").cogroup(answers.select("doc_id", "text").groupBy("doc_id")).applyInPandas(ops, OPS)

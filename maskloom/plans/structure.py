@@ -191,8 +191,8 @@ def restore_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The masked documents that hold labels, and answers to them: lines joined by blank lines, the last one dropped, a new one put first."""
-    masked = masking.anonymize(read(spark, sf_dir, "documents").where(F.col("text").rlike(N.EMAIL + "|" + N.PHONE)))
+    """All masked documents, and answers to them: lines joined by blank lines, the last one dropped, a new one put first."""
+    masked = masking.anonymize(read(spark, sf_dir, "documents"))
     base = masked.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
     return base, base.select("doc_id", F.concat(F.lit("A new first paragraph.\n\n"), F.regexp_replace("text", r"\n\n[^\n]*$", "")).alias("text"))
 
