@@ -2,11 +2,14 @@
 
 import os
 
+import duckdb
 import pytest
+from pyspark.sql import Row
 
 from maskloom.functions import alignment as A
 from maskloom.operators import merging
-from maskloom.queries import QUERIES
+from maskloom.plans.masking import _UNITED
+from maskloom.queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 data = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
@@ -37,3 +40,29 @@ def test_documents_too_large_have_a_row(spark):
     assert [(r.doc_id, r.op, r.base, r.answer) for r in sorted(rows, key=lambda r: r.doc_id)] == [(1, "refused", [], []), (2, "equal", [0], [0])]
     report = {r.doc_id: r.reason for r in merging.merge_answers(bases, bases).collect()}
     assert report[1] == "too many blocks" and report[2] is None
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{DIR}/documents.parquet')")
+    return con
+
+
+def same(df, cur):
+    columns = [d[0] for d in cur.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(str, df.select(*columns).collect())) == sorted(str(Row(*columns)(*r)) for r in cur.fetchall())
+
+
+@data
+def test_every_text_is_scanned_for_invented_values(spark, duck):
+    got = QUERIES["hallucination_scan"](spark, DIR)
+    same(got, duck.execute(f"""with {_UNITED}, c as (select distinct doc_id - 1 as doc_id, category, value from v)
+select c.* from c where not exists (select 1 from v k where k.doc_id = c.doc_id and (contains(c.value, k.value) or contains(k.value, c.value)))"""))
+    same(got.where("doc_id % 5 = 0"), duck.execute(ORACLES["hallucination_scan"]))
+
+
+def test_invented_values_of_neighbours(spark, tmp_path):
+    folder = documents(spark, tmp_path, [(k, f"mail u{k // 2}@b.ru") for k in range(6)])
+    assert sorted((r.doc_id, r.value) for r in QUERIES["hallucination_scan"](spark, folder).collect()) == [(-1, "u0@b.ru"), (1, "u1@b.ru"), (3, "u2@b.ru")]
