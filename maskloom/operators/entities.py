@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions import rules as R
@@ -18,6 +18,7 @@ from maskloom.functions import words as W
 
 ENTITIES = "array<struct<start:int,stop:int,type:string>>"
 _ARROW = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("type", pa.string())]))
+_LATIN = re.compile("[A-Za-z0-9_]")
 _PERSON = re.compile(rf"\b(?:{R._SURNAME}\s+{R._TITLE}(?:\s+{R._PATRONYMIC})?|{R._TITLE}\s+{R._SURNAME})\b")
 _PLACE = re.compile(rf"(?:\bг\.\s?|\bгород(?:а|е|у)?\s+|\bсел[оае]\s+|\bпос\.\s?)({R._TITLE}(?:-{R._TITLE})?)")
 
@@ -57,15 +58,50 @@ def with_table_entities(segments: DataFrame, spans: DataFrame, status: DataFrame
     return rows.select(*segments.columns, F.when(F.col("seen"), F.coalesce("entities", F.array().cast(ENTITIES))).alias("entities"))
 
 
+def _starts(text: str, term: str) -> list[int]:
+    """Where ``term`` stands in ``text``, from left to right without overlaps."""
+    out, at = [], text.find(term)
+    while at >= 0:
+        out.append(at)
+        at = text.find(term, at + len(term))
+    return out
+
+
+def _stands(text: str, word: str) -> bool:
+    """Whether ``word`` stands in ``text`` with no Latin letter, digit or underscore beside it."""
+    at = text.find(word)
+    while at >= 0:
+        if not _LATIN.match(text[max(at - 1, 0) : at]) and not _LATIN.match(text[at + len(word) : at + len(word) + 1]):
+            return True
+        at = text.find(word, at + 1)
+    return False
+
+
 def terms_spread(segments: DataFrame, seeds: DataFrame) -> DataFrame:
     """Where the terms of a document stand in its segments: seeds (doc_id, term, category).
 
     A term that also stands in lower case somewhere in the document is a common noun and is left out. The
-    join is by document; only occurrences leave it.
+    terms of a document meet each of its segments in one row; only occurrences leave it.
     """
-    low = segments.join(seeds.select("doc_id", "term").distinct(), "doc_id").where(F.expr("text rlike concat('(^|[^A-Za-z0-9_])', lower(substring(term, 1, 1)), substring(term, 2), '($|[^A-Za-z0-9_])')"))
-    names = seeds.join(low.select("doc_id", "term").distinct(), ["doc_id", "term"], "left_anti")
-    found = segments.join(names, "doc_id").where(F.expr("contains(lower(text), lower(term))"))
-    parts = F.expr("split(lower(text), concat('\\\\Q', lower(term), '\\\\E'), -1)")
-    starts = F.expr("transform(sequence(1, size(parts) - 1), k -> aggregate(slice(parts, 1, k), 0, (a, x) -> a + length(x)) + (k - 1) * length(term))")
-    return found.withColumn("parts", parts).select("doc_id", "seg_no", "category", "term", F.explode(starts).alias("start")).withColumn("stop", F.col("start") + F.length("term"))
+    kinds = {c: segments.schema[c].dataType.simpleString() for c in ("doc_id", "seg_no")}
+    noun = F.expr("concat(lower(substring(term, 1, 1)), substring(term, 2))")
+    terms = seeds.where("term <> ''").groupBy("doc_id").agg(F.collect_list(F.struct("term", "category", F.lower("term").alias("low"), noun.alias("noun"))).alias("terms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                b = big.slice(at, 256)
+                out = []
+                for doc, seg, text, low, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    for t in own:
+                        starts, common = _starts(low, t["low"]), _stands(text, t["noun"])
+                        if starts or common:
+                            out.append((doc, seg, t["category"], t["term"], starts, common))
+                columns = zip(*out, strict=True) if out else [[]] * 6
+                types = [b.schema.field(0).type, b.schema.field(1).type, pa.string(), pa.string(), pa.list_(pa.int32()), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], ["doc_id", "seg_no", "category", "term", "starts", "common"])
+
+    rows = segments.where("text is not null").join(terms, "doc_id").select("doc_id", "seg_no", "text", F.lower("text"), "terms")
+    found = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, seg_no {kinds['seg_no']}, category string, term string, starts array<int>, common boolean")
+    names = found.withColumn("common", F.max("common").over(Window.partitionBy("doc_id", "term"))).where("not common")
+    return names.select("doc_id", "seg_no", "category", "term", F.explode("starts").alias("start")).withColumn("stop", F.col("start") + F.length("term"))

@@ -48,10 +48,9 @@ select doc_id, "start"::bigint as "start", value from k where formed or length(v
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A term for each document: its longest capitalised word of six letters or more, the first in order among equals."""
+    """The terms of each document: all its distinct capitalised words of six letters or more."""
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Z][a-z]{5,}"), F.lit(0))
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("term"))
-    return rows.groupBy("doc_id").agg(F.min_by("term", F.struct(-F.length("term"), F.col("term"))).alias("term")).withColumn("category", F.lit("ФИО"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(words)).alias("term"), F.lit("ФИО").alias("category")).distinct()
 
 
 def propagate_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

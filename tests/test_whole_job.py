@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Row
 
 from maskloom.functions import alignment as A
-from maskloom.operators import merging
+from maskloom.operators import entities, merging
 from maskloom.plans.masking import _UNITED
 from maskloom.queries import ORACLES, QUERIES
 
@@ -66,3 +66,20 @@ select c.* from c where not exists (select 1 from v k where k.doc_id = c.doc_id
 def test_invented_values_of_neighbours(spark, tmp_path):
     folder = documents(spark, tmp_path, [(k, f"mail u{k // 2}@b.ru") for k in range(6)])
     assert sorted((r.doc_id, r.value) for r in QUERIES["hallucination_scan"](spark, folder).collect()) == [(-1, "u0@b.ru"), (1, "u1@b.ru"), (3, "u2@b.ru")]
+
+
+@data
+def test_every_term_is_spread(spark, duck):
+    got = QUERIES["propagate_terms"](spark, DIR).cache()
+    whole = ORACLES["propagate_terms"].replace("select doc_id, first(term order by length(term) desc, term) as term from t group by doc_id", "select distinct doc_id, term from t")
+    assert whole != ORACLES["propagate_terms"]
+    same(got, duck.execute(whole))
+    longest = duck.execute("with t as (select doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}', 0)) as term from documents) select doc_id, first(term order by length(term) desc, term) from t group by doc_id").fetchall()
+    same(got.join(spark.createDataFrame(longest, "doc_id long, term string"), ["doc_id", "term"], "left_semi"), duck.execute(ORACLES["propagate_terms"]))
+
+
+def test_terms_of_all_segments(spark):
+    segments = spark.createDataFrame([(1, 0, "Sidorov met Petrova."), (1, 1, "SIDOROVS, Petrova; agency"), (1, 2, "Agency"), (2, 0, None)], "doc_id long, seg_no long, text string")
+    seeds = spark.createDataFrame([(1, t, "ФИО") for t in ("Sidorov", "Petrova", "Agency")] + [(2, "Nobody", "ФИО")], "doc_id long, term string, category string")
+    got = sorted((r.seg_no, r.term, r.start, r.stop) for r in entities.terms_spread(segments, seeds).collect())
+    assert got == [(0, "Petrova", 12, 19), (0, "Sidorov", 0, 7), (1, "Petrova", 10, 17), (1, "Sidorov", 0, 7)]
