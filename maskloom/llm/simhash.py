@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from maskloom.llm.common import checkpointed, components, partitions, smallest_labels, sorted_groups, text_bytes, union_all
 
 SEED = 42
+SHORT = 30  # shingles of a set whose candidates are found exactly
 _CHUNK = 1 << 16
 
 
@@ -210,9 +212,35 @@ def wide_fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(2 * ones > len(shingles)).view(np.uint64)
 
 
-def _tables(nodes: int, similarity: float, miss: float, words: int) -> np.ndarray:
-    """Bits of each table: enough bits for small buckets, enough tables to miss a pair at ``similarity`` with probability ``miss``."""
-    agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+def agreement(common: int, left: int, right: int) -> float:
+    """Probability that a bit is the same in the fingerprints of two sets with so many shingles in common and of their own."""
+    pmf = lambda n: np.array([comb(n, k) / 2**n for k in range(n + 1)])
+    ones = np.arange(common + 1)
+
+    def one(own: int) -> np.ndarray:
+        above = np.append(np.cumsum(pmf(own)[::-1])[::-1], 0)
+        return above[np.clip((common + own) // 2 + 1 - ones, 0, own + 1)]
+
+    a, b = one(left), one(right)
+    return float(pmf(common) @ (a * b + (1 - a) * (1 - b)))
+
+
+def least_agreement(similarity: float, above: int = SHORT) -> float:
+    """The smallest agreement of bits of two sets at ``similarity`` or more, one of them of more than ``above`` shingles.
+
+    Bits of small sets agree less often than the angle says, of large ones at least as often as it.
+    """
+    least = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    for union in range(above + 1, 4 * above + 1):
+        common = int(np.ceil(similarity * union - 1e-9))
+        for left in range((union - common) // 2 + 1):
+            if union - left > above:
+                least = min(least, agreement(common, left, union - common - left))
+    return least
+
+
+def _tables(nodes: int, agree: float, miss: float, words: int) -> np.ndarray:
+    """Bits of each table: enough bits for small buckets, enough tables to miss a pair whose bits agree with ``agree`` with probability ``miss``."""
     bits = int(np.clip(np.ceil(np.log2(max(nodes, 1) / 64)), 12, 26))
     count = int(np.ceil(np.log(miss) / np.log(1 - agree**bits)))
     rng, drawn = np.random.default_rng(11), []
@@ -254,6 +282,74 @@ def _loose(bits: int, n_pivots: int, limit: int):
     return run
 
 
+def _overlaps(sets: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Elements that sets i and j have in common; ``sets`` has a row for each, filled up with the largest number."""
+    both = np.sort(np.concatenate([sets[i], sets[j]], axis=1), axis=1)
+    fill = 2 * sets.shape[1] - size[i] - size[j]
+    return (both[:, 1:] == both[:, :-1]).sum(axis=1) - np.maximum(fill - 1, 0)
+
+
+def _short_links(similarity: float, limit: int):
+    """Links between short sets in a bucket at ``similarity`` or more, as spanning forests; a bucket of more than ``limit`` is linked as in ``_loose``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = {}
+        for t, starts, whole in sorted_groups(batches, ["bucket"], limit):
+            rep = t.column("rep").to_numpy()
+            if not whole:
+                head = heads.setdefault(t.column("bucket")[0].as_py(), int(rep[0]))
+                u, v = rep[rep != head], np.full((rep != head).sum(), head)
+            else:
+                made = [np.frombuffer(x, np.uint64) for x in t.column("small").to_pylist()]
+                size, sets = np.array([len(x) for x in made]), np.full((len(made), SHORT), np.iinfo(np.uint64).max)
+                for k, x in enumerate(made):
+                    sets[k, : len(x)] = x
+                found = [np.zeros((2, 0), int)]
+                for i, j in bucket_pairs(starts, 1 << 15):
+                    near = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
+                    i, j = i[near], j[near]
+                    near = (1 + similarity) * _overlaps(sets, size, i, j) >= similarity * (size[i] + size[j]) - 1e-6
+                    found.append(np.stack([i[near], j[near]]))
+                i, j = np.concatenate(found, axis=1)
+                used = np.unique(np.concatenate([i, j]))
+                label = smallest_labels(len(used), np.searchsorted(used, i), np.searchsorted(used, j))
+                moved = label != np.arange(len(used))
+                u, v = rep[used][moved], rep[used[label]][moved]
+            yield pa.RecordBatch.from_pydict({"u": u, "v": v, "table": np.zeros(len(u), np.int64)})
+
+    return run
+
+
+def short_candidates(nodes: DataFrame, similarity: float, limit: int, most: int = 1 << 16) -> DataFrame:
+    """u, v, table: links between sets of at most ``SHORT`` shingles (columns rep, small), none of them missed.
+
+    In one order of all shingles, two similar sets share one of the first few of each (prefix filter). The
+    ``most`` frequent shingles come last in that order, rarer first, so that buckets stay small.
+    """
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64))], ["shingle"])
+
+    short = nodes.where("small is not null and length(small) > 0").select("rep", "small")
+    counts = short.select("small").mapInArrow(single, "shingle long").groupBy("shingle").count().where("count > 64")
+    last = {r["shingle"]: r["count"] for r in counts.orderBy(F.desc("count"), "shingle").limit(most).collect()}
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bucket, row = [], []
+            for k, small in enumerate(b.column(1).to_pylist()):
+                own = np.frombuffer(small, np.int64).tolist()
+                first = len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1
+                bucket += sorted(own, key=lambda x: (last.get(x, 0), x))[:first]
+                row += [k] * first
+            at = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), b.column(0).take(at), b.column(1).take(at)], ["bucket", "rep", "small"])
+
+    dealt = short.mapInArrow(prefixes, "bucket long, rep long, small binary")
+    return dealt.repartition(partitions(nodes.sparkSession), "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_short_links(similarity, limit), "u long, v long, table long")
+
+
 def _families(loose: DataFrame, first: int = 6) -> DataFrame:
     """Components of the links of all tables. Those of the first few tables are found first: links of the
     other tables mostly fall inside them, so that a large family does not bring its links once for each table."""
@@ -280,7 +376,7 @@ def similar_pairs(sets: list[np.ndarray], similarity: float, left: int | None =
         held = np.zeros((len(sets), columns), np.float32)
         held[row[a:z], column[a:z] - first] = 1
         common += held @ held.T
-    i, j = np.nonzero(np.triu((1 + similarity) * common >= similarity * (size[:, None] + size[None, :]) - 1e-6, 1))
+    i, j = np.nonzero(np.triu((1 + similarity) * common.astype(float) >= similarity * (size[:, None] + size[None, :]) - 1e-6, 1))
     if left is not None:
         cross = (i < left) & (j >= left)
         i, j = i[cross], j[cross]
@@ -314,12 +410,14 @@ def _exact(similarity: float):
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 1e-3, words: int = 16, n_pivots: int = 8, limit: int = 4096, block: int = 2048) -> DataFrame:
     """doc_id, component_id: documents whose sets of shingles have a Jaccard similarity of ``similarity`` or more are linked.
 
-    Equal sets are one. Candidates share all bits of one of several tables, drawn from a wide fingerprint;
+    Equal sets are one. Candidates of sets of at most ``SHORT`` shingles are found exactly, by a prefix filter.
+    All candidates else share all bits of one of several tables, drawn from a wide fingerprint;
     pivot tables and the distance of 128 bits thin them out (at this radius most of the work is the
     distance's), and what is left falls into loose families. Only texts in families are looked at again:
-    within one, in blocks of ``block`` against each other, similarities are computed exactly. A pair at
-    ``similarity`` precisely is missed with probability ``miss``, a closer one far less often; no pair
-    below it is ever linked.
+    within one, in blocks of ``block`` against each other, similarities are computed exactly. No pair of
+    two short sets is missed; another is missed by the tables with a probability of at most ``miss`` (by the
+    exact agreement of bits, not only the angle), a closer one far less often; no pair below ``similarity``
+    is ever linked.
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -329,11 +427,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, mi
             sets = [shingle_set(t, width) for t in text_bytes(b.column(1))]
             fps = [wide_fingerprint(s, words).tobytes() for s in sets]
             key = np.array([xxhash.xxh64_intdigest(s.tobytes(), 3) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), pa.array(fps, pa.binary())], ["doc_id", "key", "fp"])
+            small = pa.array([s.tobytes() if len(s) <= SHORT else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), pa.array(fps, pa.binary()), small], ["doc_id", "key", "fp", "small"])
 
-    sketches = checkpointed(texts.mapInArrow(sketch, "doc_id long, key long, fp binary"))
-    nodes = checkpointed(sketches.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")))
-    tables = _tables(nodes.count(), similarity, miss, words)
+    sketches = checkpointed(texts.mapInArrow(sketch, "doc_id long, key long, fp binary, small binary"))
+    nodes = checkpointed(sketches.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("small").alias("small")))
+    agree = least_agreement(similarity)
+    tables = _tables(nodes.count(), agree, miss, words)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.left_shift(np.int64(1), np.arange(tables.shape[1], dtype=np.int64))
@@ -348,12 +448,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, mi
                     yield pa.RecordBatch.from_arrays([pa.array(bucket), b.column(0), pa.array(head[:, 0].copy()), pa.array(head[:, 1].copy())], ["bucket", "rep", "f0", "f1"])
 
     n = partitions(spark)
-    agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
     radius = int(np.ceil(128 * (1 - agree) + 5 * np.sqrt(128 * agree * (1 - agree))))
     # equal sets of different documents have one rep, but documents that repeat a doc_id can be several nodes: links go between keys
     dealt = nodes.select(F.col("key").alias("rep"), "fp").select("rep", "fp").mapInArrow(buckets, "bucket long, rep long, f0 long, f1 long")
     # in the order of rep, so that buckets of one family mostly link to the same few
-    loose = checkpointed(dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_loose(radius, n_pivots, limit), "u long, v long, table long"))
+    loose = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_loose(radius, n_pivots, limit), "u long, v long, table long")
+    loose = checkpointed(loose.unionByName(short_candidates(nodes.select(F.col("key").alias("rep"), "small"), similarity, limit)))
     moved = _families(loose).toDF("key", "family")
     families = moved.unionByName(moved.select(F.col("family").alias("key"), "family").distinct())
     sized = families.groupBy("family").agg(F.count("*").alias("n"))
