@@ -68,12 +68,15 @@ _NORM = f"""trim(regexp_replace(regexp_replace(translate(line, '{_FROM}', '{_TO}
 
 
 def line_equal_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moved blocks where the answer has the lines in reverse: equal norms at other places, first with first."""
+    """Moved blocks where the answer has the lines in reverse: equal norms at other places, first with first, second with second and so on."""
     lines = _lines(spark, sf_dir).withColumn("norm", B.normal_column(F.col("line"))).where("norm <> ''")
-    base = lines.groupBy("doc_id", "norm").agg(F.min("k").alias("base"), F.max("k").alias("last"), F.count("*").alias("n"))
-    total = lines.groupBy("doc_id").agg(F.max("k").alias("top"))
-    moved = base.join(total, "doc_id").withColumn("answer", F.col("top") - F.col("last"))
-    return moved.where("base <> answer").select("doc_id", F.col("base").cast("long"), F.col("answer").cast("long"), F.sha2("norm", 256).alias("norm_sha256"))
+    hashed = lines.select("doc_id", F.col("k").cast("long").alias("k"), F.sha2("norm", 256).alias("norm_sha256"))
+    # the positions of a document's equal lines; its last line is found in the same shuffle
+    places = hashed.repartition("doc_id").withColumn("top", F.max("k").over(Window.partitionBy("doc_id")))
+    lists = places.groupBy("doc_id", "norm_sha256", "top").agg(F.array_sort(F.collect_list("k")).alias("base"))
+    pairs = F.transform("base", lambda k, i: F.struct(k.alias("base"), (F.col("top") - F.get("base", F.size("base") - 1 - i)).alias("answer")))
+    moved = lists.select("doc_id", "norm_sha256", F.explode(pairs).alias("p"))
+    return moved.select("doc_id", "p.base", "p.answer", "norm_sha256").where("base <> answer")
 
 
 def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:

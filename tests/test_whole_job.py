@@ -9,6 +9,7 @@ from pyspark.sql import Row
 from maskloom.functions import alignment as A
 from maskloom.operators import entities, merging
 from maskloom.plans.masking import _UNITED
+from maskloom.plans.structure import _LINES, _NORM
 from maskloom.queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -83,3 +84,21 @@ def test_terms_of_all_segments(spark):
     seeds = spark.createDataFrame([(1, t, "ФИО") for t in ("Sidorov", "Petrova", "Agency")] + [(2, "Nobody", "ФИО")], "doc_id long, term string, category string")
     got = sorted((r.seg_no, r.term, r.start, r.stop) for r in entities.terms_spread(segments, seeds).collect())
     assert got == [(0, "Petrova", 12, 19), (0, "Sidorov", 0, 7), (1, "Petrova", 10, 17), (1, "Sidorov", 0, 7)]
+
+
+def test_repeated_lines_move_each(spark, tmp_path):
+    folder = documents(spark, tmp_path, [(1, "a\nb\na\na\nc"), (2, "x\nx"), (3, None)])
+    # in reverse: c a a b a, so a stands at 0, 2, 3 and at 1, 2, 4
+    assert sorted((r.doc_id, r.base, r.answer) for r in QUERIES["line_equal_moves"](spark, folder).collect()) == [(1, 0, 1), (1, 1, 3), (1, 3, 4), (1, 4, 0)]
+
+
+@data
+def test_moves_of_all_repeats(spark, duck):
+    numbered = f"""with {_LINES}, n as (select doc_id, k, {_NORM} as norm from l), t as (select doc_id, max(k) as top from n where norm <> '' group by doc_id),
+r as (select doc_id, norm, k as base, top, row_number() over (partition by doc_id, norm order by k) as i, row_number() over (partition by doc_id, norm order by k desc) as j from n join t using (doc_id) where norm <> ''),
+m as (select a.doc_id, a.base, a.top - b.base as answer, sha256(a.norm) as norm_sha256, a.i from r a join r b on a.doc_id = b.doc_id and a.norm = b.norm and a.i = b.j)
+select doc_id, base, answer, norm_sha256 from m where base <> answer"""
+    got = QUERIES["line_equal_moves"](spark, DIR)
+    same(got, duck.execute(numbered))
+    first = duck.execute(numbered + " and i = 1").fetchall()
+    assert sorted(first) == sorted(duck.execute(ORACLES["line_equal_moves"]).fetchall())
