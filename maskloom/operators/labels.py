@@ -50,7 +50,7 @@ def restored(answers: DataFrame, labels: DataFrame, passes: int = 10) -> DataFra
 
     Labels are read tolerantly: any case, and a space, hyphen or nothing for the underscore. Unknown ones
     stay and count once. Values that hold labels themselves are opened in further passes, until nothing
-    changes.
+    changes, at most ``passes`` in all.
     """
     pattern = r"(?iu)\[\s*([\p{L}]+(?:[ _-][\p{L}]+)*)[ _-]?([0-9]+)\s*\]"
     maps = labels.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct(N.label(F.col("category"), F.col("n")), F.col("value")))).alias("known"))
@@ -62,8 +62,9 @@ def restored(answers: DataFrame, labels: DataFrame, passes: int = 10) -> DataFra
     out = out.select("doc_id", "text", "known", F.explode(F.array(found)).alias("found"))
     counts = lambda known: F.size(F.filter("found", lambda s: value(s["value"]).isNotNull() == F.lit(known))).cast("long")
     out = out.select("doc_id", "known", counts(True).alias("restored"), counts(False).alias("unresolved"), F.when(F.size("found") == 0, F.col("text")).otherwise(once(F.col("text"))).alias("text"))
-    # a value may hold a label of the same document: two more projections open it; deeper nests are refused
+    # a value may hold a label of the same document: such rows go on within the row, as a text without known labels stays the same
     nested = F.exists(F.map_values("known"), lambda v: v.rlike(pattern))
-    for _ in range(min(passes, 3) - 1):
-        out = out.withColumn("text", F.when(nested & F.col("text").rlike(pattern), once(F.col("text"))).otherwise(F.col("text")))
+    if passes > 1:
+        again = F.aggregate(F.sequence(F.lit(2), F.lit(passes)), F.col("text"), lambda t, _: F.when(t.rlike(pattern), once(t)).otherwise(t))
+        out = out.withColumn("text", F.when(nested & F.col("text").rlike(pattern), again).otherwise(F.col("text")))
     return out.select("doc_id", "text", "restored", "unresolved")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Row
 
 from maskloom.functions import alignment as A
-from maskloom.operators import entities, merging
+from maskloom.operators import entities, labels, merging
 from maskloom.plans.masking import _UNITED
 from maskloom.plans.structure import _LINES, _NORM
 from maskloom.queries import ORACLES, QUERIES
@@ -102,3 +102,10 @@ select doc_id, base, answer, norm_sha256 from m where base <> answer"""
     same(got, duck.execute(numbered))
     first = duck.execute(numbered + " and i = 1").fetchall()
     assert sorted(first) == sorted(duck.execute(ORACLES["line_equal_moves"]).fetchall())
+
+
+def test_values_nested_deeper_than_three_are_restored(spark):
+    table = spark.createDataFrame([(1, "EMAIL", k, f"<[EMAIL_{k + 1}]>" if k < 7 else "end") for k in range(1, 8)] + [(2, "EMAIL", 1, "x")], "doc_id long, category string, n int, value string")
+    answers = spark.createDataFrame([(1, "[EMAIL_1] [EMAIL_9]"), (2, "[email 1]")], "doc_id long, text string")
+    for passes, text in ((10, "<<<<<<end>>>>>> [EMAIL_9]"), (4, "<<<<[EMAIL_5]>>>> [EMAIL_9]"), (1, "<[EMAIL_2]> [EMAIL_9]")):
+        assert {r.doc_id: r.text for r in labels.restored(answers, table, passes).collect()} == {1: text, 2: "x"}
