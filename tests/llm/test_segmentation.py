@@ -43,6 +43,27 @@ def test_n_best_equals_all_paths(vocabulary, n):
         assert all(G.decoded(vocabulary, f) == text for f in found)
 
 
+def test_units_together_equal_units_alone(vocabulary):
+    rng = random.Random(9)
+    units = {"".join(rng.choice("abehrt 1é😀x=") for _ in range(rng.randint(1, 40))) for _ in range(500)}
+    units = sorted(units, key=lambda u: (-len(u), u))
+    ids, number, score, cost = G.solved_together(vocabulary, units)
+    at = 0
+    for k, u in enumerate(units):
+        own, own_score, own_cost = G.solved_alone(vocabulary, u)
+        assert ids[at : at + number[k]].tolist() == own.tolist() and score[k] == own_score and cost[k] == own_cost
+        at += number[k]
+
+
+def test_stretches_and_batches_change_nothing(vocabulary, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcehrt,.é") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 300))) for _ in range(20)] + [None, "", "a" * 9000, "= " * 3000]
+    want = [G.Segmenter(vocabulary, 3)(t) for t in texts]
+    monkeypatch.setattr(G, "CHARS", 500)
+    for w, g in zip(want, G.Segmenter(vocabulary, 3).batch(texts), strict=True):
+        assert w[0].tolist() == g[0].tolist() and w[1:] == g[1:]
+
+
 def test_small_vocabulary_with_pieces_that_span_words():
     pieces = {"a": -1.0, "b": -1.5, " ": -0.5, "a b": -1.2, " a": -2.0, "ab": -3.0, "b ": -0.7}
     v = G.Vocabulary({p: (s, k + 256) for k, (p, s) in enumerate(pieces.items())}, list(range(256)), [bytes([b]) for b in range(256)] + [p.encode() for p in pieces], -10.0)
