@@ -2,7 +2,7 @@
 
 Two logistic classifiers, for quality and for toxicity, are fitted on at most ``sample`` labelled
 documents (those with the smallest hashes of their doc_id, so the same at any layout), over the
-presence of words and a few figures of form. Every document's probabilities are then aggregated, by
+presence of words, of beginnings of words, and a few figures of form. Every document's probabilities are then aggregated, by
 path and then by host: counts, sums and sums of squares, all summed before the shuffle. The spread
 between hosts, and between the paths of a host, against the spread within them gives the weight of a
 prior (analysis of variance, method of moments). A host's mean is shrunk toward the global mean and a
@@ -15,7 +15,7 @@ A document is kept if both its quality and its absence of toxicity are at least
 Cases: a null text is an empty one and is scored by its form; a null source or language is the empty
 name; labelled rows without a document, and null labels, aren't used, and of several labels of one
 document the smallest quality and largest toxicity count; without labels of both classes a classifier
-gives no evidence (0.5), and nothing is rejected for it. Rows that repeat are each scored and counted. Other columns are ignored, and kept by ``good_documents``.
+gives no evidence (0.5), nothing is rejected for it, and ``judged`` doesn't name it. Rows that repeat are each scored and counted. Other columns are ignored, and kept by ``good_documents``.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _UPPER = bytes(range(65, 91))
 _OTHER = bytes(x for x in range(33, 127) if not chr(x).isalnum() and chr(x) not in ".,;:'\"-()?|!")
 N_FORM = 8
+_PREFIX = range(4, 9)
+_ROWS = 256
 
 
 def features(text: str | None) -> tuple[set[str], list[float]]:
@@ -53,70 +56,64 @@ def features(text: str | None) -> tuple[set[str], list[float]]:
     ]
 
 
-class Sample:
-    """Labelled texts: words by number, figures of form, and whether quality and toxic are set. Compact, as the driver holds it."""
-
-    def __init__(self, table: pa.Table):
-        lists = table.column("words").combine_chunks()
-        coded = lists.flatten().dictionary_encode()
-        self.names, word = coded.dictionary, coded.indices.to_numpy()
-        cuts = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
-        hashes = np.array([xxhash.xxh64_intdigest(w, 1) for w in self.names.to_pylist()], np.uint64)
-        kept = one_of_each_family([word[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], hashes)
-        length = np.diff(cuts)[kept] if len(kept) else np.zeros(0, int)
-        self.n = len(kept)
-        self.row = np.repeat(np.arange(self.n), length)
-        self.word = np.concatenate([word[cuts[k] : cuts[k + 1]] for k in kept]) if kept else np.zeros(0, np.int32)
-        self.form = np.array(table.column("form").to_pylist(), float).reshape(-1, N_FORM)[kept]
-        self.label = {c: table.column(c).to_numpy()[kept] > 0 for c in ("quality", "toxic")}
-
-    def telling(self, label: str, least: int, chi2: float, most: int) -> np.ndarray:
-        """Words of ``least`` texts or more whose presence and the label depend on each other (chi-square of
-        the two by two table); the threshold is far beyond what the number of words tried can give by chance."""
-        y, size = self.label[label], len(self.names)
-        df = np.bincount(self.word, minlength=size).astype(float)
-        hit = np.bincount(self.word[y[self.row]], minlength=size).astype(float)
-        n, pos = self.n, int(y.sum())
-        fine = np.flatnonzero((df >= least) & (df < n)) if 0 < pos < n else np.zeros(0, int)
-        score = n * (hit[fine] * n - df[fine] * pos) ** 2 / (df[fine] * (n - df[fine]) * pos * (n - pos))
-        found = sorted((-x, self.names[int(k)].as_py(), int(k)) for k, x in zip(fine, score, strict=True) if x >= chi2)
-        return np.array([k for _, _, k in found[:most]], int)
-
-
-def one_of_each_family(texts: list[np.ndarray], hashes: np.ndarray, bands: int = 12, rows: int = 8, alike: float = 0.7) -> list[int]:
+def tokens(words: set[str]) -> set[str]:
+    """Words, and beginnings of ``_PREFIX`` letters behind a mark: insults that no labelled text holds often begin like those that one does."""
+    return words | {"^" + w[:k] for w in words for k in _PREFIX if k < len(w)}
+
+
+def signature(words: set[str], size: int = 96) -> np.ndarray:
+    """Minimum hashes of a set of words; two sets agree in about the share that they have in common."""
+    h = np.array([xxhash.xxh64_intdigest(w, 1) for w in words] or [0], np.uint64)
+    mix = np.random.default_rng(7).integers(1, 1 << 63, (2, size), dtype=np.uint64) | np.uint64(1)
+    low = np.full(size, np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 4096):
+        low = np.minimum(low, (h[at : at + 4096, None] * mix[0] + mix[1]).min(axis=0))
+    return (low >> np.uint64(32)).astype(np.uint32)
+
+
+def one_of_each_family(signatures: np.ndarray, rows: int = 8, alike: float = 0.7) -> list[int]:
     """The first of each family of copies, whose words would else pass for independent evidence: texts
-    with a Jaccard similarity of words of ``alike`` or more, found by bands of minimum hashes."""
-    mix = np.random.default_rng(7).integers(1, 1 << 63, (bands * rows, 2), dtype=np.uint64) | np.uint64(1)
+    that agree in ``alike`` of their signatures or more, found by bands of ``rows`` minimum hashes."""
     seen: dict[tuple, list[int]] = {}
     first = []
-    for k, own in enumerate(texts):
-        h = hashes[own] if len(own) else np.zeros(1, np.uint64)
-        low = ((h[:, None] * mix[:, 0] + mix[:, 1]) >> np.uint64(17)).min(axis=0).reshape(bands, rows)
-        keys = [(b, x.tobytes()) for b, x in enumerate(low)]
-        near = dict.fromkeys(j for x in keys for j in seen.get(x, ()))
-        common = ((j, len(np.intersect1d(own, texts[j], assume_unique=True))) for j in near)
-        if not any(c >= alike * (len(own) + len(texts[j]) - c) for j, c in common):
+    for k, own in enumerate(signatures):
+        keys = [(b, own[b : b + rows].tobytes()) for b in range(0, len(own), rows)]
+        near = list(dict.fromkeys(j for x in keys for j in seen.get(x, ())))
+        if not near or ((signatures[near] == own).mean(axis=1) < alike).all():
             first.append(k)
             for x in keys:
                 seen.setdefault(x, []).append(k)
     return first
 
 
+@dataclass
+class Sample:
+    """Labelled texts: figures of form, labels, and which of the telling tokens each holds (row, token). As the driver holds it: no words but those."""
+
+    form: np.ndarray
+    label: dict[str, np.ndarray]
+    row: np.ndarray
+    token: np.ndarray
+    names: list[str]
+    chosen: dict[str, np.ndarray]  # by label: the numbers of the tokens that tell something about it
+
+
 class Logistic:
     """L2-regularised logistic regression over word presence and figures of form, fitted by Adagrad over the whole sample."""
 
-    def __init__(self, sample: Sample, label: str, chosen: np.ndarray, penalty: float, steps: int):
-        y = sample.label[label].astype(float)
+    def __init__(self, sample: Sample, label: str, penalty: float, steps: int):
+        y, chosen = sample.label[label].astype(float), sample.chosen[label]
         self.weights: dict[str, float] = {}
         share = float(y.mean()) if len(y) else 0.0
         self.form, self.bias = np.zeros(N_FORM), 0.0
-        if not 0 < share < 1:
+        self.fitted = 0 < share < 1
+        if not self.fitted:
             return  # no evidence
         self.bias = float(np.log(share / (1 - share)))
         place = np.full(len(sample.names), -1)
         place[chosen] = np.arange(len(chosen))
-        used = place[sample.word] >= 0
-        row, col, form, k = sample.row[used], place[sample.word[used]], sample.form, len(chosen)
+        used = place[sample.token] >= 0
+        row, col, form, k = sample.row[used], place[sample.token[used]], sample.form, len(chosen)
         w, v, b = np.zeros(k), np.zeros(N_FORM), self.bias
         scale_w, scale_v = np.zeros(k), np.zeros(N_FORM)  # rare words move as fast as common ones
         for _ in range(steps):
@@ -127,33 +124,106 @@ class Logistic:
             w = w - 0.5 * gw / np.sqrt(scale_w + 1e-9)
             v = v - 1.0 * gv / np.sqrt(scale_v + 1e-9)
             b -= 0.05 * float(g.mean())
-        self.weights = {sample.names[int(x)].as_py(): float(y) for x, y in zip(chosen, w, strict=True)}
+        self.weights = {sample.names[int(x)]: float(y) for x, y in zip(chosen, w, strict=True)}
         self.form, self.bias = v, b
 
-    def odds(self, words: set[str], form: list[float]) -> float:
-        get = self.weights.get
-        return float(np.clip(self.bias + self.form @ form + sum(get(w, 0.0) for w in words), -12, 12))
+    def odds(self, held: set[str], form: list[float]) -> float:
+        """Log odds of a text with these tokens."""
+        return float(np.clip(self.bias + self.form @ form + sum(self.weights.get(t, 0.0) for t in sorted(held)), -12, 12))
+
 
+class Scorer:
+    """Log odds of texts by several classifiers."""
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> Sample:
-    """At most ``sample`` labelled documents, one of each family of copies."""
+    def __init__(self, models: tuple[Logistic, ...]):
+        self.models = models
+        self.known = frozenset().union(*(m.weights for m in models))
+        self.starts = frozenset(t[1 : 1 + _PREFIX[0]] for t in self.known if t[0] == "^")
+
+    def __call__(self, texts: list[str | None]) -> list[list[float]]:
+        known, starts, least = self.known, self.starts, _PREFIX[0]
+        out: list[list[float]] = [[] for _ in self.models]
+        for text in texts:
+            words, form = features(text)
+            held = words & known
+            for w in words:
+                if w[:least] in starts:  # few words begin like a token that counts
+                    held |= tokens({w}) & known
+            for scores, m in zip(out, self.models, strict=True):
+                scores.append(m.odds(held, form))
+        return out
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """No task holds the words of more than ``_ROWS`` texts."""
+    for b in batches:
+        for at in range(0, b.num_rows, _ROWS):
+            yield b.slice(at, _ROWS)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, least: int, chi2: float, most: int) -> Sample:
+    """At most ``sample`` labelled documents, one of each family of copies, with the ``most`` most telling tokens for each label.
+
+    Telling are tokens of ``least`` texts or more whose presence and the label depend on each other (chi-square
+    of the two by two table); the threshold is far beyond what the number of tokens tried can give by chance.
+    """
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by ``sample``
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = checkpointed(rows.select(F.xxhash64("doc_id", "text").alias("key"), "text", (F.col("quality") > 0).alias("quality"), (F.col("toxic") > 0).alias("toxic")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _sliced(batches):
             found = [features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(w) for w, _ in found], pa.list_(pa.string())), pa.array([f for _, f in found], pa.list_(pa.float64())), b.column(2), b.column(3)], ["doc_id", "words", "form", "quality", "toxic"])
-
-    rows = rows.select("doc_id", "text", F.col("quality").cast("int"), F.col("toxic").cast("int"))
-    return Sample(rows.mapInArrow(run, "doc_id long, words array<string>, form array<double>, quality int, toxic int").orderBy("doc_id", F.xxhash64("words")).toArrow())
+            marks = pa.array([signature(w).tobytes() for w, _ in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), marks, pa.array([f for _, f in found], pa.list_(pa.float64())), b.column(2), b.column(3)], ["key", "marks", "form", "quality", "toxic"])
+
+    held = rows.mapInArrow(sketch, "key long, marks binary, form array<double>, quality boolean, toxic boolean").toArrow()
+    held = held.sort_by("key")
+    marks = np.array([np.frombuffer(x, np.uint32) for x in held.column("marks").to_pylist()])
+    held = held.take(np.array(one_of_each_family(marks), int))
+    label = {c: held.column(c).to_numpy() for c in ("quality", "toxic")}
+    keys = held.column("key").to_numpy()
+    place = docs.sparkSession.sparkContext.broadcast({int(k): r for r, k in reversed(list(enumerate(keys)))})
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _sliced(batches):
+            count: dict[str, list[int]] = {}
+            for key, text, *own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key in place.value:
+                    for t in tokens(features(text)[0]):
+                        c = count.setdefault(t, [0, 0, 0])
+                        c[0] += 1
+                        c[1] += own[0]
+                        c[2] += own[1]
+            columns = [pa.array([c[k] for c in count.values()], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *columns], ["token", "df", "quality", "toxic"])
+
+    n = float(len(keys))
+    counts = rows.mapInArrow(counted, "token string, df long, quality long, toxic long").groupBy("token").agg(*(F.sum(c).cast("double").alias(c) for c in ("df", "quality", "toxic"))).where((F.col("df") >= least) & (F.col("df") < n))
+    counts, telling = checkpointed(counts), {}
+    for c in ("quality", "toxic"):
+        pos = float(label[c].sum())
+        df, off = F.col("df"), F.col(c) * n - F.col("df") * pos
+        score = F.lit(n) * off * off / (df * (n - df) * pos * (n - pos))
+        telling[c] = [r[0] for r in counts.select("token", score.alias("s")).where(F.col("s") >= chi2).orderBy(F.desc("s"), "token").limit(most).collect()] if 0 < pos < n else []
+    names = sorted({t for own in telling.values() for t in own})
+    number = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(names)})
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _sliced(batches):
+            found = [(place.value[key], k) for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if key in place.value for t in tokens(features(text)[0]) if (k := number.value.get(t)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32())], ["row", "token"])
+
+    at = rows.mapInArrow(placed, "row int, token int").distinct().toArrow().sort_by([("row", "ascending"), ("token", "ascending")])
+    form = np.array(held.column("form").to_pylist(), float).reshape(-1, N_FORM)
+    return Sample(form, label, at.column("row").to_numpy(), at.column("token").to_numpy(), names, {c: np.array([number.value[t] for t in own], int) for c, own in telling.items()})
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = 12000, least: int = 5, chi2: float = 40.0, most: int = 1024, penalty: float = 1.0, steps: int = 200) -> tuple[Logistic, Logistic]:
     """Classifiers of quality and of toxicity."""
-    rows = labelled_sample(docs, labels, sample)
-    return tuple(Logistic(rows, c, rows.telling(c, least, chi2, most), penalty, steps) for c in ("quality", "toxic"))
+    rows = labelled_sample(docs, labels, sample, least, chi2, most)
+    return tuple(Logistic(rows, c, penalty, steps) for c in ("quality", "toxic"))
 
 
 def with_evidence(docs: DataFrame, models: tuple[Logistic, Logistic]) -> DataFrame:
@@ -161,10 +231,10 @@ def with_evidence(docs: DataFrame, models: tuple[Logistic, Logistic]) -> DataFra
     sent, at = docs.sparkSession.sparkContext.broadcast(models), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quality, toxic = sent.value
-        for b in batches:
-            found = [features(t) for t in b.column(at).to_pylist()]
-            odds = [pa.array([s * m.odds(w, f) for w, f in found], pa.float64()) for m, s in ((quality, 1), (toxic, -1))]
+        score = Scorer(sent.value)
+        for b in _sliced(batches):
+            quality, toxic = score(b.column(at).to_pylist())
+            odds = [pa.array(quality, pa.float64()), pa.array([-x for x in toxic], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *odds], [*b.schema.names, "e_quality", "e_clean"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(c, DoubleType()) for c in ("e_quality", "e_clean"))]))
@@ -186,10 +256,15 @@ def _weight(ssb: float, ssw: float, n: float, groups: float, inside: float, n0:
     return float(min(1e6, max(1.0, within / between))) if between > 0 else 1e6
 
 
-def site_posteriors(evidence: DataFrame, name: str) -> tuple[DataFrame, dict]:
+def path_sums(evidence: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """host, path, n, and for each name s and q, the sums of probabilities and of their squares. One aggregation for all names."""
+    sums = [x for c in names for p in (_p(F.col(f"e_{c}")),) for x in (F.sum(p).alias(f"s_{c}"), F.sum(p * p).alias(f"q_{c}"))]
+    return checkpointed(evidence.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), *sums))
+
+
+def site_posteriors(evidence: DataFrame, name: str, sums: DataFrame | None = None) -> tuple[DataFrame, dict]:
     """evidence: host, path, e_<name>. Returns a row per path (n, s, and the host's shrunk mean) and the global figures."""
-    p = _p(F.col(f"e_{name}"))
-    paths = checkpointed(evidence.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q")))
+    paths = (path_sums(evidence, (name,)) if sums is None else sums).select("host", "path", "n", F.col(f"s_{name}").alias("s"), F.col(f"q_{name}").alias("q"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ps"), F.sum(F.col("n") * F.col("n")).alias("nn"))
     t = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.sum("hq").alias("q"), F.count("*").alias("hosts"), F.sum("k").alias("paths"), F.sum("ps").alias("ps"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("hs2"), F.sum(F.col("hn") * F.col("hn")).alias("hn2"), F.sum(F.col("nn") / F.col("hn")).alias("pn2")).first()
     if not t["n"]:
@@ -217,8 +292,9 @@ def _names() -> tuple[Column, Column]:
 def _scored(rows: DataFrame, evidence: DataFrame) -> DataFrame:
     """``rows``, which have host, path and evidence, with posteriors from all of ``evidence``."""
     sites, all_figures = None, {}
+    sums = path_sums(evidence, ("quality", "clean"))
     for name in ("quality", "clean"):
-        found, all_figures[name] = site_posteriors(evidence, name)
+        found, all_figures[name] = site_posteriors(evidence, name, sums)
         found = found.select("host", "path", *(F.col(c).alias(f"{c}_{name}") for c in ("n", "s", "host_mean")))
         sites = found if sites is None else sites.join(found, ["host", "path"])
     rows = rows.join(checkpointed(sites), ["host", "path"], "left")
@@ -232,14 +308,16 @@ def _kept(keep: float) -> Column:
 
 
 def quality_posteriors(docs: DataFrame, labels: DataFrame, keep: float = 0.5, sample: int = 12000) -> DataFrame:
-    """doc_id, host, path, text_quality, text_clean (by the text alone), p_quality, p_clean, keep."""
+    """doc_id, host, path, text_quality, text_clean (by the text alone), p_quality, p_clean, keep, and judged:
+    which of the two classifiers had labels of both classes (quality, clean; the other lets everything through)."""
     models = fitted(docs, labels, sample)
+    judged = ",".join(c for c, m in zip(("quality", "clean"), models, strict=True) if m.fitted)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_names(), F.col("text").cast("string").alias("text"))
     evidence = checkpointed(with_evidence(named, models).drop("text"))
     return _scored(evidence, evidence).select(
         "doc_id", "host", "path", _p(F.col("e_quality")).alias("text_quality"), _p(F.col("e_clean")).alias("text_clean"), "p_quality", "p_clean",
-        _kept(keep).alias("keep"),
-    )
+        _kept(keep).alias("keep"), F.lit(judged).alias("judged"),
+    )
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, keep: float = 0.5, sample: int = 12000) -> DataFrame:

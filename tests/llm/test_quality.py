@@ -1,10 +1,15 @@
 import math
+import os
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from maskloom.llm import quality as Q
 
+DATA = "/root/testdata/sf0.1"
+
 
 @pytest.fixture(scope="module")
 def corpus(spark):
@@ -13,7 +18,7 @@ def corpus(spark):
 
     def doc(k):
         words = [rng.choice(common) + rng.choice(common) for _ in range(rng.randint(20, 80))]
-        bad, toxic = k % 5 == 1, k % 6 == 2
+        bad, toxic = k % 5 == 1, k % 7 == 2
         if toxic:
             for _ in range(3):
                 words[rng.randrange(len(words))] = rng.choice(["vile", "nasty", "rotten"])
@@ -36,6 +41,30 @@ def test_held_out_accuracy(corpus):
     assert sum(got[r[0]].keep for r in clean) >= 0.98 * len(clean)
     bad = [r for r in held if not r[4] or r[5]]
     assert sum(not got[r[0]].keep for r in bad) >= 0.9 * len(bad)
+    toxic = [r for r in held if r[4] and r[5]]
+    assert len(toxic) > 50 and sum(not got[r[0]].keep for r in toxic) >= 0.9 * len(toxic)
+    assert {r.judged for r in got.values()} == {"quality,clean"}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_held_out_labels_of_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{c}.parquet") for c in ("documents", "labels"))
+    half = F.xxhash64("doc_id", F.lit(1)) % 2 == 0
+    got = Q.quality_posteriors(docs, labels.where(half)).join(labels.where(~half), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.count_if("keep").alias("kept"))
+    share = {(r.quality, r.toxic): r.kept / r.n for r in got.collect()}
+    assert share[1, 0] >= 0.98 and share[0, 0] <= 0.1 and share[1, 1] <= 0.1 and share[0, 1] <= 0.1
+
+
+def test_beginnings_of_unseen_insults(spark):
+    rng = random.Random(5)
+    ends = [a + b for a in "bdfgklmn" for b in ("a", "ur", "it", "os")]
+    clean = lambda: [rng.choice(ends) + rng.choice(ends) + rng.choice(ends) for _ in range(40)]
+    rows = [(k, " ".join(clean() + ([f"grobian{rng.choice(ends)}"] if k % 4 == 0 else []))) for k in range(800)]
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in Q.quality_posteriors(docs, labels).collect()}
+    new = [k for k in range(400, 800) if k % 4 == 0]
+    assert sum(not got[k].keep for k in new) >= 0.9 * len(new) and got[0].judged == "clean"
 
 
 def test_filter_keeps_the_same_rows(corpus):
@@ -46,8 +75,6 @@ def test_filter_keeps_the_same_rows(corpus):
 
 
 def test_posteriors_equal_plain_arithmetic(spark):
-    from pyspark.sql import functions as F
-
     rng = random.Random(2)
     rows = [(k, f"h{k % 4}", f"h{k % 4}/p{k % 12}", rng.gauss(2 - k % 4, 1), 5.0) for k in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, host string, path string, e_quality double, e_clean double")
@@ -85,16 +112,14 @@ def test_sparse_sites_follow_their_priors(spark):
 
 
 def test_copies_count_once():
-    import numpy as np
-
-    words = [np.arange(50), np.arange(50), np.arange(2, 52), np.arange(100, 150), np.zeros(0, int)]
-    assert Q.one_of_each_family(words, np.arange(200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) == [0, 3, 4]
+    words = [range(50), range(50), range(2, 52), range(100, 150), ()]
+    assert Q.one_of_each_family(np.array([Q.signature({f"w{k}" for k in own}) for own in words])) == [0, 3, 4]
 
 
 def test_awkward_rows(awkward, empty, spark):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, None), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
     got = Q.quality_posteriors(awkward, labels).collect()
-    assert len(got) == awkward.count() and all(r.keep for r in got)  # one class only: no evidence
+    assert len(got) == awkward.count() and all(r.keep and r.judged == "" for r in got)  # one class only: no evidence
     two = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (5, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")
     assert len(Q.quality_posteriors(awkward, two).collect()) == awkward.count()
     assert Q.quality_posteriors(empty, two).count() == 0 and Q.quality_posteriors(awkward, two.where("false")).where("keep").count() == awkward.count()
