@@ -13,7 +13,7 @@ returns a spanning forest of its links, never all its pairs.
 
 Cases: a null text is an empty one; a text without words has fingerprint zero and links like any other;
 a text of fewer than ``width`` words has one shingle, the whole sequence. Rows with one doc_id that
-repeat keep a row each. A null doc_id has a fingerprint, but no links and a null component. Other columns of the input
+repeat keep a row each; if their texts differ they are one document with several fingerprints, which links all of them. A null doc_id has a fingerprint, but no links and a null component. Other columns of the input
 are ignored. An empty table gives an empty result.
 """
 
@@ -176,7 +176,12 @@ def simhash_components(docs: DataFrame, width: int = 4, bits: int = 4, n_pivots:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id that can be reached)."""
     fps = checkpointed(with_fingerprints(docs, width))
     nodes = checkpointed(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    moved = components(linked(nodes, bits, n_pivots, limit)).toDF("rep", "component_id")
+    links = linked(nodes, bits, n_pivots, limit)
+    several = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("doc_id")
+    if not several.isEmpty():  # fingerprints of one document belong together
+        own = fps.join(several, "doc_id", "left_semi").join(nodes, "fp").select("doc_id", "rep").distinct()
+        links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("v")), "doc_id").select(F.col("rep").alias("u"), "v"))
+    moved = components(links).toDF("rep", "component_id")
     by_fp = nodes.join(moved, "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return fps.join(by_fp, "fp", "left").select(
         "doc_id",
@@ -360,8 +365,14 @@ def _families(loose: DataFrame, first: int = 6) -> DataFrame:
     return components(late.where("u <> v").distinct().unionByName(early))
 
 
-def similar_pairs(sets: list[np.ndarray], similarity: float, left: int | None = None, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets with a Jaccard similarity of ``similarity`` or more; with ``left``, of the first ``left`` sets and the others only."""
+def similar_pairs(sets: list[np.ndarray], similarity: float, near: np.ndarray | None = None, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of sets with a Jaccard similarity of ``similarity`` or more; with ``near`` (n by n), only those that it marks."""
+    if near is not None:
+        used = np.flatnonzero((near | near.T).any(axis=1))
+        i, j = similar_pairs([sets[k] for k in used], similarity) if len(used) else (np.zeros(0, int),) * 2
+        i, j = used[i], used[j]
+        marked = near[i, j]
+        return i[marked], j[marked]
     size = np.array([len(s) for s in sets], float)
     flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size.astype(int))
     _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -376,14 +387,21 @@ def similar_pairs(sets: list[np.ndarray], similarity: float, left: int | None =
         held = np.zeros((len(sets), columns), np.float32)
         held[row[a:z], column[a:z] - first] = 1
         common += held @ held.T
-    i, j = np.nonzero(np.triu((1 + similarity) * common.astype(float) >= similarity * (size[:, None] + size[None, :]) - 1e-6, 1))
-    if left is not None:
-        cross = (i < left) & (j >= left)
-        i, j = i[cross], j[cross]
-    return i, j
+    found = [np.zeros((2, 0), int)]
+    for at in range(0, len(sets), 256):
+        i, j = np.nonzero(common[at : at + 256])
+        i, n = i + at, common[at : at + 256][i, j].astype(float)
+        fine = (i < j) & ((1 + similarity) * n >= similarity * (size[i] + size[j]) - 1e-6)
+        found.append(np.stack([i[fine], j[fine]]))
+    return tuple(np.concatenate(found, axis=1))
 
 
 def _exact(similarity: float):
+    """Links within a group (rows of one block), or between the two blocks of a group, as spanning forests.
+
+    Pairs whose distances to a pivot differ by more than the distance allowed are discarded before they are verified.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[list[tuple]]:
             held: list[tuple] = []
@@ -397,9 +415,17 @@ def _exact(similarity: float):
                 yield held
 
         for rows in groups():
-            (_, x, y), rows = rows[0][:3], sorted({(r[3] != r[1], r[4], r[5]) for r in rows})
-            sets, rep = [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows])
-            i, j = similar_pairs(sets, similarity, None if x == y else sum(not r[0] for r in rows))
+            (_, x, y), rows = rows[0][:3], sorted({(r[3] != r[1], r[4], tuple(r[5] or ()), r[6]) for r in rows})
+            sets, rep = [np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[1] for r in rows])
+            near, far = None, np.array([r[2] for r in rows])
+            if far.size or x != y:
+                near = np.ones((len(rows), len(rows)), bool)
+                for d in far.T:
+                    near &= np.abs(d[:, None] - d[None, :]) <= 1 - similarity + 1e-6
+                if x != y:
+                    right = np.array([r[0] for r in rows])
+                    near &= right[:, None] != right[None, :]
+            i, j = similar_pairs(sets, similarity, near)
             label = smallest_labels(len(rows), i, j)
             moved = label != np.arange(len(rows))
             yield pa.RecordBatch.from_pydict({"u": rep[moved], "v": rep[label[moved]]})
@@ -407,31 +433,111 @@ def _exact(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 1e-3, words: int = 16, n_pivots: int = 8, limit: int = 4096, block: int = 2048) -> DataFrame:
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Jaccard distances of each set to the pivots of its family."""
+    for big in batches:
+        for at in range(0, big.num_rows, 256):
+            b = big.slice(at, 256)
+            out = []
+            for own, pivots in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                mine, row = np.frombuffer(own, np.uint64), []
+                for p in pivots:
+                    other = np.frombuffer(p, np.uint64)
+                    common = len(np.intersect1d(mine, other, assume_unique=True))
+                    row.append(1 - common / (len(mine) + len(other) - common) if len(mine) + len(other) else 0.0)
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(out, pa.list_(pa.float64()))], ["key", "family", "shingles", "names", "far"])
+
+
+def family_links(held: DataFrame, similarity: float, n_pivots: int = 4, block: int = 512, elements: int = 1 << 19) -> DataFrame:
+    """held: key, family, n (rows of the family), total (elements of its sets), shingles. Links u, v of sets at ``similarity``
+    or more that connect whatever is connected within a family.
+
+    A family of at most ``block`` sets and ``elements`` elements is compared in one group. In a larger one, a
+    pivot distance table comes first: the exact Jaccard distances of all its sets to a few of them. Sets near
+    a pivot are linked to it, so they need no comparison with each other; by the triangle inequality other
+    pairs are discarded as soon as one coordinate differs by more than 1 - ``similarity``. What is left, sets under
+    different pivots and sets near none, is compared in blocks. So a large family of near copies costs one
+    pass, not all its pairs.
+    """
+    spark, least = held.sparkSession, 1 - similarity
+    n = partitions(spark)
+    small = (F.col("n") <= block) & (F.col("total") <= elements)
+    none, alone = F.array().cast("array<double>").alias("far"), F.lit(0)
+    groups = held.where(small).select("family", alone.alias("x"), alone.alias("y"), alone.alias("b"), "key", none, "shingles")
+    large = held.where(~small)
+    picked = large.groupBy("family").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("key", F.lit(k)), "key"))["key"] for k in range(n_pivots)))).alias("picked"))
+    picked = checkpointed(picked)
+    if picked.isEmpty():
+        return groups.repartition(n, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_exact(similarity), "u long, v long")
+    wanted = picked.select("family", F.explode("picked").alias("key"))
+    pivots = large.join(wanted, ["family", "key"]).groupBy("family").agg(F.array_sort(F.collect_list(F.struct("key", "shingles"))).alias("p"))
+    pivots = checkpointed(pivots.select("family", F.col("p.shingles").alias("pivots"), F.col("p.key").alias("names")))
+    near = large.join(pivots, "family").select("key", "family", "shingles", "pivots", "names").mapInArrow(_distances, "key long, family long, shingles binary, names array<long>, far array<double>")
+    # which pivots a set is near to, as bits
+    bits = F.aggregate(F.transform("far", lambda d, k: F.when(d <= least + 1e-9, F.pow(F.lit(2.0), k)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x).cast("long")
+    near = checkpointed(near.withColumn("bits", bits))
+    linked_to = near.select(F.col("key").alias("u"), F.explode(F.filter("names", lambda _, k: F.get("far", k) <= least + 1e-9)).alias("v")).where("u <> v")
+
+    def joined(masks: list[int]) -> list[int]:
+        """Of the masks of a family, unions of those that share a bit: pivots that sets near several of them tie together."""
+        out: list[int] = []
+        for m in masks:
+            for o in [o for o in out if o & m]:
+                out.remove(o)
+                m |= o
+            out.append(m)
+        return sorted(out)
+
+    # a row for each large family: its pivots that belong together, and the blocks of each such part and of the sets near none
+    parts = near.where("bits > 0").groupBy("family").agg(F.collect_set("bits").alias("masks"))
+    parts = checkpointed(parts.select("family", F.udf(joined, "array<long>")("masks").alias("parts")))
+    part = F.when(F.col("bits") == 0, F.lit(-1)).otherwise(F.array_position(F.transform("parts", lambda m: m.bitwiseAND(F.col("bits")) != 0), True) - 1).cast("int")
+    of = near.join(parts, "family", "left").withColumn("part", part).select("family", "key", "part", "far", "shingles")
+    sizes = of.groupBy("family", "part").agg(F.count("*").alias("n"), F.sum(F.length("shingles") / 8).alias("total"))
+    sizes = sizes.select("family", F.struct("part", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") / elements)).cast("int").alias("blocks")).alias("p"))
+    layout = sizes.groupBy("family").agg(F.array_sort(F.collect_list("p")).alias("layout")).where("size(layout) > 1 or layout[0].part = -1")
+    first = F.aggregate(F.filter("layout", lambda p: p["part"] < F.col("part")), F.lit(0), lambda a, p: a + p["blocks"])
+    mine = F.filter("layout", lambda p: p["part"] == F.col("part"))[0]["blocks"]
+    every = F.aggregate("layout", F.lit(0), lambda a, p: a + p["blocks"])
+    cut = of.join(checkpointed(layout), "family").withColumn("first", first).withColumn("mine", mine)
+    cut = cut.withColumn("b", F.col("first") + F.pmod(F.xxhash64("key"), F.col("mine")).cast("int"))
+    # a part meets all others but not itself; sets near no pivot meet each other too
+    others = F.filter(F.sequence(F.lit(0), every - 1), lambda o: (F.col("part") == -1) | (o < F.col("first")) | (o >= F.col("first") + F.col("mine")))
+    cut = cut.select("family", "key", "far", "shingles", "b", F.explode(others).alias("o"))
+    groups = groups.unionByName(cut.select("family", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "key", "far", "shingles"))
+    exact = groups.repartition(n, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_exact(similarity), "u long, v long")
+    return exact.unionByName(linked_to)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 1e-3, words: int = 16, n_pivots: int = 8, limit: int = 4096, block: int = 512) -> DataFrame:
     """doc_id, component_id: documents whose sets of shingles have a Jaccard similarity of ``similarity`` or more are linked.
 
-    Equal sets are one. Candidates of sets of at most ``SHORT`` shingles are found exactly, by a prefix filter.
-    All candidates else share all bits of one of several tables, drawn from a wide fingerprint;
-    pivot tables and the distance of 128 bits thin them out (at this radius most of the work is the
-    distance's), and what is left falls into loose families. Only texts in families are looked at again:
-    within one, in blocks of ``block`` against each other, similarities are computed exactly. No pair of
-    two short sets is missed; another is missed by the tables with a probability of at most ``miss`` (by the
-    exact agreement of bits, not only the angle), a closer one far less often; no pair below ``similarity``
-    is ever linked.
+    Equal sets are one (by a 128-bit hash of them). Candidates of sets of at most ``SHORT`` shingles are found
+    exactly, by a prefix filter. All candidates else share all bits of one of several tables, drawn from a wide
+    fingerprint; the distance of 128 bits thins them out, and what is left falls into loose families. Only
+    texts in families are looked at again: within one, pivot distance tables discard pairs and similarities of
+    the others are computed exactly (``family_links``). No pair of two short sets is missed; another is missed
+    by the tables with a probability of at most ``miss`` (by the exact agreement of bits, not only the angle),
+    a closer one far less often; no pair below ``similarity`` is ever linked.
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, width) for t in text_bytes(b.column(1))]
-            fps = [wide_fingerprint(s, words).tobytes() for s in sets]
-            key = np.array([xxhash.xxh64_intdigest(s.tobytes(), 3) for s in sets], np.uint64).view(np.int64)
-            small = pa.array([s.tobytes() if len(s) <= SHORT else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), pa.array(fps, pa.binary()), small], ["doc_id", "key", "fp", "small"])
-
-    sketches = checkpointed(texts.mapInArrow(sketch, "doc_id long, key long, fp binary, small binary"))
-    nodes = checkpointed(sketches.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("small").alias("small")))
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                b = big.slice(at, 256)
+                sets = [shingle_set(t, width) for t in text_bytes(b.column(1))]
+                fps = [wide_fingerprint(s, words).tobytes() for s in sets]
+                same = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                small = pa.array([s.tobytes() if len(s) <= SHORT else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), small], ["doc_id", "same", "size", "fp", "small"])
+
+    sketches = checkpointed(texts.mapInArrow(sketch, "doc_id long, same binary, size long, fp binary, small binary"))
+    nodes = sketches.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("small").alias("small"))
+    # a number for each distinct set: no hash, so that no two share one
+    nodes = checkpointed(nodes.withColumn("key", F.monotonically_increasing_id()))
     agree = least_agreement(similarity)
     tables = _tables(nodes.count(), agree, miss, words)
 
@@ -449,34 +555,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, mi
 
     n = partitions(spark)
     radius = int(np.ceil(128 * (1 - agree) + 5 * np.sqrt(128 * agree * (1 - agree))))
-    # equal sets of different documents have one rep, but documents that repeat a doc_id can be several nodes: links go between keys
     dealt = nodes.select(F.col("key").alias("rep"), "fp").select("rep", "fp").mapInArrow(buckets, "bucket long, rep long, f0 long, f1 long")
     # in the order of rep, so that buckets of one family mostly link to the same few
     loose = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_loose(radius, n_pivots, limit), "u long, v long, table long")
     loose = checkpointed(loose.unionByName(short_candidates(nodes.select(F.col("key").alias("rep"), "small"), similarity, limit)))
     moved = _families(loose).toDF("key", "family")
     families = moved.unionByName(moved.select(F.col("family").alias("key"), "family").distinct())
-    sized = families.groupBy("family").agg(F.count("*").alias("n"))
-    members = checkpointed(nodes.select("key", "rep").join(families, "key").join(sized, "family"))
+    members = checkpointed(nodes.select("key", "rep", "size", "same").join(families, "key"))
+    sized = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [shingle_set(t, width) for t in text_bytes(b.column(0))]
-            key = np.array([xxhash.xxh64_intdigest(s.tobytes(), 3) for s in made], np.uint64).view(np.int64)
-            own = pa.array(key == b.column(1).to_numpy())
-            out = pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array([s.tobytes() for s in made], pa.binary())], ["key", "family", "n", "shingles"])
-            yield out.filter(own)  # a doc_id may have other texts
-
-    held = texts.join(members, texts["doc_id"] == members["rep"]).select("text", "key", "family", "n").mapInArrow(sets, "key long, family long, n long, shingles binary")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    spread = held.withColumn("b", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    pairs = spread.select("family", F.least("b", "other").alias("x"), F.greatest("b", "other").alias("y"), "b", "key", "shingles")
-    exact = pairs.repartition(n, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_exact(similarity), "u long, v long")
-    joined = components(exact).toDF("key", "into")
-    groups = nodes.select("key", "rep").join(joined, "key", "left").select("key", "rep", F.coalesce("into", "key").alias("into"))
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                b = big.slice(at, 256)
+                made = [shingle_set(t, width) for t in text_bytes(b.column(0))]
+                own = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == same for s, same in zip(made, b.column(1).to_pylist(), strict=True)], pa.bool_())
+                out = pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(4), b.column(5), pa.array([s.tobytes() for s in made], pa.binary())], ["key", "family", "n", "total", "shingles"])
+                yield out.filter(own)  # a doc_id may have other texts
+
+    held = texts.join(members.join(sized, "family"), texts["doc_id"] == F.col("rep")).select("text", "same", "key", "family", "n", "total")
+    held = checkpointed(held.mapInArrow(sets, "key long, family long, n long, total long, shingles binary"))
+    joined = components(family_links(held, similarity, block=block)).toDF("key", "into")
+    groups = nodes.select("key", "same", "rep").join(joined, "key", "left").select("same", "rep", F.coalesce("into", "key").alias("into"))
     first = groups.groupBy("into").agg(F.min("rep").alias("component_id"))
-    by_key = groups.join(first, "into").select("key", "component_id")
-    return sketches.select("doc_id", "key").join(by_key, "key").select("doc_id", "component_id")
+    by_set = groups.join(first, "into").select("same", "component_id")
+    return sketches.select("doc_id", "same").join(by_set, "same").select("doc_id", "component_id")
 
 
 def near_duplicates_removed(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -41,7 +41,7 @@ def test_near_duplicates_equal_brute_force(frame):
             k += 1
     rows += [(k + j, " ".join(rng.choice(vocabulary) for _ in range(50))) for j in range(40)] + [(900, "a b"), (901, "A  b"), (902, "a b c"), (903, None), (904, "")]
     want = brute(rows)
-    for settings in ({}, {"limit": 8, "block": 4}):  # also with buckets and families that are cut
+    for settings in ({}, {"limit": 8, "block": 3}):  # also with buckets and families that are cut
         assert {r.doc_id: r.component_id for r in H.near_duplicates(frame(rows), **settings).collect()} == want
     kept = H.near_duplicates_removed(frame(rows))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))

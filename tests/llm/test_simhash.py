@@ -84,3 +84,9 @@ def test_awkward_rows(awkward, empty, spark):
     assert all(r.component_id == (want[r.doc_id] if r.doc_id is not None else None) for r in rows)
     assert H.simhash_components(empty).count() == 0
     assert H.simhash_components(awkward.select(F.lit(None).cast("long").alias("doc_id"), "text")).where("component_id is null").count() == len(rows)
+
+
+def test_documents_with_several_texts_link_them(frame):
+    x, y = "alpha beta gamma delta epsilon", "one two three four five six seven"
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in H.simhash_components(frame([(1, x), (5, x), (2, y), (5, y), (9, "other words that stand here alone")])).collect()}
+    assert {k[0]: v for k, v in got.items()} == {1: 1, 2: 1, 5: 1, 9: 9} and len(got) == 5
