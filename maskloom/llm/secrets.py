@@ -16,8 +16,8 @@ functions: ``split`` gives the gaps between matches and ``regexp_extract_all`` t
 Cases: a null text is an empty one, without spans, whose base_sha256 is that of the empty string; a null
 source or language counts as one owner or language of its own, the empty name; rows that repeat have a
 row each and count once as owners; a null doc_id is kept. Other columns are ignored. Only spans, never
-texts, are shuffled; counts per value are summed before the shuffle, so that a value that very many
-documents share costs no task more than others.
+texts, are shuffled; counts per value are summed before the shuffle, the few values that very many
+documents share are joined back by a broadcast of bounded size, and rows without candidates take no part.
 """
 
 from __future__ import annotations
@@ -104,37 +104,51 @@ def _found(docs: DataFrame) -> DataFrame:
 
 
 def _key() -> Column:
-    return F.when((F.size("base") > 0) | (F.size("bare") > 0), F.xxhash64("doc_id", "owner", "lang", F.to_json("base"), F.to_json("bare")))
+    """256 bits of all that was found in a row and of where it is from: rows with one key have the same spans to the end."""
+    return F.when((F.size("base") > 0) | (F.size("bare") > 0), F.sha2(F.to_json(F.struct("doc_id", "owner", "lang", "base", "bare")), 256))
 
 
-def _classified(rows: DataFrame, copied: int) -> DataFrame:
-    """key, s (span), owners and example for every candidate in the corpus."""
+def _classified(rows: DataFrame, copied: int, share: int = 1000) -> DataFrame:
+    """key, s (span), owners and example for every candidate in the corpus.
+
+    Fewer than ``share`` values can hold more than a ``share``-th of all candidates each: those are joined back by a
+    broadcast, so that a value that very many documents share lands in no task of its own.
+    """
     each = rows.where("key is not null").select("key", "owner", "lang", F.explode(F.concat("base", "bare")).alias("s"))
-    held = each.select(F.col("s.value").alias("value"), "owner", F.struct("owner", "lang").alias("repository")).distinct()
+    held = each.groupBy(F.col("s.value").alias("value"), "owner", "lang").agg(F.count("*").alias("n"))
     # two steps: by value and owner, then by value, so that counts are summed before each shuffle
-    owners = held.groupBy("value", "owner").agg(F.count("*").alias("repositories")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    owners = held.groupBy("value", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
     example = (F.col("owners") >= copied) | (F.col("repositories") >= 2 * copied)
-    return each.select("key", "s", F.col("s.value").alias("value")).join(owners, "value").select("key", "s", "value", "owners", example.alias("example"))
+    owners = checkpointed(owners.select("value", "owners", example.alias("example"), "n"))
+    total = owners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = owners.where(F.col("n") * share > total).drop("n")
+    rest = owners.where(F.col("n") * share <= total).drop("n")
+    each = each.select("key", "s", F.col("s.value").alias("value")).join(F.broadcast(hot), "value", "left")
+    found = ("key", "s", "value", "owners", "example")
+    return each.where("owners is not null").select(*found).unionByName(each.where("owners is null").select("key", "s", "value").join(rest, "value").select(*found))
 
 
 def secret_scan(docs: DataFrame, copied: int = 3) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
     rows = _found(docs)
+    none = F.array().cast(_SPAN)
     by_row = _classified(rows, copied).groupBy("key").agg(
         F.collect_set(F.when((F.col("s.kind") == 3) & (F.col("owners") == 1), F.col("s"))).alias("added"),
-        F.collect_set(F.when(F.col("example"), F.col("value"))).alias("examples"),
-        F.collect_set(F.when(~F.col("example"), F.col("value"))).alias("live"),
+        F.count_distinct(F.when(~F.col("example"), F.col("value"))).alias("n_live"),
+        F.count_distinct(F.when(F.col("example"), F.col("value"))).alias("n_example"),
     )
-    count = lambda c: F.coalesce(F.when(F.col("added").isNotNull(), F.size(c)), F.lit(0)).cast("long")
-    return rows.join(by_row, "key", "left").select(
+    base = ("doc_id", "base")
+    touched = rows.where("key is not null").join(by_row, "key").select(*base, "added", "n_live", "n_example")
+    plain = rows.where("key is null").select(*base, none.alias("added"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"))
+    return touched.unionByName(plain).select(
         "doc_id",
         _of(F.col("base"), 0).alias("n_assign"),
         _of(F.col("base"), 1).alias("n_access"),
         _of(F.col("base"), 2).alias("n_hex"),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        _joined(F.concat(F.col("base"), F.coalesce(F.col("added"), F.array().cast(_SPAN)))).alias("spans"),
-        count("live").alias("n_live"),
-        count("examples").alias("n_example"),
+        _joined(F.concat(F.col("base"), F.col("added"))).alias("spans"),
+        "n_live",
+        "n_example",
     )
 
 

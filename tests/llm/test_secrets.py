@@ -80,3 +80,11 @@ def test_awkward_rows(awkward, empty):
     assert sorted(str(tuple(r)) for r in X.secret_scan(awkward).collect()) == brute(rows)
     assert X.secret_scan(empty).count() == 0 and X.secrets_masked(empty).count() == 0
     assert X.secrets_masked(awkward).count() == awkward.count()
+
+
+def test_values_shared_by_most_rows(frame):
+    from maskloom.llm import secrets as X
+
+    rows = [(k, f"password = shared{'a' * 12} and token: own{k:020d}x", "en", f"src{k % 5}") for k in range(3000)]
+    got = {r.doc_id: r for r in X.secret_scan(frame(rows)).collect()}
+    assert len(got) == 3000 and all(r.n_assign == 2 and r.n_example == 1 and r.n_live == 1 for r in got.values())
