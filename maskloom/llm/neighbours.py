@@ -8,6 +8,11 @@ neighbours' parts. Every row is then indexed under its most probable part, and e
 its several most probable parts, as many as gave ``aim`` of the neighbours within the sample, and more until
 they hold enough rows. Candidates are reranked by the exact distance in double precision.
 
+A sample of that size can tell some 150 parts apart. Where the rows need more parts, each part that is too large
+is parted again in the same way, by a sample of its own rows, fitted in a task of its own; the probability of
+a part of a part is the product of both. So what a query scans stays the same while the corpus grows to some
+20 000 times ``rows_a_part``.
+
 Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest, so no more are indexed. A
 part is searched in blocks of at most ``block`` rows and as many queries, so no task has to hold all of it.
 
@@ -19,6 +24,7 @@ vec_id. Other columns are ignored. Empty tables give empty results.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,21 +146,85 @@ class Index:
         found = [(need < m).mean() for m in range(1, parts + 1)]
         self.routes = next((m for m, f in enumerate(found, 1) if f >= aim), parts)
 
+    def state(self) -> dict:
+        """What it is made of, as numbers and arrays."""
+        return {"parts": self.parts, "routes": self.routes, "router": vars(self.router) if self.router else None}
+
+    @classmethod
+    def of(cls, state: dict) -> Index:
+        index = cls.__new__(cls)
+        index.parts, index.routes, index.router = state["parts"], state["routes"], None
+        if state["router"]:
+            index.router = Router.__new__(Router)
+            vars(index.router).update(state["router"])
+        return index
+
     def part(self, x: np.ndarray) -> np.ndarray:
         return self.router(x).argmax(1) if self.router else np.zeros(len(x), int)
 
+    def logs(self, x: np.ndarray) -> np.ndarray:
+        """Log probability of each part."""
+        if not self.router:
+            return np.zeros((len(x), 1))
+        z = self.router(x)
+        z = z - z.max(1, keepdims=True)
+        return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+class Tree:
+    """Parts, some of which are parted again: ``below`` by part. ``first``: the number of each part's first part."""
+
+    def __init__(self, root: Index, below: dict[int, Index], x: np.ndarray, k: int, aim: float):
+        self.root, self.below, self.routes = root, below, root.routes
+        many = [below[c].parts if c in below else 1 for c in range(root.parts)]
+        self.first = np.concatenate([[0], np.cumsum(many)[:-1]]).astype(int)
+        self.parts = sum(many)
+        if below:  # how many parts hold ``aim`` of the neighbours within the sample
+            graph, where = nearest_graph(x, min(k, len(x) - 1)), self.part(x)
+            need = np.concatenate([self._order(row)[1][where[near]] for row, near in zip(x, graph, strict=True)])
+            found = np.cumsum(np.bincount(need, minlength=self.parts)) / len(need)
+            self.routes = int(np.searchsorted(found, aim)) + 1
+
+    def part(self, x: np.ndarray) -> np.ndarray:
+        own = self.root.part(x)
+        out = self.first[own]
+        for c, index in self.below.items():
+            here = np.flatnonzero(own == c)
+            if len(here):
+                out[here] += index.part(x[here])
+        return out
+
+    def _order(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts from the most probable on, within the root's parts that are searched first, then those of the others; and ranks."""
+        logs = self.root.logs(row[None, :])[0]
+        order = np.argsort(-logs, kind="stable")
+        out = []
+        for some in (order[: self.root.routes], order[self.root.routes :]):
+            parts = [(logs[c] + self.below[c].logs(row[None, :])[0]) if c in self.below else logs[c : c + 1] for c in some]
+            if parts:
+                names = np.concatenate([self.first[c] + np.arange(len(p)) for c, p in zip(some, parts, strict=True)])
+                out.append(names[np.argsort(-np.concatenate(parts), kind="stable")])
+        names = np.concatenate(out)
+        rank = np.empty(self.parts, int)
+        rank[names] = np.arange(self.parts)
+        return names, rank
+
     def route(self, x: np.ndarray, held: np.ndarray, least: int) -> list[np.ndarray]:
         """Parts for each query: the most probable ones, until they hold ``least`` rows."""
-        if not self.router:
-            return [np.zeros(1, int)] * len(x)
         out = []
-        for order in np.argsort(-self.router(x), axis=1, kind="stable"):
+        for row in x:
+            order = self._order(row)[0]
             enough = int(np.searchsorted(np.cumsum(held[order]), least)) + 1
             chosen = order[: max(self.routes, enough)]
             out.append(chosen[held[chosen] > 0])
         return out
 
 
+def first_parts(rows: int, fit: int, rows_a_part: int, most_parts: int) -> int:
+    """Parts that a sample of ``fit`` vectors is cut into: 64 of them at least in each, and four parts even of a small table."""
+    return int(max(1, min(max(4, -(-rows // rows_a_part)), most_parts, fit // 64)))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
@@ -181,6 +251,31 @@ def _search(k: int):
     return run
 
 
+def _parted(kept: DataFrame, root: Index, n: int, k: int, rows_a_part: int, most_parts: int, sample: int, aim: float) -> dict[int, Index]:
+    """The second level: an index for each part of the root that holds more than twice ``rows_a_part``, each fitted in a task on at
+    most ``sample`` rows of that part. None where the root's parts are as many as the rows need."""
+    if n <= 2 * rows_a_part * root.parts:
+        return {}
+    sent = kept.sparkSession.sparkContext.broadcast(root)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array(sent.value.part(x), pa.int32()), b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["part", "vec_id", "v"])
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.vstack([np.frombuffer(b) for b in rows["v"]])
+        parts = first_parts(int(rows["held"].iloc[0]), len(x), rows_a_part, most_parts)
+        return pd.DataFrame({"part": [key[0]], "index": [pickle.dumps(Index(x, parts, k, aim).state())]})
+
+    own = kept.where("r = 1").select("vec_id", "v").mapInArrow(place, "part int, vec_id long, v binary")
+    held = own.groupBy("part").agg(F.count("*").alias("held")).where(F.col("held") > 2 * rows_a_part)
+    some = own.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("vec_id"), "vec_id"))).where(F.col("i") <= sample)
+    fitted = some.join(F.broadcast(held), "part").select("part", "held", "v").groupBy("part").applyInPandas(fit, "part int, index binary")
+    return {r["part"]: Index.of(pickle.loads(bytes(r["index"]))) for r in fitted.collect()}  # a row for each part of the root
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rows_a_part: int = 2000, most_parts: int = 256, sample: int = 10000, aim: float = 0.98, block: int = 4096) -> DataFrame:
     """vectors and queries: vec_id, embedding. Returns query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
@@ -191,8 +286,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rows_a_part: in
     n = kept.count()
     distinct = kept.where("r = 1").select("vec_id", "v")
     fit = np.array([r[0] for r in distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()])
-    parts = int(max(1, min(n // rows_a_part, most_parts, len(fit) // 64)))
-    index = spark.sparkContext.broadcast(Index(fit, parts, k, aim))  # as large as the router
+    root = Index(fit, first_parts(n, len(fit), rows_a_part, most_parts), k, aim)
+    index = spark.sparkContext.broadcast(Tree(root, _parted(kept, root, n, k, rows_a_part, most_parts, sample, aim), fit, k, aim))  # as large as its routers
+    parts = index.value.parts
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -16,7 +16,6 @@ repeat have the same records; a null page_id is kept. Other columns are ignored.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html as entities
 import io
@@ -75,6 +74,29 @@ def split_response(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(k.strip(), v.strip()) for k, sep, v in (x.partition(":") for x in lines[1:]) if sep], body
 
 
+def _dechunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = int(body[at:end].split(b";")[0], 16)
+        if not size:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+    return b"".join(out)
+
+
+def unpacked(headers: list[tuple[str, str]], body: bytes) -> bytes:
+    """The body without chunks and compression; as it stands where it isn't what its headers say."""
+    said = {k.lower(): v.lower() for k, v in headers}
+    try:
+        if "chunked" in said.get("transfer-encoding", ""):
+            body = _dechunked(body)
+        coding = said.get("content-encoding", "")
+        return zlib.decompress(body, 47) if coding in ("gzip", "x-gzip", "deflate") else body
+    except (ValueError, zlib.error):
+        return body
+
+
 def _charset(headers: list[tuple[str, str]]) -> str:
     for k, v in headers:
         if k.lower() == "content-type" and (m := re.search(r"charset=\"?([\w.:-]+)", v, re.I)):
@@ -88,6 +110,7 @@ def _charset(headers: list[tuple[str, str]]) -> str:
 def derived(record: dict) -> list[dict]:
     """The metadata and the conversion record of a response record."""
     status, headers, body = split_response(record["block"])
+    body = unpacked(headers, body)
     page = body.decode(_charset(headers), "replace")
     about = {"Envelope": {"WARC-Record-ID": record["record_id"], "WARC-Target-URI": record["target_uri"], "WARC-Date": record["date"], "WARC-Block-Digest": record["block_digest"], "WARC-Payload-Digest": record["payload_digest"]}, "HTTP-Status": status, "HTTP-Headers": headers, "HTML": outline(page)}
     out = []
@@ -114,26 +137,56 @@ def warc_bytes(record: dict) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + record["block"] + b"\r\n\r\n"
 
 
-def records_in(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, also of one whose members are gzipped one by one."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while True:
-        line = stream.readline()
-        if not line:
+def _members(data: bytes) -> Iterator[tuple[int, bytes | None]]:
+    """The gzip members of a file, unpacked one at a time, each with its place; None is one that can't be read to its end."""
+    at = 0
+    while at < len(data):
+        member, out = zlib.decompressobj(31), None
+        try:
+            out = member.decompress(data[at:])
+            out = out + member.flush() if member.eof else None
+        except zlib.error:
+            out = None
+        yield at, out
+        at = len(data) - len(member.unused_data) if out is not None else data.find(b"\x1f\x8b\x08", at + 1)
+        if at < 0:
             return
+
+
+def _plain_records(data: bytes, offset: int) -> Iterator[dict]:
+    stream = io.BytesIO(data)
+    while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
         head: dict[str, str] = {}
         while (line := stream.readline()).strip():
             k, _, v = line.decode("utf-8", "replace").partition(":")
             head[k.strip().lower()] = v.strip()
-        block = stream.read(int(head.get("content-length", 0)))
+        said = head.get("content-length", "0")
+        block = stream.read(int(said)) if said.isdigit() else None
+        if block is None or len(block) < int(said):
+            yield _unreadable(offset, f"a record of {said} bytes ends early")
+            continue
         yield {
             "record_id": head.get("warc-record-id"), "type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "refers_to": head.get("warc-refers-to"),
             "content_type": head.get("content-type"), "block_digest": head.get("warc-block-digest"), "payload_digest": head.get("warc-payload-digest") or head.get("warc-refers-to-digest"), "length": len(block), "block": block,
         }
 
 
+def _unreadable(offset: int, why: str) -> dict:
+    return dict.fromkeys(_NAMES) | {"type": "unreadable", "target_uri": f"{why}, member at byte {offset}"}
+
+
+def records_in(data: bytes) -> Iterator[dict]:
+    """Records of a WARC file, also of one whose members are gzipped one by one. What can't be read is a record of
+    type ``unreadable`` that says where; reading goes on with the next member."""
+    for at, plain in _members(data) if data[:2] == b"\x1f\x8b" else [(0, data)]:
+        if plain is None:
+            yield _unreadable(at, "a broken member")
+        else:
+            yield from _plain_records(plain, at)
+
+
 def page_response(page_id: int | None, url: str | None, page: str | None) -> dict:
     """A response record of a row of pages, whose date follows from page_id as the table has none."""
     body, uri = (page or "").encode("utf-8", "replace"), url or "about:blank"
@@ -174,20 +227,20 @@ def responses(pages: DataFrame) -> DataFrame:
 
 
 def records_of(files: DataFrame) -> DataFrame:
-    """path and the records of WARC files given as binaryFile rows (path, content); a broken member ends its file."""
+    """path and the records of WARC files given as binaryFile rows (path, content); what can't be read has a record of type ``unreadable``.
+
+    Spark gives a file as one row, so a file may have 2 GB at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _pieces(batches, 1):
             held: list[dict] = []
             for path, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                try:
-                    for r in records_in(content or b""):
-                        held.append({"path": path} | r)
-                        if len(held) == 256:
-                            yield _batch(held, {"path": pa.string()})
-                            held = []
-                except (EOFError, zlib.error, gzip.BadGzipFile):
-                    pass
+                for r in records_in(content or b""):
+                    held.append({"path": path} | r)
+                    if len(held) == 256:
+                        yield _batch(held, {"path": pa.string()})
+                        held = []
             if held:
                 yield _batch(held, {"path": pa.string()})
 

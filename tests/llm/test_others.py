@@ -30,7 +30,7 @@ def vectors(spark):
     return rows, df
 
 
-@pytest.mark.parametrize("settings", [{}, {"rows_a_part": 300, "block": 128}])
+@pytest.mark.parametrize("settings", [{}, {"rows_a_part": 300, "block": 128}, {"rows_a_part": 100, "sample": 640}])
 def test_recall_and_order(vectors, settings):
     rows, df = vectors
     asked = {i: (i, v) for i, v in rows if i % 100 == 0}
@@ -58,6 +58,36 @@ def test_few_vectors(spark):
     assert A.nearest(df.where("false"), df.where("false"), 10).count() == 0
 
 
+def test_small_tables_have_learned_parts(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 8))
+    index = A.Index(x, A.first_parts(600, 600, 2000, 256), 10, 0.98)
+    assert index.parts > 1 and index.router is not None
+
+
+def test_parts_of_parts():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 8)) + 4 * rng.normal(size=(30, 8))[rng.integers(30, size=3000)]
+    root = A.Index(x[:512], 8, 10, 0.98)
+    own = root.part(x)
+    below = {c: A.Index(x[own == c][:256], 3, 10, 0.98) for c in range(0, 8, 2) if (own == c).sum() > 192}
+    tree = A.Tree(root, below, x[:512], 10, 0.98)
+    assert tree.parts == 8 + 2 * len(below)
+    part = tree.part(x)
+    held = np.bincount(part, minlength=tree.parts)
+    assert held.sum() == 3000 and len(held) == tree.parts
+    for c, first in enumerate(tree.first):
+        assert set(part[own == c]) <= set(range(first, first + (3 if c in below else 1)))
+    asked = x[::50]
+    routes = tree.route(asked, held, 11)
+    for k, to in enumerate(routes):
+        assert len(set(to.tolist())) == len(to) and held[to].sum() >= 11
+        d = ((x - asked[k]) ** 2).sum(1)
+        want = np.argsort(d, kind="stable")[1:11]
+        routes[k] = np.isin(part[want], to).mean()
+    assert np.mean(routes) >= 0.9
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1000, 8))
@@ -127,11 +157,51 @@ def test_files_round_trip(spark, tmp_path):
     for name, data in (("a.warc", b"".join(map(R.warc_bytes, every))), ("b.warc.gz", b"".join(gzip.compress(R.warc_bytes(x)) for x in every))):
         assert list(R.records_in(data)) == every
         (tmp_path / name).write_bytes(data)
-    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(R.warc_bytes(rows[0])) + b"\x1f\x8b broken")
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(R.warc_bytes(rows[0])) + b"\x1f\x8b\x08 broken" + gzip.compress(R.warc_bytes(rows[1])))
     files = spark.read.format("binaryFile").load(str(tmp_path))
     records = R.records_of(files)
-    assert records.groupBy("path").count().orderBy("path").select("count").collect() == [(15,), (15,), (1,)]
-    assert R.derivatives(records, {"path": "string"}).count() == 22
+    assert records.groupBy("path").count().orderBy("path").select("count").collect() == [(15,), (15,), (3,)]
+    assert [r.path[-9:] for r in records.where("type = 'unreadable'").collect()] == ["c.warc.gz"]  # and reading goes on behind it
+    assert R.derivatives(records, {"path": "string"}).count() == 24
+
+
+def test_derivatives_equal_plain_reading():
+    """Against the standard library alone: http.client's reading of the response, html.parser's words, hashlib's digests."""
+    import base64
+    import hashlib
+    import json
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.silent, self.out = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.silent += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            self.silent -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if not self.silent:
+                self.out.append(data)
+
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    body = PAGE.encode()
+    chunks = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (body[:40], body[40:])) + b"0\r\n\r\n"
+    for head, sent in ((b"", body), (b"Transfer-Encoding: chunked\r\n", chunks), (b"Content-Encoding: gzip\r\n", gzip.compress(body)), (b"X: y\r\n", body)):
+        block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n" + sent
+        record = R.page_response(1, "http://e.x/", "") | {"block": block, "length": len(block), "block_digest": sha(block), "payload_digest": sha(sent)}
+        metadata, conversion = R.derived(record)
+        words = Words()
+        words.feed(PAGE)
+        assert conversion["block"].decode().split() == " ".join(words.out).split() or "".join(conversion["block"].decode().split()) == "".join("".join(words.out).split())
+        about = json.loads(metadata["block"])
+        assert about["HTTP-Status"] == "HTTP/1.1 200 OK" and [h for h, _ in about["HTTP-Headers"]] == [x.split(b":")[0].decode() for x in head.split(b"\r\n") if x]
+        for x in (metadata, conversion):
+            assert x["refers_to"] == record["record_id"] and x["payload_digest"] == sha(sent) and x["block_digest"] == sha(x["block"]) and x["length"] == len(x["block"])
+    assert R.unpacked([("Content-Encoding", "gzip")], b"not packed") == b"not packed"
 
 
 def test_awkward_pages(spark):
