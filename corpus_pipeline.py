@@ -9,17 +9,17 @@
 
 Each function takes (spark, docs, sf_dir), docs being what the stage before kept, and works on all of it.
 All but the last return the columns of documents. No stage has an SQL form: three fit a model or search
-with hashes that SQL lacks, so tests hold each stage against a brute-force version.
+with hashes that SQL lacks, so tests hold stages 2 to 5 against brute-force versions and stage 1 against
+plain arithmetic on its evidence and held-out labels.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm.common import table
+from maskloom.llm.common import removed, shared_folder, table
 from maskloom.llm.quality import good_documents
 from maskloom.llm.secrets import secrets_masked
 from maskloom.llm.segmentation import segmented
@@ -59,12 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each but the last is written to the shared folder and read again."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="maskloom-")
+    """All stages; each but the last is written to the shared folder and read again, and deleted once the next one is written."""
+    shared, before = shared_folder(spark), None
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(path := f"{shared}/pipeline-{uuid.uuid4().hex}")
             docs = spark.read.parquet(path)
+            if before:
+                removed(spark, before)
+            before = path
     return docs
