@@ -449,16 +449,41 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(out, pa.list_(pa.float64()))], ["key", "family", "shingles", "names", "far"])
 
 
-def family_links(held: DataFrame, similarity: float, n_pivots: int = 4, block: int = 512, elements: int = 1 << 19) -> DataFrame:
+def _laid_out(units: list, block: int, elements: int) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """units: (cell, band, part, n, total) in order. The first block of each unit with their number, and which blocks each block meets.
+
+    Small units next to each other share a block. Blocks meet unless all their cells or bands are two or more
+    apart, or both hold nothing but one part, whose sets are linked already.
+    """
+    place, blocks = [], []  # a block: lowest and highest band and cells, parts, n, total
+    for cell, band, part, n, total in units:
+        at, many = np.array([band, *cell]), max(1, -(-n // block), -(-total // elements))
+        last = blocks[-1] if blocks else None
+        if many == 1 and last and last[3] + n <= block and last[4] + total <= elements:
+            blocks[-1] = (np.minimum(last[0], at), np.maximum(last[1], at), last[2] | {part}, last[3] + n, last[4] + total)
+            place.append((len(blocks) - 1, 1))
+        else:
+            place.append((len(blocks), many))
+            blocks += [(at, at, {part}, n if many == 1 else block, total)] * many
+    low, high = (np.array([b[k] for b in blocks]) for k in (0, 1))
+    meets = []
+    for b in blocks:
+        near = ((low <= b[1] + 1) & (high >= b[0] - 1)).all(axis=1)
+        settled = len(b[2]) == 1 and -1 not in b[2]
+        meets.append([int(o) for o in np.flatnonzero(near) if not (settled and blocks[o][2] == b[2])])
+    return place, meets
+
+
+def family_links(held: DataFrame, similarity: float, n_pivots: int = 4, block: int = 1024, elements: int = 1 << 19) -> DataFrame:
     """held: key, family, n (rows of the family), total (elements of its sets), shingles. Links u, v of sets at ``similarity``
     or more that connect whatever is connected within a family.
 
     A family of at most ``block`` sets and ``elements`` elements is compared in one group. In a larger one, a
     pivot distance table comes first: the exact Jaccard distances of all its sets to a few of them. Sets near
-    a pivot are linked to it, so they need no comparison with each other; by the triangle inequality other
-    pairs are discarded as soon as one coordinate differs by more than 1 - ``similarity``. What is left, sets under
-    different pivots and sets near none, is compared in blocks. So a large family of near copies costs one
-    pass, not all its pairs.
+    a pivot are linked to it, so they need no comparison with each other. By the triangle inequality other
+    pairs are discarded as soon as one coordinate differs by more than 1 - ``similarity``: first by cells of
+    that width, which with bands of sizes (similar sets have similar sizes) say which blocks of sets meet at
+    all, then pair by pair. So a large family of near copies costs one pass, not all its pairs.
     """
     spark, least = held.sparkSession, 1 - similarity
     n = partitions(spark)
@@ -476,41 +501,40 @@ def family_links(held: DataFrame, similarity: float, n_pivots: int = 4, block: i
     near = large.join(pivots, "family").select("key", "family", "shingles", "pivots", "names").mapInArrow(_distances, "key long, family long, shingles binary, names array<long>, far array<double>")
     # which pivots a set is near to, as bits
     bits = F.aggregate(F.transform("far", lambda d, k: F.when(d <= least + 1e-9, F.pow(F.lit(2.0), k)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x).cast("long")
-    near = checkpointed(near.withColumn("bits", bits))
+    size = F.length("shingles") / 8
+    band = F.when(size == 0, -1000).otherwise(F.floor(F.log(size) / F.lit(-np.log(similarity) + 1e-9))).cast("int")
+    near = checkpointed(near.select("key", "family", "names", "far", bits.alias("bits"), F.transform("far", lambda d: F.floor(d / F.lit(least + 1e-6)).cast("int")).alias("cell"), band.alias("band"), size.cast("long").alias("size")))
     linked_to = near.select(F.col("key").alias("u"), F.explode(F.filter("names", lambda _, k: F.get("far", k) <= least + 1e-9)).alias("v")).where("u <> v")
 
-    def joined(masks: list[int]) -> list[int]:
-        """Of the masks of a family, unions of those that share a bit: pivots that sets near several of them tie together."""
-        out: list[int] = []
-        for m in masks:
-            for o in [o for o in out if o & m]:
-                out.remove(o)
+    def plan(units: list) -> dict:
+        """Units of a family, (cell, band, bits, n, total): the part of each, its blocks, and the blocks that each block meets."""
+        parts: list[int] = []  # pivots that sets near several of them tie together
+        for m in {u["bits"] for u in units} - {0}:
+            for o in [o for o in parts if o & m]:
+                parts.remove(o)
                 m |= o
-            out.append(m)
-        return sorted(out)
-
-    # a row for each large family: its pivots that belong together, and the blocks of each such part and of the sets near none
-    parts = near.where("bits > 0").groupBy("family").agg(F.collect_set("bits").alias("masks"))
-    parts = checkpointed(parts.select("family", F.udf(joined, "array<long>")("masks").alias("parts")))
-    part = F.when(F.col("bits") == 0, F.lit(-1)).otherwise(F.array_position(F.transform("parts", lambda m: m.bitwiseAND(F.col("bits")) != 0), True) - 1).cast("int")
-    of = near.join(parts, "family", "left").withColumn("part", part).select("family", "key", "part", "far", "shingles")
-    sizes = of.groupBy("family", "part").agg(F.count("*").alias("n"), F.sum(F.length("shingles") / 8).alias("total"))
-    sizes = sizes.select("family", F.struct("part", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") / elements)).cast("int").alias("blocks")).alias("p"))
-    layout = sizes.groupBy("family").agg(F.array_sort(F.collect_list("p")).alias("layout")).where("size(layout) > 1 or layout[0].part = -1")
-    first = F.aggregate(F.filter("layout", lambda p: p["part"] < F.col("part")), F.lit(0), lambda a, p: a + p["blocks"])
-    mine = F.filter("layout", lambda p: p["part"] == F.col("part"))[0]["blocks"]
-    every = F.aggregate("layout", F.lit(0), lambda a, p: a + p["blocks"])
-    cut = of.join(checkpointed(layout), "family").withColumn("first", first).withColumn("mine", mine)
-    cut = cut.withColumn("b", F.col("first") + F.pmod(F.xxhash64("key"), F.col("mine")).cast("int"))
-    # a part meets all others but not itself; sets near no pivot meet each other too
-    others = F.filter(F.sequence(F.lit(0), every - 1), lambda o: (F.col("part") == -1) | (o < F.col("first")) | (o >= F.col("first") + F.col("mine")))
-    cut = cut.select("family", "key", "far", "shingles", "b", F.explode(others).alias("o"))
+            parts.append(m)
+        parts.sort()
+        part = [next((k for k, m in enumerate(parts) if m & u["bits"]), -1) for u in units]
+        order = sorted(range(len(units)), key=lambda k: (part[k], units[k]["cell"], units[k]["band"], units[k]["bits"]))
+        place, meets = _laid_out([(units[k]["cell"], units[k]["band"], part[k], units[k]["n"], units[k]["total"]) for k in order], block, elements)
+        return {"units": [{"cell": units[k]["cell"], "band": units[k]["band"], "bits": units[k]["bits"], "first": f, "many": m} for k, (f, m) in zip(order, place, strict=True)], "meets": meets}
+
+    unit = ("family", "cell", "band", "bits")
+    counted = near.groupBy(*unit).agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    laid = counted.groupBy("family").agg(F.collect_list(F.struct("cell", "band", "bits", "n", "total")).alias("units"))
+    schema = "struct<units:array<struct<cell:array<int>,band:int,bits:bigint,first:int,many:int>>,meets:array<array<int>>>"
+    laid = checkpointed(laid.select("family", F.udf(plan, schema)("units").alias("p")))
+    places = laid.select("family", F.explode("p.units").alias("u"), "p.meets").select("family", "u.*", "meets")
+    at = (F.col("first") + F.pmod(F.xxhash64("key"), F.col("many"))).cast("int")
+    blocks = near.join(places, list(unit)).withColumn("b", at).select("key", "far", "b", F.get("meets", F.col("b")).alias("others")).where("size(others) > 0")
+    cut = large.select("key", "family", "shingles").join(blocks, "key").select("family", "key", "far", "shingles", "b", F.explode("others").alias("o"))
     groups = groups.unionByName(cut.select("family", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "key", "far", "shingles"))
     exact = groups.repartition(n, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_exact(similarity), "u long, v long")
     return exact.unionByName(linked_to)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 1e-3, words: int = 16, n_pivots: int = 8, limit: int = 4096, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 1e-3, words: int = 16, n_pivots: int = 8, limit: int = 4096, block: int = 1024) -> DataFrame:
     """doc_id, component_id: documents whose sets of shingles have a Jaccard similarity of ``similarity`` or more are linked.
 
     Equal sets are one (by a 128-bit hash of them). Candidates of sets of at most ``SHORT`` shingles are found
