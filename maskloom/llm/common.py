@@ -69,29 +69,33 @@ def smallest_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows_a_task: int = 50_000) -> DataFrame:
     """Connected components by large and small stars, in a number of rounds near the log of the diameter.
 
     ``edges``: longs u, v. Returns u, v for every node but the smallest of its component, v being that
     smallest. Each round is two aggregations with partial sums and two joins whose skewed keys the
-    adaptive planner splits; its result is checkpointed.
+    adaptive planner splits; its result is checkpointed. A round runs in as many tasks as its links need, since
+    each task of a shuffle writes files of its own however little it holds.
     """
 
     def down(e: DataFrame) -> DataFrame:
-        return e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        return e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
-    edges = checkpointed(down(edges))
+    edges = checkpointed(down(edges).distinct())
     before = state(edges)
     while before[0]:
-        both = edges.union(edges.select("v", "u")).toDF("x", "y")
+        tasks = -(-before[0] // rows_a_task)
+        edges = edges.coalesce(tasks)
+        both = edges.union(edges.select("v", "u")).toDF("x", "y").coalesce(tasks)
         low = both.groupBy("x").agg(F.min("y").alias("low")).select("x", F.least("x", "low").alias("low"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("low").alias("v")).distinct()
+        large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("low").alias("v")).coalesce(tasks).distinct()
+        large = checkpointed(large.coalesce(tasks))
         low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u")
-        edges = checkpointed(down(small.select("v", "low").toDF("u", "v").union(low.toDF("u", "v"))))
+        small = large.join(low, "u").select("v", "low").toDF("u", "v")
+        edges = checkpointed(down(small.union(low.toDF("u", "v"))).coalesce(tasks).distinct().coalesce(tasks))
         after = state(edges)
         if after == before:
             break
