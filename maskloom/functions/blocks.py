@@ -72,9 +72,8 @@ _ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "x
 
 
 def letters(n: int, alphabet: str = LATIN) -> str:
-    """1 is a, 27 (in Latin) is aa, 28 bb: the letter is repeated once more for each round."""
-    turn, k = divmod(n - 1, len(alphabet))
-    return alphabet[k] * (turn + 1)
+    """1 is a, 27 (in Latin) is aa, 28 ab: numbers in letters, without a zero."""
+    return "" if n < 1 else letters((n - 1) // len(alphabet), alphabet) + alphabet[(n - 1) % len(alphabet)]
 
 
 def roman(n: int) -> str:
@@ -86,14 +85,15 @@ def roman(n: int) -> str:
 
 
 FORMATS: dict[str, Callable[[int], str]] = {
-    "decimal": str, "decimalZero": lambda n: f"{n:02d}", "lowerLetter": letters, "upperLetter": lambda n: letters(n).upper(),
+    "decimal": str, "decimalZero": str, "lowerLetter": letters, "upperLetter": lambda n: letters(n).upper(),
     "lowerRoman": roman, "upperRoman": lambda n: roman(n).upper(), "russianLower": lambda n: letters(n, RUSSIAN), "russianUpper": lambda n: letters(n, RUSSIAN).upper(),
 }
 
 
 def letters_column(n: Column) -> Column:
-    turn = F.floor((n - 1) / 26).cast("int")
-    return F.repeat(F.substring(F.lit(LATIN), (F.pmod(n - 1, F.lit(26)) + 1).cast("int"), F.lit(1)), turn + 1)
+    """``letters`` of numbers up to 18278, which have three letters."""
+    rounds = [n - 1, F.floor((n - 1) / 26) - 1, F.floor((F.floor((n - 1) / 26) - 1) / 26) - 1]
+    return F.concat(*(F.when(r < 0, "").otherwise(F.substring(F.lit(LATIN), (F.pmod(r, F.lit(26)) + 1).cast("int"), F.lit(1))) for r in reversed(rounds)))
 
 
 def roman_column(n: Column) -> Column:

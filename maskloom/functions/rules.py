@@ -91,14 +91,16 @@ _SURNAME = f"(?:{_SURNAME})"
 SURNAME = re.compile(_SURNAME)
 _PATRONYMIC = f"{_UP}{_LOW}+(?:[ое]вич(?:а|у|ем|е)?|ич(?:а|у|ем|е)?|(?:[ое]в|ич|инич)н(?:а|ы|е|у|ой))"
 _INITIALS = rf"{_UP}\.\s?{_UP}\."
+_CADASTRE = r"\d{2}:\d{2}:\d{6,7}:\d{1,5}"
+_AUTHORITY = r"(?:[А-ЯЁ]{2,}|ТП|[Оо]тдел\w*|[Уу]правлени\w*|[Мм]илици\w*|[Пп]олици\w*|[Пп]аспортн\w+|[Гг]лавн\w+|[Мм]играционн\w+)\b"
 _DATE = r"[0-3]?\d\.[01]?\d\.(?:19|20)\d\d"
 _QUOTED = r"(?:«[^»\n]{1,120}»|\"[^\"\n]{1,120}\"|“[^”\n]{1,120}”|„[^“”\n]{1,120}[“”])"
 _FORMS = (
-    "ООО|ОАО|ЗАО|ПАО|АО|НАО|ИП|НКО|АНО|ГУП|МУП|ФГУП|ФГБУ|ТОО|ТСЖ|[Оо]бществ\\w+ с ограниченной ответственностью|[Аа]кционерн\\w+ обществ\\w+"
+    "ООО|ОАО|ЗАО|ПАО|АО|НАО|ИП|НКО|АНО|НП|ПК|КФХ|СНТ|ГУП|МУП|ФГУП|ФГБУ|ГБУ|МБУ|ТОО|ТСЖ|[Фф]онд\\w*|[Бб]анк\\w*|[Кк]ооператив\\w*|[Оо]бществ\\w+ с ограниченной ответственностью|[Аа]кционерн\\w+ обществ\\w+"
 )
 _NUMBER = r"(?>\d{1,3}(?:[   .]\d{3}){1,6}|\d{1,15})(?:[.,]\d{1,2})?"
 _WORDS = r"(?:\s?\([^()\n]{1,200}\))?"
-_CURRENCY = r"(?:руб(?:л(?:ей|я|ь|ями?|ях))?\b\.?|₽|коп(?:е(?:ек|йки|йка))?\b\.?|доллар\w*|евро\b|юан\w*|USD\b|EUR\b|RUB\b|CNY\b)"
+_CURRENCY = r"(?:руб(?:л(?:ей|я|ь|ями?|ях))?\b\.?|₽|коп(?:е(?:ек|йки|йка))?\b\.?|долл(?:ар\w*|\b\.?)|у\.\s?е\.|евро\b|юан\w*|USD\b|EUR\b|RUB\b|CNY\b)"
 _NUMERAL = (
     "один|одна|одно|два|две|три|четыре|пять|шесть|семь|восемь|девять|десять|\\w+надцать|двадцать|тридцать|сорок|\\w+десят|девяносто|сто|двести|"
     "триста|четыреста|\\w+сот|тысяч\\w*|миллион\\w*|миллиард\\w*"
@@ -108,6 +110,7 @@ _STOP = rf"{_ABBREVIATION}\.(?=\s+[А-ЯЁA-Z\[]|\s*$)"
 _REST = rf"(?:(?!{_STOP})[^\n])"
 _STREET = "(?:ул|улица|пр|пр-т|проспект|пер|переулок|пл|площадь|наб|набережная|ш|шоссе|бульв|бульвар|б-р|проезд|тупик|аллея|мкр|микрорайон)"
 _BUILDING = r"(?:д|дом|корп|корпус|к|стр|строение|кв|квартира|оф|офис|пом|помещение|лит|литера)"
+_BETWEEN = r"\b[^\d\n]{0,40}?"  # words between what a number is and the number
 _BARE = r"(?<![\w-])(?<!\d[.,])"
 _END = r"(?![\w-])(?![.,]\d)"
 
@@ -129,14 +132,14 @@ RULES: tuple[Rule, ...] = (
     _rule("given_patronymic_surname", C.PERSON, rf"\b{_TITLE}\s+{_PATRONYMIC}\s+{_SURNAME}\b"),
     _rule("surname_initials", C.PERSON, rf"\b{_SURNAME}\s+{_INITIALS}"),
     _rule("initials_surname", C.PERSON, rf"\b{_INITIALS}\s?{_SURNAME}\b"),
-    _rule("register_number", C.EGRN, r"(?<!\d)\d{2}-\d{2}/\d{3,4}-\d+"),
-    _rule("cadastre", C.CADASTRE, r"(?<!\d)\d{2}:\d{2}:\d{6,7}:\d{1,5}(?!\d)"),
-    _rule("passport_issued", C.PASSPORT_ISSUED, rf"\b[Вв]ыдан\w*:?\s+((?:отдел|УМВД|ГУ|МВД|ОВД|УФМС|ОУФМС|ТП|РОВД|МРО)[^\n]{{3,200}}?)(?=,?\s*(?:{_DATE}|код\b|\d{{3}}-\d{{3}})|[;\n]|$)", 1),
+    _rule("register_number", C.EGRN, rf"(?<!\d)(?:{_CADASTRE}\s*[-–—]\s*\d{{2}}/\d{{3}}/\d{{4}}-\d+|\d{{2}}-\d{{2}}/\d{{3,4}}-\d+)"),
+    _rule("cadastre", C.CADASTRE, rf"(?<!\d){_CADASTRE}(?!\d)"),
+    _rule("passport_issued", C.PASSPORT_ISSUED, rf"\b[Вв]ыдан\w*:?\s+({_AUTHORITY}[^\n]{{3,200}}?)(?=,?\s*(?:{_DATE}|код\b|\d{{3}}-\d{{3}})|[;\n]|$)", 1),
     _rule("passport_series", C.PASSPORT, r"\bсери[яи]\s*:?\s*(\d{2}\s?\d{2}\s*(?:№|номер|N)?\s*\d{6})", 1, flags=re.I),
     _rule("passport", C.PASSPORT, r"\bпаспорт\w*(?:\s+(?:РФ|гражданина РФ))?\s*:?\s*(?:№\s*)?(\d{2}\s?\d{2}\s*(?:№\s*)?\d{6})(?!\d)", 1, flags=re.I),
     _rule("snils", C.SNILS, r"\b(?:снилс|страхово\w+ (?:свидетельств\w+|номер\w*))\s*:?\s*(?:№\s*)?(\d{3}-\d{3}-\d{3}[ -]\d{2}|\d{11})(?!\d)", 1, flags=re.I),
-    _rule("division_code", C.DIV_CODE, r"\bкод\s+подразделения\s*:?\s*(\d{3}-\d{3})", 1, flags=re.I),
-    _rule("born", C.BIRTH_DATE, rf"({_DATE})\s*(?:г\.?\s*|года?\s+)?рождения", 1),
+    _rule("division_code", C.DIV_CODE, r"\bкод\s+подразделения\s*:?\s*(\d{3}[-–]?\d{3})(?!\d)", 1, flags=re.I),
+    _rule("born", C.BIRTH_DATE, rf"({_DATE})\s*(?:(?:г\.?\s*|года?\s+)?рождения|г\.\s?р\b)", 1),
     _rule("birth_date", C.BIRTH_DATE, rf"\bдат[аы]\s+рождения\s*:?\s*({_DATE})", 1, flags=re.I),
     _rule("issue_date", C.ISSUE_DATE, rf"\bдат[аы]\s+выдачи\s*:?\s*({_DATE})", 1, flags=re.I),
     _rule("birth_place", C.BIRTH_PLACE, r"\b[Мм]есто\s+рождения\s*:\s*([^\n]{3,200}?)(?=[,;.]?\s*(?:[Пп]аспорт|[Сс]ерия)|[;\n]|$)", 1),
@@ -144,20 +147,20 @@ RULES: tuple[Rule, ...] = (
     _rule("registration_address", C.ADDRESS, rf"\b[Аа]дрес\s+регистрации\s*:\s*({_REST}{{5,250}}?)(?=\s*(?:[Пп]аспорт|ИНН|СНИЛС|[Тт]ел\b)|{_STOP}|\n|$)", 1),
     _rule("labelled_address", C.ADDRESS, rf"\b(?:[Юю]ридический|[Пп]очтовый|[Фф]актический|[Мм]есто нахождения|[Аа]дрес)(?:\s+адрес)?\s*:\s*({_REST}{{10,200}}?)(?={_STOP}|\s*;|\n|$)", 1),
     _rule("street_address", C.ADDRESS, rf"(?:\bг\.\s?|\bгород\s+){_TITLE}(?:-{_TITLE})?,\s*{_STREET}\.?\s+[^\n,]{{2,60}}(?:,\s*{_BUILDING}\.?\s*\d+[\w/-]*)+"),
-    _rule("building_part", C.ADDRESS, rf"\b(?:д|дом|корп|корпус|кв|квартира|оф|офис)\.?\s*(?:№\s*)?(?:\d+[А-Яа-я]?(?:/\d+)?|[IVXLC]+)\b"),
+    _rule("building_part", C.ADDRESS, rf"\b(?:д|дом|корп|корпус|строение|кв|квартира|оф|офис|пом|помещение|этаж|подъезд|комната|секция)\b\.?\s*(?:№\s*)?(\d+[а-я]?(?:/\d+)?|(?-i:[IVXLC]+))\b", 1, flags=re.I),
     _rule("account", C.ACCOUNT, r"(?:р/с|к/с|р/сч|корр?\.?\s*сч[её]т|расч[её]тный\s+сч[её]т|сч[её]т)\w*\s*:?\s*(?:№\s*)?(\d{20})(?!\d)", 1, flags=re.I),
     _bare("bare_account", C.ACCOUNT, 20),
     _rule("ogrn", C.OGRN, r"\bОГРН(?:ИП)?\s*:?\s*(?:№\s*)?(\d{13,15})(?!\d)", 1, flags=re.I),
     _bare("bare_ogrnip", C.OGRN, 15),
     _bare("bare_ogrn", C.OGRN, 13),
-    _rule("inn_person", C.INN_PERSON, r"\bИНН\s*(?:физ\w*\s*лица)?\s*:?\s*(?:№\s*)?(\d{12})(?!\d)", 1, flags=re.I),
+    _rule("inn_person", C.INN_PERSON, rf"\bИНН{_BETWEEN}(\d{{12}})(?!\d)", 1, flags=re.I),
     _bare("bare_inn_person", C.INN_PERSON, 12),
-    _rule("inn_company", C.INN_COMPANY, r"\bИНН(?:/КПП)?\s*:?\s*(?:№\s*)?(\d{10})(?!\d)", 1, flags=re.I),
+    _rule("inn_company", C.INN_COMPANY, rf"\bИНН{_BETWEEN}(\d{{10}})(?!\d)", 1, flags=re.I),
     _bare("bare_inn_company", C.INN_COMPANY, 10),
     _rule("kpp", C.KPP, r"\bКПП\s*:?\s*(?:№\s*)?(\d{9})(?!\d)", 1, flags=re.I),
-    _rule("bik", C.BIK, r"\bБИК\s*:?\s*(?:№\s*)?(\d{9})(?!\d)", 1, flags=re.I),
+    _rule("bik", C.BIK, rf"\bБИК{_BETWEEN}(\d{{9}})(?!\d)", 1, flags=re.I),
     _rule("bare_bik", C.BIK, rf"{_BARE}04\d{{7}}{_END}"),
-    _rule("swift", C.SWIFT, r"\bSWIFT(?:-код|\s+code)?\s*:?\s*([A-Z]{6}[A-Z0-9]{2,5})\b", 1),
+    _rule("swift", C.SWIFT, r"\b(?:SWIFT|СВИФТ)(?:-код|\s+code|\s+код)?\s*:?\s*([A-Z]{6}[A-Z0-9]{2,5})\b", 1),
     _rule("caps_name", C.PERSON, rf"(?<![\w-]){_UP}{{2,}}(?:-{_UP}{{2,}})?(?:\s+{_UP}{{2,}}(?:-{_UP}{{2,}})?){{1,2}}(?![\w-])", 0, caps_name),
     _rule("caps_surname_initials", C.PERSON, rf"(?<!\w){_UP}{{3,}}(?:-{_UP}{{2,}})?\s+{_INITIALS}"),
     _rule("initials_caps_surname", C.PERSON, rf"(?<!\w){_INITIALS}\s?{_UP}{{3,}}(?:-{_UP}{{2,}})?(?!\w)"),
@@ -165,10 +168,10 @@ RULES: tuple[Rule, ...] = (
     _rule("phone_brackets", C.PHONE, r"\(\d{3,5}\)[\s-]?\d{1,3}[\s-]?\d{2}[\s-]?\d{2}(?!\d)"),
     _rule("phone_short", C.PHONE, r"(?<![\d-])\d{3}-\d{2}-\d{2}(?![\d-])"),
     _rule("phone", C.PHONE, r"(?<![\w+])(?:\+7|7|8)[\s-]?(?:\(?\d{3}\)?(?:[\s-]?\d){7}|\(\d{4}\)(?:[\s-]?\d){6}|\(\d{5}\)(?:[\s-]?\d){5})(?!\d)"),
-    _rule("document_number", C.DOC_NO, r"(№\s*)([A-Za-zА-Яа-яЁё0-9][\w/.\-]*[\w]|[A-Za-zА-Яа-яЁё0-9])", 2, document_number),
+    _rule("document_number", C.DOC_NO, r"(№\s*)((?=[\w/.\-]*\d)[A-Za-zА-Яа-яЁё0-9][\w/.\-]*[\w]|\d)", 2, document_number),
     _rule("money", C.MONEY, rf"(?<![\w.,])({_NUMBER}{_WORDS})\s*{_CURRENCY}", 1, not_zero, re.I),
     _rule("money_sign", C.MONEY, rf"([$€₽£¥]|\b(?:USD|EUR|RUB|CNY)\b)\s?({_NUMBER})", 2, not_zero),
-    _rule("money_words", C.MONEY, rf"\(\s*((?:{_NUMERAL})(?:\s+(?:{_NUMERAL}))*\s*)(?:{_CURRENCY}[^()\n]{{0,40}})?\)(?!\s*(?:календарн|рабоч|банковск|дн))", 1, None, re.I),
+    _rule("money_words", C.MONEY, rf"\(\s*((?:{_NUMERAL})(?:\s+(?:{_NUMERAL}))*(?:\s+{_CURRENCY}[^()\n]{{0,80}}?)?)\s*\)(?!\s*(?:календарн|рабоч|банковск|дн))", 1, None, re.I),
     _rule("money_grouped", C.MONEY, r"(?<![\d.,])\d{1,3}(?:[   ]\d{3})+(?:[.,]\d{1,2})?(?![\d])", 0, not_zero),
     _rule("money_decimal", C.MONEY, r"(?<![\d.,])\d+[.,]\d{2}(?![.,]?\d)(?!\.\d)", 0, plain_money),
     _bare("bare_number_11", C.DOC_NO, 11),

@@ -4,39 +4,66 @@ from __future__ import annotations
 
 import re
 
-# Stems of words that name roles, kinds of parties and documents, not people or firms.
-ROLE_STEMS = tuple(
-    """
-    агент абонент акционер аренд арендатор аудитор банк бенефициар брокер бухгалтер вкладчик генеральн гарант
-    грузополучател грузоотправител дарител депонент директор дистрибьютор договор доверител доверенност должник
-    заемщик заёмщик займодав заимодав заказ заказчик закон застройщик инвестор исполнител клиент комиссионер компани
-    комитент контракт контрагент корпораци кредитор кодекс лизинг лицензиар лицензиат наниматель наймодател
-    обществ обязанност оборудовани организаци ответственност оператор одаряем отправител оценщик
-    пациент перевозчик плательщик подрядчик покупател получател положени поручител поставк поставщик потребител
-    председател президент предприниматель предприяти представител претензи приложени принципал продавец продавц
-    протокол работник работодател реквизит руководител соглашени сотрудник спецификаци сторон страховщик страховател
-    ссудодател субподрядчик товар товариществ управляющ услов услуг устав учредител участник учреждени фирм
-    фрахтовщик хранител цедент цессионари экспедитор эмитент юридическ физическ гк гпк нк ук коап фз апк
-    """.split()
-)
-
-# Stems of section headings; only for names in capitals and Latin names.
-HEADING_STEMS = tuple(
-    """
-    предмет цен порядок расчёт расчет заключительн общ срок действ вступлен конфиденциальн форс мажор обстоятельств
-    непреодолим гаранти качеств разрешени спор изменени расторжени прекращени уведомлени адрес иные прав налог ндс
-    аванс предоплат отгрузк возврат рекламац ассортимент форм приём прием передач сдач акт счёт счет отчёт отчет
-    применим юрисдикц арбитраж досудебн персональн данн обработк основани наименовани количеств итог всего сведени
-    информац настоящ принят заключени сумм размер
-    """.split()
-)
-
-_INSTITUTION = re.compile(
-    r"(?:суд(?:а|у|ом|е|ы|ов|ам|ами|ах)?|палат(?:а|ы|е|у|ой|ам|ами|ах)?|(?:судебн|арбитражн|третейск|миров|районн|городск|областн|окружн|"
-    r"кассационн|апелляционн|верховн|конституционн|торгово-промышленн|прокуратур|инспекци|росреестр|министерств|ведомств|департамент|"
-    r"комитет|агентств|нотариальн|нотариус)\w*)",
-    re.I,
+# Dictionary forms of words that name roles and documents, by the kind of contract or body that they belong to.
+_ROLES = {
+    "sale and supply": "покупатель продавец поставщик товар товары поставка оборудование спецификация",
+    "lease": "арендодатель арендатор наймодатель наниматель лизингодатель лизингополучатель лизинг аренда",
+    "work and services": "заказчик подрядчик субподрядчик исполнитель застройщик инвестор услуга услуги заказ",
+    "carriage and storage": "перевозчик экспедитор отправитель грузоотправитель грузополучатель хранитель поклажедатель фрахтовщик",
+    "agency": "агент принципал комитент комиссионер доверитель поверенный представитель посредник брокер оператор",
+    "loan and security": "кредитор заёмщик заемщик должник заимодавец займодавец залогодатель залогодержатель поручитель гарант бенефициар цедент цессионарий",
+    "gift and trust": "даритель одаряемый учредитель управляющий выгодоприобретатель",
+    "insurance and finance": "страховщик страхователь банк вкладчик эмитент акционер плательщик получатель депонент",
+    "rights and licences": "лицензиар лицензиат правообладатель пользователь потребитель клиент абонент пациент",
+    "labour": "работодатель работник сотрудник",
+    "offices": "директор председатель президент руководитель бухгалтер аудитор оценщик заместитель генеральный",
+    "persons and bodies": "организация общество компания корпорация предприятие предприниматель учреждение товарищество фирма контрагент сторона участник ответственность юридический физический",
+    "documents": "договор контракт соглашение приложение протокол акт устав доверенность положение претензия реквизиты кодекс закон условие обязанность",
+}
+# Abbreviations of codes of law, as whole words.
+_CODES = frozenset("гк гпк апк нк ук упк тк ск жк зк коап фз".split())
+
+# Dictionary forms of words in headings of a contract, by its section; only for names in capitals and Latin names.
+_HEADINGS = {
+    "subject": "предмет наименование количество качество ассортимент комплектность основание",
+    "price and payment": "цена стоимость сумма размер порядок расчёт расчет аванс предоплата оплата платёж налог ндс счёт счет итого",
+    "performance": "срок сдача приёмка приемка приём передача отгрузка возврат рекламация гарантия",
+    "breach": "форс мажор обстоятельство непреодолимый санкция неустойка",
+    "disputes": "разрешение спор досудебный применимый юрисдикция арбитраж право",
+    "change and end": "изменение расторжение прекращение вступление действие заключение уведомление",
+    "data": "конфиденциальность персональный данные обработка информация сведения",
+    "final": "заключительный общий иной прочий настоящий адрес подпись форма отчёт отчет",
+}
+
+
+def _stems(words: str) -> set[str]:
+    """What all forms of a word begin with: its dictionary form without the ending."""
+    out = set()
+    for w in words.split():
+        if w.endswith("ец"):
+            out |= {w, w[:-2] + "ц"}  # the vowel is lost in other forms
+        elif w[-2:] in ("ый", "ий", "ой", "ые", "ие", "ая", "ое"):
+            out.add(w[:-2])
+        else:
+            out.add(w.rstrip("ьйаяоеыи") if len(w) > 4 else w)
+    return out
+
+
+ROLE_STEMS = tuple(sorted(set().union(*map(_stems, _ROLES.values()))))
+HEADING_STEMS = tuple(sorted(set().union(*map(_stems, _HEADINGS.values()))))
+
+_NOUN_M = ("", "а", "у", "ом", "е", "ы", "ов", "ам", "ами", "ах")
+_NOUN_F = ("а", "ы", "е", "у", "ой", "", "ам", "ами", "ах")
+_NOUN_IA = ("я", "и", "ю", "ей", "й", "ям", "ями", "ях")
+_NOUN_O = ("о", "а", "у", "ом", "е", "", "ам", "ами", "ах")
+_ADJECTIVE = ("ый", "ий", "ой", "ого", "ому", "ым", "им", "ом", "ая", "ую", "ое", "ые", "ых", "ыми", "его", "ему", "ие", "их")
+# Bodies of justice and administration by their declension: every form of each, so that surnames that only begin alike are not met.
+_BODIES = (
+    ("суд трибунал департамент комитет росреестр нотариат", _NOUN_M), ("нотариус", _NOUN_M), ("палат прокуратур служб коллеги", _NOUN_F + _NOUN_IA), ("инспекци администраци", _NOUN_IA),
+    ("министерств ведомств агентств казначейств", _NOUN_O), ("управлени отделени", ("е", "я", "ю", "ем", "и", "й", "ям", "ями", "ях")),
+    ("арбитражн третейск миров судебн нотариальн районн городск областн краев окружн верховн конституционн апелляционн кассационн федеральн торгово-промышленн таможенн налогов", _ADJECTIVE),
 )
+INSTITUTIONS = frozenset(stem + ending for stems, endings in _BODIES for stem in stems.split() for ending in endings)
 
 # Latin words that are no company names in contracts, and marks of legal form that make one.
 LATIN_STOP = frozenset(
@@ -51,19 +78,22 @@ LATIN_STOP = frozenset(
 LATIN_FORMS = frozenset("ag ab as bv co corp corporation company gmbh group holding inc incorporated kg limited llc llp lp ltd nv oy plc pte sa sarl se spa srl".split())
 
 COUNTRY_STEMS = ("рф", "росси", "федерац")
-NAME_ENDING = re.compile(
-    r"(?:ОВИЧ|ЕВИЧ|ИЧ|ОВНА|ЕВНА|ИЧНА|ИНИЧНА|ОВ|ЁВ|ЕВ|ИН|ЫН|ОВА|ЁВА|ЕВА|ИНА|ЫНА|СКИЙ|ЦКИЙ|СКАЯ|ЦКАЯ|СКОЙ|ЫХ|ИХ|ЕНКО|УК|ЮК|ШВИЛИ|ДЗЕ|ЯН|ЯНЦ|ОГЛЫ|КЫЗЫ|ИДИ)$"
-)
+
+# Endings of patronymics and of surnames in the cases that stand in headings of contracts.
+_PATRONYMICS = "(?:ОВ|ЕВ|Ь)?ИЧ(?:А|У|ЕМ|Е)?|(?:ОВ|ЕВ|ИЧ|ИНИЧ)Н(?:А|Ы|Е|У|ОЙ)"
+_SURNAMES = "(?:[ОЕЁ]В|[ИЫ]Н)(?:А|У|ЫМ|ОЙ|ЫХ)?|[СЦ]К(?:ИЙ|ОГО|ОМУ|ИМ|АЯ|ОЙ|УЮ|ИХ)|[ЫИ]Х|ЕНКО|(?:У|Ю|ЧУ)К(?:А|У|ОМ)?|ШВИЛИ|ДЗЕ|ЯН(?:Ц)?(?:А|У)?|ОГЛЫ|КЫЗЫ|ИДИ|АДИ"
+NAME_ENDING = re.compile(rf"(?:{_PATRONYMICS}|{_SURNAMES})$")
 WORD = re.compile(r"[A-Za-zА-Яа-яЁё]+")
 HYPHENATED = re.compile(r"[A-Za-zА-Яа-яЁё]+(?:-[A-Za-zА-Яа-яЁё]+)*")
 
 
 def is_role(word: str) -> bool:
-    return word.casefold().startswith(ROLE_STEMS)
+    low = word.casefold()
+    return low in _CODES or low.startswith(ROLE_STEMS)
 
 
 def is_institution(word: str) -> bool:
-    return _INSTITUTION.fullmatch(word) is not None
+    return word.casefold() in INSTITUTIONS
 
 
 def is_generic(word: str) -> bool:

@@ -46,6 +46,27 @@ def anonymize(docs: DataFrame, options: D.Options | None = None, id_col: str = "
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, text string, labels {LABELS}, n_spans long")
 
 
+def found(docs: DataFrame, options: D.Options | None = None) -> DataFrame:
+    """doc_id, start, stop, category, value: the merged spans of whole documents (doc_id, text) by all rules; positions in the text."""
+    options = options or D.Options()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                b, out = big.slice(at, 256), []
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    lines, offset = text.splitlines(keepends=True) if text else [], 0
+                    for line, spans in zip(lines, D.mask(lines, [recognised(x) for x in lines], options).spans, strict=True):
+                        out += [(doc, a + offset, z + offset, c, line[a:z]) for a, z, c in spans]
+                        offset += len(line)
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                types = (b.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "stop", "category", "value"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, start long, stop long, category string, value string")
+
+
 def documents_in(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of one doc_id at a time, from a partition sorted by it."""
     held: list[dict] = []

@@ -80,10 +80,13 @@ def spliced_runs(runs: DataFrame, replacements: DataFrame) -> DataFrame:
     return by_run.select("doc_id", "seg_no", "run_no", N.spliced(F.col("text"), F.col("spans"), lambda s: s["put"]).alias("text"))
 
 
-def switched(segments: DataFrame) -> DataFrame:
-    """``masking``: off from a section that opens the subject of a contract, on again from its details; on at first."""
+def switched(segments: DataFrame, off: tuple[str, ...] = C.SECTION_OFF, on: tuple[str, ...] = C.SECTION_ON) -> DataFrame:
+    """``masking``: off from a section that opens the subject of a contract, on again from its details; on at first.
+
+    A segment switches by the (lower-case) words in it; one that has both is on.
+    """
     low = F.lower("text")
     any_of = lambda words: F.greatest(*(F.instr(low, w) for w in words)) if len(words) > 1 else F.instr(low, words[0])
-    flag = F.when(any_of(C.SECTION_ON) > 0, F.lit(True)).when(any_of(C.SECTION_OFF) > 0, F.lit(False))
+    flag = F.when(any_of(on) > 0, F.lit(True)).when(any_of(off) > 0, F.lit(False))
     last = F.last(flag, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, 0))
     return segments.withColumn("masking", F.coalesce(last, F.lit(True)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions import native as N
+from maskloom.operators import masking
 from maskloom.operators import spans as S
 
 ANY_LABEL = r"(?u)\[[\p{L}]+(_[\p{L}]+)*_[0-9]+\]"
@@ -35,10 +36,13 @@ def residual_labels(texts: DataFrame) -> DataFrame:
     return labels_in(texts).withColumn("kind", F.lit("label")).unionByName(labels_in(texts, LOOKALIKE).withColumn("kind", F.lit("lookalike"))).distinct()
 
 
-def invented_values(changed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Sensitive-looking values in changed texts that are neither inside labels nor related to a known value."""
+def invented_values(changed: DataFrame, labels: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Sensitive-looking values in changed texts that are neither inside labels nor related to a known value.
+
+    ``found``: the spans of the changed texts (doc_id, start, stop, category, value); by default those of all rules.
+    """
     segments = S.as_segments(changed)
-    found = S.exploded(S.with_spans(segments))
+    found = masking.found(changed) if found is None else found
     inside = segments.select("doc_id", F.explode(N.match_spans(F.col("text"), r"\[[^\[\]]*\]")).alias("b")).select("doc_id", F.col("b.start").alias("from"), F.col("b.stop").alias("to"))
     outside = found.join(inside, (found["doc_id"] == inside["doc_id"]) & (inside["from"] <= found["start"]) & (found["stop"] <= inside["to"]), "left_anti")
     known = labels.select(F.col("doc_id").alias("of"), F.col("value").alias("known"))
@@ -55,8 +59,8 @@ def residual_values(outputs: DataFrame, labels: DataFrame, least: int = 3) -> Da
 
 def detector_residuals(outputs: DataFrame, least: int = 3) -> DataFrame:
     """What detection still finds in an output, labels left aside: detection is not idempotent over labels."""
-    segments = S.as_segments(outputs).withColumn("text", F.regexp_replace("text", ANY_LABEL, "\u0001"))
-    return S.exploded(S.with_spans(segments)).where(F.length("value") >= least).select("doc_id", "category", "value")
+    bare = outputs.select("doc_id", F.regexp_replace("text", ANY_LABEL, "\u0001").alias("text"))
+    return masking.found(bare).where(F.length(F.trim("value")) >= least).select("doc_id", "category", "value")
 
 
 def refuse_leaks(leaks: DataFrame) -> None:

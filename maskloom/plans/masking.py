@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from maskloom.functions import categories as C
 from maskloom.functions import native as N
 from maskloom.operators import labels as L
+from maskloom.operators import masking
 from maskloom.operators import spans as S
+from maskloom.operators import verify as V
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,18 +107,21 @@ def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of three characters or more that still stand in their own masked document."""
+    """Values of three characters or more that an output still holds: here only each document's first value was masked."""
     masked = L.anonymized_rows(read(spark, sf_dir, "documents")).where(F.size("spans") > 0)
-    each = masked.select("doc_id", "masked", F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s["category"].alias("category"), s["value"].alias("value"))))).alias("s"))
-    return each.where((F.length("s.value") >= 3) & F.expr("contains(masked, s.value)")).select("doc_id", "s.category", "s.value")
+    labels = masked.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.value")
+    texts = read(spark, sf_dir, "documents").join(masked.select("doc_id", "spans"), "doc_id")
+    first = N.spliced(F.col("text"), F.slice("spans", 1, 1), lambda s: N.label(s["category"], s["n"]))
+    return V.residual_values(texts.select("doc_id", first.alias("text")), labels)
 
 
 def unknown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of an answer that its document's table lacks. The answer is the next document's masked text."""
-    masked = L.anonymized_rows(read(spark, sf_dir, "documents")).where(F.size("spans") > 0)
-    labels = masked.select("doc_id", F.explode("spans").alias("s")).select("doc_id", N.label(F.col("s.category"), F.col("s.n")).alias("label")).distinct()
-    answers = labels.select((F.col("doc_id") - F.col("doc_id") % 7).alias("doc_id"), "label").distinct()
-    return answers.join(labels, ["doc_id", "label"], "left_anti")
+    """Labels of an answer that its document's table lacks though it knows the category. The answers go on counting: to the masked text
+    they add the label that follows each of its labels."""
+    masked = L.anonymized_rows(read(spark, sf_dir, "documents"))
+    labels = masked.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.category", N.label(F.col("s.category"), F.col("s.n")).alias("label")).distinct()
+    more = F.array_join(F.transform("spans", lambda s: N.label(s["category"], s["n"] + 1)), " ")
+    return V.unknown_labels(masked.select("doc_id", F.concat_ws(" ", "masked", more).alias("text")), labels)
 
 
 def redaction_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,20 +141,44 @@ def pii_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def smart_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section switches over lines; English markers stand in for the Russian ones, which the tables lack."""
-    from pyspark.sql import Window
-
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("seg_no", "text"))
-    flag = F.when(F.col("text").rlike("^The "), True).when(F.col("text").rlike("[|]"), False)
-    last = F.last(flag, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, 0))
-    on = rows.withColumn("masking", F.coalesce(last, F.lit(True)))
+    on = S.switched(S.lines_of(read(spark, sf_dir, "documents")), off=("and ",), on=("the ", "der "))
     return on.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("masking").alias("masked_lines"))
 
 
+def _k(width: int, fill: str) -> str:
+    return f"lpad(cast(c_custkey as varchar(20)), {width}, '{fill}')"
+
+
+#: Texts for groups of rules: literals, and (SQL of a value, its category) for what must be found. Both engines read the SQL alike.
+RULE_TEXTS = {
+    "rules_identifiers": ["ИНН ", (_k(10, "7"), C.INN_COMPANY), ", КПП ", (_k(9, "5"), C.KPP), "; ИНН физического лица ", (_k(12, "6"), C.INN_PERSON), "; ОГРН ", (_k(13, "1"), C.OGRN), "; ОГРНИП ", (_k(15, "3"), C.OGRN), "; р/с ", (_k(20, "4"), C.ACCOUNT), "; БИК банка ", (f"concat('04', {_k(7, '3')})", C.BIK), "; СНИЛС ", (f"concat('001-002-', {_k(3, '0')}, ' 04')", C.SNILS), "; участок ", (f"concat('78:10:', {_k(7, '0')}, ':12')", C.CADASTRE), "; запись ", (f"concat('77:01:', {_k(7, '0')}, ':1234 - 77/001/2020-55')", C.EGRN), "; индекс ", (_k(6, "1"), C.INDEX)],
+    "rules_papers": ["Договор № ", (f"concat({_k(4, '0')}, '-П/22')", C.DOC_NO), "; паспорт ", (f"concat('4011 ', {_k(6, '1')})", C.PASSPORT), ", выдан ", ("'ФМС по г. Пскову'", C.PASSPORT_ISSUED), ", код подразделения ", (f"concat('780-', {_k(3, '0')})", C.DIV_CODE), ", дата выдачи: ", ("'05.06.2010'", C.ISSUE_DATE), "; ", ("concat(lpad(cast(c_custkey % 28 + 1 as varchar(2)), 2, '0'), '.02.1990')", C.BIRTH_DATE), " г.р."],
+    "rules_money": ["цена ", ("concat(cast(c_custkey % 900 + 100 as varchar(9)), ' 500,00')", C.MONEY), " руб., аванс ", ("cast(c_custkey % 90 + 10 as varchar(9))", C.MONEY), " у.е., пени ", ("cast(c_custkey % 9000 + 1000 as varchar(9))", C.MONEY), " долл. США (", ("'Пятьсот рублей 00 копеек'", C.MONEY), "), итого € ", ("cast(c_custkey % 90 + 10 as varchar(9))", C.MONEY)],
+    "rules_people": ["Договор подписал ", ("case c_custkey % 4 when 0 then 'Сидоров Антон Борисович' when 1 then 'Банков Пётр Ильич' when 2 then 'СИДОРОВ А.Б.' else 'Петрова Анна Ивановна' end", C.PERSON), " от имени ООО ", (f"concat('«Василёк ', {_k(5, '0')}, '»')", C.ORG), " и КФХ ", ("'«Нива»'", C.ORG), "; почта ", (f"concat('user', {_k(5, '0')}, '@пример.рф')", C.EMAIL), ", тел. ", (f"concat('+7 921 555-', {_k(2, '0')}, '-34')", C.PHONE), " или ", ("'(812) 555-12-34'", C.PHONE)],
+    "rules_places": ["этаж ", ("cast(c_custkey % 9 + 1 as varchar(2))", C.ADDRESS), ", помещение ", ("cast(c_custkey % 900 + 1 as varchar(9))", C.ADDRESS), ", корп. ", ("'IV'", C.ADDRESS), ", подъезд ", ("cast(c_custkey % 9 + 1 as varchar(2))", C.ADDRESS), ", кв. ", (f"concat({_k(3, '1')}, 'а')", C.ADDRESS)],
+}
+
+
+def _rules(pieces: list):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = ", ".join(f"'{p}'" if isinstance(p, str) else p[0] for p in pieces)
+        return masking.found(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(f"concat({text})").alias("text")))
+
+    return query
+
+
+def _rules_sql(pieces: list) -> str:
+    columns = [f"'{p}'" if isinstance(p, str) else p[0] for p in pieces]
+    made = ", ".join(f"{c} as p{k}" for k, c in enumerate(columns))
+    at = lambda k: " + ".join(["0", *(f"length(p{j})" for j in range(k))])
+    each = [f"""select c_custkey as doc_id, ({at(k)})::bigint as "start", ({at(k + 1)})::bigint as "stop", '{p[1]}' as category, p{k} as value from t""" for k, p in enumerate(pieces) if not isinstance(p, str)]
+    return f"with t as (select c_custkey, {made} from customer) {' union all '.join(each)}"
+
+
 QUERIES = {
     "detect_email": _spans("documents", "doc_id", "text", N.EMAIL),
     "detect_phone": _spans("documents", "doc_id", "text", N.PHONE),
     "detect_email_pages": _spans("pages", "page_id", "html", N.EMAIL),
-    "detect_digit_ids": _spans("documents", "doc_id", "text", N.DIGITS, lambda s: N.stands_alone(s) & F.length(s["value"]).isin(*N.DIGIT_IDS)),
     "detect_digit_ids_pages": _spans("pages", "page_id", "html", N.DIGITS, lambda s: N.stands_alone(s) & F.length(s["value"]).isin(*N.DIGIT_IDS)),
     "detect_decimal_money": _spans("documents", "doc_id", "text", N.DECIMAL, lambda s: ~s["before"].rlike("[0-9.,]") & ~s["after"].rlike("[0-9.,]") & s["value"].rlike("[1-9]")),
     "span_union": span_union,
@@ -164,7 +193,7 @@ QUERIES = {
     "redaction_targets": redaction_targets,
     "pii_cube": pii_cube,
     "smart_toggle": smart_toggle,
-}
+} | {name: _rules(pieces) for name, pieces in RULE_TEXTS.items()}
 
 
 def _plain(table: str, key: str, text: str, pattern: str, where: str = "true") -> str:
@@ -176,7 +205,6 @@ ORACLES = {
     "detect_email": _plain("documents", "doc_id", "text", N.EMAIL),
     "detect_phone": _plain("documents", "doc_id", "text", N.PHONE),
     "detect_email_pages": _plain("pages", "page_id", "html", N.EMAIL),
-    "detect_digit_ids": _plain("documents", "doc_id", "text", N.DIGITS, f"{_ALONE} and {_LENGTHS}"),
     "detect_digit_ids_pages": _plain("pages", "page_id", "html", N.DIGITS, f"{_ALONE} and {_LENGTHS}"),
     "detect_decimal_money": _plain("documents", "doc_id", "text", N.DECIMAL, "not regexp_matches(before, '[0-9.,]') and not regexp_matches(after, '[0-9.,]') and regexp_matches(value, '[1-9]')"),
     "span_union": f'with {_UNITED} select doc_id, "start", "stop", category, value from v',
@@ -192,12 +220,16 @@ n as (select conv_id, value, row_number() over (partition by conv_id order by fi
 select conv_id, n, '[ФИО_' || n || ']' as label, value from n""",
     "anonymize_documents": f"with {_MASKED} select doc_id, masked, n_spans from a",
     "restore_roundtrip": f"with {_MASKED} select a.doc_id, a.n_spans as restored, 0 as unresolved, true as equal, sha256(coalesce(d.text, '')) as text_sha256 from a join documents d using (doc_id)",
-    "leak_scan": f"with {_MASKED} select distinct n.doc_id, n.category, n.value from n join a using (doc_id) where length(n.value) >= 3 and contains(a.masked, n.value)",
-    "unknown_labels": f"with {_UNITED}, l as (select distinct doc_id, '[' || category || '_' || n || ']' as label from n), x as (select distinct doc_id - doc_id % 7 as doc_id, label from l) select x.* from x anti join l using (doc_id, label)",
+    "leak_scan": f"""with {_UNITED}, one as (select doc_id, "start", "stop", '[' || category || '_' || n || ']' as label from n qualify row_number() over (partition by doc_id order by "start") = 1),
+o as (select doc_id, substr(text, 1, "start") || label || substr(text, "stop" + 1) as text from documents join one using (doc_id)),
+w as (select distinct doc_id, value from n where length(trim(value)) >= 3)
+select doc_id, value from w join o using (doc_id) where contains(regexp_replace(text, '[ \\t\\n\u00A0\u202F]+', '', 'g'), regexp_replace(value, '[ \\t\\n\u00A0\u202F]+', '', 'g'))""",
+    "unknown_labels": f"with {_UNITED} select doc_id, '[' || category || '_' || (max(n) + 1) || ']' as label from n group by doc_id, category",
     "redaction_targets": f"with {_UNITED}, g as (select doc_id, trim(value) as value, min(\"start\") as first_at from n where length(trim(value)) >= 3 group by all) select doc_id, value, row_number() over (partition by doc_id order by first_at) as place from g",
     "pii_cube": f"with {_RAW} select d.lang, d.source, category, count(*) as n from raw join documents d using (doc_id) group by cube (d.lang, d.source, category)",
-    "smart_toggle": """with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as k from documents),
-f as (select *, case when regexp_matches(line, '^The ') then true when regexp_matches(line, '[|]') then false end as flag from l),
+    "smart_toggle": """with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as k, len(string_split(coalesce(text, ''), chr(10))) as top from documents),
+x as (select * from l where k < top or line <> ''),
+f as (select *, case when contains(lower(line), 'the ') or contains(lower(line), 'der ') then true when contains(lower(line), 'and ') then false end as flag from x),
 m as (select *, coalesce(last_value(flag ignore nulls) over (partition by doc_id order by k rows unbounded preceding), true) as masking from f)
 select doc_id, count(*) as lines, count(*) filter (masking) as masked_lines from m group by doc_id""",
-}
+} | {name: _rules_sql(pieces) for name, pieces in RULE_TEXTS.items()}

@@ -125,9 +125,9 @@ def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "nation").select("n_nationkey", B.letters_column(n).alias("letters"), B.roman_column(n).alias("roman"))
 
 
-_FORMATS = """with n as (select n_nationkey, n_nationkey * 7 + 1 as n from nation)
-select n_nationkey, repeat(substr('abcdefghijklmnopqrstuvwxyz', ((n - 1) % 26 + 1)::bigint, 1), ((n - 1) // 26 + 1)::bigint) as letters,
-  ['', 'c', 'cc', 'ccc'][(n // 100) + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][(n // 10) % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][n % 10 + 1] as roman from n"""
+_FORMATS = """with n as (select n_nationkey, n_nationkey * 7 + 1 as n from nation), l as (select 'abcdefghijklmnopqrstuvwxyz' as abc)
+select n_nationkey, case when n > 26 then substr(abc, ((n - 1) // 26)::bigint, 1) else '' end || substr(abc, ((n - 1) % 26 + 1)::bigint, 1) as letters,
+  ['', 'c', 'cc', 'ccc'][(n // 100) + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][(n // 10) % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][n % 10 + 1] as roman from n, l"""
 
 
 def cell_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +216,8 @@ def hallucination_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     segments = S.as_segments(docs)
     known = S.exploded(S.with_spans(segments)).select("doc_id", "value")
-    return verify.invented_values(docs.select((F.col("doc_id") - 1).alias("doc_id"), "text"), known).distinct()
+    answers = docs.select((F.col("doc_id") - 1).alias("doc_id"), "text")
+    return verify.invented_values(answers, known, S.exploded(S.with_spans(S.as_segments(answers)))).distinct()
 
 
 QUERIES = {
@@ -243,18 +244,17 @@ QUERIES = {
 
 ORACLES = {
     "detect_latin_org": _LATIN_SQL,
-    "propagate_terms": """with t as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{5,}', 0)) as term from documents),
-s as (select doc_id, first(term order by length(term) desc, term) as term from t group by doc_id),
+    "propagate_terms": """with s as (select distinct doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{5,}', 0)) as term from documents),
 n as (select s.*, d.text from s join documents d using (doc_id) where not regexp_matches(d.text, '(^|[^A-Za-z0-9_])' || lower(term) || '($|[^A-Za-z0-9_])')),
 p as (select doc_id, term, string_split(lower(text), lower(term)) as parts from n),
 o as (select doc_id, term, parts, unnest(generate_series(1, len(parts) - 1)) as k from p),
 f as (select doc_id, term, (list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(term))::bigint as "start" from o)
 select doc_id, term, "start", "start" + length(term) as "stop" from f""",
     "normalize_align": f"with {_LINES} select doc_id, k, {_NORM} as norm from l",
-    "line_equal_moves": f"""with {_LINES}, n as (select doc_id, k, {_NORM} as norm from l),
-b as (select doc_id, norm, min(k) as base, max(k) as last from n where norm <> '' group by all), t as (select doc_id, max(k) as top from n where norm <> '' group by doc_id)
-select doc_id, base, top - last as answer, sha256(norm) as norm_sha256 from b join t using (doc_id) where base <> top - last""",
-    "hallucination_scan": f"""with {_UNITED}, c as (select distinct doc_id - 1 as doc_id, category, value from v where doc_id % 5 = 1)
+    "line_equal_moves": f"""with {_LINES}, n as (select doc_id, k, {_NORM} as norm from l), t as (select doc_id, max(k) as top from n where norm <> '' group by doc_id),
+r as (select doc_id, norm, k as base, top, row_number() over (partition by doc_id, norm order by k) as i, row_number() over (partition by doc_id, norm order by k desc) as j from n join t using (doc_id) where norm <> '')
+select a.doc_id, a.base, a.top - b.base as answer, sha256(a.norm) as norm_sha256 from r a join r b on a.doc_id = b.doc_id and a.norm = b.norm and a.i = b.j where a.base <> a.top - b.base""",
+    "hallucination_scan": f"""with {_UNITED}, c as (select distinct doc_id - 1 as doc_id, category, value from v)
 select c.* from c where not exists (select 1 from v k where k.doc_id = c.doc_id and (contains(c.value, k.value) or contains(k.value, c.value)))""",
     "gap_islands": _GAPS,
     "pdf_paragraphs": _PARAGRAPHS,

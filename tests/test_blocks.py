@@ -21,7 +21,7 @@ def merge(base, answer, **kw):
 
 
 def test_numbers():
-    assert [B.letters(n) for n in (1, 26, 27, 28)] == ["a", "z", "aa", "bb"]
+    assert [B.letters(n) for n in (1, 26, 27, 28, 52, 53, 702, 703)] == ["a", "z", "aa", "ab", "az", "ba", "zz", "aaa"]
     assert B.letters(1, B.RUSSIAN) == "а" and B.roman(1994) == "mcmxciv"
     numbers = B.ListNumbers({("l", 0): ("decimal", "%1."), ("l", 1): ("lowerLetter", "%1.%2)")})
     assert [numbers("l", k) for k in (0, 1, 1, 0, 1)] == ["1.", "1.a)", "1.b)", "2.", "2.a)"]
@@ -110,3 +110,31 @@ def test_limits_refuse():
     many = [B.Block("para", f"t{k}") for k in range(A.MAX_BLOCKS + 1)]
     with pytest.raises(A.TooLarge):
         A.aligned(many, many[:1])
+
+
+def test_cheapest_steps_equal_all_ways():
+    import numpy as np
+
+    from maskloom.functions import alignment as A
+
+    def every(n, m):
+        if (n, m) == (0, 0):
+            yield ()
+        for a, b in ((1, 1), (1, 0), (0, 1)):
+            if n >= a and m >= b:
+                yield from ((*way, (a, b)) for way in every(n - a, m - b))
+
+    def price(way, table):
+        i = j = 0
+        total = 0.0
+        for a, b in way:
+            total += table[i, j] if a and b else 0.2
+            i, j = i + a, j + b
+        return total
+
+    rng = np.random.default_rng(1)
+    for n in range(5):
+        for m in range(5):
+            table = rng.choice([1.0, -0.6, -0.75, -0.9], (n, m))
+            found = [tuple(map(int, s)) for s in A.cheapest_steps(table)]
+            assert abs(price(found, table) - min(price(w, table) for w in every(n, m))) < 1e-9

@@ -54,9 +54,34 @@ HIDE = [
     ("итого € 700", ["700"], C.MONEY),
     ("Цена 300 000 (Триста тысяч)\nрублей", ["Триста тысяч"], C.MONEY),
     ("индекс 190000,", ["190000"], C.INDEX),
+    ("Фонд «Заря»", ["Заря"], C.ORG),
+    ("КФХ «Нива»", ["Нива"], C.ORG),
+    ("Банк «Восток»", ["Восток"], C.ORG),
+    ("77:01:0001001:1234 - 77/001/2020-55", ["77/001/2020-55", "0001001"], C.EGRN),
+    ("паспорт выдан ФМС по г. Пскову", ["ФМС", "Пскову"], C.PASSPORT_ISSUED),
+    ("код подразделения 780001", ["780001"], C.DIV_CODE),
+    ("01.02.1990 г.р.", ["01.02.1990"], C.BIRTH_DATE),
+    ("аванс 500 у.е.", ["500"], C.MONEY),
+    ("аванс 500 долл. США", ["500"], C.MONEY),
+    ("(Пятьсот рублей 00 копеек)", ["Пятьсот", "00"], C.MONEY),
+    ("ИНН физического лица 781234567890", ["781234567890"], C.INN_PERSON),
+    ("БИК банка получателя: 123456789", ["123456789"], C.BIK),
 ]
 
 
+@pytest.mark.parametrize("text,kept,gone", [
+    ("этаж 5, помещение 12, подъезд 3", ["этаж [АДРЕС_1]", "помещение [АДРЕС_2]", "подъезд [АДРЕС_3]"], []),
+    ("Кв. 8 и ОФИС 12а", ["Кв. [АДРЕС_1]", "ОФИС [АДРЕС_2]"], ["12а"]),
+    ("корп. II", ["корп. [АДРЕС_1]"], ["II"]),
+    ("№ подписи сторон", ["№ подписи сторон"], []),
+    ("01.02.1990 г.р.", ["г.р."], ["1990"]),
+])
+def test_what_stays_beside_it(text, kept, gone):
+    out = masked(text)
+    assert all(k in out for k in kept) and not any(g in out for g in gone), out
+
+
+
 @pytest.mark.parametrize("text,fragments,category", HIDE)
 def test_sensitive_values_disappear(text, fragments, category):
     out = masked(text)
