@@ -10,6 +10,8 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from difflib import SequenceMatcher
 from xml.etree import ElementTree as ET
 
 from pyspark.sql import DataFrame
@@ -69,11 +71,14 @@ def unsupported(body: ET.Element) -> str | None:
 
 
 def _text(p: ET.Element) -> str:
-    out = []
+    out: list[str] = []
+    skipped: set[ET.Element] = set()
     for e in p.iter():
         if e.tag == f"{W}t":
             out.append(e.text or "")
-        elif e.tag in (f"{W}tab", f"{W}br"):
+        elif e.tag == f"{W}tabs":
+            skipped |= set(e)  # stops of tabs are a format
+        elif e.tag in (f"{W}tab", f"{W}br") and e not in skipped:
             out.append("\t" if e.tag.endswith("tab") else "\n")
     return "".join(out)
 
@@ -114,25 +119,7 @@ def docx_texts(raw: bytes) -> Iterator[str]:
 
 def xlsx_cells(raw: bytes) -> Iterator[tuple[str, str, str]]:
     """(sheet part, cell, text) of cells to look at: strings, and numbers of ten digits or more; truth values never."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        names = z.namelist()
-        shared = ["".join(t.text or "" for t in si.iter(f"{S}t")) for si in parsed(z.read("xl/sharedStrings.xml")).findall(f"{S}si")] if "xl/sharedStrings.xml" in names else []
-        for part in sorted(n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)):
-            root = parsed(z.read(part))
-            for c in root.iter(f"{S}c"):
-                kind, value = c.get("t", "n"), c.findtext(f"{S}v")
-                if kind == "s" and value is not None:
-                    yield part, c.get("r", ""), shared[int(value)]
-                elif kind == "inlineStr":
-                    yield part, c.get("r", ""), "".join(t.text or "" for t in c.iter(f"{S}t"))
-                elif kind in ("n", "str") and value and (kind == "str" or cell_admitted(value)):
-                    yield part, c.get("r", ""), value
-            head = root.find(f"{S}headerFooter")
-            yield from ((part, e.tag.rpartition("}")[2], e.text) for e in (head if head is not None else ()) if e.text)
-        for part in sorted(n for n in names if re.fullmatch(r"xl/comments[^/]*\.xml", n)):
-            root = parsed(z.read(part))
-            yield from ((part, "author", a.text) for a in root.iter(f"{S}author") if a.text)
-            yield from ((part, c.get("ref", ""), "".join(t.text or "" for t in c.iter(f"{S}t"))) for c in root.iter(f"{S}comment"))
+    yield from ((s.part, s.name, s.text) for s in _xlsx_slots(_Archive(raw)))
 
 
 def cell_admitted(value: str) -> bool:
@@ -153,42 +140,189 @@ def xlsx_segments(files: DataFrame) -> DataFrame:
     return scanned(files, texts)
 
 
+class _Archive:
+    """Members of an archive, parsed where they are asked for; those that were written are put back."""
+
+    def __init__(self, raw: bytes):
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            self.members = {n: z.read(n) for n in z.namelist()}
+        self.trees: dict[str, ET.Element] = {}
+
+    def tree(self, name: str) -> ET.Element:
+        if name not in self.trees:
+            self.trees[name] = parsed(self.members[name])
+        return self.trees[name]
+
+    def packed(self, changed: set[str]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for n, raw in self.members.items():
+                if n in changed:
+                    raw = ET.tostring(self.trees[n], encoding="UTF-8", xml_declaration=True)
+                z.writestr(n, blanked(raw) if n in ("docProps/core.xml", "docProps/app.xml") else raw)
+        return out.getvalue()
+
+
+@dataclass
+class Slot:
+    """A place that holds one segment's text, and how to put another text there."""
+
+    part: str
+    name: str
+    text: str
+    put: Callable[[str], None]
+
+
+_TOKENS = re.compile(r"\w+|\W")
+
+
+def _changes(old: str, new: str) -> list[tuple[int, int, str]]:
+    """(start, stop, put) that turn old into new, word by word."""
+    left, right = _TOKENS.findall(old), _TOKENS.findall(new)
+    at = [0]
+    for t in left:
+        at.append(at[-1] + len(t))
+    codes = SequenceMatcher(None, left, right, autojunk=False).get_opcodes()
+    return [(at[a], at[z], "".join(right[b:y])) for tag, a, z, b, y in codes if tag != "equal"]
+
+
 def _put(p: ET.Element, new: str) -> None:
-    """A paragraph's text replaced; the first text run that changes takes it, what isn't text stays."""
-    runs = list(p.iter(f"{W}t"))
-    if runs:
-        runs[0].text = new
-        runs[0].set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
-        for r in runs[1:]:
-            r.text = ""
+    """A paragraph's text replaced. Only what changes is touched: the first piece of text that a change meets takes what is put in,
+    further ones lose their part, tabs and breaks inside it go; formats and everything else stay."""
+    parent = {child: e for e in p.iter() for child in e}
+    pieces, at = [], 0  # element, start, stop
+    for e in p.iter():
+        if e.tag in (f"{W}t", f"{W}tab", f"{W}br") and not (e.tag == f"{W}tab" and parent[e].tag == f"{W}tabs"):
+            size = len(e.text or "") if e.tag == f"{W}t" else 1
+            pieces.append((e, at, at + size))
+            at += size
+    texts = [x for x in pieces if x[0].tag == f"{W}t"]
+    if not texts:
+        return
+    for start, stop, put in reversed(_changes(_text(p), new)):  # from the end, so that earlier places stay where they are
+        met = [x for x in pieces if x[1] < stop and start < x[2]]
+        host = next((x for x in met if x[0].tag == f"{W}t"), None)
+        host = host or next((x for x in reversed(texts) if x[1] <= start), texts[0])
+        for e, a, z in met:
+            if e.tag != f"{W}t":
+                parent[e].remove(e)
+            elif e is not host[0]:
+                e.text = e.text[: max(start - a, 0)] + e.text[min(stop, z) - a :]
+        e, a, z = host
+        cut = min(max(start - a, 0), z - a)
+        e.text = (e.text or "")[:cut] + put + (e.text or "")[max(cut, min(stop, z) - a) :]
+        e.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+
+
+def _docx_slots(archive: _Archive) -> Iterator[Slot]:
+    for part in docx_parts(list(archive.members)):
+        for p in _paragraphs(archive.tree(part)):
+            yield Slot(part, "", _text(p), lambda new, p=p: _put(p, new))
+
+
+def _without_children(c: ET.Element, new: str) -> None:
+    for e in list(c):
+        c.remove(e)
+    c.set("t", "inlineStr")
+    ET.SubElement(ET.SubElement(c, f"{S}is"), f"{S}t").text = new
+
+
+def _texts_set(c: ET.Element, new: str) -> None:
+    for k, t in enumerate(c.iter(f"{S}t")):
+        t.text = "" if k else new
+
+
+def _xlsx_slots(archive: _Archive, max_cells: int = 1_000_000) -> Iterator[Slot]:
+    names = list(archive.members)
+    shared = ["".join(t.text or "" for t in si.iter(f"{S}t")) for si in archive.tree("xl/sharedStrings.xml").findall(f"{S}si")] if "xl/sharedStrings.xml" in names else []
+    for part in sorted(n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)):
+        root = archive.tree(part)
+        for k, c in enumerate(root.iter(f"{S}c")):
+            if k >= max_cells:
+                raise ValueError(f"more than {max_cells} cells")
+            kind, value = c.get("t", "n"), c.findtext(f"{S}v")
+            text = None
+            if kind == "s" and value is not None:
+                text = shared[int(value)]
+            elif kind == "inlineStr":
+                text = "".join(t.text or "" for t in c.iter(f"{S}t"))
+            elif kind in ("n", "str") and value and (kind == "str" or cell_admitted(value)):
+                text = value
+            if text is not None:
+                yield Slot(part, c.get("r", ""), text, lambda new, c=c: _without_children(c, new))
+        head = root.find(f"{S}headerFooter")
+        for e in head if head is not None else ():
+            if e.text:
+                yield Slot(part, e.tag.rpartition("}")[2], e.text, lambda new, e=e: setattr(e, "text", new))
+    for part in sorted(n for n in names if re.fullmatch(r"xl/comments[^/]*\.xml", n)):
+        root = archive.tree(part)
+        for a in root.iter(f"{S}author"):
+            if a.text:
+                yield Slot(part, "author", a.text, lambda new, a=a: setattr(a, "text", new))
+        for c in root.iter(f"{S}comment"):
+            yield Slot(part, c.get("ref", ""), "".join(t.text or "" for t in c.iter(f"{S}t")), lambda new, c=c: _texts_set(c, new))
+
+
+def _rewritten(archive: _Archive, slots: list[Slot], new: list[str]) -> set[str]:
+    changed = set()
+    for slot, text in zip(slots, new, strict=True):
+        if text != slot.text:
+            slot.put(text)
+            changed.add(slot.part)
+    return changed
+
+
+def docx_changed(raw: bytes, change: Callable[[list[str]], list[str]]) -> bytes:
+    """The document with its paragraphs, in the order of traversal, changed together; properties and authors of comments blanked."""
+    if why := refused(raw):
+        raise ValueError(why)
+    archive = _Archive(raw)
+    slots = list(_docx_slots(archive))
+    changed = _rewritten(archive, slots, change([s.text for s in slots]))
+    for part in docx_parts(list(archive.members)):
+        for e in archive.tree(part).iter(f"{W}comment"):
+            for a in ("author", "initials"):
+                if e.get(W + a):
+                    e.set(W + a, "")
+                    changed.add(part)
+    return archive.packed(changed)
+
+
+def xlsx_changed(raw: bytes, change: Callable[[list[str]], list[str]]) -> bytes:
+    """The workbook with its texts, in the order of traversal, changed together. Strings move into their cells, so that the shared
+    table keeps none of the old ones; sheets get generic names, names that are defined go, properties and authors are blanked."""
+    if why := refused(raw):
+        raise ValueError(why)
+    archive = _Archive(raw)
+    slots = list(_xlsx_slots(archive))
+    new = ["" if s.name == "author" else t for s, t in zip(slots, change([s.text for s in slots]), strict=True)]
+    changed = _rewritten(archive, slots, new)
+    if "xl/sharedStrings.xml" in archive.members:
+        shared = archive.tree("xl/sharedStrings.xml")
+        strings = ["".join(t.text or "" for t in si.iter(f"{S}t")) for si in shared.findall(f"{S}si")]
+        for part in sorted(n for n in archive.members if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)):
+            for c in archive.tree(part).iter(f"{S}c"):
+                if c.get("t") == "s" and c.findtext(f"{S}v") is not None:
+                    _without_children(c, strings[int(c.findtext(f"{S}v"))])
+                    changed.add(part)
+        for si in list(shared):
+            shared.remove(si)
+        for a in ("count", "uniqueCount"):
+            shared.set(a, "0")
+        changed.add("xl/sharedStrings.xml")
+    if "xl/workbook.xml" in archive.members:
+        book = archive.tree("xl/workbook.xml")
+        for k, sheet in enumerate(book.iter(f"{S}sheet"), 1):
+            sheet.set("name", f"Sheet{k}")
+        for e in [e for e in book if e.tag == f"{S}definedNames"]:
+            book.remove(e)
+        changed.add("xl/workbook.xml")
+    return archive.packed(changed)
 
 
 def docx_rewritten(raw: bytes, change: Callable[[str], str]) -> bytes:
     """The document with ``change`` applied to its paragraphs in the order of traversal, properties blanked."""
-    if why := refused(raw):
-        raise ValueError(why)
-    out = io.BytesIO()
-    with zipfile.ZipFile(io.BytesIO(raw)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
-        done: dict[str, bytes] = {}
-        for part in docx_parts(z.namelist()):
-            root = parsed(z.read(part))
-            changed = False
-            for p in _paragraphs(root):
-                text = _text(p)
-                put = change(text)
-                if put != text:
-                    _put(p, put)
-                    changed = True
-            for e in root.iter(f"{W}comment"):
-                for a in ("author", "initials"):
-                    if e.get(W + a):
-                        e.set(W + a, "")
-                        changed = True
-            if changed:
-                done[part] = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
-        for n in z.namelist():
-            new.writestr(n, blanked(z.read(n)) if n in ("docProps/core.xml", "docProps/app.xml") else done.get(n, z.read(n)))
-    return out.getvalue()
+    return docx_changed(raw, lambda texts: [change(t) for t in texts])
 
 
 def blanked(raw: bytes) -> bytes:
