@@ -7,6 +7,7 @@ part of the contract, as it decides ties between spans.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -24,6 +25,7 @@ class Rule:
     pattern: re.Pattern
     group: int = 0
     validator: Narrow | None = None
+    needs: str = ""
 
 
 # --- validators --------------------------------------------------------------------------------
@@ -115,12 +117,12 @@ _BARE = r"(?<![\w-])(?<!\d[.,])"
 _END = r"(?![\w-])(?![.,]\d)"
 
 
-def _rule(name: str, category: str, pattern: str, group: int = 0, validator: Narrow | None = None, flags: int = 0) -> Rule:
-    return Rule(name, category, re.compile(pattern, flags), group, validator)
+def _rule(name: str, category: str, pattern: str, group: int = 0, validator: Narrow | None = None, flags: int = 0, needs: str = "я") -> Rule:
+    return Rule(name, category, re.compile(pattern, flags), group, validator, needs)
 
 
 def _bare(name: str, category: str, digits: int) -> Rule:
-    return _rule(name, category, rf"{_BARE}\d{{{digits}}}{_END}")
+    return _rule(name, category, rf"{_BARE}\d{{{digits}}}{_END}", needs="0")
 
 
 RULES: tuple[Rule, ...] = (
@@ -132,61 +134,69 @@ RULES: tuple[Rule, ...] = (
     _rule("given_patronymic_surname", C.PERSON, rf"\b{_TITLE}\s+{_PATRONYMIC}\s+{_SURNAME}\b"),
     _rule("surname_initials", C.PERSON, rf"\b{_SURNAME}\s+{_INITIALS}"),
     _rule("initials_surname", C.PERSON, rf"\b{_INITIALS}\s?{_SURNAME}\b"),
-    _rule("register_number", C.EGRN, rf"(?<!\d)(?:{_CADASTRE}\s*[-–—]\s*\d{{2}}/\d{{3}}/\d{{4}}-\d+|\d{{2}}-\d{{2}}/\d{{3,4}}-\d+)"),
-    _rule("cadastre", C.CADASTRE, rf"(?<!\d){_CADASTRE}(?!\d)"),
+    _rule("register_number", C.EGRN, rf"(?<!\d)(?:{_CADASTRE}\s*[-–—]\s*\d{{2}}/\d{{3}}/\d{{4}}-\d+|\d{{2}}-\d{{2}}/\d{{3,4}}-\d+)", needs="0"),
+    _rule("cadastre", C.CADASTRE, rf"(?<!\d){_CADASTRE}(?!\d)", needs="0"),
     _rule("passport_issued", C.PASSPORT_ISSUED, rf"\b[Вв]ыдан\w*:?\s+({_AUTHORITY}[^\n]{{3,200}}?)(?=,?\s*(?:{_DATE}|код\b|\d{{3}}-\d{{3}})|[;\n]|$)", 1),
-    _rule("passport_series", C.PASSPORT, r"\bсери[яи]\s*:?\s*(\d{2}\s?\d{2}\s*(?:№|номер|N)?\s*\d{6})", 1, flags=re.I),
-    _rule("passport", C.PASSPORT, r"\bпаспорт\w*(?:\s+(?:РФ|гражданина РФ))?\s*:?\s*(?:№\s*)?(\d{2}\s?\d{2}\s*(?:№\s*)?\d{6})(?!\d)", 1, flags=re.I),
-    _rule("snils", C.SNILS, r"\b(?:снилс|страхово\w+ (?:свидетельств\w+|номер\w*))\s*:?\s*(?:№\s*)?(\d{3}-\d{3}-\d{3}[ -]\d{2}|\d{11})(?!\d)", 1, flags=re.I),
-    _rule("division_code", C.DIV_CODE, r"\bкод\s+подразделения\s*:?\s*(\d{3}[-–]?\d{3})(?!\d)", 1, flags=re.I),
-    _rule("born", C.BIRTH_DATE, rf"({_DATE})\s*(?:(?:г\.?\s*|года?\s+)?рождения|г\.\s?р\b)", 1),
-    _rule("birth_date", C.BIRTH_DATE, rf"\bдат[аы]\s+рождения\s*:?\s*({_DATE})", 1, flags=re.I),
-    _rule("issue_date", C.ISSUE_DATE, rf"\bдат[аы]\s+выдачи\s*:?\s*({_DATE})", 1, flags=re.I),
+    _rule("passport_series", C.PASSPORT, r"\bсери[яи]\s*:?\s*(\d{2}\s?\d{2}\s*(?:№|номер|N)?\s*\d{6})", 1, flags=re.I, needs="я0"),
+    _rule("passport", C.PASSPORT, r"\bпаспорт\w*(?:\s+(?:РФ|гражданина РФ))?\s*:?\s*(?:№\s*)?(\d{2}\s?\d{2}\s*(?:№\s*)?\d{6})(?!\d)", 1, flags=re.I, needs="я0"),
+    _rule("snils", C.SNILS, r"\b(?:снилс|страхово\w+ (?:свидетельств\w+|номер\w*))\s*:?\s*(?:№\s*)?(\d{3}-\d{3}-\d{3}[ -]\d{2}|\d{11})(?!\d)", 1, flags=re.I, needs="я0"),
+    _rule("division_code", C.DIV_CODE, r"\bкод\s+подразделения\s*:?\s*(\d{3}[-–]?\d{3})(?!\d)", 1, flags=re.I, needs="я0"),
+    _rule("born", C.BIRTH_DATE, rf"({_DATE})\s*(?:(?:г\.?\s*|года?\s+)?рождения|г\.\s?р\b)", 1, needs="я0"),
+    _rule("birth_date", C.BIRTH_DATE, rf"\bдат[аы]\s+рождения\s*:?\s*({_DATE})", 1, flags=re.I, needs="я0"),
+    _rule("issue_date", C.ISSUE_DATE, rf"\bдат[аы]\s+выдачи\s*:?\s*({_DATE})", 1, flags=re.I, needs="я0"),
     _rule("birth_place", C.BIRTH_PLACE, r"\b[Мм]есто\s+рождения\s*:\s*([^\n]{3,200}?)(?=[,;.]?\s*(?:[Пп]аспорт|[Сс]ерия)|[;\n]|$)", 1),
     _rule("registered_at", C.ADDRESS, rf"\b[Зз]арегистрирован\w*\s+по\s+адресу\s*:?\s*({_REST}{{5,250}}?)(?=\s*(?:[Пп]аспорт|ИНН|СНИЛС|[Тт]ел\b)|{_STOP}|\n|$)", 1),
     _rule("registration_address", C.ADDRESS, rf"\b[Аа]дрес\s+регистрации\s*:\s*({_REST}{{5,250}}?)(?=\s*(?:[Пп]аспорт|ИНН|СНИЛС|[Тт]ел\b)|{_STOP}|\n|$)", 1),
     _rule("labelled_address", C.ADDRESS, rf"\b(?:[Юю]ридический|[Пп]очтовый|[Фф]актический|[Мм]есто нахождения|[Аа]дрес)(?:\s+адрес)?\s*:\s*({_REST}{{10,200}}?)(?={_STOP}|\s*;|\n|$)", 1),
-    _rule("street_address", C.ADDRESS, rf"(?:\bг\.\s?|\bгород\s+){_TITLE}(?:-{_TITLE})?,\s*{_STREET}\.?\s+[^\n,]{{2,60}}(?:,\s*{_BUILDING}\.?\s*\d+[\w/-]*)+"),
+    _rule("street_address", C.ADDRESS, rf"(?:\bг\.\s?|\bгород\s+){_TITLE}(?:-{_TITLE})?,\s*{_STREET}\.?\s+[^\n,]{{2,60}}(?:,\s*{_BUILDING}\.?\s*\d+[\w/-]*)+", needs="я0"),
     _rule("building_part", C.ADDRESS, rf"\b(?:д|дом|корп|корпус|строение|кв|квартира|оф|офис|пом|помещение|этаж|подъезд|комната|секция)\b\.?\s*(?:№\s*)?(\d+[а-я]?(?:/\d+)?|(?-i:[IVXLC]+))\b", 1, flags=re.I),
-    _rule("account", C.ACCOUNT, r"(?:р/с|к/с|р/сч|корр?\.?\s*сч[её]т|расч[её]тный\s+сч[её]т|сч[её]т)\w*\s*:?\s*(?:№\s*)?(\d{20})(?!\d)", 1, flags=re.I),
+    _rule("account", C.ACCOUNT, r"(?:р/с|к/с|р/сч|корр?\.?\s*сч[её]т|расч[её]тный\s+сч[её]т|сч[её]т)\w*\s*:?\s*(?:№\s*)?(\d{20})(?!\d)", 1, flags=re.I, needs="я0"),
     _bare("bare_account", C.ACCOUNT, 20),
-    _rule("ogrn", C.OGRN, r"\bОГРН(?:ИП)?\s*:?\s*(?:№\s*)?(\d{13,15})(?!\d)", 1, flags=re.I),
+    _rule("ogrn", C.OGRN, r"\bОГРН(?:ИП)?\s*:?\s*(?:№\s*)?(\d{13,15})(?!\d)", 1, flags=re.I, needs="я0"),
     _bare("bare_ogrnip", C.OGRN, 15),
     _bare("bare_ogrn", C.OGRN, 13),
-    _rule("inn_person", C.INN_PERSON, rf"\bИНН{_BETWEEN}(\d{{12}})(?!\d)", 1, flags=re.I),
+    _rule("inn_person", C.INN_PERSON, rf"\bИНН{_BETWEEN}(\d{{12}})(?!\d)", 1, flags=re.I, needs="я0"),
     _bare("bare_inn_person", C.INN_PERSON, 12),
-    _rule("inn_company", C.INN_COMPANY, rf"\bИНН{_BETWEEN}(\d{{10}})(?!\d)", 1, flags=re.I),
+    _rule("inn_company", C.INN_COMPANY, rf"\bИНН{_BETWEEN}(\d{{10}})(?!\d)", 1, flags=re.I, needs="я0"),
     _bare("bare_inn_company", C.INN_COMPANY, 10),
-    _rule("kpp", C.KPP, r"\bКПП\s*:?\s*(?:№\s*)?(\d{9})(?!\d)", 1, flags=re.I),
-    _rule("bik", C.BIK, rf"\bБИК{_BETWEEN}(\d{{9}})(?!\d)", 1, flags=re.I),
-    _rule("bare_bik", C.BIK, rf"{_BARE}04\d{{7}}{_END}"),
-    _rule("swift", C.SWIFT, r"\b(?:SWIFT|СВИФТ)(?:-код|\s+code|\s+код)?\s*:?\s*([A-Z]{6}[A-Z0-9]{2,5})\b", 1),
+    _rule("kpp", C.KPP, r"\bКПП\s*:?\s*(?:№\s*)?(\d{9})(?!\d)", 1, flags=re.I, needs="я0"),
+    _rule("bik", C.BIK, rf"\bБИК{_BETWEEN}(\d{{9}})(?!\d)", 1, flags=re.I, needs="я0"),
+    _rule("bare_bik", C.BIK, rf"{_BARE}04\d{{7}}{_END}", needs="0"),
+    _rule("swift", C.SWIFT, r"\b(?:SWIFT|СВИФТ)(?:-код|\s+code|\s+код)?\s*:?\s*([A-Z]{6}[A-Z0-9]{2,5})\b", 1, needs=""),
     _rule("caps_name", C.PERSON, rf"(?<![\w-]){_UP}{{2,}}(?:-{_UP}{{2,}})?(?:\s+{_UP}{{2,}}(?:-{_UP}{{2,}})?){{1,2}}(?![\w-])", 0, caps_name),
     _rule("caps_surname_initials", C.PERSON, rf"(?<!\w){_UP}{{3,}}(?:-{_UP}{{2,}})?\s+{_INITIALS}"),
     _rule("initials_caps_surname", C.PERSON, rf"(?<!\w){_INITIALS}\s?{_UP}{{3,}}(?:-{_UP}{{2,}})?(?!\w)"),
-    _rule("email", C.EMAIL, r"[\w.+-]+\s?@\s?[\w-]+(?:\s?\.\s?[\w-]+)*\.\s?[A-Za-zА-Яа-яЁё]{2,}"),
-    _rule("phone_brackets", C.PHONE, r"\(\d{3,5}\)[\s-]?\d{1,3}[\s-]?\d{2}[\s-]?\d{2}(?!\d)"),
-    _rule("phone_short", C.PHONE, r"(?<![\d-])\d{3}-\d{2}-\d{2}(?![\d-])"),
-    _rule("phone", C.PHONE, r"(?<![\w+])(?:\+7|7|8)[\s-]?(?:\(?\d{3}\)?(?:[\s-]?\d){7}|\(\d{4}\)(?:[\s-]?\d){6}|\(\d{5}\)(?:[\s-]?\d){5})(?!\d)"),
-    _rule("document_number", C.DOC_NO, r"(№\s*)((?=[\w/.\-]*\d)[A-Za-zА-Яа-яЁё0-9][\w/.\-]*[\w]|\d)", 2, document_number),
-    _rule("money", C.MONEY, rf"(?<![\w.,])({_NUMBER}{_WORDS})\s*{_CURRENCY}", 1, not_zero, re.I),
-    _rule("money_sign", C.MONEY, rf"([$€₽£¥]|\b(?:USD|EUR|RUB|CNY)\b)\s?({_NUMBER})", 2, not_zero),
+    _rule("email", C.EMAIL, r"[\w.+-]+\s?@\s?[\w-]+(?:\s?\.\s?[\w-]+)*\.\s?[A-Za-zА-Яа-яЁё]{2,}", needs="@"),
+    _rule("phone_brackets", C.PHONE, r"\(\d{3,5}\)[\s-]?\d{1,3}[\s-]?\d{2}[\s-]?\d{2}(?!\d)", needs="0"),
+    _rule("phone_short", C.PHONE, r"(?<![\d-])\d{3}-\d{2}-\d{2}(?![\d-])", needs="0"),
+    _rule("phone", C.PHONE, r"(?<![\w+])(?:\+7|7|8)[\s-]?(?:\(?\d{3}\)?(?:[\s-]?\d){7}|\(\d{4}\)(?:[\s-]?\d){6}|\(\d{5}\)(?:[\s-]?\d){5})(?!\d)", needs="0"),
+    _rule("document_number", C.DOC_NO, r"(№\s*)((?=[\w/.\-]*\d)[A-Za-zА-Яа-яЁё0-9][\w/.\-]*[\w]|\d)", 2, document_number, needs="№0"),
+    _rule("money", C.MONEY, rf"(?<![\w.,])({_NUMBER}{_WORDS})\s*{_CURRENCY}", 1, not_zero, re.I, needs="0"),
+    _rule("money_sign", C.MONEY, rf"([$€₽£¥]|\b(?:USD|EUR|RUB|CNY)\b)\s?({_NUMBER})", 2, not_zero, needs="0"),
     _rule("money_words", C.MONEY, rf"\(\s*((?:{_NUMERAL})(?:\s+(?:{_NUMERAL}))*(?:\s+{_CURRENCY}[^()\n]{{0,80}}?)?)\s*\)(?!\s*(?:календарн|рабоч|банковск|дн))", 1, None, re.I),
-    _rule("money_grouped", C.MONEY, r"(?<![\d.,])\d{1,3}(?:[   ]\d{3})+(?:[.,]\d{1,2})?(?![\d])", 0, not_zero),
-    _rule("money_decimal", C.MONEY, r"(?<![\d.,])\d+[.,]\d{2}(?![.,]?\d)(?!\.\d)", 0, plain_money),
+    _rule("money_grouped", C.MONEY, r"(?<![\d.,])\d{1,3}(?:[   ]\d{3})+(?:[.,]\d{1,2})?(?![\d])", 0, not_zero, needs="0"),
+    _rule("money_decimal", C.MONEY, r"(?<![\d.,])\d+[.,]\d{2}(?![.,]?\d)(?!\.\d)", 0, plain_money, needs="0"),
     _bare("bare_number_11", C.DOC_NO, 11),
     _bare("bare_number_14", C.DOC_NO, 14),
     _bare("postal_index", C.INDEX, 6),
-    _rule("latin_org", C.ORG, r"(?<![\w@.-])[A-Z][A-Za-z0-9&-]*(?:\s+(?:&\s+)?[A-Z][A-Za-z0-9&-]*)*(?![\w@])", 0, latin_org),
+    _rule("latin_org", C.ORG, r"(?<![\w@.-])[A-Z][A-Za-z0-9&-]*(?:\s+(?:&\s+)?[A-Z][A-Za-z0-9&-]*)*(?![\w@])", 0, latin_org, needs=""),
 )
-DATES = _rule("date", C.DATE, r"(?<!\d)(?:[0-3]?\d[./-][01]?\d[./-](?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d[./-][01]?\d[./-][0-3]?\d)(?!\d)")
+DATES = _rule("date", C.DATE, r"(?<!\d)(?:[0-3]?\d[./-][01]?\d[./-](?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d[./-][01]?\d[./-][0-3]?\d)(?!\d)", needs="0")
 ORDER = {r.name: k for k, r in enumerate((*RULES, DATES))}
 
+#: What a rule cannot match without. Letters of the first range include those that equal Cyrillic ones in another case.
+MARKS = {"я": re.compile("[Ѐ-ӿᲀ-ᲈ]"), "0": re.compile(r"\d"), "@": re.compile("@"), "№": re.compile("№")}
+
+
+@functools.cache
+def _possible(marks: str, dates: bool) -> tuple[Rule, ...]:
+    return tuple(r for r in ((*RULES, DATES) if dates else RULES) if set(r.needs) <= set(marks))
+
 
 def rule_spans(text: str, dates: bool = False) -> list[tuple[int, int, str]]:
-    """(start, stop, category) of all rules in their order, overlaps included."""
+    """(start, stop, category) of all rules in their order, overlaps included. Rules whose marks the text lacks are not tried."""
     out = []
-    for rule in (*RULES, DATES) if dates else RULES:
+    for rule in _possible("".join(k for k, p in MARKS.items() if p.search(text)), dates):
         for m in rule.pattern.finditer(text):
             start, stop = m.span(rule.group)
             if start < stop and text[start:stop].strip():

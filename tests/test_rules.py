@@ -181,3 +181,28 @@ def test_money_on_hostile_text_is_fast():
 def test_no_rule_matches_nothing():
     for rule in (*R.RULES, R.DATES):
         assert not re.fullmatch(rule.pattern, "")
+
+
+def untested_by_marks(text, dates):
+    """All rules tried on any text."""
+    out = []
+    for rule in (*R.RULES, R.DATES) if dates else R.RULES:
+        for m in rule.pattern.finditer(text):
+            start, stop = m.span(rule.group)
+            if start < stop and text[start:stop].strip():
+                kept = rule.validator(text, start, stop) if rule.validator else (start, stop)
+                if kept:
+                    out.append((*kept, rule.category))
+    return out
+
+
+@given(st.lists(st.sampled_from([*"0123456789 .,:-/()@№$€«»\n", "٣", "12345", "руб", "USD", "EUR", "SWIFT: ", "ABCDRUMM", "Globex", "д. ", "Иванов ", "А.Б.", "р/с ", "ᲃчет ", "ИНН ", "паспорт ", "a@b.ru", "ООО ", "двести", "ФОНД"]), max_size=14).map("".join), st.booleans())
+@settings(max_examples=400, deadline=None)
+def test_rules_that_are_not_tried_find_nothing(text, dates):
+    assert R.rule_spans(text, dates) == untested_by_marks(text, dates)
+
+
+@pytest.mark.parametrize("text", [t for t, *_ in HIDE])
+def test_rules_that_are_not_tried_find_nothing_in_examples(text):
+    for line in text.splitlines():
+        assert R.rule_spans(line, True) == untested_by_marks(line, True)
