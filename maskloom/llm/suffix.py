@@ -14,8 +14,8 @@ belong to the same one and form a stretch of text. Stretches go through three st
    places in that stretch.
 2. The text of distinct stretches that share a smallest hash is collected, and sorted. A suffix array is
    built in two stages: only suffixes smaller than their successors are sorted directly, the larger ones
-   are induced by scans over the buckets of first bytes. Suffixes whose common prefix with the one before
-   reaches ``width`` are equal strings; all but the first of the corpus are marked.
+   are induced by scans over the buckets of first bytes. Adjacent common prefixes are computed to ``width``
+   bytes; suffixes that share as many are equal strings; all but the first of the corpus are marked.
    Where more than ``HOT`` distinct stretches share a smallest hash, their strings are dealt one by one
    by a hash of all their bytes, so no task gets an unbounded group.
 3. Marked bytes are united by document, and what is left is hashed.
@@ -116,17 +116,20 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def reaching(order: np.ndarray, words: np.ndarray, width: int) -> np.ndarray:
-    """For each suffix but the first: whether its common prefix with the one before has ``width`` bytes (8 at least)."""
-    same = np.flatnonzero(words[order[1:]] == words[order[:-1]])
-    for skip in [*range(8, width - 7, 8), width - 8]:
-        a, b = order[same + 1] + skip, order[same] + skip
-        ok = np.maximum(a, b) < len(words)
-        same = same[ok]
-        same = same[words[a[ok]] == words[b[ok]]]
-    out = np.zeros(max(0, len(order) - 1), bool)
-    out[same] = True
-    return out
+def common_prefixes(order: np.ndarray, words: np.ndarray, most: int) -> np.ndarray:
+    """For each suffix but the first: how many bytes it shares with the one before, counted to ``most``."""
+    out = np.zeros(max(0, len(order) - 1), np.int64)
+    open_ = np.arange(len(out))
+    for skip in range(0, most, 8):
+        a, b = order[open_ + 1] + skip, order[open_] + skip
+        inside = np.maximum(a, b) < len(words)
+        open_, differ = open_[inside], words[a[inside]] ^ words[b[inside]]
+        ended = differ != 0
+        last = differ[ended]
+        out[open_[ended]] += sum((last < _U(1 << bits)).astype(np.int64) for bits in range(8, 64, 8))
+        open_ = open_[~ended]
+        out[open_] += 8
+    return np.minimum(out, np.minimum(most, len(words) - np.maximum(order[1:], order[:-1])))  # words hold zeros behind the end
 
 
 # --- stretches ---------------------------------------------------------------------------------
@@ -424,7 +427,7 @@ def repeated_strings(texts: list[bytes], count: np.ndarray, rank: np.ndarray, st
     owner = np.repeat(np.arange(len(texts)), lengths)
     offset = np.arange(len(t)) - begin[owner]
     order = order[offset[order] < count[owner[order]]]
-    same = reaching(order, words_at(t), width)
+    same = common_prefixes(order, words_at(t), width) == width
     group = np.cumsum(np.concatenate([[0], ~same]))
     own, off = owner[order], offset[order]
     by = np.lexsort((start[own] + off, rank[own], group))

@@ -37,14 +37,13 @@ def test_suffix_arrays():
 
 
 def test_common_prefixes():
-    b = b"abcdefghijklm-abcdefghijklX-abcdefghij"
-    t = np.frombuffer(b, np.uint8)
-    order = S.suffix_array(t, len(b))
-    for width in (8, 10, 12):
-        want = [b[i : i + width] == b[j : j + width] and max(i, j) + width <= len(b) for i, j in zip(order, order[1:], strict=False)]
-        got = S.reaching(order, S.words_at(t), width)
-        # behind the end the words hold zeros, which no text with a byte more can equal
-        assert [bool(x) for x in got] == want
+    rng = random.Random(2)
+    for b in (b"abcdefghijklm-abcdefghijklX-abcdefghij", b"\x00" * 40, b"ab" * 60, *(bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(0, 90))) for _ in range(100))):
+        t = np.frombuffer(b, np.uint8)
+        order = S.suffix_array(t, len(b))
+        for most in (1, 8, 10, 30, 100):
+            want = [next((k for k in range(min(most, len(b) - max(i, j))) if b[i + k] != b[j + k]), min(most, len(b) - max(i, j))) for i, j in zip(order, order[1:], strict=False)]
+            assert S.common_prefixes(order, S.words_at(t), most).tolist() == want
 
 
 def corpus(seed, n=80):
