@@ -69,13 +69,22 @@ def smallest_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def components(edges: DataFrame, rows_a_task: int = 50_000) -> DataFrame:
+def with_lowest(pairs: DataFrame, salts: int) -> DataFrame:
+    """pairs x, y with low, the smallest y of each x. The pairs of one x are spread over ``salts`` keys, each of
+    which learns the smallest of all from one row a key, so no task gets all pairs of a node that many share."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(salts)))
+    own = salted.groupBy("x", "salt").agg(F.min("y").alias("own"))
+    low = own.groupBy("x").agg(F.min("own").alias("low"))
+    return salted.join(own.join(low, "x").select("x", "salt", "low"), ["x", "salt"]).drop("salt")
+
+
+def components(edges: DataFrame, rows_a_task: int = 50_000, salts: int = 16) -> DataFrame:
     """Connected components by large and small stars, in a number of rounds near the log of the diameter.
 
     ``edges``: longs u, v. Returns u, v for every node but the smallest of its component, v being that
-    smallest. Each round is two aggregations with partial sums and two joins whose skewed keys the
-    adaptive planner splits; its result is checkpointed. A round runs in as many tasks as its links need, since
-    each task of a shuffle writes files of its own however little it holds.
+    smallest. Each round is two stars; the neighbours of one node are spread over ``salts`` keys, or as many as
+    there are tasks, before they are aggregated or joined. The result of a star is checkpointed. A round runs in
+    as many tasks as its links need, since each task of a shuffle writes files of its own however little it holds.
     """
 
     def down(e: DataFrame) -> DataFrame:
@@ -88,14 +97,13 @@ def components(edges: DataFrame, rows_a_task: int = 50_000) -> DataFrame:
     before = state(edges)
     while before[0]:
         tasks = -(-before[0] // rows_a_task)
+        spread = max(salts, tasks)
         edges = edges.coalesce(tasks)
         both = edges.union(edges.select("v", "u")).toDF("x", "y").coalesce(tasks)
-        low = both.groupBy("x").agg(F.min("y").alias("low")).select("x", F.least("x", "low").alias("low"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("low").alias("v")).coalesce(tasks).distinct()
-        large = checkpointed(large.coalesce(tasks))
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select("v", "low").toDF("u", "v")
-        edges = checkpointed(down(small.union(low.toDF("u", "v"))).coalesce(tasks).distinct().coalesce(tasks))
+        large = with_lowest(both, spread).where("y > x").select(F.col("y").alias("u"), F.least("x", "low").alias("v"))
+        large = checkpointed(large.coalesce(tasks).distinct().coalesce(tasks))
+        small = with_lowest(large.toDF("x", "y"), spread).select(F.explode(F.array(F.struct(F.col("y").alias("u"), F.col("low").alias("v")), F.struct(F.col("x").alias("u"), F.col("low").alias("v")))).alias("e")).select("e.*")
+        edges = checkpointed(down(small).coalesce(tasks).distinct().coalesce(tasks))
         after = state(edges)
         if after == before:
             break

@@ -72,6 +72,16 @@ def test_components_of_chains(spark):
     assert out == {**{k: 0 for k in range(1, 41)}, 101: 100}
 
 
+def test_components_around_a_hub_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    edges = [(500, k) for k in range(501, 900)] + [(int(a), int(b)) for a, b in rng.integers(0, 2000, (700, 2)) if 500 != a != b != 500]
+    edges += [(k, 3000) for k in range(2500, 2700)]  # the largest node is one that many share
+    label = smallest_labels(3001, *np.array(edges).T)
+    for few in ({}, {"rows_a_task": 300, "salts": 3}):
+        out = {r.u: r.v for r in components(spark.createDataFrame(edges, "u long, v long"), **few).collect()}
+        assert out == {k: int(x) for k, x in enumerate(label) if x != k}
+
+
 def test_awkward_rows(awkward, empty, spark):
     from pyspark.sql import functions as F
 
