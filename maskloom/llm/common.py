@@ -69,6 +69,14 @@ def smallest_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
+def looked_up(rows: DataFrame, values: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has one row a key; null where it has none. Rows of one key are spread
+    by a hash of column ``by`` over as many keys as a shuffle has tasks, and each of those asks for the values once."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(partitions(rows.sparkSession))))
+    asked = salted.select(key, "salt").distinct().join(values, key, "left")
+    return salted.join(asked, [key, "salt"]).drop("salt")
+
+
 def with_lowest(pairs: DataFrame, salts: int) -> DataFrame:
     """pairs x, y with low, the smallest y of each x. The pairs of one x are spread over ``salts`` keys, each of
     which learns the smallest of all from one row a key, so no task gets all pairs of a node that many share."""

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import checkpointed, components, partitions, smallest_labels, sorted_groups, text_bytes, union_all
+from maskloom.llm.common import checkpointed, components, looked_up, partitions, smallest_labels, sorted_groups, text_bytes, union_all
 
 SEED = 42
 SHORT = 30  # shingles of a set whose candidates are found exactly
@@ -183,11 +183,9 @@ def simhash_components(docs: DataFrame, width: int = 4, bits: int = 4, n_pivots:
         links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("v")), "doc_id").select(F.col("rep").alias("u"), "v"))
     moved = components(links).toDF("rep", "component_id")
     by_fp = nodes.join(moved, "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return fps.join(by_fp, "fp", "left").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
-    )
+    known = looked_up(fps.where("doc_id is not null"), by_fp, "fp", "doc_id").select("doc_id", "fp", "component_id")
+    every = known.unionByName(fps.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
+    return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- near duplicates by similarity -------------------------------------------------------------
@@ -534,8 +532,14 @@ def family_links(held: DataFrame, similarity: float, n_pivots: int = 4, block: i
     return exact.unionByName(linked_to)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 1e-3, words: int = 16, n_pivots: int = 8, limit: int = 4096, block: int = 1024) -> DataFrame:
-    """doc_id, component_id: documents whose sets of shingles have a Jaccard similarity of ``similarity`` or more are linked.
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, **settings) -> DataFrame:
+    """doc_id, component_id: the groups of near duplicates (``near_duplicate_sets``), for each row with a doc_id."""
+    sketches, by_set = near_duplicate_sets(docs, width, similarity, **settings)
+    return looked_up(sketches.select("doc_id", "same"), by_set, "same", "doc_id").select("doc_id", "component_id")
+
+
+def near_duplicate_sets(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 1e-3, words: int = 16, n_pivots: int = 8, limit: int = 4096, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Sketches (doc_id and same, the set of its shingles) and, for each set, same and component_id: documents whose sets of shingles have a Jaccard similarity of ``similarity`` or more are linked.
 
     Equal sets are one (by a 128-bit hash of them). Candidates of sets of at most ``SHORT`` shingles are found
     exactly, by a prefix filter. All candidates else share all bits of one of several tables, drawn from a wide
@@ -602,8 +606,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, mi
     joined = components(family_links(held, similarity, block=block)).toDF("key", "into")
     groups = nodes.select("key", "same", "rep").join(joined, "key", "left").select("same", "rep", F.coalesce("into", "key").alias("into"))
     first = groups.groupBy("into").agg(F.min("rep").alias("component_id"))
-    by_set = groups.join(first, "into").select("same", "component_id")
-    return sketches.select("doc_id", "same").join(by_set, "same").select("doc_id", "component_id")
+    return sketches, looked_up(groups, first, "into", "same").select("same", "component_id")
 
 
 def near_duplicates_removed(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -611,5 +614,5 @@ def near_duplicates_removed(docs: DataFrame, width: int = 5, similarity: float =
 
     Of rows that repeat one doc_id all stay: they are one document. Columns as in ``docs``.
     """
-    keep = near_duplicates(docs, width, similarity).where("doc_id = component_id").select("doc_id").distinct()
+    keep = near_duplicate_sets(docs, width, similarity)[1].select(F.col("component_id").alias("doc_id")).distinct()
     return docs.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
