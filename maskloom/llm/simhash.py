@@ -183,9 +183,11 @@ def simhash_components(docs: DataFrame, width: int = 4, bits: int = 4, n_pivots:
         links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("v")), "doc_id").select(F.col("rep").alias("u"), "v"))
     moved = components(links).toDF("rep", "component_id")
     by_fp = nodes.join(moved, "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    known = looked_up(fps.where("doc_id is not null"), by_fp, "fp", "doc_id").select("doc_id", "fp", "component_id")
-    every = known.unionByName(fps.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
-    return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(by_fp, "fp", "left").select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
+    )
 
 
 # --- near duplicates by similarity -------------------------------------------------------------
