@@ -30,16 +30,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from maskloom.llm.common import checkpointed
+from maskloom.llm.common import checkpointed, mapped, sliced
 
 _WORD = re.compile(r"[^\W\d_]+")
 _UPPER = bytes(range(65, 91))
 _OTHER = bytes(x for x in range(33, 127) if not chr(x).isalnum() and chr(x) not in ".,;:'\"-()?|!")
 N_FORM = 8
 _PREFIX = range(4, 9)
-_ROWS = 256
 
 
 def features(text: str | None) -> tuple[set[str], list[float]]:
@@ -154,13 +153,6 @@ class Scorer:
         return out
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """No task holds the words of more than ``_ROWS`` texts."""
-    for b in batches:
-        for at in range(0, b.num_rows, _ROWS):
-            yield b.slice(at, _ROWS)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, least: int, chi2: float, most: int) -> Sample:
     """At most ``sample`` labelled documents, one of each family of copies, with the ``most`` most telling tokens for each label.
 
@@ -173,12 +165,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, least: int,
     rows = checkpointed(rows.select(F.xxhash64("doc_id", "text").alias("key"), "text", (F.col("quality") > 0).alias("quality"), (F.col("toxic") > 0).alias("toxic")))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _sliced(batches):
+        for b in sliced(batches):
             found = [features(t) for t in b.column(1).to_pylist()]
             marks = pa.array([signature(w).tobytes() for w, _ in found], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), marks, pa.array([f for _, f in found], pa.list_(pa.float64())), b.column(2), b.column(3)], ["key", "marks", "form", "quality", "toxic"])
 
-    held = rows.mapInArrow(sketch, "key long, marks binary, form array<double>, quality boolean, toxic boolean").toArrow()
+    held = mapped(rows, sketch, "key long, marks binary, form array<double>, quality boolean, toxic boolean").toArrow()
     held = held.sort_by("key")
     marks = np.array([np.frombuffer(x, np.uint32) for x in held.column("marks").to_pylist()])
     held = held.take(np.array(one_of_each_family(marks), int))
@@ -187,7 +179,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, least: int,
     place = docs.sparkSession.sparkContext.broadcast({int(k): r for r, k in reversed(list(enumerate(keys)))})
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _sliced(batches):
+        for b in sliced(batches):
             count: dict[str, list[int]] = {}
             for key, text, *own in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key in place.value:
@@ -200,7 +192,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, least: int,
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *columns], ["token", "df", "quality", "toxic"])
 
     n = float(len(keys))
-    counts = rows.mapInArrow(counted, "token string, df long, quality long, toxic long").groupBy("token").agg(*(F.sum(c).cast("double").alias(c) for c in ("df", "quality", "toxic"))).where((F.col("df") >= least) & (F.col("df") < n))
+    counts = mapped(rows, counted, "token string, df long, quality long, toxic long").groupBy("token").agg(*(F.sum(c).cast("double").alias(c) for c in ("df", "quality", "toxic"))).where((F.col("df") >= least) & (F.col("df") < n))
     counts, telling = checkpointed(counts), {}
     for c in ("quality", "toxic"):
         pos = float(label[c].sum())
@@ -211,11 +203,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, least: int,
     number = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(names)})
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _sliced(batches):
+        for b in sliced(batches):
             found = [(place.value[key], k) for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if key in place.value for t in tokens(features(text)[0]) if (k := number.value.get(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32())], ["row", "token"])
 
-    at = rows.mapInArrow(placed, "row int, token int").distinct().toArrow().sort_by([("row", "ascending"), ("token", "ascending")])
+    at = mapped(rows, placed, "row int, token int").distinct().toArrow().sort_by([("row", "ascending"), ("token", "ascending")])
     form = np.array(held.column("form").to_pylist(), float).reshape(-1, N_FORM)
     return Sample(form, label, at.column("row").to_numpy(), at.column("token").to_numpy(), names, {c: np.array([number.value[t] for t in own], int) for c, own in telling.items()})
 
@@ -226,18 +218,18 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = 12000, least: int =
     return tuple(Logistic(rows, c, penalty, steps) for c in ("quality", "toxic"))
 
 
-def with_evidence(docs: DataFrame, models: tuple[Logistic, Logistic]) -> DataFrame:
-    """``docs`` with ``e_quality`` and ``e_clean``, log odds by the text alone."""
-    sent, at = docs.sparkSession.sparkContext.broadcast(models), docs.columns.index("text")
+def with_evidence(docs: DataFrame, models: tuple[Logistic, Logistic], text: str = "text") -> DataFrame:
+    """``docs`` with ``e_quality`` and ``e_clean``, log odds by the text alone, which column ``text`` holds."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(models), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(sent.value)
-        for b in _sliced(batches):
+        for b in sliced(batches):
             quality, toxic = score(b.column(at).to_pylist())
             odds = [pa.array(quality, pa.float64()), pa.array([-x for x in toxic], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *odds], [*b.schema.names, "e_quality", "e_clean"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(c, DoubleType()) for c in ("e_quality", "e_clean"))]))
+    return mapped(docs, run, StructType([*docs.schema.fields, *(StructField(c, DoubleType()) for c in ("e_quality", "e_clean"))]))
 
 
 def _p(odds: Column) -> Column:
@@ -324,7 +316,11 @@ def good_documents(docs: DataFrame, labels: DataFrame, keep: float = 0.5, sample
     """The rows of ``docs`` that are kept, with their columns. Texts are scored twice rather than shuffled."""
     models = fitted(docs, labels, sample)
     columns = [F.col(c).alias(f"in_{k}") for k, c in enumerate(docs.columns)]
-    rows = docs.select(*columns, *_names(), F.col("text").cast("string").alias("text"))
-    evidence = with_evidence(rows.select("host", "path", "text"), models).drop("text")
-    scored = _scored(with_evidence(rows, models), checkpointed(evidence))
+    as_text = F.col("text").cast("string").alias("text")
+    evidence = with_evidence(docs.select(*_names(), as_text), models).drop("text")
+    if isinstance(docs.schema["text"].dataType, StringType):  # a task gets and returns each text once
+        rows = with_evidence(docs.select(*columns, *_names()), models, f"in_{docs.columns.index('text')}")
+    else:
+        rows = with_evidence(docs.select(*columns, *_names(), as_text), models)
+    scored = _scored(rows, checkpointed(evidence))
     return scored.where(_kept(keep)).select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(docs.columns)))

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.llm.common import mapped
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters that are cut into units and solved together.
 CHARS = 1 << 20
@@ -485,7 +487,7 @@ def segmented(docs: DataFrame, n: int = 4, model: str = MODEL) -> DataFrame:
                     ["doc_id", "n_pieces", "ids", "score", "nbest_scores", "nbest"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
 
 
 def texts_of(encoded: DataFrame, model: str = MODEL) -> DataFrame:

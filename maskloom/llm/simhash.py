@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import checkpointed, components, looked_up, partitions, smallest_labels, sorted_groups, text_bytes, union_all
+from maskloom.llm.common import checkpointed, components, looked_up, mapped, partitions, smallest_labels, sorted_groups, text_bytes, union_all
 
 SEED = 42
 SHORT = 30  # shingles of a set whose candidates are found exactly
@@ -337,7 +337,7 @@ def short_candidates(nodes: DataFrame, similarity: float, limit: int, most: int
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64))], ["shingle"])
 
     short = nodes.where("small is not null and length(small) > 0").select("rep", "small")
-    counts = short.select("small").mapInArrow(single, "shingle long").groupBy("shingle").count().where("count > 64")
+    counts = mapped(short.select("small"), single, "shingle long").groupBy("shingle").count().where("count > 64")
     last = {r["shingle"]: r["count"] for r in counts.orderBy(F.desc("count"), "shingle").limit(most).collect()}
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,8 +351,8 @@ def short_candidates(nodes: DataFrame, similarity: float, limit: int, most: int
             at = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), b.column(0).take(at), b.column(1).take(at)], ["bucket", "rep", "small"])
 
-    dealt = short.mapInArrow(prefixes, "bucket long, rep long, small binary")
-    return dealt.repartition(partitions(nodes.sparkSession), "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_short_links(similarity, limit), "u long, v long, table long")
+    dealt = mapped(short, prefixes, "bucket long, rep long, small binary").repartition(partitions(nodes.sparkSession), "bucket").sortWithinPartitions("bucket", "rep")
+    return mapped(dealt, _short_links(similarity, limit), "u long, v long, table long")
 
 
 def _families(loose: DataFrame, first: int = 6) -> DataFrame:
@@ -494,11 +494,11 @@ def family_links(held: DataFrame, similarity: float, n_pivots: int = 4, block: i
     picked = large.groupBy("family").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("key", F.lit(k)), "key"))["key"] for k in range(n_pivots)))).alias("picked"))
     picked = checkpointed(picked)
     if picked.isEmpty():
-        return groups.repartition(n, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_exact(similarity), "u long, v long")
+        return mapped(groups.repartition(n, "family", "x", "y").sortWithinPartitions("family", "x", "y"), _exact(similarity), "u long, v long")
     wanted = picked.select("family", F.explode("picked").alias("key"))
     pivots = large.join(wanted, ["family", "key"]).groupBy("family").agg(F.array_sort(F.collect_list(F.struct("key", "shingles"))).alias("p"))
     pivots = checkpointed(pivots.select("family", F.col("p.shingles").alias("pivots"), F.col("p.key").alias("names")))
-    near = large.join(pivots, "family").select("key", "family", "shingles", "pivots", "names").mapInArrow(_distances, "key long, family long, shingles binary, names array<long>, far array<double>")
+    near = mapped(large.join(pivots, "family").select("key", "family", "shingles", "pivots", "names"), _distances, "key long, family long, shingles binary, names array<long>, far array<double>")
     # which pivots a set is near to, as bits
     bits = F.aggregate(F.transform("far", lambda d, k: F.when(d <= least + 1e-9, F.pow(F.lit(2.0), k)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x).cast("long")
     size = F.length("shingles") / 8
@@ -530,7 +530,7 @@ def family_links(held: DataFrame, similarity: float, n_pivots: int = 4, block: i
     blocks = near.join(places, list(unit)).withColumn("b", at).select("key", "far", "b", F.get("meets", F.col("b")).alias("others")).where("size(others) > 0")
     cut = large.select("key", "family", "shingles").join(blocks, "key").select("family", "key", "far", "shingles", "b", F.explode("others").alias("o"))
     groups = groups.unionByName(cut.select("family", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "key", "far", "shingles"))
-    exact = groups.repartition(n, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_exact(similarity), "u long, v long")
+    exact = mapped(groups.repartition(n, "family", "x", "y").sortWithinPartitions("family", "x", "y"), _exact(similarity), "u long, v long")
     return exact.unionByName(linked_to)
 
 
@@ -564,7 +564,7 @@ def near_duplicate_sets(docs: DataFrame, width: int = 5, similarity: float = 0.8
                 small = pa.array([s.tobytes() if len(s) <= SHORT else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), small], ["doc_id", "same", "size", "fp", "small"])
 
-    sketches = checkpointed(texts.mapInArrow(sketch, "doc_id long, same binary, size long, fp binary, small binary"))
+    sketches = checkpointed(mapped(texts, sketch, "doc_id long, same binary, size long, fp binary, small binary"))
     nodes = sketches.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("small").alias("small"))
     # a number for each distinct set: no hash, so that no two share one
     nodes = checkpointed(nodes.withColumn("key", F.monotonically_increasing_id()))
@@ -585,9 +585,9 @@ def near_duplicate_sets(docs: DataFrame, width: int = 5, similarity: float = 0.8
 
     n = partitions(spark)
     radius = int(np.ceil(128 * (1 - agree) + 5 * np.sqrt(128 * agree * (1 - agree))))
-    dealt = nodes.select(F.col("key").alias("rep"), "fp").select("rep", "fp").mapInArrow(buckets, "bucket long, rep long, f0 long, f1 long")
+    dealt = mapped(nodes.select(F.col("key").alias("rep"), "fp"), buckets, "bucket long, rep long, f0 long, f1 long")
     # in the order of rep, so that buckets of one family mostly link to the same few
-    loose = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_loose(radius, n_pivots, limit), "u long, v long, table long")
+    loose = mapped(dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "rep"), _loose(radius, n_pivots, limit), "u long, v long, table long")
     loose = checkpointed(loose.unionByName(short_candidates(nodes.select(F.col("key").alias("rep"), "small"), similarity, limit)))
     moved = _families(loose).toDF("key", "family")
     families = moved.unionByName(moved.select(F.col("family").alias("key"), "family").distinct())
@@ -604,7 +604,7 @@ def near_duplicate_sets(docs: DataFrame, width: int = 5, similarity: float = 0.8
                 yield out.filter(own)  # a doc_id may have other texts
 
     held = texts.join(members.join(sized, "family"), texts["doc_id"] == F.col("rep")).select("text", "same", "key", "family", "n", "total")
-    held = checkpointed(held.mapInArrow(sets, "key long, family long, n long, total long, shingles binary"))
+    held = checkpointed(mapped(held, sets, "key long, family long, n long, total long, shingles binary"))
     joined = components(family_links(held, similarity, block=block)).toDF("key", "into")
     groups = nodes.select("key", "same", "rep").join(joined, "key", "left").select("same", "rep", F.coalesce("into", "key").alias("into"))
     first = groups.groupBy("into").agg(F.min("rep").alias("component_id"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import union_all
+from maskloom.llm.common import mapped, sliced, union_all
 
 _WORD = re.compile(r"\w+")
 _BASE = 0x9E3779B97F4A7C15
@@ -198,8 +198,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, thresh
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, at=at) -> Iterator[pa.RecordBatch]:
             held = sent.value
-            for b in batches:
+            for b in sliced(batches):
                 yield b.filter(pa.array([not held.matches(t, threshold) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs
