@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from maskloom.llm import secrets, url_filters
 from maskloom.llm.common import table
+from maskloom.llm.filter_audit import ORACLE as AUDIT
+from maskloom.llm.filter_audit import filter_interactions
 from maskloom.llm.neighbours import nearest
 from maskloom.llm.quality import quality_posteriors
 from maskloom.llm.segmentation import segmented
@@ -58,6 +60,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_suffixes": op2_suffixes,
@@ -69,5 +75,6 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_segmentation": op9_segmentation,
     "op10_secrets": op10_secrets,
+    "op11_filters": op11_filters,
 }
-ORACLES: dict[str, str] = {"op8_url_filters": url_filters.ORACLE, "op10_secrets": secrets.ORACLE}
+ORACLES: dict[str, str] = {"op8_url_filters": url_filters.ORACLE, "op10_secrets": secrets.ORACLE, "op11_filters": AUDIT}
