@@ -8,6 +8,8 @@ from maskloom.llm import secrets, url_filters
 from maskloom.llm.common import table
 from maskloom.llm.filter_audit import ORACLE as AUDIT
 from maskloom.llm.filter_audit import filter_interactions
+from maskloom.llm.lexical import ORACLE as RANKED
+from maskloom.llm.lexical import ranked
 from maskloom.llm.neighbours import nearest
 from maskloom.llm.quality import quality_posteriors
 from maskloom.llm.segmentation import segmented
@@ -64,6 +66,10 @@ def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_suffixes": op2_suffixes,
@@ -76,5 +82,6 @@ QUERIES = {
     "op9_segmentation": op9_segmentation,
     "op10_secrets": op10_secrets,
     "op11_filters": op11_filters,
+    "op12_search": op12_search,
 }
-ORACLES: dict[str, str] = {"op8_url_filters": url_filters.ORACLE, "op10_secrets": secrets.ORACLE, "op11_filters": AUDIT}
+ORACLES: dict[str, str] = {"op8_url_filters": url_filters.ORACLE, "op10_secrets": secrets.ORACLE, "op11_filters": AUDIT, "op12_search": RANKED}
