@@ -16,6 +16,8 @@ from maskloom.llm.segmentation import segmented
 from maskloom.llm.sharding import sharded
 from maskloom.llm.simhash import simhash_components
 from maskloom.llm.suffix import repeats_removed
+from maskloom.llm.super_kmers import ORACLE as PASSAGES
+from maskloom.llm.super_kmers import passages_removed
 from maskloom.llm.tiling import contaminated
 from maskloom.llm.warc import page_derivatives
 
@@ -70,6 +72,10 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages_removed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_suffixes": op2_suffixes,
@@ -83,5 +89,6 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_filters": op11_filters,
     "op12_search": op12_search,
+    "op13_passages": op13_passages,
 }
-ORACLES: dict[str, str] = {"op8_url_filters": url_filters.ORACLE, "op10_secrets": secrets.ORACLE, "op11_filters": AUDIT, "op12_search": RANKED}
+ORACLES: dict[str, str] = {"op8_url_filters": url_filters.ORACLE, "op10_secrets": secrets.ORACLE, "op11_filters": AUDIT, "op12_search": RANKED, "op13_passages": PASSAGES}
