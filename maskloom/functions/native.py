@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from maskloom.functions import categories as C
 
 SPAN = "array<struct<start:int,stop:int,value:string,before:string,after:string>>"
+MERGED = "array<struct<start:int,stop:int,category:string,value:string>>"
+NUMBERED = "array<struct<start:int,stop:int,category:string,n:int,value:string>>"
 
 # Patterns of the language-neutral rules.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
@@ -25,20 +27,70 @@ LATIN = r"[A-Z][A-Za-z0-9&-]*( [A-Z][A-Za-z0-9&-]*)*"
 DIGIT_IDS = {6: C.INDEX, 10: C.INN_COMPANY, 11: C.DOC_NO, 12: C.INN_PERSON, 13: C.OGRN, 14: C.DOC_NO, 15: C.OGRN, 20: C.ACCOUNT}
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """All matches (never empty) with start, stop, value and the character on either side ('' at the ends)."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"), F.slice(gaps, F.lit(2), F.size(matches)).alias("next"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def chunk_size(n: Column) -> Column:
+    """Length of the pieces that keep work on n elements near n to the power 1.5, as Spark's arrays are copied to be appended to."""
+    return F.greatest(F.lit(8), F.ceil(F.sqrt(n)).cast("int"))
+
+
+def running(values: Column, op) -> Column:
+    """For an array of ints: ``op`` (associative, as + or the greater) over all elements up to each. In pieces, so that no long array grows."""
+    ints = lambda a: a.cast("array<int>")
+    grow = lambda done, v: F.concat(done, F.array(F.when(F.size(done) == 0, v).otherwise(op(F.try_element_at(done, F.lit(-1)), v))))
+    scan = lambda xs: F.aggregate(xs, ints(F.array()), lambda done, v: ints(grow(done, v)))
+
+    def pieces(x: Column) -> Column:
+        size = chunk_size(F.size(x["v"]))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(x["v"]), F.lit(1)), size)
+        return F.struct(F.transform(starts, lambda k: scan(F.slice(x["v"], k, size))).alias("own"))
+
+    def joined(x: Column) -> Column:
+        before = scan(F.transform(x["own"], lambda own: F.try_element_at(own, F.lit(-1))))
+        with_before = F.struct(x["own"].alias("own"), before.alias("before"))
+        return let(with_before, lambda y: F.flatten(F.transform(y["own"], lambda own, k: F.when(k == 0, own).otherwise(F.transform(own, lambda v: op(F.get(y["before"], k - 1), v))))))
+
+    return F.when(F.size(values) == 0, ints(F.array())).otherwise(let(let(F.struct(ints(values).alias("v")), pieces), joined))
+
+
+def islands(rows: Column, opens) -> Column:
+    """Array of (at, to): index of the first row of each group and of the one behind its last. ``opens(rows, i)``: row i starts a group."""
+    first = let(rows, lambda r: F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: (i == 0) | opens(r, i)))
+    ends = let(F.struct(rows.alias("r"), first.alias("f")), lambda x: F.transform(x["f"], lambda at, k: F.struct(at.alias("at"), F.coalesce(F.get(x["f"], k + 1), F.size(x["r"])).alias("to"))))
+    return F.when(F.size(rows) == 0, F.array().cast("array<struct<at:int,to:int>>")).otherwise(ends)
+
+
+def groups(rows: Column, opens, body) -> Column:
+    """``body(rows of the group, k)`` for each group of neighbouring rows."""
+    return let(rows, lambda r: let(F.struct(r.alias("r"), islands(r, opens).alias("i")), lambda x: F.transform(x["i"], lambda g, k: body(F.slice(x["r"], g["at"] + 1, g["to"] - g["at"]), k))))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        stop = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), stop.alias("stop"), x["match"].alias("value"), F.right(x["gap"], F.lit(1)).alias("before"), F.left(x["next"], F.lit(1)).alias("after"))
-        return F.struct(stop.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda s: s["out"])).otherwise(F.array().cast(SPAN))
+def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
+    """All matches (never empty) with start, stop, value and the character on either side ('' at the ends).
+
+    With ``group`` the value is that group of the match; start and stop stay those of the whole match."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
+
+    def spans(x: Column) -> Column:
+        at = F.transform(x["m"], lambda m, i: F.length(F.get(x["gaps"], i)) + F.length(m))
+        here = F.struct(x["m"].alias("m"), x["v"].alias("v"), x["gaps"].alias("gaps"), running(at, lambda a, b: a + b).alias("stops"))
+        return let(
+            here,
+            lambda y: F.transform(
+                y["m"],
+                lambda m, i: F.struct(
+                    (F.get(y["stops"], i) - F.length(m)).alias("start"), F.get(y["stops"], i).alias("stop"), F.get(y["v"], i).alias("value"),
+                    F.right(F.get(y["gaps"], i), F.lit(1)).alias("before"), F.left(F.get(y["gaps"], i + 1), F.lit(1)).alias("after"),
+                ),
+            ),
+        )
+
+    found = let(F.struct(matches.alias("m"), values.alias("v"), F.split(text, pattern, -1).alias("gaps")), spans)
+    return F.when(text.rlike(pattern), found.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def stands_alone(s: Column) -> Column:
@@ -67,27 +119,48 @@ def neutral_spans(text: Column) -> Column:
 
 def merged(spans: Column, text: Column) -> Column:
     """Overlapping spans united, in order: (start, stop, category, value). Touching spans stay apart; a category gives way only to a strictly higher priority."""
-    kind = "array<struct<start:int,stop:int,category:string,priority:int>>"
-    united = F.aggregate(F.array_sort(spans), F.array().cast(kind), lambda done, s: _united(done, s, kind))
-    return F.transform(united, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["category"].alias("category"), F.substring(text, s["start"] + 1, s["stop"] - s["start"]).alias("value")))
+    order = F.array_sort(spans)
 
+    def united(x: Column) -> Column:
+        apart = lambda r, i: F.get(r, i)["start"] >= F.get(r, i)["reach"]
+        with_reach = F.transform(x["s"], lambda s, i: F.struct(s["start"].alias("start"), (-s["neg_stop"]).alias("stop"), s["category"].alias("category"), s["priority"].alias("priority"), F.get(x["reach"], i - 1).alias("reach")))
+        best = lambda own: F.aggregate(own, F.get(own, F.lit(0)), lambda a, b: F.when(b["priority"] > a["priority"], b).otherwise(a))
+        return groups(with_reach, apart, lambda own, _: F.struct(F.get(own, F.lit(0))["start"].cast("int").alias("start"), F.array_max(F.transform(own, lambda s: s["stop"])).cast("int").alias("stop"), best(own)["category"].alias("category")))
 
-def _united(done: Column, s: Column, kind: str) -> Column:
-    last, stop = F.try_element_at(done, F.lit(-1)), -s["neg_stop"]
-    overlaps = F.coalesce(s["start"] < last["stop"], F.lit(False))
-    one = lambda start, stop, category, priority: F.array(F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), category.alias("category"), priority.cast("int").alias("priority"))).cast(kind)
-    united = one(last["start"], F.greatest(last["stop"], stop), F.when(s["priority"] > last["priority"], s["category"]).otherwise(last["category"]), F.greatest(last["priority"], s["priority"]))
-    return F.when(overlaps, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), united)).otherwise(F.concat(done, one(s["start"], stop, s["category"], s["priority"])))
+    found = let(order, lambda s: let(F.struct(s.alias("s"), running(F.transform(s, lambda x: -x["neg_stop"]), F.greatest).alias("reach")), united))
+    put = F.transform(between(text, found), lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), p["category"].alias("category"), p["value"].alias("value")))
+    return F.when(F.size(spans) == 0, F.array().cast(MERGED)).otherwise(put.cast(MERGED))
 
 
-def numbered(spans: Column) -> Column:
-    """Merged spans with n: the order of first appearance of the value within its category."""
+def between(text: Column, spans: Column) -> Column:
+    """Disjoint sorted spans with ``value`` and ``gap``, the text since the span before. The text is cut into pieces of
+    many spans first, since a substring is searched for from the beginning of its string."""
+
+    def cut(x: Column) -> Column:
+        size = chunk_size(F.size(x["s"]))
+        opens = lambda r, i: i % size == 0
+
+        def piece(own: Column, k: Column) -> Column:
+            from_ = F.coalesce(F.get(x["s"], k * size - 1)["stop"], F.lit(0))
+            part = F.substring(x["t"], from_ + 1, F.element_at(own, -1)["stop"] - from_)
+            here = F.struct(own.alias("own"), from_.alias("from"), part.alias("part"))
+            before = lambda p, i: F.when(i == 0, p["from"]).otherwise(F.get(p["own"], i - 1)["stop"])
+            take = lambda p, a, z: F.substring(p["part"], a - p["from"] + 1, z - a)
+            return let(here, lambda p: F.transform(p["own"], lambda s, i: s.withField("value", take(p, s["start"], s["stop"])).withField("gap", take(p, before(p, i), s["start"]))))
 
-    def n(s: Column) -> Column:
-        values = F.array_distinct(F.transform(F.filter(spans, lambda x: x["category"] == s["category"]), lambda x: x["value"]))
-        return F.array_position(values, s["value"]).cast("int")
+        return F.flatten(groups(x["s"], opens, piece))
 
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["category"].alias("category"), n(s).alias("n"), s["value"].alias("value")))
+    return let(F.struct(text.alias("t"), spans.alias("s")), cut)
+
+
+def numbered(spans: Column) -> Column:
+    """Merged spans with n: the order of first appearance of the value within its category."""
+    key = lambda s: F.struct(s["category"], s["value"])
+    by_value = F.array_sort(F.transform(spans, lambda s: F.struct(s["category"].alias("category"), s["value"].alias("value"), s["start"].alias("start"), s["stop"].alias("stop"))))
+    values = groups(by_value, lambda r, i: key(F.get(r, i)) != key(F.get(r, i - 1)), lambda own, _: F.struct(F.get(own, F.lit(0))["category"].alias("category"), F.get(own, F.lit(0))["start"].alias("first"), own.alias("own")))
+    row = lambda s, n: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["category"].alias("category"), (n + 1).cast("int").alias("n"), s["value"].alias("value"))
+    by_category = groups(F.array_sort(values), lambda r, i: F.get(r, i)["category"] != F.get(r, i - 1)["category"], lambda own, _: F.flatten(F.transform(own, lambda v, n: F.transform(v["own"], lambda s: row(s, n)))))
+    return F.when(F.size(spans) == 0, F.array().cast(NUMBERED)).otherwise(F.array_sort(F.flatten(by_category)).cast(NUMBERED))
 
 
 def label(category: Column, n: Column) -> Column:
@@ -96,6 +169,13 @@ def label(category: Column, n: Column) -> Column:
 
 def spliced(text: Column, spans: Column, by) -> Column:
     """The text with each of the disjoint, sorted spans replaced by ``by(span)``."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda state, s: F.struct(s["stop"].alias("at"), F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), by(s)).alias("out"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
+    rest = F.substring(text, F.element_at(spans, -1)["stop"] + 1, F.length(text))
+    out = F.concat(F.array_join(F.transform(between(text, spans), lambda s: F.concat(s["gap"], F.coalesce(by(s), F.lit("")))), ""), rest)
+    return F.when(F.size(spans) == 0, text).otherwise(out)
+
+
+def replaced(text: Column, pattern: str, by) -> Column:
+    """The text with each match m replaced by ``by(m)``, matches and gaps put together in order."""
+    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    joined = let(F.struct(gaps.alias("g"), matches.alias("m")), lambda x: F.array_join(F.transform(x["g"], lambda g, i: F.concat(g, F.coalesce(by(F.get(x["m"], i)), F.lit("")))), ""))
+    return F.when(text.rlike(pattern), joined).otherwise(text)
