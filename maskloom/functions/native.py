@@ -175,7 +175,7 @@ def spliced(text: Column, spans: Column, by) -> Column:
 
 
 def replaced(text: Column, pattern: str, by) -> Column:
-    """The text with each match m replaced by ``by(m)``, matches and gaps put together in order."""
+    """The text with match m, the i-th from 0, replaced by ``by(m, i)``; matches and gaps are put together in order."""
     gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    joined = let(F.struct(gaps.alias("g"), matches.alias("m")), lambda x: F.array_join(F.transform(x["g"], lambda g, i: F.concat(g, F.coalesce(by(F.get(x["m"], i)), F.lit("")))), ""))
+    joined = let(F.struct(gaps.alias("g"), matches.alias("m")), lambda x: F.array_join(F.transform(x["g"], lambda g, i: F.concat(g, F.coalesce(by(F.get(x["m"], i), i), F.lit("")))), ""))
     return F.when(text.rlike(pattern), joined).otherwise(text)

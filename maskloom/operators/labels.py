@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions import native as N
 from maskloom.operators import spans as S
+from maskloom.operators.rounds import kept
 
 
 def numbered(spans: DataFrame) -> DataFrame:
@@ -36,35 +37,103 @@ def anonymized(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return plain.select("doc_id", "seg_no", "text").unionByName(masked), label_table(spans)
 
 
-def anonymized_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, masked, spans for documents of one segment: a projection, without any shuffle."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def anonymized_rows(docs: DataFrame, **also: Column) -> DataFrame:
+    """doc_id, masked, spans and columns made of the original row, for documents of one segment: a projection, without any shuffle."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *(c.alias(k) for k, c in also.items()))
     text = F.col("text")
-    found = rows.select("doc_id", "text", F.explode(F.array(N.merged(N.neutral_spans(text), text))).alias("m"))  # Generate: the matches are made once
-    spans = found.select("doc_id", "text", F.explode(F.array(N.numbered(F.col("m")))).alias("spans"))
-    return spans.select("doc_id", N.spliced(F.col("text"), F.col("spans"), lambda s: N.label(s["category"], s["n"])).alias("masked"), "spans")
+    found = rows.select("doc_id", "text", *also, F.explode(F.array(N.merged(N.neutral_spans(text), text))).alias("m"))  # Generate: the matches are made once
+    spans = found.select("doc_id", "text", *also, F.explode(F.array(N.numbered(F.col("m")))).alias("spans"))
+    return spans.select("doc_id", N.spliced(F.col("text"), F.col("spans"), lambda s: N.label(s["category"], s["n"])).alias("masked"), "spans", *also)
 
 
-def restored(answers: DataFrame, labels: DataFrame, passes: int = 10) -> DataFrame:
-    """answers: doc_id, text; labels: doc_id, category, n, value. Returns doc_id, text, restored, unresolved.
+#: Labels as answers write them: any case, and a space, hyphen or nothing for the underscore.
+TOLERANT = r"(?iu)\[\s*([\p{L}]+(?:[ _-][\p{L}]+)*)[ _-]?([0-9]+)\s*\]"
 
-    Labels are read tolerantly: any case, and a space, hyphen or nothing for the underscore. Unknown ones
-    stay and count once. Values that hold labels themselves are opened in further passes, until nothing
-    changes, at most ``passes`` in all.
+
+def canonical(m: Column) -> Column:
+    """A tolerantly written label as the label table has it."""
+    return F.concat(F.lit("["), F.regexp_replace(F.upper(F.regexp_extract(m, TOLERANT, 1)), "[ -]", "_"), F.lit("_"), F.regexp_extract(m, TOLERANT, 2), F.lit("]"))
+
+
+def _references(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, pos, label: every label in ``text``."""
+    return rows.select(*keys, F.posexplode(F.transform(F.regexp_extract_all("text", F.lit(TOLERANT), F.lit(0)), canonical)).alias("pos", "label"))
+
+
+def _opened(rows: DataFrame, values: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` (keys, text) with ``puts``: for each label of the text in order, its value (null if unknown) and how many circular labels that holds."""
+    puts = _references(rows, *keys).join(values, ["doc_id", "label"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "value", "closed"))).alias("puts"))
+    return rows.join(puts, list(keys), "left")
+
+
+def circular_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, label: the labels whose values lead back to themselves.
+
+    The references between labels are a graph; its paths are doubled in each round by a join with themselves, so that
+    chains of n labels take log n rounds. Only labels in values of labels are in it.
+    """
+    known = labels.select("doc_id", N.label(F.col("category"), F.col("n")).alias("label"), "value").distinct()
+    nested = known.where(F.col("value").rlike(TOLERANT))
+    links = _references(nested.select("doc_id", F.col("label").alias("of"), F.col("value").alias("text")), "doc_id", "of").select("doc_id", "of", "label").distinct()
+    reach = kept(links.join(nested.select("doc_id", "label"), ["doc_id", "label"], "left_semi").select("doc_id", "of", "label"))
+    n = reach.count()
+    while n:
+        further = reach.join(reach.select("doc_id", F.col("of").alias("label"), F.col("label").alias("next")), ["doc_id", "label"]).select("doc_id", "of", F.col("next").alias("label"))
+        reach = kept(reach.unionByName(further).distinct())
+        before, n = n, reach.count()
+        if n == before:
+            break
+    return reach.where(F.col("of") == F.col("label")).select("doc_id", "label").distinct()
+
+
+def opened_values(labels: DataFrame, longest: int = 100_000_000) -> DataFrame:
+    """doc_id, label, value, closed: values with all labels in them opened, and how many circular ones stay in each.
+
+    By pointer doubling: in a round each value takes in the values that the round before made, so a chain of n labels is open
+    after log n rounds. Circular labels are no values: they stay as they are. Fails if a value grows beyond ``longest`` characters.
+    """
+    circular = kept(circular_labels(labels))
+    known = labels.select("doc_id", N.label(F.col("category"), F.col("n")).alias("label"), F.col("value").alias("text")).distinct()
+    known = known.join(circular, ["doc_id", "label"], "left_anti")
+    plain = known.where(~F.col("text").rlike(TOLERANT)).select("doc_id", "label", F.col("text").alias("value"), F.lit(0).cast("long").alias("closed"))
+    nested = kept(known.where(F.col("text").rlike(TOLERANT)))
+    names = plain.select("doc_id", "label").unionByName(nested.select("doc_id", "label"))
+    while not _references(nested, "doc_id").join(names, ["doc_id", "label"], "left_semi").isEmpty():
+        values = plain.unionByName(nested.select("doc_id", "label", F.col("text").alias("value"), F.lit(0).cast("long").alias("closed")))
+        own = nested.withColumnRenamed("label", "of")
+        # lengths first: nothing is put together that would be too long
+        lengths = _references(own, "doc_id", "of").join(values.select("doc_id", "label", F.length("value").alias("n")), ["doc_id", "label"]).groupBy("doc_id", "of").agg(F.sum("n").alias("n"))
+        if (most := lengths.agg(F.max("n")).first()[0] or 0) > longest:
+            raise ValueError(f"a label opens to {most} characters, more than the longest text of {longest}")
+        found = _opened(own, values, "doc_id", "of")
+        text = N.replaced(F.col("text"), TOLERANT, lambda m, i: F.coalesce(F.get(F.col("puts"), i)["value"], m))
+        nested = kept(found.select("doc_id", F.col("of").alias("label"), text.alias("text")))
+    stay = _references(nested, "doc_id", "label").toDF("doc_id", "of", "pos", "label").join(circular, ["doc_id", "label"], "left_semi").groupBy("doc_id", F.col("of").alias("label")).agg(F.count("*").alias("closed"))
+    opened = nested.join(stay, ["doc_id", "label"], "left").select("doc_id", "label", F.col("text").alias("value"), F.coalesce("closed", F.lit(0)).alias("closed"))
+    closed = circular.select("doc_id", "label", F.lit(None).cast("string").alias("value"), F.lit(1).cast("long").alias("closed"))
+    return plain.unionByName(opened).unionByName(closed)
+
+
+def restored(answers: DataFrame, labels: DataFrame) -> DataFrame:
+    """answers: doc_id, text; labels: doc_id, category, n, value. Returns doc_id, text, restored, unresolved, circular.
+
+    Labels are read tolerantly (see ``TOLERANT``). ``restored`` and ``unresolved`` count the labels of the answer that are
+    replaced and those that stay; values that hold labels are open to the end, however deep, and labels that lead
+    back to themselves stay and count as ``circular``, within values too. A null text stays null.
     """
-    pattern = r"(?iu)\[\s*([\p{L}]+(?:[ _-][\p{L}]+)*)[ _-]?([0-9]+)\s*\]"
-    maps = labels.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct(N.label(F.col("category"), F.col("n")), F.col("value")))).alias("known"))
-    out = answers.join(maps, "doc_id", "left").withColumn("known", F.coalesce("known", F.create_map().cast("map<string,string>")))
-    canonical = lambda m: F.concat(F.lit("["), F.regexp_replace(F.upper(F.regexp_extract(m, pattern, 1)), "[ -]", "_"), F.lit("_"), F.regexp_extract(m, pattern, 2), F.lit("]"))
-    value = lambda m: F.col("known")[canonical(m)]
-    once = lambda t: N.spliced(t, F.filter(N.match_spans(t, pattern), lambda s: value(s["value"]).isNotNull()), lambda s: value(s["value"]))
-    found = N.match_spans(F.col("text"), pattern)
-    out = out.select("doc_id", "text", "known", F.explode(F.array(found)).alias("found"))
-    counts = lambda known: F.size(F.filter("found", lambda s: value(s["value"]).isNotNull() == F.lit(known))).cast("long")
-    out = out.select("doc_id", "known", counts(True).alias("restored"), counts(False).alias("unresolved"), F.when(F.size("found") == 0, F.col("text")).otherwise(once(F.col("text"))).alias("text"))
-    # a value may hold a label of the same document: such rows go on within the row, as a text without known labels stays the same
-    nested = F.exists(F.map_values("known"), lambda v: v.rlike(pattern))
-    if passes > 1:
-        again = F.aggregate(F.sequence(F.lit(2), F.lit(passes)), F.col("text"), lambda t, _: F.when(t.rlike(pattern), once(t)).otherwise(t))
-        out = out.withColumn("text", F.when(nested & F.col("text").rlike(pattern), again).otherwise(F.col("text")))
-    return out.select("doc_id", "text", "restored", "unresolved")
+    values = opened_values(labels)
+    keyed = answers.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    with_labels = F.coalesce(F.col("text").rlike(TOLERANT) & F.col("doc_id").isNotNull(), F.lit(False))
+    touched = _opened(keyed.where(with_labels).distinct(), values, "doc_id", "key")
+    counted = lambda test: F.size(F.filter("puts", test)).cast("long")
+    done = touched.select(
+        "doc_id", "key",
+        N.replaced(F.col("text"), TOLERANT, lambda m, i: F.coalesce(F.get(F.col("puts"), i)["value"], m)).alias("new"),
+        counted(lambda p: p["value"].isNotNull()).alias("restored"),
+        counted(lambda p: p["value"].isNull()).alias("unresolved"),
+        F.aggregate("puts", F.lit(0).cast("long"), lambda a, p: a + F.coalesce(p["closed"], F.lit(0))).alias("circular"),
+    )
+    zero = F.lit(0).cast("long")
+    plain = keyed.where(~with_labels).select("doc_id", "text", *(zero.alias(c) for c in ("restored", "unresolved", "circular")))
+    again = keyed.where(with_labels).select("doc_id", "key").join(done, ["doc_id", "key"]).select("doc_id", F.col("new").alias("text"), "restored", "unresolved", "circular")
+    return plain.unionByName(again)

@@ -11,6 +11,7 @@ from maskloom.operators import labels as L
 from maskloom.operators import masking
 from maskloom.operators import spans as S
 from maskloom.operators import verify as V
+from maskloom.operators.rounds import kept
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,13 +98,34 @@ def anonymize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are masked once; what is restored is held against the digest of the original."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    masked = L.anonymized_rows(docs)
+    masked = kept(L.anonymized_rows(docs, digest=F.sha2(F.coalesce("text", F.lit("")), 256)))
     labels = masked.where(F.size("spans") > 0).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.category", "s.n", "s.value").distinct()
     back = L.restored(masked.select("doc_id", F.col("masked").alias("text")), labels)
-    return back.join(docs.select("doc_id", F.col("text").alias("original")), "doc_id").select(
-        "doc_id", "restored", "unresolved", (F.col("text") == F.coalesce("original", F.lit(""))).alias("equal"), F.sha2("text", 256).alias("text_sha256")
-    )
+    return back.join(masked.select("doc_id", "digest"), "doc_id").select("doc_id", "restored", "unresolved", (F.sha2("text", 256) == F.col("digest")).alias("equal"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def restore_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text cut into 1 to 40 pieces, each piece the value of a label that leads to the next, and restored from the first label.
+    In every tenth document the last label leads back, so that a part of the chain is circular and stays."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    depth = (F.col("doc_id") % 40 + 1).cast("int")
+    rows = docs.select("doc_id", "text", depth.alias("depth"), F.floor(F.length("text") / depth).cast("int").alias("size"), F.when(F.col("doc_id") % 10 == 3, F.col("doc_id") % 7 % depth + 1).alias("back"))
+    pieces = rows.select("*", F.explode(F.sequence(F.lit(1), "depth")).alias("n"))
+    piece = F.when(F.col("n") < F.col("depth"), F.substring(F.col("text"), (F.col("n") - 1) * F.col("size") + 1, F.col("size"))).otherwise(F.substring(F.col("text"), (F.col("n") - 1) * F.col("size") + 1, F.length("text")))
+    next_ = F.when(F.col("n") < F.col("depth"), F.col("n") + 1).otherwise(F.col("back").cast("int"))
+    value = F.concat(piece, F.when(next_.isNull(), "").otherwise(N.label(F.lit(C.PROJECT), next_)))
+    labels = pieces.select("doc_id", F.lit(C.PROJECT).alias("category"), "n", value.alias("value"))
+    back = L.restored(docs.select("doc_id", N.label(F.lit(C.PROJECT), F.lit(1)).alias("text")), labels)
+    return back.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "restored", "unresolved", "circular")
+
+
+def circular_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as labels of their nation whose values name another customer: which of them lead back to themselves."""
+    rows = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("n"))
+    value = F.concat(F.lit("see "), N.label(F.lit(C.PERSON), F.when(F.col("n") % 11 == 0, F.col("n") - 250).otherwise(F.col("n") + 25)))
+    return L.circular_labels(rows.select((F.col("n") % 25).alias("doc_id"), F.lit(C.PERSON).alias("category"), "n", value.alias("value")))
 
 
 def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +210,8 @@ QUERIES = {
     "label_numbering_conversation": conversation_words,
     "anonymize_documents": anonymize_documents,
     "restore_roundtrip": restore_roundtrip,
+    "restore_nested": restore_nested,
+    "circular_labels": circular_labels,
     "leak_scan": leak_scan,
     "unknown_labels": unknown_labels,
     "redaction_targets": redaction_targets,
@@ -220,6 +244,13 @@ n as (select conv_id, value, row_number() over (partition by conv_id order by fi
 select conv_id, n, '[ФИО_' || n || ']' as label, value from n""",
     "anonymize_documents": f"with {_MASKED} select doc_id, masked, n_spans from a",
     "restore_roundtrip": f"with {_MASKED} select a.doc_id, a.n_spans as restored, 0 as unresolved, true as equal, sha256(coalesce(d.text, '')) as text_sha256 from a join documents d using (doc_id)",
+    "restore_nested": """with d as (select doc_id, coalesce(text, '') as text, doc_id % 40 + 1 as depth, length(coalesce(text, '')) // (doc_id % 40 + 1) as size, case when doc_id % 10 = 3 then doc_id % 7 % (doc_id % 40 + 1) + 1 end as back from documents)
+select doc_id, sha256(case when back is null then text else substr(text, 1, (back - 1) * size) || '[ПРОЕКТ_' || back || ']' end) as text_sha256, case when back = 1 then 0 else 1 end::bigint as restored,
+  case when back = 1 then 1 else 0 end::bigint as unresolved, case when back is null then 0 else 1 end::bigint as circular from d""",
+    "circular_labels": """with recursive e as (select c_custkey % 25 as doc_id, c_custkey as n, case when c_custkey % 11 = 0 then c_custkey - 250 else c_custkey + 25 end as m from customer),
+k as (select e.* from e join e f on f.doc_id = e.doc_id and f.n = e.m),
+r as (select doc_id, n, m from k union select r.doc_id, r.n, k.m from r join k on k.doc_id = r.doc_id and k.n = r.m)
+select distinct doc_id, '[ФИО_' || n || ']' as label from r where n = m""",
     "leak_scan": f"""with {_UNITED}, one as (select doc_id, "start", "stop", '[' || category || '_' || n || ']' as label from n qualify row_number() over (partition by doc_id order by "start") = 1),
 o as (select doc_id, substr(text, 1, "start") || label || substr(text, "stop" + 1) as text from documents join one using (doc_id)),
 w as (select distinct doc_id, value from n where length(trim(value)) >= 3)

@@ -57,8 +57,31 @@ def test_repeated_lines_move_each(spark, tmp_path):
     assert sorted((r.doc_id, r.base, r.answer) for r in QUERIES["line_equal_moves"](spark, folder).collect()) == [(1, 0, 1), (1, 1, 3), (1, 3, 4), (1, 4, 0)]
 
 
-def test_values_nested_deeper_than_three_are_restored(spark):
-    table = spark.createDataFrame([(1, "EMAIL", k, f"<[EMAIL_{k + 1}]>" if k < 7 else "end") for k in range(1, 8)] + [(2, "EMAIL", 1, "x")], "doc_id long, category string, n int, value string")
-    answers = spark.createDataFrame([(1, "[EMAIL_1] [EMAIL_9]"), (2, "[email 1]")], "doc_id long, text string")
-    for passes, text in ((10, "<<<<<<end>>>>>> [EMAIL_9]"), (4, "<<<<[EMAIL_5]>>>> [EMAIL_9]"), (1, "<[EMAIL_2]> [EMAIL_9]")):
-        assert {r.doc_id: r.text for r in labels.restored(answers, table, passes).collect()} == {1: text, 2: "x"}
+def chain(doc, n, end):
+    return [(doc, "EMAIL", k, f"<[EMAIL_{k + 1}]>" if k < n else end) for k in range(1, n + 1)]
+
+
+TABLE = "doc_id long, category string, n int, value string"
+
+
+def test_values_nested_to_any_depth_are_restored(spark):
+    table = spark.createDataFrame(chain(1, 12, "end") + [(2, "EMAIL", 1, "x")] + chain(3, 200, "[EMAIL_7] 1") + chain(4, 37, "[EMAIL_77]") + [(5, "A", 1, "[A_2] [a-2]"), (5, "A", 2, "b"), (6, "A", 1, "[A_1]"), (6, "A", 2, "[A_1] [A_3]"), (6, "A", 3, "z")], TABLE)
+    answers = spark.createDataFrame([(1, "[EMAIL_1] [EMAIL_9] [EMAIL_99]"), (2, "[email 1]"), (3, "[EMAIL_1] [EMAIL_8]"), (4, "[EMAIL_1]"), (5, "[A_1]"), (5, "[A_1]"), (6, "[A_2][A_1]"), (7, "[A_1]"), (8, None), (None, "[A_1]")], "doc_id long, text string")
+    got = sorted((tuple(r) for r in labels.restored(answers, table).collect()), key=str)
+    assert got == sorted([
+        (1, "<" * 11 + "end" + ">" * 11 + " " + "<" * 3 + "end" + ">" * 3 + " [EMAIL_99]", 2, 1, 0), (2, "x", 1, 0, 0),
+        (3, "<" * 6 + "[EMAIL_7]" + ">" * 6 + " [EMAIL_8]", 1, 1, 2), (4, "<" * 36 + "[EMAIL_77]" + ">" * 36, 1, 0, 0), (5, "b b", 1, 0, 0), (5, "b b", 1, 0, 0),
+        (6, "[A_1] z[A_1]", 1, 1, 2), (7, "[A_1]", 0, 1, 0), (8, None, 0, 0, 0), (None, "[A_1]", 0, 0, 0),
+    ], key=str)
+
+
+def test_circular_labels(spark):
+    table = spark.createDataFrame(chain(1, 12, "end") + chain(3, 40, "[EMAIL_7]") + [(6, "A", 1, "[A_1]"), (6, "A", 2, "[A_1]")], TABLE)
+    assert {(r.doc_id, r.label) for r in labels.circular_labels(table).collect()} == {(3, f"[EMAIL_{k}]") for k in range(7, 41)} | {(6, "[A_1]")}
+    assert labels.circular_labels(table.where("false")).count() == 0
+
+
+def test_values_that_would_grow_without_bounds_stop_the_restoring(spark):
+    table = spark.createDataFrame([(1, "A", k, f"[A_{k + 1}][A_{k + 1}]" if k < 60 else "end") for k in range(1, 61)], TABLE)
+    with pytest.raises(Exception, match="longest"):
+        labels.restored(spark.createDataFrame([(1, "[A_1]")], "doc_id long, text string"), table).collect()
