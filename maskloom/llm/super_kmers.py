@@ -47,7 +47,8 @@ LAST = np.iinfo(np.int64).max
 _U = np.uint64
 _R = (0xD1342543DE82EF95, 0x9E3779B97F4A7C15)
 
-#: kind 0: marked words, from ``start`` to ``stop``; 1: a super-k-mer; 2: a window on its own, by two hashes.
+#: kind 0: marked words, from ``start`` to ``stop``, dealt by document; 1: a super-k-mer; 2: a window on its own, by two hashes;
+#: if it stands at several places of the document, ``stop`` is -1 and ``packed`` has all of them.
 _TRAVEL = "kind int, bucket long, second long, doc long, variant long, start int, stop int, packed binary"
 
 
@@ -142,6 +143,20 @@ def _first_of(keys: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _windows(one: np.ndarray, two: np.ndarray, text: np.ndarray, doc: np.ndarray, variant: np.ndarray, begin: np.ndarray, width: int) -> pa.RecordBatch:
+    """A row for each window and text, however often it stands there."""
+    order = np.lexsort((begin, text, two, one))
+    one, two, text, begin = (x[order] for x in (one, two, text, begin))
+    first = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (text[1:] != text[:-1])]))[: len(one)]
+    until = np.append(first[1:], len(one))[: len(first)]
+    packed: list[bytes | None] = [None] * len(first)
+    several = until - first > 1
+    for k in np.flatnonzero(several).tolist():
+        packed[k] = begin[first[k] : until[k]].astype(np.int32).tobytes()
+    own = text[first]
+    return _travelling(2, one[first], two[first], doc[own], variant[own], begin[first], np.where(several, -1, begin[first] + width), packed)
+
+
 def _packed_kmers(width: int, gram: int):
     """Super-k-mers of shared minimisers, windows of hot ones, and what is known to repeat from the block alone."""
 
@@ -176,7 +191,7 @@ def _packed_kmers(width: int, gram: int):
             strings = [p for p, own in held.items() for _ in own]
             for kind, k in ((1, sent), (0, np.array(known, np.int64))):
                 begin = start[k] - offset[k]
-                yield _travelling(kind, low[k], text[k], doc[text[k]], variant[text[k]], begin, begin + count[k] + width - 1, strings if kind else None)
+                yield _travelling(kind, low[k] if kind else variant[text[k]], text[k], doc[text[k]], variant[text[k]], begin, begin + count[k] + width - 1, strings if kind else None)
             if hot.any():
                 k = np.repeat(np.flatnonzero(hot), count[hot])
                 at = start[k] + np.arange(len(k)) - np.repeat(np.cumsum(count[hot]) - count[hot], count[hot])
@@ -187,9 +202,9 @@ def _packed_kmers(width: int, gram: int):
                     if not kind:  # neighbours are one piece
                         new = np.concatenate([[True], (begin[1:] - begin[:-1] != 1) | (text[j][1:] != text[j][:-1])])[: len(j)]
                         begin, stop, j = begin[new], begin[np.append(np.flatnonzero(new)[1:] - 1, len(begin) - 1)] + width if len(j) else begin, j[new]
-                        yield _travelling(0, one[own][new], j, doc[text[j]], variant[text[j]], begin, stop)
+                        yield _travelling(0, variant[text[j]], j, doc[text[j]], variant[text[j]], begin, stop)
                     else:
-                        yield _travelling(2, one[own], two[own], doc[text[j]], variant[text[j]], begin, begin + width)
+                        yield _windows(one[own], two[own], text[j], doc, variant, begin, width)
 
     return run
 
@@ -244,7 +259,11 @@ def _marks(width: int, rows: int):
                 for j, s in enumerate(second[own].tolist()):
                     first[j] = lowest.setdefault((int(bucket[0]), s), int(first[j]))
             k = own[doc[own] > first]
-            out.append((doc[k], variant[k], start[k], stop[k]))
+            once, often = k[stop[k] >= 0], k[stop[k] < 0]
+            out.append((doc[once], variant[once], start[once], stop[once]))
+            places = [np.frombuffer(p, np.int32) for p in t.column(7).take(pa.array(often)).to_pylist()]
+            at, k = np.concatenate([np.zeros(0, np.int32), *places]), np.repeat(often, [len(p) for p in places])
+            out.append((doc[k], variant[k], at, at + width))
             columns = [np.concatenate(c) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(d)) for c, d in zip(columns, (np.int64, np.int64, np.int32, np.int32), strict=True)], ["doc", "variant", "start", "stop"])
 
