@@ -1,96 +1,37 @@
 """The rule registry: what each rule looks for, which part of it is hidden, and who may object.
 
-A rule's pattern is applied to one segment; the part named by ``group`` becomes a span unless it is blank
-or its validator rejects it (None) or narrows it. Triggers stay readable. The order of the registry is
-part of the contract, as it decides ties between spans.
+Patterns are read by Java, with Unicode classes, and applied to one segment at a time. The part named by
+``group`` becomes a span unless it is blank or its check rejects or narrows it; triggers stay readable. The order of
+the registry is part of the contract, as it decides ties between spans.
 """
 
 from __future__ import annotations
 
-import functools
-import re
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from maskloom.functions import categories as C
-from maskloom.functions import words as W
-
-Narrow = Callable[[str, int, int], "tuple[int, int] | None"]
+from maskloom.functions.words import ROLE_WORD
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``place``: where the group lies in the match (all of it, its end, its start, or behind an opening bracket).
+    ``check``: a name in ``tagging.CHECKS``. ``needs``: what a text must hold for a match, a cheap gate."""
+
     name: str
     category: str
-    pattern: re.Pattern
+    pattern: str
     group: int = 0
-    validator: Narrow | None = None
+    check: str = ""
     needs: str = ""
+    place: str = "all"
 
 
-# --- validators --------------------------------------------------------------------------------
-
-
-def caps_name(text: str, start: int, stop: int) -> tuple[int, int] | None:
-    """Words in capitals are a person only if one has the ending of a name; roles at either end stay outside."""
-    found = [(m.group(), m.start() + start, m.end() + start) for m in W.WORD.finditer(text[start:stop])]
-    if all(W.is_generic(w) for w, _, _ in found):
-        return None
-    while found and W.is_role(found[0][0]):
-        found.pop(0)
-    while found and W.is_role(found[-1][0]):
-        found.pop()
-    if not any(W.NAME_ENDING.search(w.upper()) for w, _, _ in found):
-        return None
-    return found[0][1], found[-1][2]
-
-
-def latin_org(text: str, start: int, stop: int) -> tuple[int, int] | None:
-    """Latin words are a company if a legal form is among them; else stop words are cut off, and short single words dropped."""
-    found = [(m.group(), m.start() + start, m.end() + start) for m in re.finditer(r"[A-Za-z][A-Za-z0-9&-]*", text[start:stop])]
-    if any(w.casefold() in W.LATIN_FORMS for w, _, _ in found) and len(found) > 1:
-        return start, stop
-    while found and found[0][0].casefold() in W.LATIN_STOP:
-        found.pop(0)
-    while found and found[-1][0].casefold() in W.LATIN_STOP:
-        found.pop()
-    if not found or len(found) == 1 and len(found[0][0]) <= 3:
-        return None
-    return found[0][1], found[-1][2]
-
-
-def not_zero(text: str, start: int, stop: int) -> tuple[int, int] | None:
-    return (start, stop) if re.search("[1-9]", text[start:stop]) else None
-
-
-_NORM_BEFORE = re.compile(r"(?:\b(?:ст|п|пп|ч|гл|стат\w*|пункт\w*|част\w*|глав\w*|раздел\w*|гост|ту|снип|сп|iso|верси\w*)\b)[\s.№Р]*(?:[\d.,\-\s]|и\s){0,20}$", re.I)
-
-
-def plain_money(text: str, start: int, stop: int) -> tuple[int, int] | None:
-    """A bare decimal is an amount unless it is zero or stands behind a reference to a norm or clause."""
-    if not not_zero(text, start, stop) or _NORM_BEFORE.search(text[max(0, start - 40) : start]):
-        return None
-    return start, stop
-
-
-_INNER_BEFORE = re.compile(r"\b(?:приложени\w*|пункт\w*|стат\w*|раздел\w*|дополнительн\w*\s+соглашени\w*|глав\w*|таблиц\w*|рисун\w*|лист\w*|стр|п|ст)\.?\s*№?\s*$", re.I)
-
-
-def document_number(text: str, start: int, stop: int) -> tuple[int, int] | None:
-    """A number of one or two digits behind an appendix or clause is a reference inside the document."""
-    if re.fullmatch(r"\d{1,2}", text[start:stop]) and _INNER_BEFORE.search(text[max(0, start - 40) : start]):
-        return None
-    return start, stop
-
-
-# --- patterns ----------------------------------------------------------------------------------
-
 _UP, _LOW = "[А-ЯЁ]", "[а-яё]"
 _TITLE = f"{_UP}{_LOW}+"
 _CASES = "(?:а|у|ым|ом|е|ой|ою|ого|ому|их|ыми?|им)?"
 _SURNAME = f"{_UP}{_LOW}*(?:[оеё]в|[иы]н|ск|цк)(?:{_CASES}|ий|ая|ую)(?:-{_TITLE})?|{_UP}{_LOW}+(?:енко|швили|дзе|ян|ук|юк)"
 _SURNAME = f"(?:{_SURNAME})"
-SURNAME = re.compile(_SURNAME)
 _PATRONYMIC = f"{_UP}{_LOW}+(?:[ое]вич(?:а|у|ем|е)?|ич(?:а|у|ем|е)?|(?:[ое]в|ич|инич)н(?:а|ы|е|у|ой))"
 _INITIALS = rf"{_UP}\.\s?{_UP}\."
 _CADASTRE = r"\d{2}:\d{2}:\d{6,7}:\d{1,5}"
@@ -117,8 +58,8 @@ _BARE = r"(?<![\w-])(?<!\d[.,])"
 _END = r"(?![\w-])(?![.,]\d)"
 
 
-def _rule(name: str, category: str, pattern: str, group: int = 0, validator: Narrow | None = None, flags: int = 0, needs: str = "я") -> Rule:
-    return Rule(name, category, re.compile(pattern, flags), group, validator, needs)
+def _rule(name: str, category: str, pattern: str, group: int = 0, check: str = "", any_case: bool = False, needs: str = "я", place: str = "") -> Rule:
+    return Rule(name, category, ("(?Uiu)" if any_case else "(?U)") + pattern, group, check, needs, place or ("end" if group else "all"))
 
 
 def _bare(name: str, category: str, digits: int) -> Rule:
@@ -137,70 +78,56 @@ RULES: tuple[Rule, ...] = (
     _rule("register_number", C.EGRN, rf"(?<!\d)(?:{_CADASTRE}\s*[-–—]\s*\d{{2}}/\d{{3}}/\d{{4}}-\d+|\d{{2}}-\d{{2}}/\d{{3,4}}-\d+)", needs="0"),
     _rule("cadastre", C.CADASTRE, rf"(?<!\d){_CADASTRE}(?!\d)", needs="0"),
     _rule("passport_issued", C.PASSPORT_ISSUED, rf"\b[Вв]ыдан\w*:?\s+({_AUTHORITY}[^\n]{{3,200}}?)(?=,?\s*(?:{_DATE}|код\b|\d{{3}}-\d{{3}})|[;\n]|$)", 1),
-    _rule("passport_series", C.PASSPORT, r"\bсери[яи]\s*:?\s*(\d{2}\s?\d{2}\s*(?:№|номер|N)?\s*\d{6})", 1, flags=re.I, needs="я0"),
-    _rule("passport", C.PASSPORT, r"\bпаспорт\w*(?:\s+(?:РФ|гражданина РФ))?\s*:?\s*(?:№\s*)?(\d{2}\s?\d{2}\s*(?:№\s*)?\d{6})(?!\d)", 1, flags=re.I, needs="я0"),
-    _rule("snils", C.SNILS, r"\b(?:снилс|страхово\w+ (?:свидетельств\w+|номер\w*))\s*:?\s*(?:№\s*)?(\d{3}-\d{3}-\d{3}[ -]\d{2}|\d{11})(?!\d)", 1, flags=re.I, needs="я0"),
-    _rule("division_code", C.DIV_CODE, r"\bкод\s+подразделения\s*:?\s*(\d{3}[-–]?\d{3})(?!\d)", 1, flags=re.I, needs="я0"),
-    _rule("born", C.BIRTH_DATE, rf"({_DATE})\s*(?:(?:г\.?\s*|года?\s+)?рождения|г\.\s?р\b)", 1, needs="я0"),
-    _rule("birth_date", C.BIRTH_DATE, rf"\bдат[аы]\s+рождения\s*:?\s*({_DATE})", 1, flags=re.I, needs="я0"),
-    _rule("issue_date", C.ISSUE_DATE, rf"\bдат[аы]\s+выдачи\s*:?\s*({_DATE})", 1, flags=re.I, needs="я0"),
+    _rule("passport_series", C.PASSPORT, r"\bсери[яи]\s*:?\s*(\d{2}\s?\d{2}\s*(?:№|номер|N)?\s*\d{6})", 1, any_case=True, needs="я0"),
+    _rule("passport", C.PASSPORT, r"\bпаспорт\w*(?:\s+(?:РФ|гражданина РФ))?\s*:?\s*(?:№\s*)?(\d{2}\s?\d{2}\s*(?:№\s*)?\d{6})(?!\d)", 1, any_case=True, needs="я0"),
+    _rule("snils", C.SNILS, r"\b(?:снилс|страхово\w+ (?:свидетельств\w+|номер\w*))\s*:?\s*(?:№\s*)?(\d{3}-\d{3}-\d{3}[ -]\d{2}|\d{11})(?!\d)", 1, any_case=True, needs="я0"),
+    _rule("division_code", C.DIV_CODE, r"\bкод\s+подразделения\s*:?\s*(\d{3}[-–]?\d{3})(?!\d)", 1, any_case=True, needs="я0"),
+    _rule("born", C.BIRTH_DATE, rf"({_DATE})\s*(?:(?:г\.?\s*|года?\s+)?рождения|г\.\s?р\b)", 1, needs="я0", place="start"),
+    _rule("birth_date", C.BIRTH_DATE, rf"\bдат[аы]\s+рождения\s*:?\s*({_DATE})", 1, any_case=True, needs="я0"),
+    _rule("issue_date", C.ISSUE_DATE, rf"\bдат[аы]\s+выдачи\s*:?\s*({_DATE})", 1, any_case=True, needs="я0"),
     _rule("birth_place", C.BIRTH_PLACE, r"\b[Мм]есто\s+рождения\s*:\s*([^\n]{3,200}?)(?=[,;.]?\s*(?:[Пп]аспорт|[Сс]ерия)|[;\n]|$)", 1),
     _rule("registered_at", C.ADDRESS, rf"\b[Зз]арегистрирован\w*\s+по\s+адресу\s*:?\s*({_REST}{{5,250}}?)(?=\s*(?:[Пп]аспорт|ИНН|СНИЛС|[Тт]ел\b)|{_STOP}|\n|$)", 1),
     _rule("registration_address", C.ADDRESS, rf"\b[Аа]дрес\s+регистрации\s*:\s*({_REST}{{5,250}}?)(?=\s*(?:[Пп]аспорт|ИНН|СНИЛС|[Тт]ел\b)|{_STOP}|\n|$)", 1),
     _rule("labelled_address", C.ADDRESS, rf"\b(?:[Юю]ридический|[Пп]очтовый|[Фф]актический|[Мм]есто нахождения|[Аа]дрес)(?:\s+адрес)?\s*:\s*({_REST}{{10,200}}?)(?={_STOP}|\s*;|\n|$)", 1),
     _rule("street_address", C.ADDRESS, rf"(?:\bг\.\s?|\bгород\s+){_TITLE}(?:-{_TITLE})?,\s*{_STREET}\.?\s+[^\n,]{{2,60}}(?:,\s*{_BUILDING}\.?\s*\d+[\w/-]*)+", needs="я0"),
-    _rule("building_part", C.ADDRESS, rf"\b(?:д|дом|корп|корпус|строение|кв|квартира|оф|офис|пом|помещение|этаж|подъезд|комната|секция)\b\.?\s*(?:№\s*)?(\d+[а-я]?(?:/\d+)?|(?-i:[IVXLC]+))\b", 1, flags=re.I),
-    _rule("account", C.ACCOUNT, r"(?:р/с|к/с|р/сч|корр?\.?\s*сч[её]т|расч[её]тный\s+сч[её]т|сч[её]т)\w*\s*:?\s*(?:№\s*)?(\d{20})(?!\d)", 1, flags=re.I, needs="я0"),
+    _rule("building_part", C.ADDRESS, rf"\b(?:д|дом|корп|корпус|строение|кв|квартира|оф|офис|пом|помещение|этаж|подъезд|комната|секция)\b\.?\s*(?:№\s*)?(\d+[а-я]?(?:/\d+)?|(?-i:[IVXLC]+))\b", 1, any_case=True),
+    _rule("account", C.ACCOUNT, r"(?:р/с|к/с|р/сч|корр?\.?\s*сч[её]т|расч[её]тный\s+сч[её]т|сч[её]т)\w*\s*:?\s*(?:№\s*)?(\d{20})(?!\d)", 1, any_case=True, needs="я0"),
     _bare("bare_account", C.ACCOUNT, 20),
-    _rule("ogrn", C.OGRN, r"\bОГРН(?:ИП)?\s*:?\s*(?:№\s*)?(\d{13,15})(?!\d)", 1, flags=re.I, needs="я0"),
+    _rule("ogrn", C.OGRN, r"\bОГРН(?:ИП)?\s*:?\s*(?:№\s*)?(\d{13,15})(?!\d)", 1, any_case=True, needs="я0"),
     _bare("bare_ogrnip", C.OGRN, 15),
     _bare("bare_ogrn", C.OGRN, 13),
-    _rule("inn_person", C.INN_PERSON, rf"\bИНН{_BETWEEN}(\d{{12}})(?!\d)", 1, flags=re.I, needs="я0"),
+    _rule("inn_person", C.INN_PERSON, rf"\bИНН{_BETWEEN}(\d{{12}})(?!\d)", 1, any_case=True, needs="я0"),
     _bare("bare_inn_person", C.INN_PERSON, 12),
-    _rule("inn_company", C.INN_COMPANY, rf"\bИНН{_BETWEEN}(\d{{10}})(?!\d)", 1, flags=re.I, needs="я0"),
+    _rule("inn_company", C.INN_COMPANY, rf"\bИНН{_BETWEEN}(\d{{10}})(?!\d)", 1, any_case=True, needs="я0"),
     _bare("bare_inn_company", C.INN_COMPANY, 10),
-    _rule("kpp", C.KPP, r"\bКПП\s*:?\s*(?:№\s*)?(\d{9})(?!\d)", 1, flags=re.I, needs="я0"),
-    _rule("bik", C.BIK, rf"\bБИК{_BETWEEN}(\d{{9}})(?!\d)", 1, flags=re.I, needs="я0"),
+    _rule("kpp", C.KPP, r"\bКПП\s*:?\s*(?:№\s*)?(\d{9})(?!\d)", 1, any_case=True, needs="я0"),
+    _rule("bik", C.BIK, rf"\bБИК{_BETWEEN}(\d{{9}})(?!\d)", 1, any_case=True, needs="я0"),
     _rule("bare_bik", C.BIK, rf"{_BARE}04\d{{7}}{_END}", needs="0"),
     _rule("swift", C.SWIFT, r"\b(?:SWIFT|СВИФТ)(?:-код|\s+code|\s+код)?\s*:?\s*([A-Z]{6}[A-Z0-9]{2,5})\b", 1, needs=""),
-    _rule("caps_name", C.PERSON, rf"(?<![\w-]){_UP}{{2,}}(?:-{_UP}{{2,}})?(?:\s+{_UP}{{2,}}(?:-{_UP}{{2,}})?){{1,2}}(?![\w-])", 0, caps_name),
+    _rule("caps_name", C.PERSON, rf"(?<![\w-]){_UP}{{2,}}(?:-{_UP}{{2,}})?(?:\s+{_UP}{{2,}}(?:-{_UP}{{2,}})?){{1,2}}(?![\w-])", 0, "caps_name"),
     _rule("caps_surname_initials", C.PERSON, rf"(?<!\w){_UP}{{3,}}(?:-{_UP}{{2,}})?\s+{_INITIALS}"),
     _rule("initials_caps_surname", C.PERSON, rf"(?<!\w){_INITIALS}\s?{_UP}{{3,}}(?:-{_UP}{{2,}})?(?!\w)"),
     _rule("email", C.EMAIL, r"[\w.+-]+\s?@\s?[\w-]+(?:\s?\.\s?[\w-]+)*\.\s?[A-Za-zА-Яа-яЁё]{2,}", needs="@"),
     _rule("phone_brackets", C.PHONE, r"\(\d{3,5}\)[\s-]?\d{1,3}[\s-]?\d{2}[\s-]?\d{2}(?!\d)", needs="0"),
     _rule("phone_short", C.PHONE, r"(?<![\d-])\d{3}-\d{2}-\d{2}(?![\d-])", needs="0"),
     _rule("phone", C.PHONE, r"(?<![\w+])(?:\+7|7|8)[\s-]?(?:\(?\d{3}\)?(?:[\s-]?\d){7}|\(\d{4}\)(?:[\s-]?\d){6}|\(\d{5}\)(?:[\s-]?\d){5})(?!\d)", needs="0"),
-    _rule("document_number", C.DOC_NO, r"(№\s*)((?=[\w/.\-]*\d)[A-Za-zА-Яа-яЁё0-9][\w/.\-]*[\w]|\d)", 2, document_number, needs="№0"),
-    _rule("money", C.MONEY, rf"(?<![\w.,])({_NUMBER}{_WORDS})\s*{_CURRENCY}", 1, not_zero, re.I, needs="0"),
-    _rule("money_sign", C.MONEY, rf"([$€₽£¥]|\b(?:USD|EUR|RUB|CNY)\b)\s?({_NUMBER})", 2, not_zero, needs="0"),
-    _rule("money_words", C.MONEY, rf"\(\s*((?:{_NUMERAL})(?:\s+(?:{_NUMERAL}))*(?:\s+{_CURRENCY}[^()\n]{{0,80}}?)?)\s*\)(?!\s*(?:календарн|рабоч|банковск|дн))", 1, None, re.I),
-    _rule("money_grouped", C.MONEY, r"(?<![\d.,])\d{1,3}(?:[   ]\d{3})+(?:[.,]\d{1,2})?(?![\d])", 0, not_zero, needs="0"),
-    _rule("money_decimal", C.MONEY, r"(?<![\d.,])\d+[.,]\d{2}(?![.,]?\d)(?!\.\d)", 0, plain_money, needs="0"),
+    _rule("document_number", C.DOC_NO, r"(№\s*)((?=[\w/.\-]*\d)[A-Za-zА-Яа-яЁё0-9][\w/.\-]*[\w]|\d)", 2, "document_number", needs="№0"),
+    _rule("money", C.MONEY, rf"(?<![\w.,])({_NUMBER}{_WORDS})\s*{_CURRENCY}", 1, "not_zero", True, needs="0", place="start"),
+    _rule("money_sign", C.MONEY, rf"([$€₽£¥]|\b(?:USD|EUR|RUB|CNY)\b)\s?({_NUMBER})", 2, "not_zero", needs="0"),
+    _rule("money_words", C.MONEY, rf"\(\s*((?:{_NUMERAL})(?:\s+(?:{_NUMERAL}))*(?:\s+{_CURRENCY}[^()\n]{{0,80}}?)?)\s*\)(?!\s*(?:календарн|рабоч|банковск|дн))", 1, "", True, place="inside"),
+    _rule("money_grouped", C.MONEY, r"(?<![\d.,])\d{1,3}(?:[   ]\d{3})+(?:[.,]\d{1,2})?(?![\d])", 0, "not_zero", needs="0"),
+    _rule("money_decimal", C.MONEY, r"(?<![\d.,])\d+[.,]\d{2}(?![.,]?\d)(?!\.\d)", 0, "plain_money", needs="0"),
     _bare("bare_number_11", C.DOC_NO, 11),
     _bare("bare_number_14", C.DOC_NO, 14),
     _bare("postal_index", C.INDEX, 6),
-    _rule("latin_org", C.ORG, r"(?<![\w@.-])[A-Z][A-Za-z0-9&-]*(?:\s+(?:&\s+)?[A-Z][A-Za-z0-9&-]*)*(?![\w@])", 0, latin_org, needs=""),
+    _rule("latin_org", C.ORG, r"(?<![\w@.-])[A-Z][A-Za-z0-9&-]*(?:\s+(?:&\s+)?[A-Z][A-Za-z0-9&-]*)*(?![\w@])", 0, "latin_org", needs=""),
 )
 DATES = _rule("date", C.DATE, r"(?<!\d)(?:[0-3]?\d[./-][01]?\d[./-](?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d[./-][01]?\d[./-][0-3]?\d)(?!\d)", needs="0")
 ORDER = {r.name: k for k, r in enumerate((*RULES, DATES))}
 
-#: What a rule cannot match without. Letters of the first range include those that equal Cyrillic ones in another case.
-MARKS = {"я": re.compile("[Ѐ-ӿᲀ-ᲈ]"), "0": re.compile(r"\d"), "@": re.compile("@"), "№": re.compile("№")}
-
+#: A small recogniser of people and places by endings and triggers; a role before a name stays outside unless it is a surname.
+PEOPLE = rf"(?U)\b(?:(?={_SURNAME}\s)|(?!{ROLE_WORD}))(?:{_SURNAME}\s+{_TITLE}(?:\s+{_PATRONYMIC})?|{_TITLE}\s+{_SURNAME})\b"
+PLACES = rf"(?U)(?:\bг\.\s?|\bгород(?:а|е|у)?\s+|\bсел[оае]\s+|\bпос\.\s?)({_TITLE}(?:-{_TITLE})?)"
 
-@functools.cache
-def _possible(marks: str, dates: bool) -> tuple[Rule, ...]:
-    return tuple(r for r in ((*RULES, DATES) if dates else RULES) if set(r.needs) <= set(marks))
-
-
-def rule_spans(text: str, dates: bool = False) -> list[tuple[int, int, str]]:
-    """(start, stop, category) of all rules in their order, overlaps included. Rules whose marks the text lacks are not tried."""
-    out = []
-    for rule in _possible("".join(k for k, p in MARKS.items() if p.search(text)), dates):
-        for m in rule.pattern.finditer(text):
-            start, stop = m.span(rule.group)
-            if start < stop and text[start:stop].strip():
-                if rule.validator and not (kept := rule.validator(text, start, stop)):
-                    continue
-                out.append((*(kept if rule.validator else (start, stop)), rule.category))
-    return out
+#: What a rule cannot match without. Letters of the first range include those that equal Cyrillic ones in another case.
+MARKS = {"я": "[\u0400-\u04FF\u1C80-\u1C88]", "0": r"(?U)\d", "@": "@", "№": "№"}

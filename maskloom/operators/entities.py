@@ -1,52 +1,31 @@
-"""Sources of recognised entities. No model is shipped: an entity source is a plug-in.
+"""Sources of recognised entities, and the spreading of what they find. No model is shipped: a source is a plug-in.
 
 A source adds a column ``entities`` to segments: array<struct<start:int,stop:int,type:string>>, null where
-it failed. Equal texts are recognised once.
+it failed. Terms spread by a posting table of words: each word of a text with its place and form.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.functions import rules as R
+from maskloom.functions import categories as C
+from maskloom.functions import native as N
+from maskloom.functions import tagging as T
 from maskloom.functions import words as W
 
-ENTITIES = "array<struct<start:int,stop:int,type:string>>"
-_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("type", pa.string())]))
-_LATIN = re.compile("[A-Za-z0-9_]")
-_PERSON = re.compile(rf"\b(?:{R._SURNAME}\s+{R._TITLE}(?:\s+{R._PATRONYMIC})?|{R._TITLE}\s+{R._SURNAME})\b")
-_PLACE = re.compile(rf"(?:\bг\.\s?|\bгород(?:а|е|у)?\s+|\bсел[оае]\s+|\bпос\.\s?)({R._TITLE}(?:-{R._TITLE})?)")
-
-
-def recognised(text: str) -> list[tuple[int, int, str]]:
-    """A small deterministic recogniser by endings and triggers."""
-    people = []
-    at = 0
-    while m := _PERSON.search(text, at):
-        first = W.WORD.match(text, m.start())
-        if first and W.is_role(first.group()) and not R.SURNAME.fullmatch(first.group()):
-            at = first.end()  # a role before a name stays readable
-            continue
-        people.append((*m.span(), "PER"))
-        at = m.end()
-    return people + [(*m.span(1), "LOC") for m in _PLACE.finditer(text)]
+ENTITIES = T.ENTITIES
+#: A word as postings have it, and as terms are made of.
+TOKEN = r"[\p{L}\p{M}\p{N}_]+"
+_WORD = "[A-Za-zА-Яа-яЁё]+"
+_TAILS = ("[а-яё]{0,4}", "[a-z]{0,2}")
+LONGEST_TAIL = 4
 
 
 def with_rule_entities(segments: DataFrame) -> DataFrame:
-    """Entities of the small recogniser; each distinct text is looked at once and joined back."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [[{"start": a, "stop": z, "type": k} for a, z, k in recognised(t)] for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _ARROW)], ["text", "entities"])
-
-    once = segments.select("text").where("text is not null").distinct().mapInArrow(run, f"text string, entities {ENTITIES}")
-    return segments.join(once, "text", "left").select(*segments.columns, F.when(F.col("text").isNull(), F.array().cast(ENTITIES)).otherwise(F.col("entities")).alias("entities"))
+    """Entities of the small recogniser."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return segments.withColumn("entities", T.recognised(text))
 
 
 def with_table_entities(segments: DataFrame, spans: DataFrame, status: DataFrame) -> DataFrame:
@@ -58,50 +37,50 @@ def with_table_entities(segments: DataFrame, spans: DataFrame, status: DataFrame
     return rows.select(*segments.columns, F.when(F.col("seen"), F.coalesce("entities", F.array().cast(ENTITIES))).alias("entities"))
 
 
-def _starts(text: str, term: str) -> list[int]:
-    """Where ``term`` stands in ``text``, from left to right without overlaps."""
-    out, at = [], text.find(term)
-    while at >= 0:
-        out.append(at)
-        at = text.find(term, at + len(term))
-    return out
+def terms_of(found: DataFrame) -> DataFrame:
+    """Terms to spread, from what was recognised (doc_id, category, value): doc_id, term, category.
+
+    People and organisations give whole names of two words or more, and single words of four letters or more that name
+    no role; a word of both is a person's.
+    """
+    names = found.where(F.col("category").isin(C.PERSON, C.ORG)).select("doc_id", "category", F.trim("value").alias("value"))
+    whole = names.where((F.length("value") >= 5) & F.col("value").contains(" ")).select("doc_id", F.col("value").alias("term"), "category")
+    single = names.select("doc_id", F.explode(F.regexp_extract_all("value", F.lit(_WORD), F.lit(0))).alias("term"), "category").where((F.length("term") >= 4) & ~F.col("term").rlike("^" + W.ROLE_WORD))
+    person = F.max(F.col("category") == C.PERSON)
+    return whole.unionByName(single).groupBy("doc_id", "term").agg(F.when(person, C.PERSON).otherwise(C.ORG).alias("category"))
 
 
-def _stands(text: str, word: str) -> bool:
-    """Whether ``word`` stands in ``text`` with no Latin letter, digit or underscore beside it."""
-    at = text.find(word)
-    while at >= 0:
-        if not _LATIN.match(text[max(at - 1, 0) : at]) and not _LATIN.match(text[at + len(word) : at + len(word) + 1]):
-            return True
-        at = text.find(word, at + 1)
-    return False
+def postings(segments: DataFrame) -> DataFrame:
+    """doc_id, seg_no, start, stop, form (in lower case), small: every word of every segment; ``small``: it begins with a small letter."""
+    words = segments.where("text is not null").select("doc_id", "seg_no", F.explode(N.match_spans(F.col("text"), TOKEN)).alias("w"))
+    return words.select("doc_id", "seg_no", "w.start", "w.stop", F.lower("w.value").alias("form"), F.col("w.value").rlike(r"^\p{Ll}").alias("small"))
 
 
-def terms_spread(segments: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Where the terms of a document stand in its segments: seeds (doc_id, term, category).
+def terms_spread(segments: DataFrame, terms: DataFrame) -> DataFrame:
+    """Where the terms of a document (doc_id, term, category) stand in its segments: doc_id, seg_no, term, category, start, stop.
 
-    A term that also stands in lower case somewhere in the document is a common noun and is left out. The
-    terms of a document meet each of its segments in one row; only occurrences leave it.
+    A single word stands wherever a word begins with its root (without its last two letters, of five letters at least)
+    and ends in up to four more Cyrillic or two Latin letters; one that a document also has with a small first letter is a
+    common noun and left out. Forms meet roots by an equal beginning, so a document's terms are never tried one by one on
+    its text. Terms of several words stand where their first word does and the text goes on like them, in any case.
     """
-    kinds = {c: segments.schema[c].dataType.simpleString() for c in ("doc_id", "seg_no")}
-    noun = F.expr("concat(lower(substring(term, 1, 1)), substring(term, 2))")
-    terms = seeds.where("term <> ''").groupBy("doc_id").agg(F.collect_list(F.struct("term", "category", F.lower("term").alias("low"), noun.alias("noun"))).alias("terms"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 256):
-                b = big.slice(at, 256)
-                out = []
-                for doc, seg, text, low, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    for t in own:
-                        starts, common = _starts(low, t["low"]), _stands(text, t["noun"])
-                        if starts or common:
-                            out.append((doc, seg, t["category"], t["term"], starts, common))
-                columns = zip(*out, strict=True) if out else [[]] * 6
-                types = [b.schema.field(0).type, b.schema.field(1).type, pa.string(), pa.string(), pa.list_(pa.int32()), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], ["doc_id", "seg_no", "category", "term", "starts", "common"])
-
-    rows = segments.where("text is not null").join(terms, "doc_id").select("doc_id", "seg_no", "text", F.lower("text"), "terms")
-    found = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, seg_no {kinds['seg_no']}, category string, term string, starts array<int>, common boolean")
-    names = found.withColumn("common", F.max("common").over(Window.partitionBy("doc_id", "term"))).where("not common")
-    return names.select("doc_id", "seg_no", "category", "term", F.explode("starts").alias("start")).withColumn("stop", F.col("start") + F.length("term"))
+    own = segments.join(terms.select("doc_id").distinct(), "doc_id", "left_semi")
+    words = postings(own)
+    low = terms.where("term <> ''").select("doc_id", "term", "category", F.lower("term").alias("low"))
+    forms = words.groupBy("doc_id", "form").agg(F.max("small").alias("small"))
+
+    single = low.where(F.col("low").rlike(rf"^{TOKEN}$"))
+    names = single.join(forms.where("small").select("doc_id", F.col("form").alias("low")), ["doc_id", "low"], "left_anti")
+    size = F.length("low")
+    names = names.withColumn("root", F.when(size > 5, F.substring(F.col("low"), F.lit(1), F.greatest(size - 2, F.lit(5)))).otherwise(F.col("low")))
+    n = F.length("form")
+    begun = forms.select("doc_id", "form", F.explode(F.sequence(F.greatest(n - LONGEST_TAIL, F.lit(1)), n)).alias("n")).select("doc_id", "form", F.expr("substring(form, 1, n)").alias("root"))
+    rest = F.expr("substring(form, length(root) + 1)")
+    fits = F.when(F.col("root").rlike("[а-яё]$"), rest.rlike(f"^{_TAILS[0]}$")).otherwise(rest.rlike(f"^{_TAILS[1]}$"))
+    hits = begun.join(names, ["doc_id", "root"]).where(fits).select("doc_id", "form", "term", "category")
+    spans = words.select("doc_id", "seg_no", "start", "stop", "form").join(hits, ["doc_id", "form"]).select("doc_id", "seg_no", "term", "category", "start", "stop")
+
+    several = low.where(~F.col("low").rlike(rf"^{TOKEN}$")).withColumn("form", F.regexp_extract("low", TOKEN, 0)).where("form <> ''").withColumn("lead", F.instr("low", F.col("form")) - 1)
+    begins = words.select("doc_id", "seg_no", "start", "form").join(several, ["doc_id", "form"]).withColumn("from", F.col("start") - F.col("lead")).where("from >= 0")
+    here = begins.join(own.select("doc_id", "seg_no", "text"), ["doc_id", "seg_no"]).where(F.lower(F.expr("substring(text, from + 1, length(term))")) == F.col("low"))
+    return spans.unionByName(here.select("doc_id", "seg_no", "term", "category", F.col("from").alias("start"), (F.col("from") + F.length("term")).alias("stop")))

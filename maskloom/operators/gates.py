@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions import categories as C
-from maskloom.functions.document import Options
+from maskloom.functions.tagging import Options
 from maskloom.sources import sinks
 from maskloom.sources.ooxml import refused
 from maskloom.sources.text import EXTENSIONS

@@ -114,26 +114,31 @@ def opened_values(labels: DataFrame, longest: int = 100_000_000) -> DataFrame:
     return plain.unionByName(opened).unionByName(closed)
 
 
-def restored(answers: DataFrame, labels: DataFrame) -> DataFrame:
-    """answers: doc_id, text; labels: doc_id, category, n, value. Returns doc_id, text, restored, unresolved, circular.
+def restored(answers: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """answers: doc_id, text and the columns ``keep``; labels: doc_id, category, n, value.
+    Returns doc_id, keep, text, restored, unresolved, circular, samples.
 
     Labels are read tolerantly (see ``TOLERANT``). ``restored`` and ``unresolved`` count the labels of the answer that are
-    replaced and those that stay; values that hold labels are open to the end, however deep, and labels that lead
-    back to themselves stay and count as ``circular``, within values too. A null text stays null.
+    replaced and those that stay (``samples``: the first five); values that hold labels are open to the end, however deep,
+    and labels that lead back to themselves stay and count as ``circular``, within values too. A null text stays null.
     """
     values = opened_values(labels)
-    keyed = answers.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    keyed = answers.select("doc_id", *keep, "text", F.xxhash64("text").alias("key"))
     with_labels = F.coalesce(F.col("text").rlike(TOLERANT) & F.col("doc_id").isNotNull(), F.lit(False))
-    touched = _opened(keyed.where(with_labels).distinct(), values, "doc_id", "key")
+    touched = _opened(keyed.where(with_labels).select("doc_id", "key", "text").distinct(), values, "doc_id", "key")
     counted = lambda test: F.size(F.filter("puts", test)).cast("long")
+    written = F.regexp_extract_all("text", F.lit(TOLERANT), F.lit(0))
+    stay = F.array_compact(F.transform(written, lambda m, i: F.when(F.get(F.col("puts"), i)["value"].isNull(), m)))
     done = touched.select(
         "doc_id", "key",
         N.replaced(F.col("text"), TOLERANT, lambda m, i: F.coalesce(F.get(F.col("puts"), i)["value"], m)).alias("new"),
         counted(lambda p: p["value"].isNotNull()).alias("restored"),
         counted(lambda p: p["value"].isNull()).alias("unresolved"),
         F.aggregate("puts", F.lit(0).cast("long"), lambda a, p: a + F.coalesce(p["closed"], F.lit(0))).alias("circular"),
+        F.slice(stay, 1, 5).alias("samples"),
     )
     zero = F.lit(0).cast("long")
-    plain = keyed.where(~with_labels).select("doc_id", "text", *(zero.alias(c) for c in ("restored", "unresolved", "circular")))
-    again = keyed.where(with_labels).select("doc_id", "key").join(done, ["doc_id", "key"]).select("doc_id", F.col("new").alias("text"), "restored", "unresolved", "circular")
+    out = ("doc_id", *keep, "text", "restored", "unresolved", "circular", "samples")
+    plain = keyed.where(~with_labels).select("doc_id", *keep, "text", *(zero.alias(c) for c in ("restored", "unresolved", "circular")), F.array().cast("array<string>").alias("samples"))
+    again = keyed.where(with_labels).select("doc_id", *keep, "key").join(done, ["doc_id", "key"]).withColumnRenamed("new", "text").select(*out)
     return plain.unionByName(again)

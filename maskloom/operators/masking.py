@@ -1,117 +1,169 @@
-"""Masking and restoring whole tables with all rules, in Arrow batches.
+"""Masking and restoring whole tables with all rules, as projections in the JVM and joins of spans.
 
-``anonymize`` works on rows that hold whole documents and needs no shuffle. ``anonymize_segments`` works
-on documents spread over rows and shuffles once, by doc_id; it streams, so that a task holds one
-document at a time.
+Texts without names to spread are masked by a projection, without any shuffle. Names that the recogniser finds spread
+through their document by the posting table of ``operators.entities``; only documents with names take part in that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.functions import document as D
-from maskloom.operators.entities import ENTITIES, recognised
+from maskloom.functions import categories as C
+from maskloom.functions import native as N
+from maskloom.functions import tagging as T
+from maskloom.operators import entities as E
+from maskloom.operators import labels as L
+from maskloom.operators import spans as S
 
 LABELS = "array<struct<category:string,n:int,label:string,value:string>>"
-_LABELS = pa.list_(pa.struct([("category", pa.string()), ("n", pa.int32()), ("label", pa.string()), ("value", pa.string())]))
+_SEGMENT = "array<struct<start:int,stop:int,category:string,value:string>>"
+
+
+def _shifted(spans: Column, by: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["neg_stop"] - by).alias("neg_stop"), s["ord"].alias("ord"), s["category"].alias("category"), s["priority"].alias("priority")))
+
+
+def _of_line(line: Column, options: T.Options) -> Column:
+    found = F.concat(T.tagged_entities(T.entity_rows(line, T.recognised(line), options)), T.rule_spans(line, options))
+    return F.when(line.rlike(r"(?U)\S"), found).otherwise(F.array().cast(T.TAGGED))
+
+
+def raw_spans(text: Column, options: T.Options = T.Options()) -> Column:
+    """Tagged spans of a whole text, whose segments are its lines: overlaps included, positions in the text."""
+    lines = S.lines(text)
+    low = lambda line, words: F.lit(False) if not words else _any(line, words)
+    switch = lambda line: F.when(low(line, C.SECTION_ON), 1).when(low(line, C.SECTION_OFF), 2).otherwise(0)
+
+    def whole(x: Column) -> Column:
+        ends = N.running(F.transform(x["lines"], F.length), lambda a, b: a + b)
+        on = N.running(F.transform(x["lines"], switch), lambda a, b: F.when(b == 0, a).otherwise(b)) if options.smart_contract else F.array()
+        here = F.struct(x["lines"].alias("lines"), ends.alias("ends"), on.cast("array<int>").alias("on"))
+        active = (lambda y, i: F.coalesce(F.get(y["on"], i), F.lit(0)) != 2) if options.smart_contract else (lambda y, i: F.lit(True))
+        own = lambda y, line, i: F.when(active(y, i), _shifted(_of_line(line, options), F.get(y["ends"], i) - F.length(line))).otherwise(F.array().cast(T.TAGGED))
+        return N.let(here, lambda y: F.flatten(F.transform(y["lines"], lambda line, i: own(y, line, i))))
+
+    return N.let(F.struct(lines.alias("lines")), whole)
+
+
+def _any(line: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.lower(line).contains(w)
+    return out
+
+
+def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def anonymize(docs: DataFrame, options: D.Options | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (masked), labels, n_spans. Lines are the segments; a null text stays null.
+def _names(rows: DataFrame, options: T.Options) -> DataFrame:
+    """doc_id, category, value of the entities of all lines."""
+    found = S.lines_of(rows).select("doc_id", F.explode(T.entity_rows(F.col("text"), T.recognised(F.col("text")), options)).alias("e"))
+    return found.select("doc_id", "e.category", "e.value")
+
+
+def _with_raw(docs: DataFrame, options: T.Options) -> DataFrame:
+    """doc_id, text, raw: all tagged spans, spread terms included. ``docs``: doc_id, text."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", "text", F.explode(F.array(raw_spans(text, options))).alias("raw"))  # Generate: the matches are made once
+    if not options.spread:
+        return rows
+    has_names = F.coalesce(F.col("text").rlike(T.R.MARKS["я"]) & F.col("text").rlike(T.R.PEOPLE), F.lit(False))
+    named = docs.where(has_names)
+    lines = S.lines_of(named)
+    places = S.switched(lines).where("masking") if options.smart_contract else lines
+    spread = E.terms_spread(places.select("doc_id", "seg_no", "text"), E.terms_of(_names(named, options)))
+    at = lines.select("doc_id", "seg_no", F.length("text").alias("n"))
+    offset = F.sum("n").over(Window.partitionBy("doc_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, -1))
+    at = at.withColumn("offset", F.coalesce(offset, F.lit(0)).cast("int")).select("doc_id", "seg_no", "offset")
+    moved = spread.join(at, ["doc_id", "seg_no"]).select("doc_id", F.struct((F.col("start") + F.col("offset")).alias("start"), (F.col("stop") + F.col("offset")).alias("stop"), "category").alias("e"))
+    extra = moved.groupBy("doc_id").agg(T.tagged_entities(F.collect_set("e"), 99).alias("extra"))
+    with_names = rows.where(has_names).join(extra, "doc_id", "left")
+    both = with_names.select("doc_id", "text", F.concat("raw", F.coalesce("extra", F.array().cast(T.TAGGED))).alias("raw"))
+    return rows.where(~has_names).unionByName(both)
+
+
+def _merged(docs: DataFrame, options: T.Options) -> DataFrame:
+    """doc_id, text, spans (merged, with values)."""
+    rows = _with_raw(docs, options)
+    return rows.select("doc_id", "text", F.explode(F.array(N.merged(F.col("raw"), F.coalesce("text", F.lit(""))))).alias("spans"))
+
+
+def anonymize(docs: DataFrame, options: T.Options | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text (masked), labels, n_spans of documents with an id each. Lines are the segments; a null text stays null.
 
     Labels are sensitive: they are returned, never written here. Rebuild them from the unchanged original
     instead of storing them.
     """
-    options = options or D.Options()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 256):
-                b = big.slice(at, 256)
-                found = []
-                for text in b.column(1).to_pylist():
-                    lines = text.splitlines(keepends=True) if text else []
-                    found.append(D.mask(lines, [recognised(x) for x in lines], options))
-                texts = [None if t is None else "".join(f.segments) for t, f in zip(b.column(1).to_pylist(), found, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(texts, pa.string()), pa.array([f.labels for f in found], _LABELS), pa.array([sum(map(len, f.spans)) for f in found], pa.int64())],
-                    ["doc_id", "text", "labels", "n_spans"],
-                )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, text string, labels {LABELS}, n_spans long")
-
-
-def found(docs: DataFrame, options: D.Options | None = None) -> DataFrame:
+    options = options or T.Options()
+    found = _merged(_text_rows(docs, id_col, text_col), options)
+    rows = found.select("doc_id", "text", F.explode(F.array(N.numbered(F.col("spans")))).alias("spans"))
+    name = (lambda s: N.label(s["category"], s["n"])) if options.numbered else (lambda s: F.concat(F.lit("["), s["category"], F.lit("]")))
+    labels = F.array_distinct(F.transform("spans", lambda s: F.struct(s["category"].alias("category"), s["n"].alias("n"), name(s).alias("label"), s["value"].alias("value"))))
+    return rows.select("doc_id", N.spliced(F.col("text"), F.col("spans"), name).alias("text"), labels.cast(LABELS).alias("labels"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def found(docs: DataFrame, options: T.Options | None = None) -> DataFrame:
     """doc_id, start, stop, category, value: the merged spans of whole documents (doc_id, text) by all rules; positions in the text."""
-    options = options or D.Options()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 256):
-                b, out = big.slice(at, 256), []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    lines, offset = text.splitlines(keepends=True) if text else [], 0
-                    for line, spans in zip(lines, D.mask(lines, [recognised(x) for x in lines], options).spans, strict=True):
-                        out += [(doc, a + offset, z + offset, c, line[a:z]) for a, z, c in spans]
-                        offset += len(line)
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                types = (b.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "stop", "category", "value"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, start long, stop long, category string, value string")
-
-
-def documents_in(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """The rows of one doc_id at a time, from a partition sorted by it."""
-    held: list[dict] = []
-    for b in batches:
-        for row in b.to_pylist():
-            if held and held[-1]["doc_id"] != row["doc_id"]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
-
-
-def anonymize_segments(segments: DataFrame, options: D.Options | None = None) -> DataFrame:
-    """segments: doc_id, seg_no, text and entities (see ``operators.entities``).
-
-    Returns doc_id, seg_no, text and, on the first segment of a document, its labels. Numbers run through
-    the document in the order of seg_no. Fails if a segment has no entities.
+    rows = _merged(_text_rows(docs, "doc_id", "text"), options or T.Options()).select("doc_id", F.explode("spans").alias("s"))
+    return rows.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.stop").cast("long").alias("stop"), "s.category", "s.value")
+
+
+def rules_found(docs: DataFrame, dates: bool = False, only: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, rule, start, stop, value: what each rule (or those named ``only``) finds in whole documents, checks applied, before overlaps are united."""
+    names = F.array(*(F.lit(r.name) for r in (*T.R.RULES, T.R.DATES)))
+    chosen = tuple(r for r in (*T.R.RULES, T.R.DATES) if r.name in only) or None
+
+    def whole(x: Column) -> Column:
+        ends = N.running(F.transform(x["lines"], F.length), lambda a, b: a + b)
+        here = F.struct(x["lines"].alias("lines"), ends.alias("ends"))
+        moved = lambda r, by: F.struct(r["ord"].alias("ord"), (r["start"] + by).alias("start"), (r["stop"] + by).alias("stop"), r["value"].alias("value"))
+        own = lambda y, line, i: F.transform(T.rule_rows(line, dates, chosen), lambda r: moved(r, F.get(y["ends"], i) - F.length(line)))
+        return N.let(here, lambda y: F.flatten(F.transform(y["lines"], lambda line, i: own(y, line, i))))
+
+    lines = S.lines(F.col("text"))
+    rows = docs.where("text is not null").select("doc_id", F.explode(N.let(F.struct(lines.alias("lines")), whole)).alias("r"))
+    return rows.select("doc_id", F.get(names, F.col("r.ord")).alias("rule"), F.col("r.start").cast("long").alias("start"), F.col("r.stop").cast("long").alias("stop"), "r.value")
+
+
+def segment_spans(segments: DataFrame, options: T.Options | None = None) -> DataFrame:
+    """doc_id, seg_no, start, stop, category, value: merged spans of segments (doc_id, seg_no, text, entities). Fails if a segment has no entities."""
+    options = options or T.Options()
+    missing = F.raise_error(F.lit("a segment has no entities: masking stops rather than let names through"))
+    rows = segments.select("doc_id", "seg_no", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("entities").isNull(), missing.cast(E.ENTITIES)).otherwise(F.col("entities").cast(E.ENTITIES)).alias("entities"))
+    if options.smart_contract:
+        rows = S.switched(rows)
+    names = T.entity_rows(F.col("text"), F.col("entities"), options)
+    own = F.concat(T.tagged_entities(names), T.rule_spans(F.col("text"), options))
+    active = F.col("text").rlike(r"(?U)\S") & (F.col("masking") if options.smart_contract else F.lit(True))
+    found = rows.select("doc_id", "seg_no", "text", *(["masking"] if options.smart_contract else []), F.explode(F.array(F.when(active, own).otherwise(F.array().cast(T.TAGGED)))).alias("raw"))
+    if options.spread:
+        terms = E.terms_of(rows.select("doc_id", F.explode(names).alias("e")).select("doc_id", "e.category", "e.value"))
+        places = (rows.where("masking") if options.smart_contract else rows).select("doc_id", "seg_no", "text")
+        spread = E.terms_spread(places, terms).groupBy("doc_id", "seg_no").agg(T.tagged_entities(F.collect_set(F.struct("start", "stop", "category")), 99).alias("extra"))
+        found = found.join(spread, ["doc_id", "seg_no"], "left").withColumn("raw", F.concat("raw", F.coalesce("extra", F.array().cast(T.TAGGED))))
+    merged = found.select("doc_id", "seg_no", F.explode(N.merged(F.col("raw"), F.col("text"))).alias("s"))
+    return merged.select("doc_id", "seg_no", "s.*")
+
+
+def anonymize_segments(segments: DataFrame, options: T.Options | None = None) -> tuple[DataFrame, DataFrame]:
+    """Masked segments (doc_id, seg_no, text) and their label table, from segments with entities (see ``operators.entities``).
+
+    Numbers run through the document in the order of seg_no. Fails if a segment has no entities.
     """
-    options = options or D.Options()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in documents_in(batches):
-            entities = [None if r["entities"] is None else [(e["start"], e["stop"], e["type"]) for e in r["entities"]] for r in rows]
-            out = D.mask([r["text"] or "" for r in rows], entities, options)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["seg_no"] for r in rows], pa.int64()), pa.array(out.segments, pa.string()), pa.array([out.labels, *([None] * (len(rows) - 1))], _LABELS)],
-                ["doc_id", "seg_no", "text", "labels"],
-            )
-
-    rows = segments.select(F.col("doc_id").cast("long"), F.col("seg_no").cast("long"), "text", F.col("entities").cast(ENTITIES))
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "seg_no").mapInArrow(run, f"doc_id long, seg_no long, text string, labels {LABELS}")
-
-
-def restore(answers: DataFrame, labels: DataFrame) -> DataFrame:
-    """answers: doc_id, text; labels: doc_id, labels. Returns doc_id, text, restored, unresolved, samples (five at most)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [D.restore(t or "", {x["label"]: x["value"] for x in k or []}) for t, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([len(o[2]) for o in out], pa.int64()), pa.array([o[2][:5] for o in out], pa.list_(pa.string()))],
-                ["doc_id", "text", "restored", "unresolved", "samples"],
-            )
-
-    kind = answers.schema["doc_id"].dataType.simpleString()
-    joined = answers.select("doc_id", "text").join(labels.select("doc_id", F.col("labels").cast(LABELS).alias("labels")), "doc_id", "left")
-    return joined.mapInArrow(run, f"doc_id {kind}, text string, restored long, unresolved long, samples array<string>")
+    options = options or T.Options()
+    numbered = L.numbered(segment_spans(segments, options))
+    put = F.col("label") if options.numbered else F.concat(F.lit("["), "category", F.lit("]"))
+    masked = S.spliced(segments.select("doc_id", "seg_no", F.coalesce("text", F.lit("")).alias("text")), numbered.withColumn("put", put))
+    return masked, L.label_table(numbered)
+
+
+def label_rows(masked: DataFrame) -> DataFrame:
+    """doc_id, category, n, value from the labels column of ``anonymize``."""
+    return masked.select("doc_id", F.explode("labels").alias("l")).select("doc_id", "l.category", "l.n", "l.value")
+
+
+def restore(answers: DataFrame, masked: DataFrame) -> DataFrame:
+    """answers: doc_id, text; masked: doc_id, labels as ``anonymize`` gives them. See ``labels.restored``."""
+    return L.restored(answers, label_rows(masked))

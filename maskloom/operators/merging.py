@@ -39,7 +39,7 @@ def merge_answers(bases: DataFrame, answers: DataFrame, confirmed: DataFrame | N
             row = {"text": base, **counts, "kept_for_labels": 0, "coverage": 0.0, "truncated": False, "reason": str(e)}
         return pd.DataFrame([{"doc_id": key[0], **row}])
 
-    return left.groupBy("doc_id").cogroup(answers.select("doc_id", "text").groupBy("doc_id")).applyInPandas(merge, REPORT)
+    return left.groupBy("doc_id").cogroup(answers.select(F.col("doc_id").alias("doc_id"), "text").groupBy("doc_id")).applyInPandas(merge, REPORT)
 
 
 def alignment_ops(bases: DataFrame, answers: DataFrame) -> DataFrame:
@@ -55,4 +55,4 @@ def alignment_ops(bases: DataFrame, answers: DataFrame) -> DataFrame:
             found = [A.Op("refused", [], [])]
         return pd.DataFrame([{"doc_id": key[0], "op": o.kind, "base": o.base, "answer": o.answer, "after": o.after} for o in found], columns=["doc_id", "op", "base", "answer", "after"])
 
-    return bases.select("doc_id", "text").groupBy("doc_id").cogroup(answers.select("doc_id", "text").groupBy("doc_id")).applyInPandas(ops, OPS)
+    return bases.select("doc_id", "text").groupBy("doc_id").cogroup(answers.select(F.col("doc_id").alias("doc_id"), "text").groupBy("doc_id")).applyInPandas(ops, OPS)

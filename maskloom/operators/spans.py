@@ -18,10 +18,18 @@ def as_segments(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.lit(0).cast("long").alias("seg_no"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+_BREAK = r"\n\x0B\f\r\x1C\x1D\x1E\x85\u2028\u2029"
+#: A line with its break (any that Unicode knows), or the end of a text without one.
+LINE = rf"[^{_BREAK}]*(?:\r\n|[{_BREAK}])|[^{_BREAK}]+"
+
+
+def lines(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
+
+
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A segment for each line, with its line break; all breaks that Unicode knows."""
-    breaks = "(?<=\\n|\\x0B|\\f|\\x1C|\\x1D|\\x1E|\\x85|\\u2028|\\u2029)|(?<=\\r)(?!\\n)"
-    return docs.select("doc_id", F.posexplode(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), breaks, -1), lambda x: x != "")).alias("seg_no", "text")).withColumn("seg_no", F.col("seg_no").cast("long"))
+    """A segment for each line, with its line break."""
+    return docs.select("doc_id", F.posexplode(lines(F.coalesce(F.col(text), F.lit("")))).alias("seg_no", "text")).withColumn("seg_no", F.col("seg_no").cast("long"))
 
 
 def detected(segments: DataFrame, spans: Column | None = None) -> DataFrame:

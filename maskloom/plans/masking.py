@@ -181,6 +181,64 @@ RULE_TEXTS = {
 }
 
 
+#: A line for each document, by its number: literals, and (SQL of a value, the rules that find it). ``n`` has five digits.
+SENTENCES = [
+    ["проект ", ("concat('«Заря ', n, '»')", "project"), "; ООО ", ("concat('«Василёк ', n, '»')", "org_form"), "; Банк ", ("'\"Восток\"'", "org_form"), "."],
+    ["Подписали ", ("'ИП '+'Сидоров А.Б.'", "sole_trader_initials|surname_initials"), " и ", ("'Индивидуальный предприниматель '+'Петров Пётр Ильич'", "sole_trader_full|surname_given_patronymic"), ";"],
+    ["Присутствуют ", ("'Сидоров Антон Борисович'", "surname_given_patronymic"), ", ", ("'Антон Борисович Сидоров'", "given_patronymic_surname"), ", ", ("'Петрова А.И.'", "surname_initials"), " и ", ("'В.Г. Кузнецов'", "initials_surname"), "."],
+    ["участок ", ("concat('78:10:00', n, ':12')", "cadastre"), ", прежний ", ("concat('78-01/', right(n, 4), '-17')", "register_number"), "."],
+    ["паспорт ", ("concat('4011 '+'2', n)", "passport|postal_index"), ", выдан ", ("'ФМС по г. Пскову'", "passport_issued"), ", код подразделения ", ("concat('780-', right(n, 3))", "division_code"), ", дата выдачи: ", ("'05.06.2010'", "issue_date,date"), "."],
+    ["серия ", ("concat('40 11 № '+'2', n)", "passport_series|document_number,postal_index"), "; СНИЛС ", ("concat('001-002-', right(n, 3), ' 04')", "snils"), "; дата рождения: ", ("'17.02.1990'", "birth_date,date"), "; ", ("'18.02.1990'", "born,date"), " г.р."],
+    ["Место рождения: ", ("'г. Ленинград'", "birth_place"), "; этаж ", ("'17'", "building_part"), ", корп. ", ("'IV'", "building_part"), ";"],
+    ["Зарегистрирован по адресу: ", ("concat('Псков, Рижский проспект, ', n)", "registered_at")],
+    ["Адрес регистрации: ", ("concat('Псков, Рижский проспект, ', n)", "registration_address")],
+    ["Почтовый адрес: ", ("concat('Псков, Рижский проспект, ', n)", "labelled_address"), "; ", ("'г. Рославль, ул. Садовая, д. '+'17'", "street_address|building_part"), ";"],
+    ["р/с ", ("concat('444444444444444', n)", "account,bare_account"), "; ОГРН ", ("concat('11111111', n)", "ogrn,bare_ogrn"), "; ОГРНИП ", ("concat('3333333333', n)", "ogrn,bare_ogrnip"), ";"],
+    ["ИНН физического лица ", ("concat('6666666', n)", "inn_person,bare_inn_person"), "; ИНН ", ("concat('77777', n)", "inn_company,bare_inn_company"), ", КПП ", ("concat('5555', n)", "kpp"), ", БИК банка ", ("concat('0433', n)", "bik,bare_bik"), ";"],
+    ["SWIFT: ", ("'ABCDRUMM'", "swift,latin_org"), "; подписал ", ("'СИДОРОВ АНТОН БОРИСОВИЧ'", "caps_name"), ", затем ", ("'ПЕТРОВ А.Б.'", "caps_surname_initials"), " и ", ("'В.Г. КУЗНЕЦОВ'", "initials_caps_surname"), ";"],
+    [("concat('user', n, '@пример.рф')", "email"), ", ", ("'(812) '+'555-12-34'", "phone_brackets|phone_short"), ", ", ("'555-12-35'", "phone_short"), ", дело ", ("concat('222222', n)", "bare_number_11"), " и ", ("concat('222222222', n)", "bare_number_14"), ";"],
+    ["Договор № ", ("concat(right(n, 4), '-П/22')", "document_number"), "; приложение № 2; ГОСТ 21.10; аванс ", ("'17'", "money"), " у.е.; итого € ", ("'18'", "money_sign"), " (", ("'Пятьсот рублей 00 копеек'", "money_words"), ") и ", ("'12 500 000'", "money_grouped"), ", индекс ", ("concat('2', n)", "postal_index"), "."],
+    ["ОБРАБОТКА ДАННЫХ от ", ("'17.03.2020'", "date"), " сумма ", ("'17.50'", "money_decimal"), ", тел. ", ("'+7-921-555-1234'", "phone"), ", по ст. 12.10, ноль 0.00, ООО ", ("'«Лес»'", "org_form"), ", ", ("'Globex'", "latin_org"), " 1; ", ("'Initech GmbH'", "latin_org"), ";"],
+]
+
+
+def _sentence(number: int) -> tuple[str, list[tuple[str, str, str, str]]]:
+    """SQL of the line, and (SQL of the start, of the stop, rule, SQL of the value) of all it holds. A value of two parts ('a'+'b'), with
+    rules of the whole and of its second part (whole|second)."""
+    at, made, found = "0", [], []
+    for piece in SENTENCES[number]:
+        if isinstance(piece, str):
+            sql = f"'{piece}'"
+        else:
+            sql = piece[0].replace("'+'", "")
+            whole, _, second = piece[1].partition("|")
+            found += [(at, f"{at} + length({sql})", rule, sql) for rule in whole.split(",")]
+            if second:
+                part = piece[0].partition("'+'")[2]
+                part = f"concat('{part}" if piece[0].startswith("concat") else f"'{part}"
+                found += [(f"{at} + length({sql}) - length({part})", f"{at} + length({sql})", rule, part) for rule in second.split(",")]
+        made.append(sql)
+        at = f"{at} + length({sql})"
+    return f"concat({', '.join(made)})", found
+
+
+def rules_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules by name over whole documents that end in a line made for them; of what is found, that line's part, which SQL knows."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr("lpad(cast(doc_id % 100000 as string), 5, '0')").alias("n"))
+    line = F.element_at(F.array(*(F.expr(_sentence(k)[0]) for k in range(len(SENTENCES)))), (F.col("doc_id") % len(SENTENCES) + 1).cast("int"))
+    found = masking.rules_found(docs.select("doc_id", F.concat("text", F.lit("\n"), line).alias("text")), dates=True)
+    lengths = docs.select("doc_id", F.length("text").alias("length"))
+    return found.join(lengths, "doc_id").where("start > length").select("doc_id", "rule", "start", "stop", "value")
+
+
+def _rules_documents_sql() -> str:
+    each = []
+    for k in range(len(SENTENCES)):
+        each += [f"""select doc_id, '{rule}' as rule, length + 1 + {a} as "start", length + 1 + {z} as "stop", {v} as value from d where doc_id % {len(SENTENCES)} = {k}""" for a, z, rule, v in _sentence(k)[1]]
+    return f"""with d as (select doc_id, length(coalesce(text, ''))::bigint as length, lpad((doc_id % 100000)::varchar, 5, '0') as n from documents)
+{' union all '.join(each)}"""
+
+
 def _rules(pieces: list):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = ", ".join(f"'{p}'" if isinstance(p, str) else p[0] for p in pieces)
@@ -203,6 +261,7 @@ QUERIES = {
     "detect_email_pages": _spans("pages", "page_id", "html", N.EMAIL),
     "detect_digit_ids_pages": _spans("pages", "page_id", "html", N.DIGITS, lambda s: N.stands_alone(s) & F.length(s["value"]).isin(*N.DIGIT_IDS)),
     "detect_decimal_money": _spans("documents", "doc_id", "text", N.DECIMAL, lambda s: ~s["before"].rlike("[0-9.,]") & ~s["after"].rlike("[0-9.,]") & s["value"].rlike("[1-9]")),
+    "rules_documents": rules_documents,
     "span_union": span_union,
     "span_union_windows": span_union_windows,
     "anonymize_turns": anonymize_turns,
@@ -230,6 +289,7 @@ ORACLES = {
     "detect_phone": _plain("documents", "doc_id", "text", N.PHONE),
     "detect_email_pages": _plain("pages", "page_id", "html", N.EMAIL),
     "detect_digit_ids_pages": _plain("pages", "page_id", "html", N.DIGITS, f"{_ALONE} and {_LENGTHS}"),
+    "rules_documents": _rules_documents_sql(),
     "detect_decimal_money": _plain("documents", "doc_id", "text", N.DECIMAL, "not regexp_matches(before, '[0-9.,]') and not regexp_matches(after, '[0-9.,]') and regexp_matches(value, '[1-9]')"),
     "span_union": f'with {_UNITED} select doc_id, "start", "stop", category, value from v',
     "span_union_windows": f'with {_UNITED} select doc_id, "start", "stop", category from u',

