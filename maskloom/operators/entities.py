@@ -18,7 +18,7 @@ ENTITIES = T.ENTITIES
 #: A word as postings have it, and as terms are made of.
 TOKEN = r"[\p{L}\p{M}\p{N}_]+"
 _WORD = "[A-Za-zА-Яа-яЁё]+"
-_TAILS = ("[а-яё]{0,4}", "[a-z]{0,2}")
+_TAILS = ("[а-яё]{0,4}", "[a-z]{0,3}")
 LONGEST_TAIL = 4
 
 
@@ -60,7 +60,7 @@ def terms_spread(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """Where the terms of a document (doc_id, term, category) stand in its segments: doc_id, seg_no, term, category, start, stop.
 
     A single word stands wherever a word begins with its root (without its last two letters, of five letters at least)
-    and ends in up to four more Cyrillic or two Latin letters; one that a document also has with a small first letter is a
+    and ends in up to four more Cyrillic or three Latin letters; one that a document also has with a small first letter is a
     common noun and left out. Forms meet roots by an equal beginning, so a document's terms are never tried one by one on
     its text. Terms of several words stand where their first word does and the text goes on like them, in any case.
     """

@@ -246,7 +246,7 @@ ORACLES = {
 t as (select doc_id, "start", "stop", lower(value) as form, regexp_matches(value, '^\\p{{Ll}}') as small from ({matches_sql('documents', 'doc_id', 'text', entities.TOKEN)})),
 f as (select distinct doc_id, form from t where small),
 n as (select s.*, substr(lower(term), 1, greatest(5, length(term) - 2)) as root from s anti join f on f.doc_id = s.doc_id and f.form = lower(s.term))
-select n.doc_id, term, "start", "stop" from n join t on t.doc_id = n.doc_id and starts_with(t.form, n.root) and regexp_full_match(substr(t.form, length(n.root) + 1), '[a-z]{{0,2}}')""",
+select n.doc_id, term, "start", "stop" from n join t on t.doc_id = n.doc_id and starts_with(t.form, n.root) and regexp_full_match(substr(t.form, length(n.root) + 1), '[a-z]{{0,3}}')""",
     "normalize_align": f"with {_LINES} select doc_id, k, {_NORM} as norm from l",
     "line_equal_moves": f"""with {_LINES}, n as (select doc_id, k, {_NORM} as norm from l), t as (select doc_id, max(k) as top from n where norm <> '' group by doc_id),
 r as (select doc_id, norm, k as base, top, row_number() over (partition by doc_id, norm order by k) as i, row_number() over (partition by doc_id, norm order by k desc) as j from n join t using (doc_id) where norm <> '')
