@@ -115,12 +115,15 @@ class Items:
             if len(words := tokens(text)) >= least:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.word.setdefault(w, len(self.word)) for w in words], np.int64))
-        where = defaultdict(list)
-        for k, item in enumerate(self.items):
-            for p, h in enumerate(window_hashes(item, least)):
-                where[int(h)].append((k, p))
-        self.where = dict(where)
-        self.seeds = np.array(sorted(self.where), np.uint64)
+        self.lengths = np.array([len(x) for x in self.items], np.int64)
+        hashes = [window_hashes(item, least) for item in self.items]
+        every = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        order = np.argsort(every, kind="stable")
+        #: the items and places of each seed one after the other, ``ends`` where those of a seed end
+        self.item_of = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
+        self.place_of = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for h in hashes)]).astype(np.int64)[order]
+        self.seeds, first = np.unique(every[order], return_index=True)
+        self.ends = np.append(first, len(every))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
 
@@ -132,31 +135,38 @@ class Items:
         ids = np.array([get(w, -1) for w in tokens(text)], np.int64)
         hashes = window_hashes(ids, self.least)
         at = np.flatnonzero(self.filter[(hashes >> np.uint64(44)).astype(np.int64)])
-        if len(at):
-            at = at[self.seeds[np.minimum(np.searchsorted(self.seeds, hashes[at]), len(self.seeds) - 1)] == hashes[at]]
         if not len(at):
             return []
-        covers: dict[int, set] = defaultdict(set)
-        places: dict[int, list] = defaultdict(list)
-        for d in map(int, at):
-            for k, p in self.where[int(hashes[d])]:
-                covers[k].update(range(p, p + self.least))
-                places[k].append(d)
+        slot = np.minimum(np.searchsorted(self.seeds, hashes[at]), len(self.seeds) - 1)
+        hit = self.seeds[slot] == hashes[at]
+        at, slot = at[hit], slot[hit]
+        # each seed of the text once, however often it stands there; tokens of an item that its seeds cover are counted by their places
+        own = np.unique(slot)
+        count = self.ends[own + 1] - self.ends[own]
+        row = np.repeat(self.ends[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        order = np.lexsort((self.place_of[row], self.item_of[row]))
+        row, seed = row[order], np.repeat(own, count)[order]
+        item, place = self.item_of[row], self.place_of[row]
+        first = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))[: len(item)]
+        steps = np.minimum(np.append(place[1:] - place[:-1], 0), self.least)
+        until = np.append(first[1:], len(item))
+        steps[until - 1] = self.least
+        cover = np.add.reduceat(steps, first) if len(first) else steps
         out = []
-        for k, cover in covers.items():
-            item = self.items[k]
-            if len(cover) < threshold * len(item):
-                continue
+        for g in np.flatnonzero(cover >= threshold * self.lengths[item[first]]).tolist():
+            k = int(item[first[g]])
+            item_ids = self.items[k]
             inside = np.zeros(len(ids), bool)  # only tokens in seeds can be in tiles
+            here = at[np.isin(slot, seed[first[g] : until[g]])]
             for s in range(self.least):
-                inside[np.array(places[k]) + s] = True
+                inside[here + s] = True
             inside = np.flatnonzero(inside)
             gaps = np.flatnonzero(np.diff(inside) > 1) + 1
             doc = np.insert(ids[inside], gaps, -1)
-            laid = tile(item, doc, self.least)
+            laid = tile(item_ids, doc, self.least)
             covered = sum(n for _, _, n in laid)
-            if covered >= threshold * len(item):
-                out.append((self.ids[k], len(item), len(laid), covered, max(n for _, _, n in laid), covered / len(item)))
+            if covered >= threshold * len(item_ids):
+                out.append((self.ids[k], len(item_ids), len(laid), covered, max(n for _, _, n in laid), covered / len(item_ids)))
         return out
 
 

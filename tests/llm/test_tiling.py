@@ -75,3 +75,25 @@ def test_awkward_rows(awkward, empty, spark):
     assert got == [(4, 2), (5, 1), (5, 1), (6, 1)]
     assert T.contaminated(empty, bench).count() == 0 and T.contaminated(awkward, bench.where("false")).count() == 0
     assert T.decontaminated(awkward, bench.where("false")).count() == awkward.count()
+
+
+def test_ties_go_to_the_first_place_in_the_item_then_in_the_document():
+    assert T.tile(np.array([1, 2, 3, 9, 1, 2, 3]), np.array([5, 1, 2, 3, 6, 1, 2, 3]), 3) == [(0, 1, 3), (4, 5, 3)]
+    rng = random.Random(7)
+    for _ in range(150):
+        item = np.array([rng.randint(0, 3) for _ in range(rng.randint(3, 24))])
+        doc = np.array([rng.randint(-1, 3) for _ in range(rng.randint(3, 40))])
+        assert sorted(T.tile(item, doc, 3, first=24)) == sorted(slow_tiles(item.tolist(), doc.tolist(), 3))
+
+
+def test_one_beginning_in_very_many_items():
+    import time
+
+    start = [f"s{k}" for k in range(60)]
+    items = T.Items([(k, " ".join(start + [f"i{k}x{j}" for j in range(70)])) for k in range(3000)], 5)
+    text = " ".join(start + [f"i77x{j}" for j in range(70)] + start * 14)
+    items.matches("s1 s2 s3 s4 s5", 0.5)
+    began = time.time()
+    found = items.matches(text, 0.5)
+    assert time.time() - began < 1 and [(m[0], m[3]) for m in found] == [(77, 130)]
+    assert len(items.matches(text, 0.46)) == 3000
