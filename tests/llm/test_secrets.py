@@ -88,3 +88,16 @@ def test_values_shared_by_most_rows(frame):
     rows = [(k, f"password = shared{'a' * 12} and token: own{k:020d}x", "en", f"src{k % 5}") for k in range(3000)]
     got = {r.doc_id: r for r in X.secret_scan(frame(rows)).collect()}
     assert len(got) == 3000 and all(r.n_assign == 2 and r.n_example == 1 and r.n_live == 1 for r in got.values())
+
+
+def test_very_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"{k:024x}" for k in range(16_000)) + " " + " ".join(f"tok_{k:020d}" for k in range(4_000))
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    many = spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").coalesce(1)
+    X.secret_scan(many.limit(0)).count()
+    began = time.time()
+    r = X.secret_scan(many).first()
+    assert (r.n_assign, r.n_access, r.n_hex) == (0, 0, 16_000) and r.spans.count("token") == 4_000 and docs.count() == 1
+    assert time.time() - began < 20
