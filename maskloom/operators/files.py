@@ -20,6 +20,7 @@ from maskloom.operators import entities, gates, masking
 from maskloom.operators import labels as L
 from maskloom.operators.rounds import kept
 from maskloom.sources import ooxml, sinks, text
+from maskloom.sources.publish import published  # noqa: F401
 
 # The kinds of answers that can be restored.
 ANSWERS = ("txt", "md", "docx", "xlsx")
@@ -87,7 +88,7 @@ def mask_files(files: DataFrame, options: Options | None = None) -> DataFrame:
 
     ``n_leaks``: labelled values that the masked segments still hold; such a file must not be published.
     """
-    admitted = gates.sized(files).withColumn("reason", F.when(F.col("ext") == "pdf", "PDF files cannot be read").otherwise(F.col("reason")))
+    admitted = gates.sized(files).withColumn("reason", F.coalesce("reason", F.when(F.col("ext") == "pdf", "PDF files cannot be read")))
     read = segments(admitted)
     texts = read.where("seg_no is not null").select("doc_id", "seg_no", "text")
     masked, table = masking.anonymize_segments(entities.with_rule_entities(texts), options)
@@ -135,14 +136,3 @@ def restore_files(answers: DataFrame, originals: DataFrame, manifest: DataFrame)
     out = _put_back(asked, back.select(F.col("answer").alias("doc_id"), "seg_no", "text"), read).join(sums, "doc_id", "left")
     none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select(F.col("doc_id").alias("answer"), _named("doc_id", sinks.RESTORED).alias("output_name"), "content", none("restored"), none("unresolved"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), "reason")
-
-
-def published(results: DataFrame, folder: str) -> list[str]:
-    """Writes results that have content (output_name, content) into a folder, never over a file, each in one step; their paths."""
-    paths = []
-    for row in results.where("content is not null").select("output_name", "content").orderBy("output_name").toLocalIterator():
-        stem, _, ext = row["output_name"].rpartition(".")
-        with sinks.published(path := sinks.free_path(folder, stem, f".{ext}")) as f:
-            f.write(bytes(row["content"]))
-        paths.append(path)
-    return paths

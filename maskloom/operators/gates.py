@@ -20,7 +20,7 @@ SCHEMA_VERSION, READABLE_VERSIONS = 2, (1, 2)
 
 
 def sized(files: DataFrame) -> DataFrame:
-    """files with ``reason``: why a file isn't admitted by its kind and size alone, else null."""
+    """files with ``reason``: why a file isn't admitted by its kind and size alone, else null; one that the intake gave stays."""
     text = F.col("ext").isin("txt", "csv", "html")
     reason = (
         F.when(F.col("ext") == "doc", "the older binary format is not supported")
@@ -29,7 +29,7 @@ def sized(files: DataFrame) -> DataFrame:
         .when(text & (F.col("length") > MAX_TEXT_BYTES), "too large for text")
         .when(F.col("length") == 0, "empty")
     )
-    return files.withColumn("reason", reason)
+    return files.withColumn("reason", F.coalesce(F.col("reason"), reason) if "reason" in files.columns else reason)
 
 
 def gated(files: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from maskloom.functions import blocks as B
 from maskloom.functions import native as N
 from maskloom.functions import words as W
 from maskloom.functions.tagging import Options
-from maskloom.operators import entities, gates, masking, merging, verify
+from maskloom.operators import entities, gates, masking, merging, scans, verify
 from maskloom.operators import spans as S
 from maskloom.operators.rounds import kept
 from maskloom.plans.masking import _UNITED, matches_sql, read
@@ -95,16 +95,12 @@ select user_id, island, count(*) as n_events, min(event_id) as first_event from
 
 
 def coverage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of each source by labels, and the longest run of documents without one: the rule for answers cut off."""
+    """Coverage of each source by labels, and the longest run of documents without one: the rule for answers cut off. A source may hold any share of the documents."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
-    labels = read(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("has", F.lit(1))
-    order = Window.partitionBy("source").orderBy("doc_id")
-    rows = docs.join(labels, "doc_id", "left").withColumn("i", F.row_number().over(order))
-    lost = rows.where("has is null").withColumn("island", F.col("i") - F.row_number().over(order))
-    runs = lost.groupBy("source", "island").count().groupBy("source").agg(F.max("count").alias("longest"))
-    totals = rows.groupBy("source").agg(F.count("*").alias("total"), F.count("has").alias("matched"))
-    out = totals.join(runs, "source", "left").withColumn("longest", F.coalesce("longest", F.lit(0)).cast("long"))
-    return out.select("source", "total", "matched", "longest", ((F.col("matched") / F.col("total") < 0.7) | (F.col("longest") >= 3)).alias("truncated"))
+    labels = read(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("has", F.lit(True))
+    rows = docs.join(labels, "doc_id", "left").withColumn("has", F.coalesce("has", F.lit(False)))
+    out = scans.longest_gaps(rows, "source", "doc_id", "has")
+    return out.select("source", "total", "matched", "longest", scans.truncated(F.col("matched"), F.col("total"), F.col("longest")).alias("truncated"))
 
 
 _COVERAGE = """with r as (select d.doc_id, coalesce(d.source, '') as source, l.doc_id is not null as has, row_number() over (partition by coalesce(d.source, '') order by d.doc_id) as i
@@ -115,6 +111,44 @@ t as (select source, count(*) as total, count(*) filter (has) as matched from r
 select t.source, total, matched, coalesce(longest, 0) as longest, matched / total < 0.7 or coalesce(longest, 0) >= 3 as truncated from t left join m using (source)"""
 
 
+def list_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of lines as items of nested lists, whose levels (1 to 4) follow from their lengths."""
+    rows = _lines(spark, sf_dir).select("doc_id", F.col("k").cast("long").alias("k"), (F.length("line") % 4 + 1).alias("level"))
+    return scans.list_numbers(rows, 4).select("doc_id", "k", "number")
+
+
+_NUMBERS = f"""with {_LINES}, x as (select doc_id, k::bigint as k, length(line) % 4 + 1 as level from l),
+s as (select *, sum((level < 2)::int) over w as s2, sum((level < 3)::int) over w as s3, sum((level < 4)::int) over w as s4 from x window w as (partition by doc_id order by k rows unbounded preceding)),
+n as (select *, greatest(1, sum((level = 1)::int) over (partition by doc_id order by k rows unbounded preceding)) as n1, greatest(1, sum((level = 2)::int) over (partition by doc_id, s2 order by k rows unbounded preceding)) as n2,
+  greatest(1, sum((level = 3)::int) over (partition by doc_id, s3 order by k rows unbounded preceding)) as n3, greatest(1, sum((level = 4)::int) over (partition by doc_id, s4 order by k rows unbounded preceding)) as n4 from s)
+select doc_id, k, array_to_string([n1::varchar, n2::varchar, n3::varchar, n4::varchar][1:level], '.') as number from n"""
+
+
+def notes_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as notes: masked are those with e-mails or numbers; of five, an answer keeps one or two, edits one, loses one and moves one away."""
+    base = _lines(spark, sf_dir).select("doc_id", F.col("k").cast("long").alias("note"), F.col("line").alias("text"))
+    masked = base.withColumn("text", F.regexp_replace(F.regexp_replace("text", N.EMAIL, "[EMAIL]"), "[0-9]+", "[N]"))
+    place = F.col("note") % 5
+    answer = masked.where(place != 2).select("doc_id", F.when(place == 4, F.col("note") + 1_000_000).otherwise(F.col("note")).alias("note"), F.when(place == 1, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")).alias("text"))
+    return scans.notes_reconciled(base, masked, answer).select("doc_id", "note", "fate", F.sha2("text", 256).alias("text_sha256"))
+
+
+_NOTES = f"""with {_LINES}, b as (select doc_id, k::bigint as note, line as text from l),
+m as (select doc_id, note, regexp_replace(regexp_replace(text, '{N.EMAIL}', '[EMAIL]', 'g'), '[0-9]+', '[N]', 'g') as text from b),
+a as (select doc_id, case when note % 5 = 4 then note + 1000000 else note end as note, case when note % 5 = 1 then text || ' edited' else text end as text from m where note % 5 <> 2)
+select coalesce(a.doc_id, m.doc_id) as doc_id, coalesce(a.note, m.note) as note,
+  case when a.doc_id is null then 'lost' when m.doc_id is null then 'added' when a.text = m.text then 'kept' when b.text = m.text then 'changed' else 'both' end as fate, sha256(coalesce(a.text, m.text)) as text_sha256
+from m full join a on m.doc_id = a.doc_id and m.note = a.note left join b on b.doc_id = m.doc_id and b.note = m.note"""
+
+
+def refilled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines put back into cells of four, in reading order."""
+    lines = _lines(spark, sf_dir)
+    cells = lines.select("doc_id", F.floor(F.col("k") / 4).cast("long").alias("cell"), F.col("k").alias("place"))
+    out = scans.refilled(cells, lines.select("doc_id", F.col("k").alias("place"), F.col("line").alias("text")))
+    return out.select("doc_id", "cell", F.sha2("text", 256).alias("text_sha256"))
+
+
 def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey") * 7 + 1
     return read(spark, sf_dir, "nation").select("n_nationkey", B.letters_column(n).alias("letters"), B.roman_column(n).alias("roman"))
@@ -225,6 +259,9 @@ QUERIES = {
     "line_equal_moves": line_equal_moves,
     "gap_islands": gap_islands,
     "coverage_clusters": coverage_clusters,
+    "list_numbers": list_numbers,
+    "notes_reconciled": notes_reconciled,
+    "refilled_cells": refilled_cells,
     "number_formats": number_formats,
     "cell_gate": cell_gate,
     "csv_flatten": csv_flatten,
@@ -256,6 +293,9 @@ select c.* from c where not exists (select 1 from v k where k.doc_id = c.doc_id
     "gap_islands": _GAPS,
     "pdf_paragraphs": _PARAGRAPHS,
     "coverage_clusters": _COVERAGE,
+    "list_numbers": _NUMBERS,
+    "notes_reconciled": _NOTES,
+    "refilled_cells": f"with {_LINES} select doc_id, (k // 4)::bigint as cell, sha256(string_agg(line, chr(10) order by k)) as text_sha256 from l group by all",
     "number_formats": _FORMATS,
     "cell_gate": "select o_orderkey, (o_orderkey * 1000003)::varchar as cell, length(regexp_replace((o_orderkey * 1000003)::varchar, '[^0-9]', '', 'g')) >= 10 as looked_at from orders",
     "manifest_hash": "select 'doc' || doc_id as original_name, sha256(coalesce(text, '') || case when doc_id % 10 = 0 then '!' else '' end) as original_sha256, doc_id % 10 <> 0 as matched from documents",

@@ -131,9 +131,21 @@ def html_column(table: DataFrame, key: str, html: str) -> DataFrame:
 EXTENSIONS = ("txt", "csv", "html", "docx", "xlsx", "pdf")
 
 
-def intake(spark: SparkSession, folder: str, most: int = 1000) -> DataFrame:
-    """Files of a folder and those below it with a known extension, the first ``most`` by path: path, ext, length, content, sha256, doc_id."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def intake(spark: SparkSession, folder: str, most: int | None = None, largest: int = 100 << 20) -> DataFrame:
+    """A row for each file of a folder and those below it with a known extension: path, ext, length, content, sha256, doc_id, reason.
+
+    Kinds are chosen from the listing; contents of files larger than ``largest`` are never read, since the reader gets
+    the limit as a filter. With ``most``, the files behind the first ``most`` by path have a reason and no content, too. Files without
+    any bytes, and hidden ones, have no row: Spark's readers pass over them.
+    """
+    kinds = ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in EXTENSIONS)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{kinds}}}").load(folder)
+    past = F.lit(False)
+    if most is not None and (first := found.select("path").orderBy("path").offset(most).limit(1).first()):  # paths alone: no content is read for this
+        past = F.col("path") >= first[0]
+    whole = found.where(F.col("length") <= largest).select("path", "length", "content")
+    rows = whole.unionByName(found.where(F.col("length") > largest).select("path", "length", F.lit(None).cast("binary").alias("content")))
+    rows = rows.withColumn("reason", F.when(past, f"behind the first {most} files").when(F.col("length") > largest, "too large"))
+    content = F.when(F.col("reason").isNull(), F.col("content"))
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    chosen = found.withColumn("ext", ext).where(F.col("ext").isin(*EXTENSIONS)).orderBy("path").limit(most)
-    return chosen.select("path", "ext", "length", "content", F.sha2("content", 256).alias("sha256"), F.col("path").alias("doc_id"))
+    return rows.select("path", ext.alias("ext"), "length", content.alias("content"), F.sha2(content, 256).alias("sha256"), F.col("path").alias("doc_id"), "reason")

@@ -4,6 +4,7 @@ import io
 import re
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskloom.functions.tagging import Options
@@ -77,8 +78,11 @@ def test_files_masked_and_restored(spark, tmp_path):
     assert {n for n, r in got.items() if r.reason} == {"f.pdf", "g.docx"} and all(r.content is None for r in got.values() if r.reason)
     assert got["c.txt"].output_name == "[ANON] c.txt" and bytes(got["c.txt"].content).decode() == "[ФИО_1], ИНН [ИНН_ЮЛ_1]\n"
     assert bytes(got["d.csv"].content).decode() == "имя\tпочта\nx\t[EMAIL_1]\n" and got["e.html"].output_name.endswith(".txt")
-    paths = files.published(files.mask_files(taken), str(out))
-    assert len(paths) == 5 and len(files.published(files.mask_files(taken), str(out))) == 5 and len(list(out.iterdir())) == 10
+    results = files.mask_files(taken)
+    files.published(results, str(out))
+    assert len(list(out.iterdir())) == 5
+    files.published(results, str(out))
+    assert len(list(out.iterdir())) == 10 and (out / "[ANON] c (2).txt").read_bytes() == bytes(got["c.txt"].content)
 
     named = taken.select(F.element_at(F.split("doc_id", "/"), -1).alias("original_name"), "ext", "content")
     manifest = gates.manifests(named.select("original_name", "content", F.lit("o").alias("output_name")), Options())
@@ -93,3 +97,32 @@ def test_files_masked_and_restored(spark, tmp_path):
     assert back["x.pdf"].reason and back["z.txt"].reason == "no original"
     other = manifest.withColumn("rules_version", F.lit("0"))
     assert {r.reason for r in files.restore_files(asked.where("ext = 'docx'"), named, other).collect()} == {"other rules"}
+
+
+def test_nothing_is_published_if_anything_leaks_or_fails(spark, tmp_path):
+    good = spark.createDataFrame([(f"f{k}.txt", bytearray(b"x"), 0) for k in range(20)], "output_name string, content binary, n_leaks long").repartition(4)
+    leak = good.withColumn("n_leaks", F.when(F.col("output_name") == "f7.txt", 1).otherwise(0))
+    with pytest.raises(Exception, match="nothing was published"):
+        files.published(leak, str(tmp_path))
+    assert not list(tmp_path.iterdir())
+    failing = good.withColumn("output_name", F.when(F.col("output_name") == "f7.txt", F.raise_error(F.lit("broken"))).otherwise(F.col("output_name")))
+    with pytest.raises(Exception, match="broken"):
+        files.published(failing, str(tmp_path))
+    assert not list(tmp_path.iterdir())
+    files.published(good, str(tmp_path))
+    assert len(list(tmp_path.iterdir())) == 20
+
+
+def test_intake_leaves_no_file_out(spark, tmp_path):
+    for k in range(1500):
+        (tmp_path / f"f{k:04d}.{'TXT' if k % 2 else 'txt'}").write_bytes(b"a" * (k % 7 + 1))
+    (tmp_path / "other.bin").write_bytes(b"x")
+    rows = text.intake(spark, str(tmp_path), most=1000, largest=6).collect()
+    reasons = {}
+    for r in rows:
+        reasons[r.reason] = reasons.get(r.reason, 0) + 1
+        assert (r.content is None) == (r.reason is not None)
+    assert len(rows) == 1500 and reasons["behind the first 1000 files"] == 500 and reasons["too large"] == sum(k % 7 == 6 for k in range(1000))
+    assert text.intake(spark, str(tmp_path)).where("reason is null").count() == 1500
+    plan = text.intake(spark, str(tmp_path), largest=5)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,5)" in plan
