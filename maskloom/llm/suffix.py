@@ -96,7 +96,7 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     induced[t[n - 1]].append(np.array([n - 1]))  # the end of the text is the smallest suffix
     out = []
-    for c in np.unique(t):
+    for c in map(int, np.unique(t)):
         layer = np.concatenate(induced[c]) if induced[c] else np.zeros(0, int)
         bucket = []
         while len(layer):
