@@ -16,6 +16,9 @@ a part of a part is the product of both. So what a query scans stays the same wh
 Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest, so no more are indexed. A
 part is searched in blocks of at most ``block`` rows and as many queries, so no task has to hold all of it.
 
+A part is fitted to 64 vectors of the sample at least, so a table of fewer than 128 is one part, which is searched whole
+and exactly by the same code.
+
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those
 whose length isn't the most frequent one (the smaller of two); a null vec_id takes no part; rows that repeat one vec_id and vector count
 once, of different vectors with one vec_id each takes part, and as its own row a query leaves out every row with its vec_id; ties go to the smaller
@@ -271,8 +274,10 @@ def _parted(kept: DataFrame, root: Index, n: int, k: int, rows_a_part: int, most
 
     own = kept.where("r = 1").select("vec_id", "v").mapInArrow(place, "part int, vec_id long, v binary")
     held = own.groupBy("part").agg(F.count("*").alias("held")).where(F.col("held") > 2 * rows_a_part)
-    some = own.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("vec_id"), "vec_id"))).where(F.col("i") <= sample)
-    fitted = some.join(F.broadcast(held), "part").select("part", "held", "v").groupBy("part").applyInPandas(fit, "part int, index binary")
+    # by a threshold of hashes first, half as many again as are needed: no part is sorted whole
+    near = own.join(F.broadcast(held), "part").where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1 << 40)) * F.col("held") < F.lit(int(1.5 * sample)) * F.lit(float(1 << 40)))
+    some = near.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("vec_id"), "vec_id"))).where(F.col("i") <= sample)
+    fitted = some.select("part", "held", "v").groupBy("part").applyInPandas(fit, "part int, index binary")
     return {r["part"]: Index.of(pickle.loads(bytes(r["index"]))) for r in fitted.collect()}  # a row for each part of the root
 
 
