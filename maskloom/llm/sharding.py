@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import checkpointed
+from maskloom.llm.common import checkpointed, looked_up
 
 
 def difference(sizes: Sequence[int], parts: int) -> list[int]:
@@ -110,7 +110,7 @@ def sharded(docs: DataFrame, shards: int = 8, most: int = 32768) -> DataFrame:
         )
     )
     groups = checkpointed(rows.groupBy("item").agg(F.sum("size").alias("size")))
-    placed = checkpointed(rows.join(balanced(groups, shards, most), "item"))
+    placed = checkpointed(looked_up(rows, balanced(groups, shards, most), "item", "doc_id"))  # copies of one text in many tasks
     return numbered(placed, "shard", ["doc_id", "text_crc32"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
