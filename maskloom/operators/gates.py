@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions import categories as C
@@ -32,6 +32,11 @@ def sized(files: DataFrame) -> DataFrame:
     return files.withColumn("reason", F.coalesce(F.col("reason"), reason) if "reason" in files.columns else reason)
 
 
+def cell_looked_at(cell: Column, is_text: Column) -> Column:
+    """Whether a typed cell is masked: texts always, numbers only with ten digits or more."""
+    return is_text | (F.length(F.regexp_replace(cell, "[^0-9]", "")) >= 10)
+
+
 def gated(files: DataFrame) -> DataFrame:
     """doc_id, ok, reason for every file; archives are opened and checked."""
 

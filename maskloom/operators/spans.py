@@ -62,10 +62,6 @@ def exploded(found: DataFrame) -> DataFrame:
     return found.where(F.size("spans") > 0).select("doc_id", "seg_no", F.explode("spans").alias("s")).select("doc_id", "seg_no", "s.start", "s.stop", "s.category", "s.value")
 
 
-def with_values(spans: DataFrame, segments: DataFrame) -> DataFrame:
-    return spans.join(segments, ["doc_id", "seg_no"]).withColumn("value", F.substring(F.col("text"), F.col("start") + 1, F.col("stop") - F.col("start"))).drop("text")
-
-
 def spliced(segments: DataFrame, replacements: DataFrame) -> DataFrame:
     """segments with spans (start, stop, put) replaced; doc_id, seg_no, text."""
     by_segment = replacements.groupBy("doc_id", "seg_no").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "put"))).alias("spans"))

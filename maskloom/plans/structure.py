@@ -75,15 +75,12 @@ def line_equal_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of users by the paragraph rule: a gap of more than 1.6 of the usual one (the mode of rounded gaps) starts a new one."""
+    """Sessions of users by the paragraph rule: a gap (in whole minutes) of more than 1.6 of the usual one starts a new one."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    micros = F.expr("unix_micros(cast(ts as timestamp))")
-    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "ts", micros.alias("at"))
-    gaps = rows.withColumn("gap", F.bround((F.col("at") - F.lag("at").over(order)) / F.lit(60_000_000.0)))
-    usual = gaps.where("gap > 0").groupBy("user_id", "gap").count().groupBy("user_id").agg(F.min_by("gap", F.struct(-F.col("count"), F.col("gap"))).alias("usual"))
-    new = gaps.join(usual, "user_id", "left").withColumn("new", F.when(F.col("gap").isNull() | (F.col("gap") > F.lit(1.6) * F.col("usual")), 1).otherwise(0))
-    island = new.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("user_id", "island").agg(F.count("*").alias("n_events"), F.min("event_id").alias("first_event"))
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.expr("unix_micros(cast(ts as timestamp))").alias("at"))
+    gap = F.bround((F.col("at") - F.lag("at").over(order)) / F.lit(60_000_000.0))
+    found = pdf_lines.islands(rows, ["user_id"], ["ts", "event_id"], gap)
+    return found.groupBy("user_id", "island").agg(F.count("*").alias("n_events"), F.min("event_id").alias("first_event"))
 
 
 _GAPS = """with g as (select user_id, event_id, ts, round_even((epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 60000000.0, 0) as gap from events),
@@ -163,8 +160,7 @@ def cell_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed cells to look at: strings always, numbers only with ten digits or more in their text."""
     orders = read(spark, sf_dir, "orders")
     number = (F.col("o_orderkey") * 1_000_003).cast("string")
-    digits = F.length(F.regexp_replace(number, "[^0-9]", ""))
-    return orders.select("o_orderkey", number.alias("cell"), (digits >= 10).alias("looked_at"))
+    return orders.select("o_orderkey", number.alias("cell"), gates.cell_looked_at(number, F.lit(False)).alias("looked_at"))
 
 
 def csv_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
