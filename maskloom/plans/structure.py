@@ -9,7 +9,7 @@ from maskloom.functions import blocks as B
 from maskloom.functions import native as N
 from maskloom.functions import words as W
 from maskloom.functions.tagging import Options
-from maskloom.operators import entities, gates, masking, merging, scans, verify
+from maskloom.operators import anchors, entities, gates, masking, merging, scans, verify
 from maskloom.operators import spans as S
 from maskloom.operators.rounds import kept
 from maskloom.plans.masking import _UNITED, matches_sql, read
@@ -74,6 +74,20 @@ def line_equal_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("doc_id", "p.base", "p.answer", "norm_sha256").where("base <> answer")
 
 
+def anchor_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors where the answer begins with the lines from doc_id % 7 + 1 on and ends with those before: which stayed, which moved."""
+    base = _lines(spark, sf_dir).select("doc_id", F.col("k").cast("int").alias("k"), F.trim("line").alias("norm"))
+    n, r = F.max("k").over(Window.partitionBy("doc_id")) + 1, (F.col("doc_id") % 7 + 1).cast("int")
+    answer = base.select("doc_id", F.when(F.col("k") >= r, F.col("k") - r).otherwise(F.col("k") + n - F.least(r, n)).alias("k"), "norm")
+    return anchors.anchored(base, answer).select("doc_id", F.col("base").cast("long").alias("base"), F.col("answer").cast("long").alias("answer"), "moved")
+
+
+_ANCHORS = f"""with {_LINES}, b as (select doc_id, k::bigint as k, trim(line) as norm, doc_id % 7 + 1 as r, max(k) over (partition by doc_id) + 1 as n from l),
+u as (select doc_id, norm, min(k) as k, first(r) as r, first(n) as n from b where norm <> '' group by doc_id, norm having count(*) = 1),
+c as (select *, k >= r as second, count(*) filter (k >= r) over (partition by doc_id) as s, count(*) filter (k < r) over (partition by doc_id) as f from u)
+select doc_id, k as base, (case when k >= r then k - r else k + n - least(r, n) end)::bigint as answer, second <> (s >= f) as moved from c"""
+
+
 def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of users by the paragraph rule: a gap (in whole minutes) of more than 1.6 of the usual one starts a new one."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -253,6 +267,7 @@ QUERIES = {
     "propagate_terms": propagate_terms,
     "normalize_align": normalize_align,
     "line_equal_moves": line_equal_moves,
+    "anchor_moves": anchor_moves,
     "gap_islands": gap_islands,
     "coverage_clusters": coverage_clusters,
     "list_numbers": list_numbers,
@@ -286,6 +301,7 @@ r as (select doc_id, norm, k as base, top, row_number() over (partition by doc_i
 select a.doc_id, a.base, a.top - b.base as answer, sha256(a.norm) as norm_sha256 from r a join r b on a.doc_id = b.doc_id and a.norm = b.norm and a.i = b.j where a.base <> a.top - b.base""",
     "hallucination_scan": f"""with {_UNITED}, c as (select distinct doc_id - 1 as doc_id, category, value from v)
 select c.* from c where not exists (select 1 from v k where k.doc_id = c.doc_id and (contains(c.value, k.value) or contains(k.value, c.value)))""",
+    "anchor_moves": _ANCHORS,
     "gap_islands": _GAPS,
     "pdf_paragraphs": _PARAGRAPHS,
     "coverage_clusters": _COVERAGE,
