@@ -37,13 +37,15 @@ def anonymized(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return plain.select("doc_id", "seg_no", "text").unionByName(masked), label_table(spans)
 
 
-def anonymized_rows(docs: DataFrame, **also: Column) -> DataFrame:
-    """doc_id, masked, spans and columns made of the original row, for documents of one segment: a projection, without any shuffle."""
+def anonymized_rows(docs: DataFrame, numbered: bool = True, **also: Column) -> DataFrame:
+    """doc_id, masked, spans and columns made of the original row, for documents of one segment: a projection, without any shuffle.
+    Labels that are not ``numbered`` are bare categories."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *(c.alias(k) for k, c in also.items()))
     text = F.col("text")
     found = rows.select("doc_id", "text", *also, F.explode(F.array(N.merged(N.neutral_spans(text), text))).alias("m"))  # Generate: the matches are made once
     spans = found.select("doc_id", "text", *also, F.explode(F.array(N.numbered(F.col("m")))).alias("spans"))
-    return spans.select("doc_id", N.spliced(F.col("text"), F.col("spans"), lambda s: N.label(s["category"], s["n"])).alias("masked"), "spans", *also)
+    name = (lambda s: N.label(s["category"], s["n"])) if numbered else (lambda s: F.concat(F.lit("["), s["category"], F.lit("]")))
+    return spans.select("doc_id", N.spliced(F.col("text"), F.col("spans"), name).alias("masked"), "spans", *also)
 
 
 #: Labels as answers write them: any case, and a space, hyphen or nothing for the underscore.

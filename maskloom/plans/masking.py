@@ -58,6 +58,8 @@ m as (select doc_id, "start", "stop", '[' || category || '_' || n || ']' as labe
 t as (select m.doc_id, string_agg(substr(d.text, m."from" + 1, m."start" - m."from") || m.label, '' order by m."start") || substr(d.text, max(m."stop") + 1) as masked, count(*) as n_spans from m join documents d using (doc_id) group by m.doc_id, d.text),
 a as (select d.doc_id, coalesce(t.masked, d.text, '') as masked, coalesce(t.n_spans, 0) as n_spans from documents d left join t using (doc_id))"""
 
+_BARE = _MASKED.replace("category || '_' || n || ']' as label", "category || ']' as label")
+
 
 def span_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = S.as_segments(read(spark, sf_dir, "documents"))
@@ -97,6 +99,11 @@ def anonymize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked.select("doc_id", "masked", F.size("spans").cast("long").alias("n_spans"))
 
 
+def anonymize_bare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with bare categories in place of numbered labels."""
+    return L.anonymized_rows(read(spark, sf_dir, "documents"), numbered=False).select("doc_id", "masked")
+
+
 def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents are masked once; what is restored is held against the digest of the original."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -268,6 +275,7 @@ QUERIES = {
     "label_numbering": label_numbering,
     "label_numbering_conversation": conversation_words,
     "anonymize_documents": anonymize_documents,
+    "anonymize_bare": anonymize_bare,
     "restore_roundtrip": restore_roundtrip,
     "restore_nested": restore_nested,
     "circular_labels": circular_labels,
@@ -303,6 +311,7 @@ f as (select conv_id, value, min(struct_pack(turn := turn, at := "start")) as fi
 n as (select conv_id, value, row_number() over (partition by conv_id order by first_at) as n from f)
 select conv_id, n, '[ФИО_' || n || ']' as label, value from n""",
     "anonymize_documents": f"with {_MASKED} select doc_id, masked, n_spans from a",
+    "anonymize_bare": f"with {_BARE} select doc_id, masked from a",
     "restore_roundtrip": f"with {_MASKED} select a.doc_id, a.n_spans as restored, 0 as unresolved, true as equal, sha256(coalesce(d.text, '')) as text_sha256 from a join documents d using (doc_id)",
     "restore_nested": """with d as (select doc_id, coalesce(text, '') as text, doc_id % 40 + 1 as depth, length(coalesce(text, '')) // (doc_id % 40 + 1) as size, case when doc_id % 10 = 3 then doc_id % 7 % (doc_id % 40 + 1) + 1 end as back from documents)
 select doc_id, sha256(case when back is null then text else substr(text, 1, (back - 1) * size) || '[ПРОЕКТ_' || back || ']' end) as text_sha256, case when back = 1 then 0 else 1 end::bigint as restored,

@@ -302,6 +302,7 @@ select a.doc_id, a.base, a.top - b.base as answer, sha256(a.norm) as norm_sha256
     "hallucination_scan": f"""with {_UNITED}, c as (select distinct doc_id - 1 as doc_id, category, value from v)
 select c.* from c where not exists (select 1 from v k where k.doc_id = c.doc_id and (contains(c.value, k.value) or contains(k.value, c.value)))""",
     "anchor_moves": _ANCHORS,
+    "restore_full": "select doc_id, true as equal, sha256(coalesce(text, '')) as text_sha256 from documents",
     "gap_islands": _GAPS,
     "pdf_paragraphs": _PARAGRAPHS,
     "coverage_clusters": _COVERAGE,
