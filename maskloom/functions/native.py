@@ -7,6 +7,7 @@ patterns here keep to what Java and RE2 read alike, so that DuckDB can check the
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +28,17 @@ LATIN = r"[A-Z][A-Za-z0-9&-]*( [A-Z][A-Za-z0-9&-]*)*"
 DIGIT_IDS = {6: C.INDEX, 10: C.INN_COMPANY, 11: C.DOC_NO, 12: C.INN_PERSON, 13: C.OGRN, 14: C.DOC_NO, 15: C.OGRN, 20: C.ACCOUNT}
 
 
+_BUILT: dict = {}
+
+
+def built(key: tuple, make) -> Column:
+    """The column that ``make`` gives, made once for each JVM and key: long expressions take seconds to put together."""
+    key = (id(SparkContext._gateway), *key)
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -59,14 +59,16 @@ def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _names(rows: DataFrame, options: T.Options) -> DataFrame:
     """doc_id, category, value of the entities of all lines."""
-    found = S.lines_of(rows).select("doc_id", F.explode(T.entity_rows(F.col("text"), T.recognised(F.col("text")), options)).alias("e"))
+    names = N.built(("recognised in text", options), lambda: T.entity_rows(F.col("text"), T.recognised(F.col("text")), options))
+    found = S.lines_of(rows).select("doc_id", F.explode(names).alias("e"))
     return found.select("doc_id", "e.category", "e.value")
 
 
 def _with_raw(docs: DataFrame, options: T.Options) -> DataFrame:
     """doc_id, text, raw: all tagged spans, spread terms included. ``docs``: doc_id, text."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "text", F.explode(F.array(raw_spans(text, options))).alias("raw"))  # Generate: the matches are made once
+    raw = N.built(("raw spans of text", options), lambda: raw_spans(text, options))
+    rows = docs.select("doc_id", "text", F.explode(F.array(raw)).alias("raw"))  # Generate: the matches are made once
     if not options.spread:
         return rows
     has_names = F.coalesce(F.col("text").rlike(T.R.MARKS["я"]) & F.col("text").rlike(T.R.PEOPLE), F.lit(False))
@@ -87,7 +89,8 @@ def _with_raw(docs: DataFrame, options: T.Options) -> DataFrame:
 def _merged(docs: DataFrame, options: T.Options) -> DataFrame:
     """doc_id, text, spans (merged, with values)."""
     rows = _with_raw(docs, options)
-    return rows.select("doc_id", "text", F.explode(F.array(N.merged(F.col("raw"), F.coalesce("text", F.lit(""))))).alias("spans"))
+    merged = N.built(("merged raw",), lambda: N.merged(F.col("raw"), F.coalesce("text", F.lit(""))))
+    return rows.select("doc_id", "text", F.explode(F.array(merged)).alias("spans"))
 
 
 def anonymize(docs: DataFrame, options: T.Options | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +101,7 @@ def anonymize(docs: DataFrame, options: T.Options | None = None, id_col: str = "
     """
     options = options or T.Options()
     found = _merged(_text_rows(docs, id_col, text_col), options)
-    rows = found.select("doc_id", "text", F.explode(F.array(N.numbered(F.col("spans")))).alias("spans"))
+    rows = found.select("doc_id", "text", F.explode(F.array(N.built(("numbered spans",), lambda: N.numbered(F.col("spans"))))).alias("spans"))
     name = (lambda s: N.label(s["category"], s["n"])) if options.numbered else (lambda s: F.concat(F.lit("["), s["category"], F.lit("]")))
     labels = F.array_distinct(F.transform("spans", lambda s: F.struct(s["category"].alias("category"), s["n"].alias("n"), name(s).alias("label"), s["value"].alias("value"))))
     return rows.select("doc_id", N.spliced(F.col("text"), F.col("spans"), name).alias("text"), labels.cast(LABELS).alias("labels"), F.size("spans").cast("long").alias("n_spans"))
@@ -123,7 +126,8 @@ def rules_found(docs: DataFrame, dates: bool = False, only: tuple[str, ...] = ()
         return N.let(here, lambda y: F.flatten(F.transform(y["lines"], lambda line, i: own(y, line, i))))
 
     lines = S.lines(F.col("text"))
-    rows = docs.where("text is not null").select("doc_id", F.explode(N.let(F.struct(lines.alias("lines")), whole)).alias("r"))
+    every = N.built(("rule rows of lines", dates, only), lambda: N.let(F.struct(lines.alias("lines")), whole))
+    rows = docs.where("text is not null").select("doc_id", F.explode(every).alias("r"))
     return rows.select("doc_id", F.get(names, F.col("r.ord")).alias("rule"), F.col("r.start").cast("long").alias("start"), F.col("r.stop").cast("long").alias("stop"), "r.value")
 
 
@@ -134,8 +138,8 @@ def segment_spans(segments: DataFrame, options: T.Options | None = None) -> Data
     rows = segments.select("doc_id", "seg_no", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("entities").isNull(), missing.cast(E.ENTITIES)).otherwise(F.col("entities").cast(E.ENTITIES)).alias("entities"))
     if options.smart_contract:
         rows = S.switched(rows)
-    names = T.entity_rows(F.col("text"), F.col("entities"), options)
-    own = F.concat(T.tagged_entities(names), T.rule_spans(F.col("text"), options))
+    names = N.built(("entities of text", options), lambda: T.entity_rows(F.col("text"), F.col("entities"), options))
+    own = F.concat(T.tagged_entities(names), N.built(("rule spans of text", options), lambda: T.rule_spans(F.col("text"), options)))
     active = F.col("text").rlike(r"(?U)\S") & (F.col("masking") if options.smart_contract else F.lit(True))
     found = rows.select("doc_id", "seg_no", "text", *(["masking"] if options.smart_contract else []), F.explode(F.array(F.when(active, own).otherwise(F.array().cast(T.TAGGED)))).alias("raw"))
     if options.spread:
