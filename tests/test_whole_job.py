@@ -5,7 +5,7 @@ import os
 import pytest
 
 from maskloom.functions import alignment as A
-from maskloom.operators import entities, labels, merging
+from maskloom.operators import entities, labels, masking, merging
 from maskloom.queries import QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -85,3 +85,32 @@ def test_values_that_would_grow_without_bounds_stop_the_restoring(spark):
     table = spark.createDataFrame([(1, "A", k, f"[A_{k + 1}][A_{k + 1}]" if k < 60 else "end") for k in range(1, 61)], TABLE)
     with pytest.raises(Exception, match="longest"):
         labels.restored(spark.createDataFrame([(1, "[A_1]")], "doc_id long, text string"), table).collect()
+
+
+def test_latin_runs_that_hang_on_a_letter_are_no_organisations(spark, tmp_path):
+    folder = documents(spark, tmp_path, [(1, "CIÓNRR ASESRR ÑOS, Globex Trade. aBC Initech"), (2, None)])
+    assert sorted((r.start, r.value) for r in QUERIES["detect_latin_org"](spark, folder).collect()) == [(19, "Globex Trade")]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_without_names_are_searched_without_a_join(spark):
+    docs = spark.createDataFrame([(1, "ИНН 7712345678"), (2, "\uFDD0 ИНН 7712345678 \uFDD0")], "doc_id long, text string")
+    got = masking.found(docs)
+    assert "Join" not in plan(got) and "Exchange" not in plan(got)
+    assert sorted((r.doc_id, r.start, r.value) for r in got.collect()) == [(1, 4, "7712345678"), (2, 6, "7712345678")]
+
+
+def test_keys_in_one_file_are_dealt_out(spark):
+    if os.path.isdir(DIR):
+        assert "REPARTITION_BY_NUM" in plan(QUERIES["rules_money"](spark, DIR))
+
+
+def test_words_are_dealt_out_once(spark):
+    segments = spark.createDataFrame([(1, 0, "Ivan Ivana Ivanov ivanovx")], "doc_id long, seg_no long, text string")
+    seeds = spark.createDataFrame([(1, "Ivan", "ФИО"), (1, "Ivanov", "ФИО")], "doc_id long, term string, category string")
+    spread = entities.terms_spread(segments, seeds)
+    assert spread._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
+    assert sorted((r.term, r.start) for r in spread.collect()) == [("Ivan", 0), ("Ivan", 5), ("Ivan", 11), ("Ivan", 18), ("Ivanov", 11), ("Ivanov", 18)]
