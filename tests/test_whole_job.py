@@ -114,3 +114,22 @@ def test_words_are_dealt_out_once(spark):
     spread = entities.terms_spread(segments, seeds)
     assert spread._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
     assert sorted((r.term, r.start) for r in spread.collect()) == [("Ivan", 0), ("Ivan", 5), ("Ivan", 11), ("Ivan", 18), ("Ivanov", 11), ("Ivanov", 18)]
+
+
+def test_masked_documents_and_their_answers_are_aligned_without_a_shuffle(spark, tmp_path):
+    folder = documents(spark, tmp_path, [(1, "mail a@b.ru\nhere\nend"), (2, None), (None, "x")])
+    for name in ("align_merge", "alignment_operations"):
+        text = plan(QUERIES[name](spark, folder))
+        assert "CoGroup" not in text and "Join" not in text
+    assert "Exchange" not in plan(QUERIES["align_merge"](spark, folder))
+    got = {r.doc_id: (r.text, r.equal, r.deleted, r.inserted) for r in QUERIES["align_merge"](spark, folder).collect()}
+    assert got[1] == ("A new first paragraph.\n\nmail [EMAIL_1]\n\nhere\n\nend", 2, 1, 1) and got[None] == ("A new first paragraph.\n\nx", 1, 0, 1)
+    assert set(got) == {1, 2, None}
+
+
+def test_a_document_on_one_side_only_is_merged(spark):
+    bases = spark.createDataFrame([(1, "a\n\nb"), (2, "only base"), (None, "none")], "doc_id long, text string")
+    answers = spark.createDataFrame([(1, "a"), (3, "only answer"), (None, "none")], "doc_id long, text string")
+    agreed = spark.createDataFrame([(1, 1), (9, 0)], "doc_id long, block int")
+    got = {r.doc_id: (r.text, r.equal, r.deleted, r.inserted) for r in merging.merge_answers(bases, answers, agreed).collect()}
+    assert got == {1: ("a", 1, 1, 0), 2: ("only base", 0, 1, 0), 3: ("only answer", 0, 0, 1), None: ("none", 1, 0, 0)}
