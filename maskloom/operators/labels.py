@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions import native as N
+from maskloom.functions.nesting import opened
 from maskloom.operators import spans as S
 from maskloom.operators.rounds import kept
 
@@ -88,32 +92,31 @@ def circular_labels(labels: DataFrame) -> DataFrame:
     return reach.where(F.col("of") == F.col("label")).select("doc_id", "label").distinct()
 
 
-def opened_values(labels: DataFrame, longest: int = 100_000_000) -> DataFrame:
-    """doc_id, label, value, closed: values with all labels in them opened, and how many circular ones stay in each.
+def opened_values(labels: DataFrame, needed: DataFrame, longest: int = 100_000_000) -> DataFrame:
+    """doc_id, label, value, closed of the labels ``needed`` (doc_id, label): values with all labels in them opened, and how many
+    circular ones stay in each.
 
-    By pointer doubling: in a round each value takes in the values that the round before made, so a chain of n labels is open
-    after log n rounds. Circular labels are no values: they stay as they are. Fails if a value grows beyond ``longest`` characters.
+    Values without labels are taken as they are. Of documents whose needed labels are nested, the label tables meet in a row each,
+    as the restored text does; texts are put together once, for the labels needed alone. Circular labels are no values: they stay
+    as they are, and so do labels that only come about where two pieces of text meet. Fails if a value grows beyond ``longest`` characters.
     """
-    circular = kept(circular_labels(labels))
-    known = labels.select("doc_id", N.label(F.col("category"), F.col("n")).alias("label"), F.col("value").alias("text")).distinct()
-    known = known.join(circular, ["doc_id", "label"], "left_anti")
-    plain = known.where(~F.col("text").rlike(TOLERANT)).select("doc_id", "label", F.col("text").alias("value"), F.lit(0).cast("long").alias("closed"))
-    nested = kept(known.where(F.col("text").rlike(TOLERANT)))
-    names = plain.select("doc_id", "label").unionByName(nested.select("doc_id", "label"))
-    while not _references(nested, "doc_id").join(names, ["doc_id", "label"], "left_semi").isEmpty():
-        values = plain.unionByName(nested.select("doc_id", "label", F.col("text").alias("value"), F.lit(0).cast("long").alias("closed")))
-        own = nested.withColumnRenamed("label", "of")
-        # lengths first: nothing is put together that would be too long
-        lengths = _references(own, "doc_id", "of").join(values.select("doc_id", "label", F.length("value").alias("n")), ["doc_id", "label"]).groupBy("doc_id", "of").agg(F.sum("n").alias("n"))
-        if (most := lengths.agg(F.max("n")).first()[0] or 0) > longest:
-            raise ValueError(f"a label opens to {most} characters, more than the longest text of {longest}")
-        found = _opened(own, values, "doc_id", "of")
-        text = N.replaced(F.col("text"), TOLERANT, lambda m, i: F.coalesce(F.get(F.col("puts"), i)["value"], m))
-        nested = kept(found.select("doc_id", F.col("of").alias("label"), text.alias("text")))
-    stay = _references(nested, "doc_id", "label").toDF("doc_id", "of", "pos", "label").join(circular, ["doc_id", "label"], "left_semi").groupBy("doc_id", F.col("of").alias("label")).agg(F.count("*").alias("closed"))
-    opened = nested.join(stay, ["doc_id", "label"], "left").select("doc_id", "label", F.col("text").alias("value"), F.coalesce("closed", F.lit(0)).alias("closed"))
-    closed = circular.select("doc_id", "label", F.lit(None).cast("string").alias("value"), F.lit(1).cast("long").alias("closed"))
-    return plain.unionByName(opened).unionByName(closed)
+    known = labels.where(F.col("value").isNotNull()).select("doc_id", N.label(F.col("category"), F.col("n")).alias("label"), "value")
+    is_nested = F.col("value").rlike(TOLERANT)
+    plain = known.where(~is_nested).distinct().select("doc_id", "label", "value", F.lit(0).cast("long").alias("closed"))
+    roots = needed.join(known.where(is_nested).select("doc_id", "label"), ["doc_id", "label"], "left_semi").groupBy("doc_id").agg(F.collect_set("label").alias("wanted"))
+    written = F.regexp_extract_all("value", F.lit(TOLERANT), F.lit(0))
+    rows = known.select("doc_id", F.struct("label", F.split("value", TOLERANT, -1).alias("around"), written.alias("written"), F.transform(written, canonical).alias("refs")).alias("row"))
+    tables = rows.groupBy("doc_id").agg(F.collect_list("row").alias("rows")).join(roots, "doc_id")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("label", pa.string()), ("value", pa.string()), ("closed", pa.int64())])
+            for k in range(batch.num_rows):
+                doc = batch.slice(k, 1).to_pylist()[0]
+                found = opened({r["label"]: (r["around"], r["written"], r["refs"]) for r in doc["rows"]}, doc["wanted"], longest)
+                yield pa.RecordBatch.from_pylist([{"doc_id": doc["doc_id"], "label": a, "value": v, "closed": n} for a, v, n in found], schema=schema)
+
+    return plain.unionByName(tables.select("doc_id", "rows", "wanted").mapInArrow(task, f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, label string, value string, closed long"))
 
 
 def restored(answers: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -124,9 +127,9 @@ def restored(answers: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ())
     replaced and those that stay (``samples``: the first five); values that hold labels are open to the end, however deep,
     and labels that lead back to themselves stay and count as ``circular``, within values too. A null text stays null.
     """
-    values = opened_values(labels)
     keyed = answers.select("doc_id", *keep, "text", F.xxhash64("text").alias("key"))
     with_labels = F.coalesce(F.col("text").rlike(TOLERANT) & F.col("doc_id").isNotNull(), F.lit(False))
+    values = opened_values(labels, _references(keyed.where(with_labels), "doc_id").select("doc_id", "label").distinct())
     touched = _opened(keyed.where(with_labels).select("doc_id", "key", "text").distinct(), values, "doc_id", "key")
     counted = lambda test: F.size(F.filter("puts", test)).cast("long")
     written = F.regexp_extract_all("text", F.lit(TOLERANT), F.lit(0))

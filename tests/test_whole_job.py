@@ -5,6 +5,7 @@ import os
 import pytest
 
 from maskloom.functions import alignment as A
+from maskloom.functions import nesting
 from maskloom.operators import entities, labels, masking, merging
 from maskloom.queries import QUERIES
 
@@ -133,3 +134,23 @@ def test_a_document_on_one_side_only_is_merged(spark):
     agreed = spark.createDataFrame([(1, 1), (9, 0)], "doc_id long, block int")
     got = {r.doc_id: (r.text, r.equal, r.deleted, r.inserted) for r in merging.merge_answers(bases, answers, agreed).collect()}
     assert got == {1: ("a", 1, 1, 0), 2: ("only base", 0, 1, 0), 3: ("only answer", 0, 0, 1), None: ("none", 1, 0, 0)}
+
+
+def test_restoring_nested_values_keeps_no_rounds_on_disk(spark):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    size = lambda: at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    before = size()
+    table = spark.createDataFrame(chain(1, 60, "end") + [(2, "A", 1, "x[a 2]y[A_2]"), (2, "A", 2, "[A_3]"), (2, "A", 3, "[A_2][B_9]"), (2, "A", 4, "[A_1]?[A_1]"), (2, "C", 1, None), (2, "A", 5, "[C_1]")], TABLE)
+    answers = spark.createDataFrame([(1, "[EMAIL_1]"), (2, "[A_4] [A_3] [A_5]")], "doc_id long, text string")
+    got = sorted(tuple(r)[:5] for r in labels.restored(answers, table).collect())
+    assert got == [(1, "<" * 59 + "end" + ">" * 59, 1, 0, 0), (2, "x[a 2]y[A_2]?x[a 2]y[A_2] [A_3] [C_1]", 2, 1, 5)]
+    assert size() == before
+
+
+def test_labels_of_a_document_are_opened_in_linear_space():
+    n = 20_000
+    table = {str(k): (("a" * 50, ""), (f"[{k + 1}]",), (str(k + 1),)) for k in range(n)} | {str(n): (("end",), (), ())}
+    ((label, value, closed),) = nesting.opened(table, ["0"], 10**7)
+    assert (label, len(value), value[-4:], closed) == ("0", 50 * n + 3, "aend", 0)
+    empty = {str(k): (("", "", ""), ("[x]", "[x]"), (str(k + 1), str(k + 1))) for k in range(100)} | {"100": (("",), (), ())}
+    assert nesting.opened(empty, ["0"], 10) == [("0", "", 0)]
