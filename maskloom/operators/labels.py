@@ -104,9 +104,11 @@ def opened_values(labels: DataFrame, needed: DataFrame, longest: int = 100_000_0
     is_nested = F.col("value").rlike(TOLERANT)
     plain = known.where(~is_nested).distinct().select("doc_id", "label", "value", F.lit(0).cast("long").alias("closed"))
     roots = needed.join(known.where(is_nested).select("doc_id", "label"), ["doc_id", "label"], "left_semi").groupBy("doc_id").agg(F.collect_set("label").alias("wanted"))
-    written = F.regexp_extract_all("value", F.lit(TOLERANT), F.lit(0))
-    rows = known.select("doc_id", F.struct("label", F.split("value", TOLERANT, -1).alias("around"), written.alias("written"), F.transform(written, canonical).alias("refs")).alias("row"))
-    tables = rows.groupBy("doc_id").agg(F.collect_list("row").alias("rows")).join(roots, "doc_id")
+    # values are taken apart only where they have met: fewer bytes move
+    written = lambda r: F.regexp_extract_all(r["value"], F.lit(TOLERANT), F.lit(0))
+    apart = lambda r: F.struct(r["label"].alias("label"), F.split(r["value"], TOLERANT, -1).alias("around"), written(r).alias("written"), F.transform(written(r), canonical).alias("refs"))
+    met = known.groupBy("doc_id").agg(F.collect_list(F.struct("label", "value")).alias("rows")).join(roots, "doc_id")
+    tables = met.select("doc_id", F.transform("rows", apart).alias("rows"), "wanted")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +129,7 @@ def restored(answers: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ())
     replaced and those that stay (``samples``: the first five); values that hold labels are open to the end, however deep,
     and labels that lead back to themselves stay and count as ``circular``, within values too. A null text stays null.
     """
-    keyed = answers.select("doc_id", *keep, "text", F.xxhash64("text").alias("key"))
+    keyed = answers.select("doc_id", *keep, "text", F.xxhash64("doc_id", "text").alias("key"))  # with the id, so that one text for all is no constant, and rows that have met by it stay where they are
     with_labels = F.coalesce(F.col("text").rlike(TOLERANT) & F.col("doc_id").isNotNull(), F.lit(False))
     values = opened_values(labels, _references(keyed.where(with_labels), "doc_id").select("doc_id", "label").distinct())
     touched = _opened(keyed.where(with_labels).select("doc_id", "key", "text").distinct(), values, "doc_id", "key")
