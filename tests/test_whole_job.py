@@ -154,3 +154,11 @@ def test_labels_of_a_document_are_opened_in_linear_space():
     assert (label, len(value), value[-4:], closed) == ("0", 50 * n + 3, "aend", 0)
     empty = {str(k): (("", "", ""), ("[x]", "[x]"), (str(k + 1), str(k + 1))) for k in range(100)} | {"100": (("",), (), ())}
     assert nesting.opened(empty, ["0"], 10) == [("0", "", 0)]
+
+
+def test_names_and_words_are_not_broadcast(spark):
+    docs = spark.range(4).selectExpr("id as doc_id", "if(id % 2 = 0, 'пришёл Сидоров Антон.\\r\\nСИДОРОВА ждали, Сидоров Антон', 'ИНН 7712345678') as text")
+    got = masking.found(docs)
+    assert "Broadcast" not in plan(got)
+    people = sorted((r.doc_id, r.start, r.value) for r in got.collect() if r.category == "ФИО")
+    assert people == sorted((k, at, name) for k in (0, 2) for at, name in ((7, "Сидоров Антон"), (23, "СИДОРОВА"), (39, "Сидоров Антон")))
