@@ -162,3 +162,11 @@ def test_names_and_words_are_not_broadcast(spark):
     assert "Broadcast" not in plan(got)
     people = sorted((r.doc_id, r.start, r.value) for r in got.collect() if r.category == "ФИО")
     assert people == sorted((k, at, name) for k in (0, 2) for at, name in ((7, "Сидоров Антон"), (23, "СИДОРОВА"), (39, "Сидоров Антон")))
+
+
+def test_long_runs_of_one_kind_do_not_overflow_the_stack(spark):
+    n = 20_000
+    runs = {"latin_org": "Globex " * n, "email": "a@b" + ".c" * n + ".ru", "money_words": "(" + "сто " * n + "рублей)"}
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(runs.values())] + [(3, "THE " * n), (4, "СУД " * n)], "doc_id long, text string")
+    got = {(r.doc_id, r.rule): r.stop - r.start for r in masking.rules_found(texts, only=tuple(runs)).collect()}
+    assert got == {(0, "latin_org"): 7 * n - 1, (1, "email"): 3 + 2 * n + 3, (2, "money_words"): 4 * n + 6}
