@@ -53,7 +53,7 @@ def anonymized_rows(docs: DataFrame, numbered: bool = True, **also: Column) -> D
 
 
 #: Labels as answers write them: any case, and a space, hyphen or nothing for the underscore.
-TOLERANT = r"(?iu)\[\s*([\p{L}]+(?:[ _-][\p{L}]+)*)[ _-]?([0-9]+)\s*\]"
+TOLERANT = r"(?iu)\[\s*([\p{L}]+(?:[ _-][\p{L}]+)*+)[ _-]?([0-9]+)\s*\]"
 
 
 def canonical(m: Column) -> Column:

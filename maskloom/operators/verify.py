@@ -9,7 +9,7 @@ from maskloom.functions import native as N
 from maskloom.operators import masking
 from maskloom.operators import spans as S
 
-ANY_LABEL = r"(?u)\[[\p{L}]+(_[\p{L}]+)*_[0-9]+\]"
+ANY_LABEL = r"(?u)\[[\p{L}]+(_[\p{L}]+)*+_[0-9]+\]"
 # English look-alikes of labels that models write by themselves.
 LOOKALIKE = r"(?i)\[(name|person|company|organization|address|date|amount|phone|email|number)[ _-]?[0-9]*\]"
 

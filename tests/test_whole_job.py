@@ -170,3 +170,9 @@ def test_long_runs_of_one_kind_do_not_overflow_the_stack(spark):
     texts = spark.createDataFrame([(k, t) for k, t in enumerate(runs.values())] + [(3, "THE " * n), (4, "СУД " * n)], "doc_id long, text string")
     got = {(r.doc_id, r.rule): r.stop - r.start for r in masking.rules_found(texts, only=tuple(runs)).collect()}
     assert got == {(0, "latin_org"): 7 * n - 1, (1, "email"): 3 + 2 * n + 3, (2, "money_words"): 4 * n + 6}
+
+
+def test_long_brackets_are_no_labels(spark):
+    answers = spark.createDataFrame([(1, "[" + "see fox " * 20_000 + "] [A_1]")], "doc_id long, text string")
+    (row,) = labels.restored(answers, spark.createDataFrame([(1, "A", 1, "x")], TABLE)).collect()
+    assert row.text.endswith("] x") and (row.restored, row.unresolved) == (1, 0)
