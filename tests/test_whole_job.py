@@ -176,3 +176,9 @@ def test_long_brackets_are_no_labels(spark):
     answers = spark.createDataFrame([(1, "[" + "see fox " * 20_000 + "] [A_1]")], "doc_id long, text string")
     (row,) = labels.restored(answers, spark.createDataFrame([(1, "A", 1, "x")], TABLE)).collect()
     assert row.text.endswith("] x") and (row.restored, row.unresolved) == (1, 0)
+
+
+@pytest.mark.parametrize("name", ["alignment_operations", "rules_documents", "anonymize_full"])
+def test_a_line_of_capitalised_words_is_searched(spark, tmp_path, name):
+    folder = documents(spark, tmp_path, [(1, "Globex " * 20_000), (2, "mail a@b.ru")])
+    assert {r.doc_id for r in QUERIES[name](spark, folder).collect()} == {1, 2}
